@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["localization"]
+_MODULES = ["localization", "effort"]
 
 
 def load_all():

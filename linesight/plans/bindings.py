@@ -73,3 +73,32 @@ def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = F.when(F.col("next_first").isNull(), F.col("top")).otherwise(
         F.concat(F.col("top"), F.array(F.col("next_first"))))
     return joined.select("doc_id", F.posexplode(arr).alias("pred_pos", "line"))
+
+
+def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation table: documents with a label row.  target = labels.toxic,
+    pred = labels.quality; flawed lines only for actual positives (negatives
+    carry no line labels, as in a vulnerability data set)."""
+    f = function_table(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").alias("pred"), F.col("toxic").alias("target"))
+    t = f.join(lab, "doc_id")
+    idx = F.when(F.col("target") == 1, F.col("flaw_idx")).otherwise(F.array().cast("array<int>"))
+    lines = F.when(F.col("target") == 1, F.col("flaw_lines")).otherwise(
+        F.array().cast("array<string>"))
+    return t.select("doc_id", "project", "text", "proba", "n_loc", "pred", "target",
+                    idx.alias("flaw_idx"), lines.alias("flaw_lines"),
+                    T.encode_ints(idx).alias("flaw_line_index"))
+
+
+def ranked_test_lines(spark: SparkSession, sf_dir: str, pred: int | None = 1) -> DataFrame:
+    """Scored, labelled, ranked lines of the predicted-positive test documents."""
+    from linesight.operators import lines as L
+    from linesight.operators import ranking as R
+    t = test_set(spark, sf_dir)
+    if pred is not None:
+        t = t.where(F.col("pred") == pred)
+    ln = L.label_lines_by_index(L.split_lines(t, keep=["flaw_idx", "proba"]), "flaw_idx")
+    ln = ln.select("doc_id", "line_idx", "line", F.length("line").cast("double").alias("score"),
+                   "hit", F.size("flaw_idx").alias("n_labels"), "proba")
+    return R.rank_lines_by_score(ln)

@@ -50,3 +50,41 @@ docs AS (
          len(string_split(text, chr(10))) AS n_loc
   FROM documents WHERE text IS NOT NULL
 )"""
+
+TEST = """
+WITH testset AS (
+  SELECT d.doc_id, d.text, l.quality AS pred, l.toxic AS target,
+         CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 1000.0) AS proba
+  FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL
+),
+tlines AS (
+  SELECT doc_id, pred, target, proba,
+         CAST(unnest(generate_series(0, len(parts) - 1)) AS BIGINT) AS line_idx,
+         unnest(parts) AS line
+  FROM (SELECT *, string_split(text, chr(10)) AS parts FROM testset) t
+),
+tscored AS (
+  SELECT *, CAST(length(line) AS DOUBLE) AS score,
+         CASE WHEN target = 1 AND regexp_matches(line, '[0-9@]') THEN 1 ELSE 0 END AS hit
+  FROM tlines
+),
+tranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_idx) AS rnk
+  FROM tscored WHERE pred = 1
+),
+totals AS (
+  SELECT (SELECT count(*) FROM tlines) AS total_loc,
+         (SELECT coalesce(sum(hit), 0) FROM tscored WHERE target = 1) AS total_flaws
+),
+lorder AS (
+  SELECT doc_id, line_idx, hit,
+         row_number() OVER (ORDER BY score DESC, doc_id, rnk) AS pos,
+         sum(hit) OVER (ORDER BY score DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM tranked
+),
+forder AS (
+  SELECT doc_id, line_idx, hit,
+         row_number() OVER (ORDER BY proba DESC, doc_id, rnk) AS pos,
+         sum(hit) OVER (ORDER BY proba DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM tranked
+)"""
