@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["localization", "effort"]
+_MODULES = ["localization", "effort", "classify"]
 
 
 def load_all():

@@ -102,3 +102,13 @@ def ranked_test_lines(spark: SparkSession, sf_dir: str, pred: int | None = 1) ->
     ln = ln.select("doc_id", "line_idx", "line", F.length("line").cast("double").alias("score"),
                    "hit", F.size("flaw_idx").alias("n_labels"), "proba")
     return R.rank_lines_by_score(ln)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, target, pred, proba): labels.toxic / labels.quality and the
+    document probability of class 1."""
+    lab = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("toxic").alias("target"), F.col("quality").alias("pred"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("proba"))
+    return lab.join(docs, "doc_id")

@@ -88,3 +88,46 @@ forder AS (
          sum(hit) OVER (ORDER BY proba DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
   FROM tranked
 )"""
+
+PREDS = """
+WITH preds AS (
+  SELECT l.doc_id, l.toxic AS target, l.quality AS pred,
+         CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 1000.0) AS proba
+  FROM labels l JOIN documents d USING (doc_id)
+),
+cm AS (
+  SELECT count_if(target = 0 AND pred = 0) AS tn, count_if(target = 0 AND pred = 1) AS fp,
+         count_if(target = 1 AND pred = 0) AS fn, count_if(target = 1 AND pred = 1) AS tp
+  FROM preds
+),
+pr AS (
+  SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS p,
+            CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS r,
+            CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / CAST(tn + fp AS DOUBLE) END AS tnr
+  FROM cm
+),
+cells AS (SELECT target AS a, pred AS p, count(*) AS c FROM preds GROUP BY ALL),
+labels_all AS (SELECT a AS label FROM cells UNION SELECT p FROM cells),
+perclass AS (
+  SELECT l.label,
+         coalesce((SELECT sum(c) FROM cells WHERE a = l.label), 0) AS support,
+         coalesce((SELECT sum(c) FROM cells WHERE p = l.label), 0) AS predicted,
+         coalesce((SELECT sum(c) FROM cells WHERE a = l.label AND p = l.label), 0) AS correct
+  FROM labels_all l
+),
+pc AS (
+  SELECT label, support, correct,
+         CASE WHEN predicted = 0 THEN 0.0 ELSE correct / CAST(predicted AS DOUBLE) END AS precision,
+         CASE WHEN support = 0 THEN 0.0 ELSE correct / CAST(support AS DOUBLE) END AS recall
+  FROM perclass
+),
+pcf AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pc
+)"""
+
+WORDS = """
+WITH toks AS (
+  SELECT doc_id, source, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t
+  FROM documents WHERE text IS NOT NULL
+)"""
