@@ -44,7 +44,7 @@ def rank_lines_generated(lines: DataFrame, preds: DataFrame, id_col: str = "doc_
 
 def localization_metrics(ranked: DataFrame, x: int = 10, id_col: str = "doc_id",
                          n_labels: str = "n_labels", hit: str = "hit",
-                         recall_guard: bool = True) -> DataFrame:
+                         recall_guard: bool = True, carry: list[str] | tuple = ()) -> DataFrame:
     """Seven metrics per document from ranked lines.
 
     ``ranked`` has (doc_id, rank, hit 0/1, n_labels).  Semantics:
@@ -56,10 +56,11 @@ def localization_metrics(ranked: DataFrame, x: int = 10, id_col: str = "doc_id",
     the ranking length when there is none.
 
     The hit ranks inside the first X are collected per document (at most X
-    values), so AP needs no second window.
+    values), so AP needs no second window.  ``carry`` columns are constant per
+    document (e.g. project, method) and are kept as extra group keys.
     """
     in_top = (F.col(hit) == 1) & (F.col("rank") <= x)
-    agg = ranked.groupBy(id_col).agg(
+    agg = ranked.groupBy(id_col, *carry).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.when(F.col(hit) == 1, F.col("rank"))).alias("_first"),
         F.array_sort(F.collect_list(F.when(in_top, F.col("rank")))).alias("_top"),
@@ -76,7 +77,7 @@ def localization_metrics(ranked: DataFrame, x: int = 10, id_col: str = "doc_id",
         recall = found / labels
         ar = F.when(found > 0, (found + 1.0) / (2.0 * labels)).otherwise(0.0)
     return agg.select(
-        F.col(id_col),
+        F.col(id_col), *carry,
         (found > 0).cast("int").alias("top_x_accuracy"),
         (found / float(x)).alias("top_x_precision"),
         recall.alias("top_x_recall"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["localization", "effort", "classify"]
+_MODULES = ["localization", "effort", "classify", "runs"]
 
 
 def load_all():

@@ -131,3 +131,53 @@ WITH toks AS (
   SELECT doc_id, source, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t
   FROM documents WHERE text IS NOT NULL
 )"""
+
+
+def metric_exprs(rounded: bool) -> str:
+    """Per-group metric expressions over ``cum`` (index variant, X = 10)."""
+    r = (lambda e: f"round({e}, 6)") if rounded else (lambda e: e)
+    return f"""
+    CAST(max(CASE WHEN hit = 1 AND rnk <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS top_x_accuracy,
+    {r("sum(CASE WHEN hit = 1 AND rnk <= 10 THEN 1 ELSE 0 END) / 10.0")} AS top_x_precision,
+    {r('''CASE WHEN max(n_labels) > 0
+          THEN sum(CASE WHEN hit = 1 AND rnk <= 10 THEN 1 ELSE 0 END) / CAST(max(n_labels) AS DOUBLE)
+          ELSE 0.0 END''')} AS top_x_recall,
+    {r("coalesce(max(CASE WHEN hit = 1 AND rnk <= 10 THEN 1.0 / rnk END), 0.0)")} AS rr,
+    {r("coalesce(avg(CASE WHEN hit = 1 AND rnk <= 10 THEN cum_hits / CAST(rnk AS DOUBLE) END), 0.0)")} AS ap,
+    {r('''coalesce(avg(CASE WHEN hit = 1 AND rnk <= 10 AND n_labels > 0
+                       THEN cum_hits / CAST(n_labels AS DOUBLE) END), 0.0)''')} AS ar,
+    CAST(coalesce(min(CASE WHEN hit = 1 THEN rnk END) - 1, count(*)) AS BIGINT) AS ifa"""
+
+
+RUNS = LINES + """,
+scored AS (
+  SELECT l.doc_id, d.source AS run, l.line_idx, CAST(length(l.line) AS DOUBLE) AS score,
+         CAST(regexp_matches(l.line, '[0-9@]') AS INTEGER) AS hit
+  FROM lines l JOIN documents d USING (doc_id)
+),
+nlab AS (SELECT doc_id, sum(hit) AS n_labels FROM scored GROUP BY doc_id),
+ranked AS (
+  SELECT 'score' AS method, s.*, n.n_labels,
+         row_number() OVER (PARTITION BY s.doc_id ORDER BY s.score DESC, s.line_idx) AS rnk
+  FROM scored s JOIN nlab n USING (doc_id)
+  UNION ALL
+  SELECT 'position' AS method, s.*, n.n_labels, s.line_idx + 1 AS rnk
+  FROM scored s JOIN nlab n USING (doc_id)
+),
+cum AS (
+  SELECT *, sum(hit) OVER (PARTITION BY method, doc_id ORDER BY rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM ranked
+),
+metrics AS (SELECT method, run, doc_id, """ + metric_exprs(False) + """
+  FROM cum GROUP BY method, run, doc_id),
+runs AS (
+  SELECT method, run,
+         round(avg(top_x_accuracy), 9) AS accuracy, round(avg(top_x_precision), 9) AS precision,
+         round(avg(top_x_recall), 9) AS recall, round(avg(rr), 9) AS mrr, round(avg(ap), 9) AS map,
+         round(avg(ar), 9) AS mar, round(quantile_cont(ifa, 0.5), 9) AS median_ifa
+  FROM metrics GROUP BY method, run
+),
+long AS (
+  UNPIVOT runs ON accuracy, precision, recall, mrr, map, mar, median_ifa
+  INTO NAME metric VALUE value
+)"""
