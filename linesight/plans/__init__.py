@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["localization", "effort", "classify", "runs"]
+_MODULES = ["localization", "effort", "classify", "runs", "generated"]
 
 
 def load_all():

@@ -9,8 +9,8 @@ deterministic expressions over the data so that DuckDB can recompute them:
 * document probability  = n_chars / (n_chars + 1000.0)
 * flawed line           = line contains a digit or ``@`` (secrets, personal data)
 * predicted lines       = the 3 longest lines of the document (length desc,
-                          line order), then the first line of document doc_id+1
-                          (forces hallucinated predictions)
+                          line order) with the first line of document doc_id+1
+                          inserted second (forces hallucinated predictions)
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pred_pos, line): three longest lines, then the next document's
-    first line.  Row-local array work plus one equi join on doc_id+1."""
+    """(doc_id, pred_pos, line): longest line, the next document's first line,
+    then the second and third longest lines.  Row-local array work plus one equi join on doc_id+1."""
     f = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
     parts = T.split_lines("text")
     # sort (-length, idx) ascending inside the row, keep the first three texts
@@ -70,8 +70,9 @@ def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = f.select((F.col("doc_id") - 1).alias("doc_id"),
                    F.element_at(parts, 1).alias("next_first"))
     joined = own.join(nxt, "doc_id", "left")
+    # the foreign line goes second, so it is never the (protected) last one
     arr = F.when(F.col("next_first").isNull(), F.col("top")).otherwise(
-        F.concat(F.col("top"), F.array(F.col("next_first"))))
+        F.concat(F.slice("top", 1, 1), F.array(F.col("next_first")), F.slice("top", 2, N_PREDICTED)))
     return joined.select("doc_id", F.posexplode(arr).alias("pred_pos", "line"))
 
 
@@ -112,3 +113,24 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("proba"))
     return lab.join(docs, "doc_id")
+
+
+def generated_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted-positive test documents with their text labels: the flawed
+    lines of actual positives, ``[""]`` when there are none."""
+    t = test_set(spark, sf_dir).where(F.col("pred") == 1)
+    label_text = F.when((F.col("target") == 1) & (F.size("flaw_lines") > 0),
+                        F.array_join("flaw_lines", "\n"))
+    return t.select("doc_id", "project", "text", "proba", "n_loc", "target",
+                    label_text.alias("label_text"),
+                    T.split_lines(F.coalesce(label_text, F.lit(""))).alias("flaw_text"))
+
+
+def positive_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = generated_positives(spark, sf_dir).select("doc_id")
+    return predicted_lines(spark, sf_dir).join(pos, "doc_id", "left_semi")
+
+
+def positive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linesight.operators import lines as L
+    return L.split_lines(generated_positives(spark, sf_dir).select("doc_id", "text"))

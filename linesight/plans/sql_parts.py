@@ -181,3 +181,89 @@ long AS (
   UNPIVOT runs ON accuracy, precision, recall, mrr, map, mar, median_ifa
   INTO NAME metric VALUE value
 )"""
+
+# generated-line variant over the predicted-positive test documents
+GEN = TEST.replace("WITH testset AS", "WITH lines AS (\n  SELECT doc_id,\n"
+                   "         CAST(unnest(generate_series(0, len(parts) - 1)) AS BIGINT) AS line_idx,\n"
+                   "         unnest(parts) AS line\n"
+                   "  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts\n"
+                   "        FROM documents WHERE text IS NOT NULL) d\n),\ntestset AS") + """,
+pos AS (SELECT doc_id, proba, target FROM testset WHERE pred = 1),
+plines AS (SELECT doc_id, line_idx, line, hit, target FROM tscored WHERE pred = 1),
+top3 AS (
+  SELECT doc_id, line,
+         row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line_idx) - 1 AS pred_pos
+  FROM lines QUALIFY pred_pos < 3
+),
+nxt AS (SELECT doc_id - 1 AS doc_id, line FROM lines WHERE line_idx = 0),
+preds_all AS (
+  SELECT t.doc_id, CASE WHEN t.pred_pos = 0 OR n.doc_id IS NULL THEN t.pred_pos
+                        ELSE t.pred_pos + 1 END AS pred_pos, t.line
+  FROM top3 t LEFT JOIN nxt n USING (doc_id)
+  UNION ALL SELECT n.doc_id, 1, n.line FROM nxt n WHERE n.doc_id IN (SELECT doc_id FROM top3)
+),
+preds AS (SELECT * FROM preds_all WHERE doc_id IN (SELECT doc_id FROM pos)),
+seen AS (SELECT DISTINCT doc_id, line FROM plines),
+pneed AS (
+  SELECT p.doc_id, p.pred_pos, p.line,
+         (s.line IS NULL AND p.pred_pos < max(p.pred_pos) OVER (PARTITION BY p.doc_id)) AS need
+  FROM preds p LEFT JOIN seen s ON s.doc_id = p.doc_id AND s.line = p.line
+),
+ptok AS (
+  SELECT doc_id, pred_pos, tok, count(*) AS c FROM (
+    SELECT doc_id, pred_pos,
+           unnest(list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '')) AS tok
+    FROM pneed WHERE need) GROUP BY ALL
+),
+ltok AS (
+  SELECT doc_id, line_idx, tok, count(*) AS c FROM (
+    SELECT doc_id, line_idx,
+           unnest(list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '')) AS tok
+    FROM plines WHERE doc_id IN (SELECT doc_id FROM pneed WHERE need)) GROUP BY ALL
+),
+pnorm AS (SELECT doc_id, pred_pos, sqrt(sum(c * c)) AS pn FROM ptok GROUP BY ALL),
+lnorm AS (SELECT doc_id, line_idx, sqrt(sum(c * c)) AS ln FROM ltok GROUP BY ALL),
+dots AS (
+  SELECT a.doc_id, a.pred_pos, b.line_idx, sum(a.c * b.c) AS dot
+  FROM ptok a JOIN ltok b ON a.doc_id = b.doc_id AND a.tok = b.tok GROUP BY ALL
+),
+best AS (
+  SELECT d.doc_id, d.pred_pos, d.line_idx AS best_idx
+  FROM dots d JOIN pnorm USING (doc_id, pred_pos) JOIN lnorm USING (doc_id, line_idx)
+  QUALIFY row_number() OVER (PARTITION BY d.doc_id, d.pred_pos
+                             ORDER BY d.dot / (pn * ln) DESC, d.line_idx) = 1
+),
+repl AS (
+  SELECT n.doc_id, n.pred_pos, CASE WHEN n.need THEN l.line ELSE n.line END AS line,
+         CAST(n.need AS INTEGER) AS replaced
+  FROM pneed n LEFT JOIN best b USING (doc_id, pred_pos)
+  LEFT JOIN plines l ON l.doc_id = n.doc_id AND l.line_idx = coalesce(b.best_idx, 0)
+),
+flawinfo AS (
+  SELECT doc_id, max(target) AS target, sum(hit) AS nflaw FROM plines GROUP BY doc_id
+),
+granked AS (
+  SELECT doc_id, line, 1 AS is_predicted, pred_pos AS p FROM repl
+  UNION ALL
+  SELECT l.doc_id, l.line, 0, l.line_idx FROM plines l
+  WHERE NOT EXISTS (SELECT 1 FROM repl r WHERE r.doc_id = l.doc_id AND r.line = l.line)
+),
+gr AS (
+  SELECT g.doc_id, g.line, g.is_predicted, p.proba,
+         row_number() OVER (PARTITION BY g.doc_id ORDER BY g.is_predicted DESC, g.p) AS rnk,
+         CASE WHEN f.target = 1 AND f.nflaw > 0 THEN CAST(regexp_matches(g.line, '[0-9@]') AS INTEGER)
+              ELSE CAST(g.line = '' AS INTEGER) END AS hit,
+         CASE WHEN f.target = 1 AND f.nflaw > 0 THEN f.nflaw ELSE 1 END AS n_labels
+  FROM granked g JOIN flawinfo f USING (doc_id) JOIN pos p USING (doc_id)
+),
+cum AS (
+  SELECT *, sum(hit) OVER (PARTITION BY doc_id ORDER BY rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM gr
+),
+gorder AS (
+  SELECT doc_id, rnk, hit,
+         row_number() OVER (ORDER BY is_predicted DESC, proba DESC, doc_id, rnk) AS pos,
+         sum(hit) OVER (ORDER BY is_predicted DESC, proba DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING)
+           AS cum_hits
+  FROM gr
+)"""
