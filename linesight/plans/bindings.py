@@ -33,13 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (doc_id, project, text, flaw_idx array<int>, flaw_lines array<string>,
     proba, n_loc).  Row-local: no shuffle."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", "n_chars")
     parts = T.split_lines("text")
     idx = F.filter(F.transform(parts, lambda l, i: F.when(l.rlike(FLAW_PATTERN), i)
                                .otherwise(F.lit(-1))), lambda i: i >= 0)
     flines = F.filter(parts, lambda l: l.rlike(FLAW_PATTERN))
     return docs.where(F.col("text").isNotNull()).select(
-        "doc_id", F.col("source").alias("project"), "text",
+        "doc_id", F.col("source").alias("project"), "lang", "text",
         idx.alias("flaw_idx"), flines.alias("flaw_lines"),
         (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("proba"),
         F.size(parts).alias("n_loc"),
@@ -87,7 +87,7 @@ def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.when(F.col("target") == 1, F.col("flaw_idx")).otherwise(F.array().cast("array<int>"))
     lines = F.when(F.col("target") == 1, F.col("flaw_lines")).otherwise(
         F.array().cast("array<string>"))
-    return t.select("doc_id", "project", "text", "proba", "n_loc", "pred", "target",
+    return t.select("doc_id", "project", "lang", "text", "proba", "n_loc", "pred", "target",
                     idx.alias("flaw_idx"), lines.alias("flaw_lines"),
                     T.encode_ints(idx).alias("flaw_line_index"))
 
@@ -134,3 +134,13 @@ def positive_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linesight.operators import lines as L
     return L.split_lines(generated_positives(spark, sf_dir).select("doc_id", "text"))
+
+
+def eval_records_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation sheet rows: actual positives of the test set with their
+    flawed lines (newline text), predicted lines and classifier verdict."""
+    t = test_set(spark, sf_dir).where(F.col("target") == 1)
+    return t.select("doc_id", "lang", "text", "pred", "flaw_idx",
+                    F.when(F.size("flaw_lines") > 0, F.array_join("flaw_lines", "\n"))
+                    .alias("actual_text"),
+                    F.transform("flaw_idx", lambda i: i + 1).alias("flaw_line_no"))

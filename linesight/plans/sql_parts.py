@@ -267,3 +267,134 @@ gorder AS (
            AS cum_hits
   FROM gr
 )"""
+
+# token budgets: per-line tokens of the two families and running sums
+BUDGET = LINES + """,
+bl AS (
+  SELECT doc_id, line_idx, count(*) OVER (PARTITION BY doc_id) AS n,
+         len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS w,
+         CAST(ceil(length(line) / 4.0) AS INTEGER) AS c
+  FROM lines
+),
+bt AS (
+  SELECT doc_id, line_idx,
+         w + CASE WHEN line_idx < n - 1 THEN 1 ELSE 0 END AS tw,
+         c + CASE WHEN line_idx < n - 1 THEN 1 ELSE 0 END AS tc
+  FROM bl
+),
+bc AS (
+  SELECT doc_id, line_idx,
+         sum(tw) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS UNBOUNDED PRECEDING) AS cw,
+         sum(tc) OVER (PARTITION BY doc_id ORDER BY line_idx ROWS UNBOUNDED PRECEDING) AS cc
+  FROM bt
+),
+budget AS (
+  SELECT doc_id, count_if(cw <= 126) AS index_words, count_if(cc <= 126) AS index_chars,
+         max(cw) + 2 AS total_words, max(cc) + 2 AS total_chars
+  FROM bc GROUP BY doc_id
+),
+evalset AS (
+  SELECT d.doc_id, d.lang, l.quality AS pred_g1
+  FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL AND l.toxic = 1
+),
+flaws AS (
+  SELECT doc_id, max(line_idx) + 1 AS max_no, count(*) AS nflaw
+  FROM lines WHERE regexp_matches(line, '[0-9@]') GROUP BY doc_id
+),
+meta AS (
+  SELECT e.doc_id, e.lang, e.pred_g1,
+         CASE WHEN f.nflaw > 0 THEN {'bert': {'under_128_tokens': b.total_words <= 128,
+                                           'vul_line_within_128': f.max_no <= b.index_words,
+                                           'index_128': b.index_words, 'total_tokens': b.total_words},
+                                   'codet5': {'under_128_tokens': b.total_chars <= 128,
+                                           'vul_line_within_128': f.max_no <= b.index_chars,
+                                           'index_128': b.index_chars, 'total_tokens': b.total_chars}}
+         END AS metadata
+  FROM evalset e JOIN budget b USING (doc_id) LEFT JOIN flaws f USING (doc_id)
+)"""
+
+
+def replacement_ctes(p: str, docs: str, lines: str, skip_last: bool, drop_blank: bool) -> str:
+    """CTE chain ``{p}repl(doc_id, pred_pos, line, replaced)``: predictions of
+    the documents in ``docs`` replaced by their most similar document line.
+    Needs ``lines`` (doc_id, line_idx, line) and the all-document CTE ``lines``."""
+    last = "AND p.pred_pos < max(p.pred_pos) OVER (PARTITION BY p.doc_id)" if skip_last else ""
+    blank = "AND regexp_replace(line, '\\s+', '', 'g') <> ''" if drop_blank else ""
+    toks = "unnest(list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> ''))"
+    return f""",
+{p}top3 AS (
+  SELECT doc_id, line,
+         row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line_idx) - 1 AS pred_pos
+  FROM lines QUALIFY pred_pos < 3
+),
+{p}nxt AS (SELECT doc_id - 1 AS doc_id, line FROM lines WHERE line_idx = 0),
+{p}preds_all AS (
+  SELECT t.doc_id, CASE WHEN t.pred_pos = 0 OR n.doc_id IS NULL THEN t.pred_pos
+                        ELSE t.pred_pos + 1 END AS pred_pos, t.line
+  FROM {p}top3 t LEFT JOIN {p}nxt n USING (doc_id)
+  UNION ALL SELECT n.doc_id, 1, n.line FROM {p}nxt n WHERE n.doc_id IN (SELECT doc_id FROM {p}top3)
+),
+{p}preds AS (
+  SELECT * FROM {p}preds_all WHERE doc_id IN (SELECT doc_id FROM {docs}) {blank}
+),
+{p}seen AS (SELECT DISTINCT doc_id, line FROM {lines}),
+{p}need AS (
+  SELECT p.doc_id, p.pred_pos, p.line, (s.line IS NULL {last}) AS need
+  FROM {p}preds p LEFT JOIN {p}seen s ON s.doc_id = p.doc_id AND s.line = p.line
+),
+{p}ptok AS (
+  SELECT doc_id, pred_pos, tok, count(*) AS c FROM (
+    SELECT doc_id, pred_pos, {toks} AS tok FROM {p}need WHERE need) GROUP BY ALL
+),
+{p}ltok AS (
+  SELECT doc_id, line_idx, tok, count(*) AS c FROM (
+    SELECT doc_id, line_idx, {toks} AS tok
+    FROM {lines} WHERE doc_id IN (SELECT doc_id FROM {p}need WHERE need)) GROUP BY ALL
+),
+{p}pnorm AS (SELECT doc_id, pred_pos, sqrt(sum(c * c)) AS pn FROM {p}ptok GROUP BY ALL),
+{p}lnorm AS (SELECT doc_id, line_idx, sqrt(sum(c * c)) AS ln FROM {p}ltok GROUP BY ALL),
+{p}dots AS (
+  SELECT a.doc_id, a.pred_pos, b.line_idx, sum(a.c * b.c) AS dot
+  FROM {p}ptok a JOIN {p}ltok b ON a.doc_id = b.doc_id AND a.tok = b.tok GROUP BY ALL
+),
+{p}best AS (
+  SELECT d.doc_id, d.pred_pos, d.line_idx AS best_idx
+  FROM {p}dots d JOIN {p}pnorm USING (doc_id, pred_pos) JOIN {p}lnorm USING (doc_id, line_idx)
+  QUALIFY row_number() OVER (PARTITION BY d.doc_id, d.pred_pos
+                             ORDER BY d.dot / (pn * ln) DESC, d.line_idx) = 1
+),
+{p}repl AS (
+  SELECT n.doc_id, n.pred_pos, CASE WHEN n.need THEN l.line ELSE n.line END AS line,
+         CAST(n.need AS INTEGER) AS replaced
+  FROM {p}need n LEFT JOIN {p}best b USING (doc_id, pred_pos)
+  LEFT JOIN {lines} l ON l.doc_id = n.doc_id AND l.line_idx = coalesce(b.best_idx, 0)
+)"""
+
+
+STRIP = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+
+EVAL = BUDGET + """,
+elines AS (SELECT doc_id, line_idx, line FROM lines WHERE doc_id IN (SELECT doc_id FROM evalset))""" \
+    + replacement_ctes("e", "evalset", "elines", skip_last=False, drop_blank=True) + f""",
+gt AS (
+  SELECT doc_id, {STRIP} AS line FROM elines
+  WHERE regexp_matches(line, '[0-9@]') AND {STRIP} <> ''
+),
+pr AS (SELECT doc_id, {STRIP} AS line FROM erepl WHERE {STRIP} <> ''),
+gc AS (SELECT doc_id, line, count(*) AS g FROM gt GROUP BY ALL),
+pc AS (SELECT doc_id, line, count(*) AS p FROM pr GROUP BY ALL),
+ov AS (
+  SELECT coalesce(gc.doc_id, pc.doc_id) AS doc_id,
+         sum(least(coalesce(g, 0), coalesce(p, 0))) AS inter,
+         sum(greatest(coalesce(g, 0), coalesce(p, 0))) AS uni,
+         sum(coalesce(g, 0)) AS gt_len, sum(coalesce(p, 0)) AS sim_len
+  FROM gc FULL OUTER JOIN pc ON gc.doc_id = pc.doc_id AND gc.line = pc.line GROUP BY 1
+),
+rec AS (
+  SELECT e.doc_id, e.pred_g1, coalesce(o.gt_len, 0) AS gt_len, coalesce(o.sim_len, 0) AS sim_len,
+         CASE WHEN o.sim_len > 0 THEN o.inter / CAST(o.sim_len AS DOUBLE) ELSE 0.0 END AS msp,
+         CASE WHEN o.gt_len > 0 THEN o.inter / CAST(o.gt_len AS DOUBLE) ELSE 0.0 END AS msr,
+         CASE WHEN o.uni > 0 THEN o.inter / CAST(o.uni AS DOUBLE) ELSE 0.0 END AS miou,
+         coalesce(m.metadata.codet5.vul_line_within_128, false) AS is_within_128
+  FROM evalset e LEFT JOIN ov o USING (doc_id) JOIN meta m USING (doc_id)
+)"""
