@@ -144,3 +144,30 @@ def eval_records_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.size("flaw_lines") > 0, F.array_join("flaw_lines", "\n"))
                     .alias("actual_text"),
                     F.transform("flaw_idx", lambda i: i + 1).alias("flaw_line_no"))
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground-truth records: every document, class = labels.toxic (0 when
+    unlabelled), flawed lines as code + 1-based line numbers."""
+    f = function_table(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    g = f.join(lab, "doc_id", "left")
+    return g.select(F.col("doc_id").alias("gt_idx"), F.col("text").alias("func"),
+                    F.coalesce("toxic", F.lit(0)).alias("target"), "project",
+                    F.col("flaw_lines").alias("code"),
+                    F.transform("flaw_idx", lambda i: i + 1).alias("line_no"),
+                    F.lit(None).cast("struct<n:int>").alias("metadata"))
+
+
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split file rows to map: each document without its last line (a near
+    copy) when it has two or more lines, class = labels.quality (0 when
+    unlabelled)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    parts = T.split_lines("text")
+    func = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "\n")) \
+        .otherwise(F.col("text"))
+    return d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("row_id"), func.alias("func"),
+        F.coalesce("quality", F.lit(0)).alias("target"))

@@ -398,3 +398,45 @@ rec AS (
          coalesce(m.metadata.codet5.vul_line_within_128, false) AS is_within_128
   FROM evalset e LEFT JOIN ov o USING (doc_id) JOIN meta m USING (doc_id)
 )"""
+
+MATCH = """
+WITH gt AS (
+  SELECT d.doc_id AS gt_idx, regexp_replace(coalesce(d.text, ''), '\\s+', '', 'g') AS norm,
+         coalesce(l.toxic, 0) AS gt_target, d.source AS project, d.text
+  FROM documents d LEFT JOIN labels l USING (doc_id)
+),
+lft AS (
+  SELECT d.doc_id AS row_id, coalesce(l.quality, 0) AS t,
+         CASE WHEN len(string_split(d.text, chr(10))) >= 2
+              THEN array_to_string(string_split(d.text, chr(10))[1:len(string_split(d.text, chr(10))) - 1], chr(10))
+              ELSE d.text END AS func
+  FROM documents d LEFT JOIN labels l USING (doc_id)
+),
+lnorm AS (SELECT row_id, t, func, regexp_replace(coalesce(func, ''), '\\s+', '', 'g') AS norm FROM lft),
+ex AS (
+  SELECT r.row_id, coalesce(min(g.gt_idx) FILTER (WHERE g.gt_target = r.t), min(g.gt_idx)) AS gt_idx
+  FROM lnorm r JOIN gt g ON g.norm = r.norm GROUP BY r.row_id
+),
+rest AS (SELECT * FROM lnorm WHERE row_id NOT IN (SELECT row_id FROM ex)),
+cand AS (
+  SELECT r.row_id, r.t, g.gt_idx, g.gt_target,
+         (starts_with(g.norm, r.norm) OR starts_with(r.norm, g.norm)) AS sw
+  FROM rest r JOIN gt g ON substr(g.norm, 1, 150) = substr(r.norm, 1, 150)
+),
+px AS (
+  SELECT row_id,
+         CASE WHEN count(*) = 1 THEN min(gt_idx)
+              ELSE coalesce(min(gt_idx) FILTER (WHERE sw AND gt_target = t),
+                            min(gt_idx) FILTER (WHERE sw), min(gt_idx)) END AS gt_idx
+  FROM cand GROUP BY row_id
+),
+resolved AS (SELECT * FROM ex UNION ALL SELECT * FROM px),
+gtlines AS (
+  SELECT doc_id,
+         string_agg(line, '/~/' ORDER BY line_idx) FILTER (WHERE regexp_matches(line, '[0-9@]')) AS code,
+         string_agg(CAST(line_idx + 1 AS VARCHAR), ',' ORDER BY line_idx)
+           FILTER (WHERE regexp_matches(line, '[0-9@]')) AS nos
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_idx
+        FROM documents WHERE text IS NOT NULL) GROUP BY doc_id
+)"""
