@@ -10,14 +10,24 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def pair_with(arr, scalar, name: str = "s") -> Column:
+    """Pair every element with a per-row scalar: array<struct<v, name>>.
+
+    A lambda must not reference a non-trivial expression from outside: the
+    optimizer inlines it into the lambda body and re-evaluates it for every
+    element (quadratic work).  ``array_repeat`` evaluates the scalar once
+    per row, so lambdas read it as a field instead."""
+    a = _c(arr)
+    return F.arrays_zip(a.alias("v"), F.array_repeat(scalar, F.size(a)).alias(name))
+
+
 def softmax_argmax(logits) -> Column:
     """logits -> struct<probs, pred, proba>; pred is the first arg-max (0-based),
     proba the max class probability."""
     x = _c(logits)
-    m = F.array_max(x)
-    exps = F.transform(x, lambda v: F.exp(v - m))
+    exps = F.transform(pair_with(x, F.array_max(x), "m"), lambda e: F.exp(e["v"] - e["m"]))
     total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    probs = F.transform(exps, lambda v: v / total)
+    probs = F.transform(pair_with(exps, total, "t"), lambda e: e["v"] / e["t"])
     pmax = F.array_max(probs)
     pred = (F.array_position(probs, pmax) - 1).cast("int")
     return F.struct(probs.alias("probs"), pred.alias("pred"), pmax.alias("proba"))
@@ -44,14 +54,13 @@ def zero_special_tokens(scores, padding: bool = True) -> Column:
     s = _c(scores)
     n = F.size(s)
     if padding:
-        last_nz = F.aggregate(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            F.lit(-1),
-            lambda acc, i: F.when(F.element_at(s, i + 1) != 0, i).otherwise(acc))
+        # 1-based position of the last non-zero value, 0 when there is none
+        rev = F.array_position(F.reverse(F.transform(s, lambda v: v != 0)), True)
+        last_nz = F.when(rev > 0, n - rev).otherwise(F.lit(-1))
     else:
         last_nz = n - 1
-    return F.transform(s, lambda v, i: F.when((i == 0) | (i == last_nz), F.lit(0.0))
-                       .otherwise(v.cast("double")))
+    return F.transform(pair_with(s, last_nz, "z"), lambda e, i: F.when(
+        (i == 0) | (i == e["z"]), F.lit(0.0)).otherwise(e["v"].cast("double")))
 
 
 def pad_sequence(arr, n: int, pad=0) -> Column:

@@ -29,10 +29,11 @@ FAMILIES = {"words": words_family, "chars": chars_family}
 
 
 def _line_tokens(text: Column, family) -> Column:
-    parts = T.split_lines(text)
-    n = F.size(parts)
-    # a line carries its newline except the last one
-    return F.transform(parts, lambda l, i: family(l) + F.when(i < n - 1, 1).otherwise(0))
+    """Tokens per line; every line but the last also carries its newline."""
+    with_nl = F.transform(T.split_lines(text), lambda l: family(l) + 1)
+    n = F.size(with_nl)
+    return F.concat(F.slice(with_nl, 1, F.greatest(n - 1, F.lit(0))),
+                    F.array(F.element_at(with_nl, -1) - 1))
 
 
 def budget_index(text, family=words_family, budget: int = MAX_TOKENS) -> Column:
@@ -65,7 +66,7 @@ def budget_flags(docs: DataFrame, text: str = "text", line_no: str = "flaw_line_
     for name, fam in fams.items():
         idx = budget_index(text, fam, budget)
         tot = total_tokens(text, fam)
-        within = F.forall(F.col(line_no), lambda x: x <= idx)
+        within = F.coalesce(F.array_max(F.col(line_no)) <= idx, F.lit(True))
         structs.append(F.struct((tot <= budget).alias("under_128_tokens"),
                                 within.alias("vul_line_within_128"),
                                 idx.alias("index_128"), tot.alias("total_tokens")).alias(name))

@@ -152,9 +152,10 @@ def q_flatten(spark, sf_dir):
     """Before/after pairs: the document (before) and the document without its
     flawed lines (after), vul = labels.toxic."""
     t = B.test_set(spark, sf_dir)
-    numbered = F.transform(F.split("text", "\n", -1), lambda l, i: F.struct(l.alias("l"), i.alias("i")))
-    kept = F.filter(numbered, lambda s: ~F.array_contains(F.col("flaw_idx"), s["i"]))
+    parts = F.split("text", "\n", -1)
+    fixed = F.filter(parts, lambda l: ~l.rlike(B.FLAW_PATTERN))
+    after = F.when(F.col("target") == 1, F.array_join(fixed, "\n")).otherwise(F.col("text"))
     pairs = t.select(F.col("target").alias("vul"), F.col("text").alias("func_before"),
-                     F.array_join(F.transform(kept, lambda s: s["l"]), "\n").alias("func_after"))
+                     after.alias("func_after"))
     flat = Fl.flatten_pairs(pairs)
     return flat.select(F.length("func").alias("func_len"), "vul")
