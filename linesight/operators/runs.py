@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 EXACT_MAX_N = 50  # exact null distribution up to this many non-zero pairs
 
@@ -56,7 +57,7 @@ def pair_runs(runs: DataFrame, metrics: list[str], method_col: str, a: str, b: s
     return left.join(right, [run_col, "metric"])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _norm_sf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal distribution."""
     return z.map(lambda v: None if v is None or (isinstance(v, float) and math.isnan(v))
@@ -126,3 +127,23 @@ def method_comparison(ours: DataFrame, published: DataFrame, methods: list[str],
     mine = ours.select(method_col, "metric", F.round(F.col("value"), digits).alias("value"))
     both = mine.unionByName(published.select(method_col, "metric", "value"))
     return both.groupBy("metric").pivot(method_col, methods).agg(F.first("value"))
+
+
+def select_best_epoch(logs: DataFrame, run: str = "run", epoch: str = "epoch",
+                      score: str = "score", patience: int = 5) -> DataFrame:
+    """Early stopping over per-epoch validation logs: the best score so far
+    (higher is better), training stops at the first epoch that is
+    ``patience`` epochs past the last improvement; the answer is the best
+    epoch up to there.  Windows run per training run (epochs of one run)."""
+    w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    prev_best = F.max(score).over(w)
+    imp = logs.withColumn("_imp", prev_best.isNull() | (F.col(score) > prev_best))
+    w2 = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    imp = imp.withColumn("_last_imp", F.max(F.when(F.col("_imp"), F.col(epoch))).over(w2))
+    stop = imp.where(F.col(epoch) - F.col("_last_imp") >= patience).groupBy(run).agg(
+        F.min(epoch).alias("stop_epoch"))
+    j = imp.join(stop, run, "left")
+    kept = j.where(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
+    return kept.groupBy(run).agg(
+        F.max_by(epoch, F.struct(F.col(score), -F.col(epoch))).alias("best_epoch"),
+        F.max(score).alias("best_score"), F.max(epoch).alias("last_epoch"))
