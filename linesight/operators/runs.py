@@ -147,3 +147,15 @@ def select_best_epoch(logs: DataFrame, run: str = "run", epoch: str = "epoch",
     return kept.groupBy(run).agg(
         F.max_by(epoch, F.struct(F.col(score), -F.col(epoch))).alias("best_epoch"),
         F.max(score).alias("best_score"), F.max(epoch).alias("last_epoch"))
+
+
+def ifa_dispersion(series: DataFrame, value: str = "ifa", by: list[str] | None = None) -> DataFrame:
+    """Per method: mean and sample std; median, quartiles (interpolated),
+    IQR and median + IQR / 2 of an IFA series."""
+    v = F.col(value).cast("double")
+    g = series.groupBy(*(by or []))
+    s = g.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+              F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.25).alias("q1"),
+              F.percentile(v, 0.75).alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    return s.select("*", iqr.alias("iqr"), (F.col("median") + iqr / 2.0).alias("median_half_iqr"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["localization", "effort", "classify", "runs", "generated", "evaluation", "cleaning", "matching", "functions", "sampling", "learning", "io"]
+_MODULES = ["localization", "effort", "classify", "runs", "generated", "evaluation", "cleaning", "matching", "functions", "sampling", "learning", "io", "streams"]
 
 
 def load_all():

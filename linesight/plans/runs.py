@@ -32,15 +32,19 @@ PUBLISHED = [
 ]
 
 
-def run_table(spark, sf_dir):
+def method_doc_metrics(spark, sf_dir):
+    """Per-document metrics of both rankings (method, project, doc_id, ...)."""
     f = B.function_table(spark, sf_dir)
     ln = L.label_lines_by_index(L.split_lines(f, keep=["flaw_idx", "project"]), "flaw_idx")
     ln = ln.select("doc_id", "project", "line_idx", F.length("line").cast("double").alias("score"),
                    "hit", F.size("flaw_idx").alias("n_labels"))
     by_score = R.rank_lines_by_score(ln).withColumn("method", F.lit("score"))
     by_pos = ln.withColumn("rank", F.col("line_idx") + 1).withColumn("method", F.lit("position"))
-    both = by_score.unionByName(by_pos)
-    m = R.localization_metrics(both, carry=["method", "project"])
+    return R.localization_metrics(by_score.unionByName(by_pos), carry=["method", "project"])
+
+
+def run_table(spark, sf_dir):
+    m = method_doc_metrics(spark, sf_dir)
     return m.groupBy("method", F.col("project").alias("run")).agg(
         F.round(F.avg("top_x_accuracy"), 9).alias("accuracy"),
         F.round(F.avg("top_x_precision"), 9).alias("precision"),
@@ -161,3 +165,16 @@ def q_method_comparison(spark, sf_dir):
                            "'median_ifa', round(i, 2)) AS (metric, value)")
     methods = ["score", "position"] + [n for n, *_ in PUBLISHED]
     return U.method_comparison(ours, _published(spark), methods)
+
+
+@register("ifa_dispersion", sql=S.RUNS + """
+SELECT method, round(avg(ifa), 6) AS mean, round(stddev_samp(ifa), 6) AS std,
+       round(quantile_cont(ifa, 0.5), 6) AS median, round(quantile_cont(ifa, 0.25), 6) AS q1,
+       round(quantile_cont(ifa, 0.75), 6) AS q3,
+       round(quantile_cont(ifa, 0.75) - quantile_cont(ifa, 0.25), 6) AS iqr,
+       round(quantile_cont(ifa, 0.5) + (quantile_cont(ifa, 0.75) - quantile_cont(ifa, 0.25)) / 2.0, 6)
+         AS median_half_iqr
+FROM metrics GROUP BY method""")
+def q_ifa_dispersion(spark, sf_dir):
+    """IFA series of the two rankings: spread statistics per method."""
+    return U.ifa_dispersion(method_doc_metrics(spark, sf_dir), "ifa", ["method"])

@@ -1,0 +1 @@
+"""Structured Streaming entry points (micro-batches run the batch plans)."""
