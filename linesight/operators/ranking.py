@@ -97,12 +97,15 @@ def metric_summary(metrics: DataFrame, id_col: str = "doc_id",
     metrics (0/1, k/X, 1/k, integer IFA).
     """
     cols = cols or METRIC_COLS
-    # doc_id is null on the summary rows, hence a double column
-    avg = metrics.agg(*[F.avg(c).alias(c) for c in cols]).select(
-        F.lit("Average").alias("type"), F.lit(None).cast("double").alias(id_col), *cols)
-    med = metrics.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols]).select(
-        F.lit("Median").alias("type"), F.lit(None).cast("double").alias(id_col), *cols)
-    out = avg.unionByName(med)
+    # one aggregation pass gives both summary rows; doc_id is null on them,
+    # hence a double column
+    stats = metrics.agg(*[F.avg(c).alias(f"a_{c}") for c in cols],
+                        *[F.percentile(F.col(c), 0.5).alias(f"m_{c}") for c in cols])
+    rows = F.array(
+        F.struct(F.lit("Average").alias("type"), *[F.col(f"a_{c}").alias(c) for c in cols]),
+        F.struct(F.lit("Median").alias("type"), *[F.col(f"m_{c}").cast("double").alias(c) for c in cols]))
+    out = stats.select(F.inline(rows)).select(
+        "type", F.lit(None).cast("double").alias(id_col), *cols)
     if individual:
         ind = metrics.select(F.lit("Individual").alias("type"), F.col(id_col).cast("double"),
                              *[F.col(c).cast("double").alias(c) for c in cols])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from linesight.operators import document_metrics as D
 from linesight.operators import lines as L
 from linesight.operators import ranking as R
 from linesight.plans import bindings as B
@@ -34,8 +37,10 @@ def q_rank_by_score(spark, sf_dir):
 
 
 def doc_metrics(spark, sf_dir, x=B.TOP_X):
-    ranked = R.rank_lines_by_score(B.scored_lines(spark, sf_dir))
-    return R.localization_metrics(ranked, x=x)
+    """Row-local metrics: every document is ranked inside its own row (no
+    exchange at all); line score = line length."""
+    f = B.function_table(spark, sf_dir).select("doc_id", "text", "flaw_idx")
+    return D.document_metrics(f, lambda line: F.length(line), x=x)
 
 
 @register("localization_metrics", sql=S.METRICS + f"""
@@ -45,6 +50,16 @@ def q_localization_metrics(spark, sf_dir):
     return doc_metrics(spark, sf_dir)
 
 
+@register("line_relation_metrics", sql=S.METRICS + f"""
+SELECT {METRIC_SELECT} FROM metrics""")
+def q_line_relation_metrics(spark, sf_dir):
+    """The same metrics from the exploded line relation (the plan for line
+    scores that arrive as a separate table): one exchange on doc_id shared by
+    the ranking window and the per-document aggregate."""
+    ranked = R.rank_lines_by_score(B.scored_lines(spark, sf_dir))
+    return R.localization_metrics(ranked, x=B.TOP_X)
+
+
 _SUMMARY_SQL = S.METRICS + """
 SELECT 'Individual' AS type, CAST(doc_id AS DOUBLE) AS doc_id,
        CAST(top_x_accuracy AS DOUBLE) AS top_x_accuracy, top_x_precision, top_x_recall, rr, ap, ar,

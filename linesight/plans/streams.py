@@ -18,7 +18,7 @@ def q_stream_metrics(spark, sf_dir):
     root = scratch(spark, "stream")
     run_document_stream(spark, f"{sf_dir}/documents*.parquet", "doc_id long, text string",
                         f"{root}/out", f"{root}/checkpoint", document_metrics_plan())
-    return spark.read.parquet(f"{root}/out").drop("batch").select(
+    return spark.read.parquet(f"{root}/out").select(
         "doc_id", *[c for c in METRIC_SELECT.replace(" ", "").split(",") if c != "doc_id"])
 
 

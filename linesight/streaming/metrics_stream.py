@@ -1,11 +1,11 @@
 """Structured Streaming form of the per-document localization metrics.
 
-Every document arrives whole in one row, so its metrics need no state
-across micro-batches: each micro-batch runs the batch plan (lines -> rank
--> metrics) inside ``foreachBatch`` and writes its result to a directory
-named by the batch id (overwrite), so a replayed batch after a failure
-replaces its own output instead of duplicating it.  The stream's progress
-lives in the checkpoint location (a shared folder on a cluster).
+Every document arrives whole in one row, and the row-local metrics are a
+pure projection, so the stream needs no state and no micro-batch hook: the
+file source feeds the projection, and the Parquet file sink commits each
+batch through its metadata log, so a batch replayed after a failure is not
+duplicated.  The stream's progress lives in the checkpoint location (a
+shared folder on a cluster).
 """
 
 from __future__ import annotations
@@ -18,37 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 def run_document_stream(spark: SparkSession, source_glob: str, schema: str, sink_dir: str,
                         checkpoint_dir: str, plan: Callable[[DataFrame], DataFrame],
                         max_files_per_trigger: int = 1) -> None:
-    """Process every available file of ``source_glob`` (availableNow) with
-    ``plan`` and append the results below ``sink_dir``."""
+    """Process every available file of ``source_glob`` (availableNow) with a
+    stateless ``plan`` into a Parquet file sink (exactly-once through the
+    sink's log and the checkpoint)."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_glob))
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
-
-    q = (src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
+    q = (plan(src).writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def document_metrics_plan(x: int = 10) -> Callable[[DataFrame], DataFrame]:
-    """documents(doc_id, text) -> per-document metrics; flawed lines and line
+    """documents(doc_id, text) -> per-document metrics, row-local (a pure
+    projection, so it runs on the stream itself); flawed lines and line
     scores as in the batch bindings."""
     from pyspark.sql import functions as F
 
     from linesight.functions import text as T
-    from linesight.operators import lines as L
-    from linesight.operators import ranking as R
+    from linesight.operators.document_metrics import document_metrics
     from linesight.plans.bindings import FLAW_PATTERN
 
     def plan(docs: DataFrame) -> DataFrame:
-        d = docs.where(F.col("text").isNotNull())
         parts = T.split_lines("text")
         idx = F.filter(F.transform(parts, lambda l, i: F.when(l.rlike(FLAW_PATTERN), i)
                                    .otherwise(F.lit(-1))), lambda i: i >= 0)
-        d = d.select("doc_id", "text", idx.alias("flaw_idx"))
-        ln = L.label_lines_by_index(L.split_lines(d, keep=["flaw_idx"]), "flaw_idx")
-        ln = ln.select("doc_id", "line_idx", F.length("line").cast("double").alias("score"), "hit",
-                       F.size("flaw_idx").alias("n_labels"))
-        return R.localization_metrics(R.rank_lines_by_score(ln), x=x)
+        d = docs.where(F.col("text").isNotNull()).select("doc_id", "text", idx.alias("flaw_idx"))
+        return document_metrics(d, lambda line: F.length(line), x=x)
     return plan

@@ -97,3 +97,22 @@ def test_summary_rows(spark):
     s = {r["type"]: r for r in R.metric_summary(m).where("type != 'Individual'").collect()}
     assert s["Average"]["ifa"] == pytest.approx(5 / 3)
     assert s["Median"]["ifa"] == 1.0 and s["Median"]["rr"] == 0.5
+
+
+def test_row_local_metrics_equal_relational(spark):
+    from linesight.operators.document_metrics import document_metrics
+    rng = random.Random(3)
+    rows = []
+    for d in range(80):
+        n = rng.randint(1, 25)
+        lines = [rng.choice(["", "a", "bb", "ccc", "dd"]) for _ in range(n)]
+        flaws = sorted(rng.choices(range(n + 2), k=rng.randint(0, 4)))
+        rows.append((d, "\n".join(lines), flaws, [float(len(x)) for x in lines]))
+    rows += [(100 + i, t, f, [float(len(x)) for x in t.split("\n")]) for i, (_, t, f, _s) in enumerate(TRAPS)]
+    df = _docs(spark, rows).where(F.size("scores") == F.size(F.split("text", "\n", -1)))
+    rel = _metrics(spark, [r for r in rows if len(r[3]) == len(r[1].split("\n"))])
+    got = {r["doc_id"]: r.asDict() for r in document_metrics(df, lambda l: F.length(l)).collect()}
+    assert set(got) == set(rel)
+    for d, m in got.items():
+        for k in m:
+            assert m[k] == pytest.approx(rel[d][k]), (d, k)
