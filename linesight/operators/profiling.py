@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesight.functions import text as T
@@ -45,11 +45,11 @@ def class_ratio(df: DataFrame, label: str = "target") -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     """Balanced weights n / (k * n_c) per class.  The class table has one row
-    per class; n and k come from a window over that tiny table."""
+    per class; n and k are two scalars of that table."""
     counts = df.groupBy(label).count()
-    w = Window.partitionBy()
-    return counts.select(label, "count", (F.sum("count").over(w) /
-                                          (F.count(F.lit(1)).over(w) * F.col("count"))).alias("weight"))
+    tot = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    n, k = float(tot["n"] or 0), float(tot["k"] or 0)
+    return counts.select(label, "count", (F.lit(n) / (F.lit(k) * F.col("count"))).alias("weight"))
 
 
 def max_word_count(df: DataFrame, text: str = "text") -> DataFrame:
@@ -117,9 +117,9 @@ def length_reduce(df: DataFrame, text: str = "text") -> DataFrame:
     if n == 0:
         return withlen
     k = m if m > 0 else n
-    w = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, 0)  # over distinct lengths
-    cum = hist.withColumn("_cum", F.sum("count").over(w))
-    max_len = cum.where(F.col("_cum") >= k).agg(F.min("length")).first()[0]
+    from linesight.operators.global_order import with_global_position
+    cum = with_global_position(hist, [F.col("length").asc()], hit="count")  # over distinct lengths
+    max_len = cum.where(F.col("cum_hits") >= k).agg(F.min("length")).first()[0]
     return withlen.where(F.col("length") < F.lit(int(max_len)))
 
 

@@ -176,3 +176,54 @@ def augment_minority(df: DataFrame, text: str, label: str, id_col: str, seed: in
     new_text = F.array_join(perturb_delete(T.word_tokens(text), seed, key), " ")
     aug = m.withColumn(text, new_text).drop("_copy")
     return df.unionByName(aug.select(*df.columns))
+
+
+def perturb_synonym(docs: DataFrame, synonyms: DataFrame, text: str, id_col: str, seed: int,
+                    p: float = 0.3, max_n: int = 10, salts: int = 8) -> DataFrame:
+    """Replace words that have a synonym (``synonyms(tok, syn)``, one row per
+    word): each candidate occurrence draws u = hash(doc, pos, seed); the k
+    candidates with the smallest draws are replaced, k = clamp(#(u < p), 1,
+    max_n).  The per-document choice is a window over that document's
+    candidates only; the text is rebuilt from its own tokens."""
+    from pyspark.sql import Window
+
+    from linesight.functions import text as T
+    from linesight.operators.cleaning import _salted_join
+    occ = docs.select(id_col, F.posexplode(T.word_tokens(text)).alias("pos", "tok"))
+    cand = _salted_join(occ, synonyms.select("tok", "syn"), salts, id_col)
+    cand = cand.withColumn("u", F.pmod(F.xxhash64(id_col, "pos", F.lit(seed)), F.lit(1000000))
+                           / 1000000.0)
+    w_all = Window.partitionBy(id_col)
+    w_ord = Window.partitionBy(id_col).orderBy("u", "pos")
+    cand = (cand.withColumn("_k", F.least(F.greatest(F.sum((F.col("u") < p).cast("int")).over(w_all),
+                                                     F.lit(1)), F.lit(max_n)))
+            .withColumn("_r", F.row_number().over(w_ord)))
+    chosen = cand.where(F.col("_r") <= F.col("_k")).select(id_col, "pos", "syn")
+    out = occ.join(chosen, [id_col, "pos"], "left").withColumn(
+        "tok", F.coalesce("syn", "tok")).withColumn("_rep", F.col("syn").isNotNull().cast("int"))
+    rebuilt = out.groupBy(id_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))),
+                                 lambda s: s["tok"]), " ").alias("_t"),
+        F.sum("_rep").alias("replaced"))
+    return (docs.join(rebuilt, id_col, "left")
+            .withColumn(text, F.coalesce("_t", F.lit(""))).withColumn(
+                "replaced", F.coalesce("replaced", F.lit(0))).drop("_t"))
+
+
+def case_variant_synonyms(docs: DataFrame, text: str) -> DataFrame:
+    """A synonym table from the corpus: a word's synonym is the most frequent
+    other spelling of it that differs only by letter case (one row per word
+    that has one).  The window runs over the spellings of one word."""
+    from pyspark.sql import Window
+
+    from linesight.functions import text as T
+    c = (docs.select(F.explode(T.word_tokens(text)).alias("tok")).groupBy("tok").count()
+         .withColumn("low", F.lower("tok")))
+    w = Window.partitionBy("low").orderBy(F.desc("count"), F.asc("tok"))
+    r = c.withColumn("_r", F.row_number().over(w))
+    top = r.where(F.col("_r") <= 2).groupBy("low").agg(
+        F.min_by("tok", "_r").alias("first"), F.max_by("tok", "_r").alias("second"),
+        F.count(F.lit(1)).alias("_n"))
+    j = r.join(top.where(F.col("_n") == 2), "low")
+    return j.select("tok", F.when(F.col("tok") == F.col("first"), F.col("second"))
+                    .otherwise(F.col("first")).alias("syn"))

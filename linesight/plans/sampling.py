@@ -120,3 +120,13 @@ def q_perturb_delete(spark, sf_dir):
     toks = T.word_tokens("text")
     out = Sm.perturb_delete(toks, SEED, F.xxhash64("doc_id"))
     return d.select("doc_id", F.size(toks).alias("n_before"), F.size(out).alias("n_after"))
+
+
+@register("perturb_synonym", sql=None)
+def q_perturb_synonym(spark, sf_dir):
+    """Synonym substitution (p = 0.3, 1..10 words) on every labelled document;
+    synonyms = other-case spellings of a word in the corpus (rows check)."""
+    d = labelled(spark, sf_dir)
+    syn = Sm.case_variant_synonyms(B.table(spark, sf_dir, "documents"), "text")
+    out = Sm.perturb_synonym(d, syn, "text", "doc_id", SEED)
+    return out.select("doc_id", "replaced", F.size(T.word_tokens("text")).alias("n_tokens"))
