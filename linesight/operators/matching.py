@@ -6,9 +6,11 @@ text duplicated across a third of the table still meets every left row in
 a single one-row-per-key equi join (AQE splits a hot left key; no pairs).
 
 Prefix fallback (rows without an exact match): candidates share the first
-150 normalized characters.  Only distinct (text, class) rows are compared
-with distinct ground-truth texts of their block, and the per-pair test is a
-residual predicate on that equi join.
+150 normalized characters, and those where one text starts with the other
+win.  A block can hold a third of all texts (a shared licence header), so
+the starts-with candidates are found without comparing pairs: one global
+byte order of all texts turns "extends R" into a contiguous position range
+and range minima are read from dyadic tables (O(log N) probes per text).
 """
 
 from __future__ import annotations
@@ -52,28 +54,117 @@ def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: st
     return m.select(id_col, pick.alias("gt_idx"))
 
 
+_MAX_LEVELS = 62  # dyadic levels: positions are longs
+
+
+def _dyadic_blocks(lo, hi, levels: int = _MAX_LEVELS) -> "F.Column":
+    """Aligned dyadic blocks (level, index) exactly covering the 0-based
+    position range [lo, hi): at most two per level (segment-tree walk)."""
+    init = F.struct(lo.cast("long").alias("l"), hi.cast("long").alias("r"),
+                    F.array().cast("array<struct<lvl:int,j:long>>").alias("out"))
+
+    def step(acc, lvl):
+        l, r, out = acc["l"], acc["r"], acc["out"]
+        take_l = (l < r) & (F.pmod(l, F.lit(2)) == 1)
+        l1 = F.when(take_l, l + 1).otherwise(l)
+        out1 = F.when(take_l, F.concat(out, F.array(F.struct(lvl.alias("lvl"), l.alias("j")))))\
+            .otherwise(out)
+        take_r = (l1 < r) & (F.pmod(r, F.lit(2)) == 1)
+        r1 = F.when(take_r, r - 1).otherwise(r)
+        out2 = F.when(take_r, F.concat(out1, F.array(F.struct(lvl.alias("lvl"), r1.alias("j")))))\
+            .otherwise(out1)
+        return F.struct(F.shiftright(l1, 1).alias("l"), F.shiftright(r1, 1).alias("r"),
+                        out2.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), init, step)["out"]
+
+
+def _dyadic_min_tables(base: DataFrame, pos: str, vals: list[str], levels: int) -> DataFrame:
+    """(lvl, j, mins...) for every aligned block of 0-based positions; level
+    l+1 is built from level l, so all levels together hold < 2x the rows."""
+    level = base.select(F.lit(0).alias("lvl"), F.col(pos).cast("long").alias("j"), *vals)
+    out = level
+    for lvl in range(1, levels + 1):
+        level = (level.groupBy(F.shiftright("j", 1).alias("j"))
+                 .agg(*[F.min(v).alias(v) for v in vals]).withColumn("lvl", F.lit(lvl)))
+        out = out.unionByName(level.select("lvl", "j", *vals))
+    return out
+
+
+def _possible_mins(keys_r: DataFrame, g: DataFrame, n: int) -> DataFrame:
+    """For every distinct unmatched text R: min first-index (any, class 1,
+    class 0) over ground-truth texts G where one starts with the other.
+
+    One global byte order of all R, G and their upper probes (key || 0xFF)
+    gives, for each R, the range of G positions that extend R (descendants:
+    a contiguous run), and for each G, the range of R positions that extend
+    G (its ancestors' stabbing ranges).  Range minima come from aligned
+    dyadic tables (descendants) and dyadic stabbing records (ancestors):
+    O(log N) equi-join probes per text, never a pair of texts."""
+    from linesight.operators.global_order import with_global_position
+    hi_byte = F.unhex(F.lit("FF"))
+    vals = ["first_any", "first_1", "first_0"]
+    rk = keys_r.select(F.col("rnorm").alias("norm"), F.encode("rnorm", "UTF-8").alias("key"))
+    gk = g.select("norm", F.encode("norm", "UTF-8").alias("key"), *vals)
+    recs = (rk.select("key", F.lit(1).alias("kind"), F.lit(1).alias("is_r"), F.lit(0).alias("is_g"),
+                      "norm")
+            .unionByName(rk.select(F.concat("key", hi_byte).alias("key"), F.lit(2).alias("kind"),
+                                   F.lit(0).alias("is_r"), F.lit(0).alias("is_g"), "norm"))
+            .unionByName(gk.select("key", F.lit(3).alias("kind"), F.lit(0).alias("is_r"),
+                                   F.lit(1).alias("is_g"), "norm"))
+            .unionByName(gk.select(F.concat("key", hi_byte).alias("key"), F.lit(4).alias("kind"),
+                                   F.lit(0).alias("is_r"), F.lit(0).alias("is_g"), "norm")))
+    pos = with_global_position(recs, ["key", "kind", "norm"], hit="is_g", sums=["is_r"])
+    totals = pos.agg(F.max("cum_hits").alias("g"), F.max("cum_is_r").alias("r")).first()
+    levels = max(1, int(max(totals["g"] or 0, totals["r"] or 0)).bit_length())
+    pos = pos.select("norm", "kind", F.col("cum_hits").alias("g_le"), F.col("cum_is_r").alias("r_le"))
+    # descendants of R: G positions (#G <= R, #G < R||FF]  (0-based [g_lo, g_hi))
+    r_lo = pos.where("kind = 1").select("norm", F.col("g_le").alias("g_lo"), F.col("r_le").alias("r_pos"))
+    r_hi = pos.where("kind = 2").select("norm", F.col("g_le").alias("g_hi"))
+    rr = r_lo.join(r_hi, "norm")
+    g_pos = pos.where("kind = 3").select("norm", (F.col("g_le") - 1).alias("g_pos"),
+                                         F.col("r_le").alias("r_lo"))
+    g_hi = pos.where("kind = 4").select("norm", F.col("r_le").alias("r_hi"))
+    gp = g_pos.join(g_hi, "norm").join(g.select("norm", *vals, F.length("norm").alias("glen")), "norm")
+    gp = gp.checkpoint(eager=True)      # used by both directions; cut its lineage once
+    tables = _dyadic_min_tables(gp, "g_pos", vals, levels)
+    probes = rr.select("norm", F.explode(_dyadic_blocks(F.col("g_lo"), F.col("g_hi"), levels))
+                       .alias("b"))
+    desc = (probes.select("norm", F.col("b.lvl").alias("lvl"), F.col("b.j").alias("j"))
+            .join(tables, ["lvl", "j"]).groupBy("norm").agg(*[F.min(v).alias(v) for v in vals]))
+    # ancestors of R: G (at least n long, so in R's block) whose R-range covers R
+    stab = (gp.where(F.col("glen") >= n)
+            .select(F.explode(_dyadic_blocks(F.col("r_lo"), F.col("r_hi"), levels)).alias("b"), *vals)
+            .select(F.col("b.lvl").alias("lvl"), F.col("b.j").alias("j"), *vals)
+            .groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
+    r_levels = rr.select("norm", (F.col("r_pos") - 1).alias("q")).select(
+        "norm", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"), "q")
+    r_levels = r_levels.select("norm", "lvl", F.expr("shiftright(q, lvl)").alias("j"))
+    anc = r_levels.join(stab, ["lvl", "j"]).groupBy("norm").agg(*[F.min(v).alias(v) for v in vals])
+    both = desc.unionByName(anc)
+    return both.groupBy(F.col("norm").alias("rnorm")).agg(*[F.min(v).alias(v) for v in vals])
+
+
 def match_prefix(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
                  target: str = "target", n: int = T.PREFIX_LEN) -> DataFrame:
     """(row_id, gt_idx) for rows (already without an exact match) whose first
     n normalized characters equal a ground-truth prefix.  One candidate is
     taken as is; otherwise candidates where either text starts with the other
-    win, among them the same class first, each time the first index."""
+    win, among them the same class first, each time the first index; with no
+    such candidate, the block's first.  The starts-with candidates come from
+    ``_possible_mins`` (no pairwise comparison inside a block)."""
     g = prepare_ground_truth(gt)
-    # distinct ground-truth texts with their first index per class
-    gd = _first_by_class(g, "norm").withColumn("prefix", F.substring("norm", 1, n))
+    gd = _first_by_class(g, "norm")
     blocks = g.groupBy(F.substring("norm", 1, n).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n_cand"), F.min("gt_idx").alias("block_first"))
     rows = left.select(id_col, T.normalize_whitespace(func).alias("rnorm"), F.col(target).alias("_t"))
     rows = rows.withColumn("prefix", F.substring("rnorm", 1, n))
-    keys = rows.select("rnorm", "_t", "prefix").distinct()
-    pairs = keys.join(gd, "prefix").where(T.starts_with_either("norm", "rnorm"))
-    best = pairs.groupBy("rnorm", "_t").agg(
-        F.min(F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))).alias("same"),
-        F.min("first_any").alias("any_sw"))
-    res = (rows.join(blocks, "prefix")
-           .join(best, ["rnorm", "_t"], "left"))
+    in_block = rows.join(blocks, "prefix")
+    keys = in_block.select("rnorm").distinct()
+    mins = _possible_mins(keys, gd, n)
+    res = in_block.join(mins, "rnorm", "left")
+    same = F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))
     pick = F.when(F.col("n_cand") == 1, F.col("block_first")).otherwise(
-        F.coalesce(F.col("same"), F.col("any_sw"), F.col("block_first")))
+        F.coalesce(same, F.col("first_any"), F.col("block_first")))
     return res.select(id_col, pick.alias("gt_idx"))
 
 

@@ -68,3 +68,20 @@ def test_match_ground_truth_defaults(spark):
     out = {r["row_id"]: r for r in M.match_ground_truth(left, g).collect()}
     assert (out[1]["project"], out[1]["flaw_line"], out[1]["flaw_line_index"]) == ("p1", "b", "2")
     assert (out[2]["project"], out[2]["flaw_line"], out[2]["metadata"]) == ("unknown", "", "")
+
+
+def test_prefix_match_random_nested_texts(spark):
+    import random
+    rng = random.Random(4)
+    head = "h" * 150
+    def txt():
+        return head + "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))
+    gt = [(i, txt(), rng.randint(0, 1)) for i in range(60)]
+    rows = [(100 + i, txt(), rng.randint(0, 1)) for i in range(80)]
+    g = spark.createDataFrame([(i, f, str(t)) for i, f, t in gt], "gt_idx long, func string, target string")
+    left = spark.createDataFrame(rows, "row_id long, func string, target int")
+    ex = M.match_exact(left, g)
+    rest = left.join(ex.select("row_id"), "row_id", "left_anti")
+    got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(M.match_prefix(rest, g)).collect()}
+    exp = {k: v for k, v in _reference_match(rows, gt).items() if v is not None}
+    assert got == exp
