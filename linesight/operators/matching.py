@@ -55,6 +55,7 @@ def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: st
 
 
 _MAX_LEVELS = 62  # dyadic levels: positions are longs
+PAIRWISE_BLOCK_LIMIT = 64  # blocks up to this many candidates are tested pair by pair
 
 
 def _dyadic_blocks(lo, hi, levels: int = _MAX_LEVELS) -> "F.Column":
@@ -145,22 +146,33 @@ def _possible_mins(keys_r: DataFrame, g: DataFrame, n: int) -> DataFrame:
 
 
 def match_prefix(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
-                 target: str = "target", n: int = T.PREFIX_LEN) -> DataFrame:
+                 target: str = "target", n: int = T.PREFIX_LEN,
+                 block_limit: int = PAIRWISE_BLOCK_LIMIT) -> DataFrame:
     """(row_id, gt_idx) for rows (already without an exact match) whose first
     n normalized characters equal a ground-truth prefix.  One candidate is
     taken as is; otherwise candidates where either text starts with the other
     win, among them the same class first, each time the first index; with no
-    such candidate, the block's first.  The starts-with candidates come from
-    ``_possible_mins`` (no pairwise comparison inside a block)."""
+    such candidate, the block's first.  Blocks of at most ``block_limit``
+    candidates test their (bounded) pairs directly; larger blocks take the
+    pair-free ``_possible_mins``.  Both paths are exact."""
     g = prepare_ground_truth(gt)
-    gd = _first_by_class(g, "norm")
+    gd = _first_by_class(g, "norm").withColumn("prefix", F.substring("norm", 1, n))
     blocks = g.groupBy(F.substring("norm", 1, n).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n_cand"), F.min("gt_idx").alias("block_first"))
     rows = left.select(id_col, T.normalize_whitespace(func).alias("rnorm"), F.col(target).alias("_t"))
     rows = rows.withColumn("prefix", F.substring("rnorm", 1, n))
     in_block = rows.join(blocks, "prefix")
-    keys = in_block.select("rnorm").distinct()
-    mins = _possible_mins(keys, gd, n)
+    vals = ["first_any", "first_1", "first_0"]
+    # small blocks: at most ``block_limit`` candidates per text, tested directly
+    small = in_block.where((F.col("n_cand") > 1) & (F.col("n_cand") <= block_limit)) \
+        .select("rnorm", "prefix").distinct()
+    mins = (small.join(gd, "prefix").where(T.starts_with_either("norm", "rnorm"))
+            .groupBy("rnorm").agg(*[F.min(v).alias(v) for v in vals]))
+    # large blocks: the pair-free order / dyadic method
+    big = in_block.where(F.col("n_cand") > block_limit).select("rnorm", "prefix").distinct()
+    if big.limit(1).count() > 0:
+        big_gd = gd.join(big.select("prefix").distinct(), "prefix", "left_semi")
+        mins = mins.unionByName(_possible_mins(big.select("rnorm"), big_gd.drop("prefix"), n))
     res = in_block.join(mins, "rnorm", "left")
     same = F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))
     pick = F.when(F.col("n_cand") == 1, F.col("block_first")).otherwise(

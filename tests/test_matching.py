@@ -52,7 +52,7 @@ def test_match_tie_breaks(spark):
     left = spark.createDataFrame(rows, "row_id long, func string, target int")
     ex = M.match_exact(left, g)
     rest = left.join(ex.select("row_id"), "row_id", "left_anti")
-    px = M.match_prefix(rest, g)
+    px = M.match_prefix(rest, g, block_limit=0)
     got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
     gt_py = [(i, f, {"0": 0, "1": 1, "True": 1}.get(str(t), 0)) for i, f, t in gt]
     exp = {k: v for k, v in _reference_match(rows, gt_py).items() if v is not None}
@@ -82,6 +82,8 @@ def test_prefix_match_random_nested_texts(spark):
     left = spark.createDataFrame(rows, "row_id long, func string, target int")
     ex = M.match_exact(left, g)
     rest = left.join(ex.select("row_id"), "row_id", "left_anti")
-    got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(M.match_prefix(rest, g)).collect()}
     exp = {k: v for k, v in _reference_match(rows, gt).items() if v is not None}
-    assert got == exp
+    for limit in (0, 1000):   # dyadic path for every block / direct tests for every block
+        px = M.match_prefix(rest, g, block_limit=limit)
+        got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
+        assert got == exp
