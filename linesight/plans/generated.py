@@ -165,3 +165,19 @@ def q_category_rate(spark, sf_dir):
     flags = Gn.hallucination_flag(B.positive_preds(spark, sf_dir), B.positive_lines(spark, sf_dir))
     proj = B.generated_positives(spark, sf_dir).select("doc_id", "project")
     return Gn.category_rate(flags.join(proj, "doc_id"), "project")
+
+
+@register("order_generated_doc_order", sql=S.GEN + """,
+gdoc AS (
+  SELECT doc_id, rnk, hit,
+         row_number() OVER (ORDER BY is_predicted DESC, doc_id, rnk) AS pos,
+         sum(hit) OVER (ORDER BY is_predicted DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM gr
+)
+SELECT doc_id, CAST(rnk AS BIGINT) AS rank, CAST(pos AS BIGINT) AS pos,
+       CAST(cum_hits AS BIGINT) AS cum_hits FROM gdoc""")
+def q_order_generated_doc(spark, sf_dir):
+    """The older generated order: predicted lines first, documents in
+    document order (no probability), then rank."""
+    o = G.generated_order_positions(generated_ranking(spark, sf_dir), proba=None)
+    return o.select("doc_id", "rank", "pos", "cum_hits")

@@ -66,7 +66,7 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: Ty.StructTyp
 
 def read_json_records(spark: SparkSession, path: str, schema: Ty.StructType | None = None) -> DataFrame:
     """JSON files each holding an array of records."""
-    r = spark.read.option("multiLine", "true")
+    r = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
@@ -75,7 +75,7 @@ def read_json_keyed(spark: SparkSession, path: str, value_schema: Ty.DataType,
     """JSON files each holding one object keyed by record id -> one row per
     record (key column + the record's fields).  A file is one JSON value, so
     it is read whole (one task per file)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
     m = F.from_json("value", Ty.MapType(Ty.StringType(), value_schema))
     return raw.select(F.explode(m).alias(key, "_v")).select(key, "_v.*")
 

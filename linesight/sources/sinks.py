@@ -35,20 +35,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", index: str | None =
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
-    """One JSON array of records per task (the array layout the study's
-    JSON files use)."""
-    grouped = df.groupBy(F.spark_partition_id().alias("_p")).agg(
+    """One JSON array of records per input partition, each in its own file
+    (the array layout the study's JSON files use; a multi-line JSON reader
+    reads one value per file)."""
+    grouped = df.groupBy(F.spark_partition_id().alias("part")).agg(
         F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    grouped.select("value").write.mode("overwrite").text(path)
+    grouped.write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_json_keyed(df: DataFrame, path: str, key: str) -> None:
-    """One JSON object {key: record} per task."""
+    """One JSON object {key: record} per input partition, each in its own file."""
     vals = [c for c in df.columns if c != key]
-    grouped = df.groupBy(F.spark_partition_id().alias("_p")).agg(
+    grouped = df.groupBy(F.spark_partition_id().alias("part")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"),
                                                              F.struct(*vals))))).alias("value"))
-    grouped.select("value").write.mode("overwrite").text(path)
+    grouped.write.mode("overwrite").partitionBy("part").text(path)
 
 
 def summary_json(df: DataFrame, outer: str, inner: str, metrics: list[str]) -> DataFrame:
