@@ -19,3 +19,20 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert {r["type"] for r in rows} == {"Average", "Median"}
     assert set(df.columns) >= {"top_x_accuracy", "ifa"}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
+def test_flagship_plan_has_no_exchange_and_prunes_columns(spark):
+    df = E.queries()["localization_metrics"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" not in plan
+    assert "n_chars" not in plan and "source" not in plan   # only doc_id, text are read
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
+def test_no_cartesian_products_in_registered_plans(spark):
+    q = E.queries()
+    for name in ["match_ground_truth", "similar_line_replace", "multiset_overlap", "clean_source",
+                 "effort_at_recall", "length_group_metrics", "text_localization_metrics"]:
+        plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
