@@ -94,7 +94,7 @@ def q_scan_json_keyed(spark, sf_dir):
 
 
 @register("scan_runs", sql=S.RUNS + """
-SELECT method, run AS seed, accuracy, mrr FROM runs""")
+SELECT method, run AS seed, round(accuracy, 6) AS accuracy, round(mrr, 6) AS mrr FROM runs""")
 def q_scan_runs(spark, sf_dir):
     """Per-run result files (one directory per method and run) plus a stored
     average that the reader skips; the run key comes from the path."""

@@ -55,30 +55,34 @@ def run_table(spark, sf_dir):
 
 
 @register("run_results", sql=S.RUNS + """
-SELECT method, run, accuracy, precision, recall, mrr, map, mar, median_ifa FROM runs""")
+SELECT method, run, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(map, 6) AS map, round(mar, 6) AS mar,
+       round(median_ifa, 6) AS median_ifa FROM runs""")
 def q_run_results(spark, sf_dir):
     return run_table(spark, sf_dir)
 
 
 @register("average_runs", sql=S.RUNS + """
-SELECT method, avg(accuracy) AS accuracy, avg(precision) AS precision, avg(recall) AS recall,
-       avg(mrr) AS mrr, avg(map) AS map, avg(mar) AS mar, avg(median_ifa) AS median_ifa
+SELECT method, round(avg(accuracy), 6) AS accuracy, round(avg(precision), 6) AS precision,
+       round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map,
+       round(avg(mar), 6) AS mar, round(avg(median_ifa), 6) AS median_ifa
 FROM runs GROUP BY method""")
 def q_average_runs(spark, sf_dir):
     return U.average_runs(run_table(spark, sf_dir), RUN_METRICS, ["method"])
 
 
 @register("describe_runs", sql=S.RUNS + """
-SELECT method, metric, CAST(count(value) AS BIGINT) AS count, avg(value) AS mean,
-       stddev_samp(value) AS std, min(value) AS min, quantile_cont(value, 0.25) AS p25,
-       quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, max(value) AS max
+SELECT method, metric, CAST(count(value) AS BIGINT) AS count, round(avg(value), 6) AS mean,
+       round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
+       round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
 FROM long GROUP BY method, metric""")
 def q_describe_runs(spark, sf_dir):
     return U.describe_runs(run_table(spark, sf_dir), RUN_METRICS, ["method"])
 
 
 @register("fold_summary", sql=S.RUNS + """
-SELECT method, metric, avg(value) AS mean, stddev_pop(value) AS std
+SELECT method, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std
 FROM long GROUP BY method, metric""")
 def q_fold_summary(spark, sf_dir):
     return U.fold_summary(run_table(spark, sf_dir), RUN_METRICS, ["method"])
@@ -93,7 +97,7 @@ pairs AS (
 
 
 @register("run_pair_join", sql=_PAIRS + """
-SELECT run, metric, a, b FROM pairs""")
+SELECT run, metric, round(a, 6) AS a, round(b, 6) AS b FROM pairs""")
 def q_pairs(spark, sf_dir):
     return U.pair_runs(run_table(spark, sf_dir), RUN_METRICS, "method", "score", "position")
 
@@ -116,9 +120,9 @@ agg AS (
 )
 SELECT agg.metric, CASE WHEN agg.metric IN ('ifa', 'median_ifa', 'effort') THEN 'less' ELSE 'greater' END
          AS alternative,
-       CAST(n AS BIGINT) AS n, w_plus, w_minus,
-       CASE WHEN n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0 > 0 THEN
-         (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0) END AS z
+       CAST(n AS BIGINT) AS n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus,
+       round(CASE WHEN n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0 > 0 THEN
+         (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie_sum / 48.0) END, 6) AS z
 FROM agg JOIN ties USING (metric)""")
 def q_wilcoxon(spark, sf_dir):
     pairs = U.pair_runs(run_table(spark, sf_dir), RUN_METRICS, "method", "score", "position")
