@@ -82,8 +82,16 @@ def with_global_position(df: DataFrame, order: list, hit: str = "hit",
     return ordered.mapInPandas(running, out_schema).drop("_pid")
 
 
+ORDER_COLUMNS = ["line_idx", "rank", "hit"]   # what the orders carry (never the line text)
+
+
+def _slim(ranked: DataFrame, id_col: str, extra: list[str], keep: list[str] | None) -> DataFrame:
+    cols = [id_col] + [c for c in ORDER_COLUMNS + extra + list(keep or []) if c in ranked.columns]
+    return ranked.select(*dict.fromkeys(cols))
+
+
 def function_order_positions(ranked: DataFrame, proba: str = "proba", id_col: str = "doc_id",
-                             hit: str = "hit") -> DataFrame:
+                             hit: str = "hit", keep: list[str] | None = None) -> DataFrame:
     """Documents by probability desc (stable on doc_id), lines by rank inside.
 
     Only the document table is ordered globally; a line's position is the
@@ -92,6 +100,7 @@ def function_order_positions(ranked: DataFrame, proba: str = "proba", id_col: st
     The in-document running count shares the ranking's doc_id partitioning,
     and the join back to the (one row per document) offsets is on doc_id.
     """
+    ranked = _slim(ranked, id_col, [proba, hit], keep)
     w = Window.partitionBy(id_col).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     lines = ranked.withColumn("_doc_cum", F.sum(F.col(hit)).over(w))
     docs = ranked.groupBy(id_col).agg(F.max(proba).alias(proba),
@@ -108,22 +117,26 @@ def function_order_positions(ranked: DataFrame, proba: str = "proba", id_col: st
 
 
 def line_order_positions(ranked: DataFrame, score: str = "score", id_col: str = "doc_id",
-                         hit: str = "hit") -> DataFrame:
-    """All lines by score desc, stable over (document order, in-document rank)."""
+                         hit: str = "hit", keep: list[str] | None = None) -> DataFrame:
+    """All lines by score desc, stable over (document order, in-document rank).
+    Only the order keys and flags are sorted and checkpointed (``keep`` adds
+    columns), never the line text."""
     return with_global_position(
-        ranked, [F.coalesce(F.col(score), F.lit(0.0)).desc(), F.col(id_col).asc(),
+        _slim(ranked, id_col, [score, hit], keep), [F.coalesce(F.col(score), F.lit(0.0)).desc(), F.col(id_col).asc(),
                  F.col("rank").asc()], hit=hit)
 
 
 def generated_order_positions(ranked: DataFrame, proba: str | None = "proba",
-                              id_col: str = "doc_id", hit: str = "hit") -> DataFrame:
+                              id_col: str = "doc_id", hit: str = "hit",
+                              keep: list[str] | None = None) -> DataFrame:
     """Predicted lines first, then the rest; inside each group documents by
     probability desc (or document order when ``proba`` is None), then rank."""
     keys = [F.col("is_predicted").desc()]
     if proba:
         keys.append(F.col(proba).desc())
     keys += [F.col(id_col).asc(), F.col("rank").asc()]
-    return with_global_position(ranked, keys, hit=hit)
+    slim = _slim(ranked, id_col, ["is_predicted", hit] + ([proba] if proba else []), keep)
+    return with_global_position(slim, keys, hit=hit)
 
 
 def append_negatives(ordered: DataFrame, negatives: DataFrame, id_col: str = "doc_id") -> DataFrame:
