@@ -25,13 +25,20 @@ RIDGE_ALPHA = 1.0
 
 
 def _ridge(X: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    """Weighted ridge with intercept (intercept not penalised)."""
+    """Weighted ridge with intercept (intercept not penalised).  With fewer
+    samples than features (the usual case: 50 samples, one feature per
+    distinct token) the equivalent sample-space form is solved, an n x n
+    system instead of d x d."""
     sw = w / w.sum()
     xm = (X * sw[:, None]).sum(0)
     ym = (y * sw).sum()
-    Xc, yc = X - xm, y - ym
-    A = Xc.T @ (Xc * w[:, None]) + alpha * np.eye(X.shape[1])
-    coef = np.linalg.solve(A, Xc.T @ (yc * w))
+    r = np.sqrt(w)
+    Xw, yw = (X - xm) * r[:, None], (y - ym) * r
+    n, d = Xw.shape
+    if n < d:
+        coef = Xw.T @ np.linalg.solve(Xw @ Xw.T + alpha * np.eye(n), yw)
+    else:
+        coef = np.linalg.solve(Xw.T @ Xw + alpha * np.eye(d), Xw.T @ yw)
     return coef, ym - xm @ coef
 
 
