@@ -64,6 +64,9 @@ def similar_line_replace(preds: DataFrame, lines: DataFrame, skip_last: bool = T
     pt = _term_counts(todo, [id_col, "pred_pos"])
     docs_needed = todo.select(id_col).distinct()
     cand = lines.join(docs_needed, id_col, "left_semi")
+    # identical lines have identical vectors and the first one wins a tie, so
+    # each distinct line of a document is vectorized once (its first index)
+    cand = cand.groupBy(id_col, "line").agg(F.min("line_idx").alias("line_idx"))
     lt = _term_counts(cand.select(id_col, "line_idx", "line"), [id_col, "line_idx"])
     pn = pt.groupBy(id_col, "pred_pos").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("pn"))
     ln = lt.groupBy(id_col, "line_idx").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("ln"))
