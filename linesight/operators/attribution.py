@@ -51,6 +51,8 @@ def attribute(docs: DataFrame, weights: DataFrame, text: str = "text", id_col: s
     toks = docs.select(id_col, F.explode(T.word_tokens(text)).alias("tok"))
     feat = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("cnt"))
     feat = feat.join(weights, "tok", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    from linesight.session import materialize
+    feat = materialize(feat)   # (document, token) table read by every later step
     d = feat.groupBy(id_col).agg(F.count(F.lit(1)).alias("d"),
                                  F.sum(F.col("cnt") * F.col("weight")).alias("full"))
     samples = d.select(id_col, "d", "full", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesight.functions import text as T
+from linesight.plans.registry import scope_cache
+from linesight.session import materialize
 
 # Fixed binding values (shared with the DuckDB oracle SQL).
 FLAW_PATTERN = "[0-9@]"
@@ -26,6 +28,24 @@ TOP_X = 10
 N_PREDICTED = 3
 
 
+def shared(fn):
+    """Base relation read several times by one query: inside a registered
+    query call it is computed once and checkpointed (lineage cut), and every
+    later use in the same call reads that copy instead of re-scanning and
+    re-splitting the source.  Outside a query call it is returned as is."""
+    def wrapper(spark, sf_dir, *args):
+        cache = scope_cache()
+        if cache is None:
+            return fn(spark, sf_dir, *args)
+        key = (fn.__name__, sf_dir, args)
+        if key not in cache:
+            cache[key] = materialize(fn(spark, sf_dir, *args))
+        return cache[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +77,7 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.size("flaw_idx").alias("n_labels"), "proba")
 
 
+@shared
 def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pred_pos, line): longest line, the next document's first line,
     then the second and third longest lines.  Row-local array work plus one equi join on doc_id+1."""
@@ -76,6 +97,7 @@ def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.posexplode(arr).alias("pred_pos", "line"))
 
 
+@shared
 def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation table: documents with a label row.  target = labels.toxic,
     pred = labels.quality; flawed lines only for actual positives (negatives
@@ -92,6 +114,7 @@ def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
                     T.encode_ints(idx).alias("flaw_line_index"))
 
 
+@shared
 def ranked_test_lines(spark: SparkSession, sf_dir: str, pred: int | None = 1) -> DataFrame:
     """Scored, labelled, ranked lines of the predicted-positive test documents."""
     from linesight.operators import lines as L
@@ -105,6 +128,7 @@ def ranked_test_lines(spark: SparkSession, sf_dir: str, pred: int | None = 1) ->
     return R.rank_lines_by_score(ln)
 
 
+@shared
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, target, pred, proba): labels.toxic / labels.quality and the
     document probability of class 1."""
@@ -115,6 +139,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.join(docs, "doc_id")
 
 
+@shared
 def generated_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted-positive test documents with their text labels: the flawed
     lines of actual positives, ``[""]`` when there are none."""
@@ -126,16 +151,19 @@ def generated_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
                     T.split_lines(F.coalesce(label_text, F.lit(""))).alias("flaw_text"))
 
 
+@shared
 def positive_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = generated_positives(spark, sf_dir).select("doc_id")
     return predicted_lines(spark, sf_dir).join(pos, "doc_id", "left_semi")
 
 
+@shared
 def positive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linesight.operators import lines as L
     return L.split_lines(generated_positives(spark, sf_dir).select("doc_id", "text"))
 
 
+@shared
 def eval_records_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation sheet rows: actual positives of the test set with their
     flawed lines (newline text), predicted lines and classifier verdict."""
@@ -146,6 +174,7 @@ def eval_records_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.transform("flaw_idx", lambda i: i + 1).alias("flaw_line_no"))
 
 
+@shared
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground-truth records: every document, class = labels.toxic (0 when
     unlabelled), flawed lines as code + 1-based line numbers."""
@@ -159,6 +188,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("struct<n:int>").alias("metadata"))
 
 
+@shared
 def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split file rows to map: each document without its last line (a near
     copy) when it has two or more lines, class = labels.quality (0 when

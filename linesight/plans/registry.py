@@ -17,11 +17,23 @@ from pyspark.sql import types as Ty
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
+# Relations materialized during one query call (see bindings.shared).
+_SCOPE: dict = {"cache": None}
+
+
+def scope_cache() -> dict | None:
+    return _SCOPE["cache"]
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark, sf_dir):
-            return normalize(fn(spark, sf_dir))
+            outer = _SCOPE["cache"]
+            _SCOPE["cache"] = {}
+            try:
+                return normalize(fn(spark, sf_dir))
+            finally:
+                _SCOPE["cache"] = outer
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -55,3 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                     dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Compute a relation once and cut its lineage (reliable checkpoint into
+    the session's checkpoint dir).  Used for base relations that a plan reads
+    several times, so the source is not re-scanned and re-split per use."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
