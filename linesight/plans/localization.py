@@ -78,7 +78,10 @@ SELECT 'Median', NULL, round(quantile_cont(top_x_accuracy, 0.5), 6),
 
 @register("metric_summary", sql=_SUMMARY_SQL)
 def q_metric_summary(spark, sf_dir):
-    return R.metric_summary(doc_metrics(spark, sf_dir))
+    """Individual rows plus Average / Median: the per-document metrics (one
+    small row per document) are computed once and read twice."""
+    from linesight.session import materialize
+    return R.metric_summary(materialize(doc_metrics(spark, sf_dir)))
 
 
 @register("top_x_accuracy", sql=S.METRICS + """
