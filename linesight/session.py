@@ -26,6 +26,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # drop checkpoint files once their relation is no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # local mode runs every task in the driver JVM: give it the memory
         .config("spark.driver.memory", os.environ.get("LINESIGHT_DRIVER_MEMORY", "16g"))
     )
