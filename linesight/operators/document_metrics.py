@@ -89,3 +89,31 @@ def document_metrics(docs: DataFrame, score: Callable[[Column], Column], text: s
                            F.size("_ranked").alias("_n"), "_labels")
     return staged.select(id_col, *metrics_from_hit_ranks(F.col("_hr"), F.col("_n"),
                                                          F.col("_labels"), x))
+
+
+def generated_metrics(docs: DataFrame, preds: DataFrame, text: str = "text",
+                      flaw_text: str = "flaw_text", id_col: str = "doc_id",
+                      x: int = 10) -> DataFrame:
+    """Text-variant metrics of the generated ranking, row-local after one join.
+
+    ``preds(doc_id, pred_pos, line)`` are gathered into one ordered array per
+    document (bounded by the generator's output length) and joined to the
+    document row; the ranking is the predicted lines followed by the document
+    lines whose text was not predicted, a hit is a line whose text is in
+    ``flaw_text`` (duplicates count; ``[""]`` makes blank lines hits), and
+    recall divides by the label count without a guard.  Same semantics as
+    ``rank_lines_generated`` + ``label_lines_by_text`` +
+    ``localization_metrics(recall_guard=False)``."""
+    arr = preds.groupBy(id_col).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pred_pos", "line"))), lambda s: s["line"]).alias("_p"))
+    d = docs.select(id_col, text, flaw_text).join(arr, id_col, "left").withColumn(
+        "_p", F.coalesce("_p", F.array().cast("array<string>")))
+    rest = F.filter(T.split_lines(text), lambda l: ~F.array_contains(F.col("_p"), l))
+    ranking = F.concat(F.col("_p"), rest)
+    staged = d.select(id_col, ranking.alias("_r"), flaw_text)
+    staged = staged.select(id_col, F.size("_r").alias("_n"), F.size(flaw_text).alias("_labels"),
+                           F.filter(F.transform("_r", lambda l, i: F.when(
+                               F.array_contains(F.col(flaw_text), l), i + 1).otherwise(-1)),
+                               lambda r: r > 0).alias("_hr"))
+    return staged.select(id_col, *metrics_from_hit_ranks(F.col("_hr"), F.col("_n"), F.col("_labels"),
+                                                         x, recall_guard=False))

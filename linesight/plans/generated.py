@@ -63,8 +63,12 @@ metrics AS (SELECT doc_id, """ + S.metric_exprs(True) + """ FROM cum GROUP BY do
 SELECT doc_id, top_x_accuracy, top_x_precision, top_x_recall, rr, ap, ar, ifa FROM metrics""")
 def q_text_metrics(spark, sf_dir):
     """Seven metrics with text hits: duplicates count, unlabelled documents
-    score their blank lines, recall may exceed 1."""
-    return R.localization_metrics(generated_ranking(spark, sf_dir), recall_guard=False)
+    score their blank lines, recall may exceed 1.  Ranked inside each
+    document row after one join with its (replaced) predictions."""
+    from linesight.operators.document_metrics import generated_metrics
+    pos = B.generated_positives(spark, sf_dir).select("doc_id", "text", "flaw_text")
+    preds = replaced_preds(spark, sf_dir).select("doc_id", "pred_pos", "line")
+    return generated_metrics(pos, preds)
 
 
 @register("order_generated_global", sql=S.GEN + """

@@ -116,3 +116,27 @@ def test_row_local_metrics_equal_relational(spark):
     for d, m in got.items():
         for k in m:
             assert m[k] == pytest.approx(rel[d][k]), (d, k)
+
+
+def test_generated_row_local_equals_relational(spark):
+    from linesight.operators.document_metrics import generated_metrics
+    rng = random.Random(9)
+    docs, preds, lines = [], [], []
+    for d in range(50):
+        n = rng.randint(1, 12)
+        ls = [rng.choice(["", "a", "b", "c1", "d"]) for _ in range(n)]
+        flaws = [x for x in ls if x.endswith("1")] or [""]
+        docs.append((d, "\n".join(ls), flaws))
+        lines += [(d, i, x) for i, x in enumerate(ls)]
+        preds += [(d, j, rng.choice(ls + ["zz"])) for j in range(rng.randint(1, 4))]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string, flaw_text array<string>")
+    pdf = spark.createDataFrame(preds, "doc_id long, pred_pos int, line string")
+    ldf = spark.createDataFrame(lines, "doc_id long, line_idx int, line string")
+    rel = R.rank_lines_generated(ldf, pdf).join(ddf.select("doc_id", "flaw_text"), "doc_id")
+    rel = L.label_lines_by_text(rel, "flaw_text").withColumn("n_labels", F.size("flaw_text"))
+    a = {r["doc_id"]: r.asDict() for r in R.localization_metrics(rel, recall_guard=False).collect()}
+    b = {r["doc_id"]: r.asDict() for r in generated_metrics(ddf, pdf).collect()}
+    assert a.keys() == b.keys()
+    for d in a:
+        for k in a[d]:
+            assert b[d][k] == pytest.approx(a[d][k]), (d, k)
