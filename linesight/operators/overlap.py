@@ -89,3 +89,37 @@ def correctness_group_metrics(records: DataFrame, within: str = "is_within_128",
             .na.fill(0, ["count"]).na.fill(0.0, ["msp", "msr", "miou"])
             .select("slice", F.col("grp").alias("group"), F.col("count").cast("long"),
                     "msp", "msr", "miou"))
+
+
+def multiset_overlap_arrays(gt, pred) -> "list":
+    """Row-local counted overlap of two line arrays (already stripped, blanks
+    removed): one sort of the tagged lines and one pass that folds each run of
+    equal lines into Σ min / Σ max, with scalars only in the accumulator.
+    Returns [gt_len, sim_len, msp, msr, miou] columns."""
+    tag = "struct<v:string,side:int>"
+    merged = F.array_sort(F.concat(
+        F.transform(gt, lambda x: F.struct(x.alias("v"), F.lit(0).alias("side"))).cast(f"array<{tag}>"),
+        F.transform(pred, lambda x: F.struct(x.alias("v"), F.lit(1).alias("side"))).cast(f"array<{tag}>")))
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("cg"), F.lit(0).alias("cp"),
+                    F.lit(0).alias("inter"), F.lit(0).alias("uni"))
+
+    def step(acc, e):
+        same = acc["prev"].isNotNull() & (acc["prev"] == e["v"])
+        inter = F.when(same, acc["inter"]).otherwise(acc["inter"] + F.least(acc["cg"], acc["cp"]))
+        uni = F.when(same, acc["uni"]).otherwise(acc["uni"] + F.greatest(acc["cg"], acc["cp"]))
+        cg = F.when(same, acc["cg"]).otherwise(F.lit(0)) + (e["side"] == 0).cast("int")
+        cp = F.when(same, acc["cp"]).otherwise(F.lit(0)) + (e["side"] == 1).cast("int")
+        return F.struct(e["v"].alias("prev"), cg.alias("cg"), cp.alias("cp"), inter.alias("inter"),
+                        uni.alias("uni"))
+
+    def finish(acc):
+        return F.struct((acc["inter"] + F.least(acc["cg"], acc["cp"])).alias("inter"),
+                        (acc["uni"] + F.greatest(acc["cg"], acc["cp"])).alias("uni"))
+    res = F.aggregate(merged, init, step, finish)
+    g_n, p_n = F.size(gt), F.size(pred)
+    inter, uni = res["inter"].cast("double"), res["uni"]
+
+    def ratio(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return [g_n.cast("long").alias("gt_len"), p_n.cast("long").alias("sim_len"),
+            ratio(inter, p_n).alias("msp"), ratio(inter, g_n).alias("msr"), ratio(inter, uni).alias("miou")]

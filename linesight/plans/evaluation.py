@@ -30,16 +30,22 @@ def metadata_text(spark, sf_dir):
 
 
 def records(spark, sf_dir):
+    """One evaluation record per actual-positive document.  The replaced
+    predictions are gathered into one ordered array per document (bounded by
+    the generator's output) and joined to the document row once; metadata
+    parsing, stripping and the counted overlap are then row-local."""
+    lines = L.split_lines(B.eval_records_base(spark, sf_dir).select("doc_id", "text"))
     base = B.eval_records_base(spark, sf_dir)
-    lines = L.split_lines(base.select("doc_id", "text"))
     preds = B.predicted_lines(spark, sf_dir).join(base.select("doc_id"), "doc_id", "left_semi")
     repl = Gn.similar_line_replace(preds, lines, skip_last=False, drop_blank=True)
-    gt = O.stripped_lines(base, "actual_text")
-    pr = repl.select("doc_id", F.explode(T.strip_lines(F.array("line"))).alias("line"))
-    ov = O.multiset_overlap(base, gt, pr)
+    arr = Gn.pred_text(repl.select("doc_id", "pred_pos", "line"), out="_pt")
     meta = Bu.parse_budget_metadata(metadata_text(spark, sf_dir), "metadata_text")
-    return ov.join(base.select("doc_id", F.col("pred").alias("pred_g1")), "doc_id") \
-        .join(meta.select("doc_id", "is_within_128"), "doc_id")
+    rows = meta.select("doc_id", "actual_text", F.col("pred").alias("pred_g1"), "is_within_128") \
+        .join(arr, "doc_id", "left")
+    gt = T.strip_lines(T.split_lines(F.coalesce(F.col("actual_text"), F.lit(""))))
+    pr = T.strip_lines(F.when(F.col("_pt").isNull(), F.array().cast("array<string>"))
+                       .otherwise(T.split_lines("_pt")))
+    return rows.select("doc_id", *O.multiset_overlap_arrays(gt, pr), "pred_g1", "is_within_128")
 
 
 @register("token_budget_index", sql=S.BUDGET + """

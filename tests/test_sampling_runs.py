@@ -69,3 +69,21 @@ def test_wilcoxon_exact(spark):
     out = U.wilcoxon_signed_rank(pairs).first()
     w, p = O.wilcoxon_exact_greater(diffs)
     assert out["w_plus"] == w and out["exact"] and out["p_value"] == pytest.approx(p)
+
+
+def test_multiset_overlap_row_local_matches_counter(spark):
+    import random
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        g = [rng.choice("abcd") for _ in range(rng.randint(0, 6))]
+        p = [rng.choice("abce") for _ in range(rng.randint(0, 6))]
+        rows.append((i, g, p))
+    df = spark.createDataFrame(rows, "id int, g array<string>, p array<string>")
+    got = {r["id"]: r for r in df.select("id", *Ov.multiset_overlap_arrays(F.col("g"), F.col("p"))).collect()}
+    for i, g, p in rows:
+        cg, cp = Counter(g), Counter(p)
+        inter, uni = sum((cg & cp).values()), sum((cg | cp).values())
+        assert got[i]["msp"] == pytest.approx(inter / len(p) if p else 0.0)
+        assert got[i]["msr"] == pytest.approx(inter / len(g) if g else 0.0)
+        assert got[i]["miou"] == pytest.approx(inter / uni if uni else 0.0)
