@@ -45,7 +45,7 @@ def class_rank(df: DataFrame, label: str, id_col: str, seed: int,
         acc += counts[c]
     start_col = F.lit(0)
     for c, s in starts.items():
-        start_col = F.when(F.col(label) == F.lit(c), F.lit(s)).otherwise(start_col)
+        start_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(s)).otherwise(start_col)
     zero = df.withColumn("_z", F.lit(0))
     pos = with_global_position(zero, [F.col(label).asc_nulls_last(), seeded_key(id_col, seed),
                                       F.col(id_col)], hit="_z")
@@ -77,8 +77,8 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, test: fl
     t_col, v_col = F.lit(0), F.lit(0)
     for c, n in counts.items():
         t, v = split_quotas(n, test, val)
-        t_col = F.when(F.col(label) == F.lit(c), F.lit(t)).otherwise(t_col)
-        v_col = F.when(F.col(label) == F.lit(c), F.lit(v)).otherwise(v_col)
+        t_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(t)).otherwise(t_col)
+        v_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(v)).otherwise(v_col)
     split = (F.when(F.col("crank") <= t_col, F.lit("test"))
              .when(F.col("crank") <= t_col + v_col, F.lit("val")).otherwise(F.lit("train")))
     return ranked.withColumn("split", split).drop("crank")
@@ -97,8 +97,8 @@ def undersample(df: DataFrame, label: str, id_col: str, seed: int, ratio: float
     counts = class_counts(df, label)
     if len(counts) != 2:
         return df
-    maj = max(counts, key=lambda c: (counts[c], c))
-    mino = min(counts, key=lambda c: (counts[c], c))
+    maj = max(counts, key=lambda c: (counts[c], str(c)))
+    mino = min(counts, key=lambda c: (counts[c], str(c)))
     if fraction is not None:
         quota = int(counts[maj] * fraction)
     else:
@@ -137,7 +137,7 @@ def exact_sample(df: DataFrame, label: str, id_col: str, seed: int, quotas: dict
     ranked, counts = class_rank(df, label, id_col, seed)
     q = F.lit(0)
     for c, n in quotas.items():
-        q = F.when(F.col(label) == F.lit(c), F.lit(n)).otherwise(q)
+        q = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(n)).otherwise(q)
     return ranked.where(F.col("crank") <= q).drop("crank")
 
 
