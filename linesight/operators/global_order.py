@@ -34,6 +34,25 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_RANGE_PARTITIONS = 100_000
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Range partitions for a global order: the session's shuffle partitions,
+    raised so that a partition holds about 128 MB by the optimizer's size
+    estimate (an explicit partition count is not resized by AQE, and every
+    range partition is one sequential task of the offset pass)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        n = max(n, -(-size // TARGET_PARTITION_BYTES))
+    except Exception:  # noqa: BLE001 - estimates are optional
+        pass
+    return int(min(n, MAX_RANGE_PARTITIONS))
+
+
 def with_global_position(df: DataFrame, order: list, hit: str = "hit",
                          partitions: int | None = None, sums: list[str] | None = None) -> DataFrame:
     """Add ``pos`` (1-based position in the total order) and ``cum_hits``
@@ -42,7 +61,7 @@ def with_global_position(df: DataFrame, order: list, hit: str = "hit",
     order is total."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or range_partitions(df)
     keys = _cols(order)
     acc_cols = [hit] + [c for c in (sums or []) if c != hit]
     outs = ["cum_hits"] + [f"cum_{c}" for c in acc_cols[1:]]
