@@ -1,84 +1,68 @@
-"""Plain-Python loop oracles of the studied metric definitions (written for
-the tests; lists in, numbers out)."""
+"""Plain-Python oracles of the metric definitions (written for the tests from
+hit positions; lists in, numbers out)."""
 
 from __future__ import annotations
 
+import itertools
+import math
 
 
+def _hit_ranks(ranked, flaws):
+    """1-based ranks whose item is labelled (membership, duplicates ignored)."""
+    labelled = set(flaws)
+    return [k for k, item in enumerate(ranked, start=1) if item in labelled]
+
 
 def top_x_accuracy(ranked, flaws, x):
-    return 1 if any(r in flaws for r in ranked[:x]) else 0
+    return int(any(k <= x for k in _hit_ranks(ranked, flaws)))
 
 
 def top_x_precision(ranked, flaws, x):
-    return sum(1 for r in ranked[:x] if r in flaws) / x
+    return len([k for k in _hit_ranks(ranked, flaws) if k <= x]) / x
 
 
 def top_x_recall(ranked, flaws, x, guard=True):
-    c = sum(1 for r in ranked[:x] if r in flaws)
-    if guard:
-        return c / len(flaws) if len(flaws) > 0 else 0
-    return c / len(flaws)
+    top = len([k for k in _hit_ranks(ranked, flaws) if k <= x])
+    if not flaws:
+        return 0 if guard else float("nan")
+    return top / len(flaws)
 
 
 def rr(ranked, flaws, x):
-    for i, r in enumerate(ranked[:x]):
-        if r in flaws:
-            return 1 / (i + 1)
-    return 0
+    top = [k for k in _hit_ranks(ranked, flaws) if k <= x]
+    return 1 / top[0] if top else 0
 
 
 def ap(ranked, flaws, x):
-    found, s = 0, 0.0
-    for i, r in enumerate(ranked[:x]):
-        if r in flaws:
-            found += 1
-            s += found / (i + 1)
-    return s / found if found else 0
+    top = [k for k in _hit_ranks(ranked, flaws) if k <= x]
+    return sum(j / k for j, k in enumerate(top, start=1)) / len(top) if top else 0
 
 
 def ar(ranked, flaws, x):
-    found, s = 0, 0.0
-    for r in ranked[:x]:
-        if r in flaws:
-            found += 1
-            s += found / len(flaws) if len(flaws) > 0 else 0
-    return s / found if found else 0
+    top = [k for k in _hit_ranks(ranked, flaws) if k <= x]
+    if not top or not flaws:
+        return 0
+    return sum(j / len(flaws) for j in range(1, len(top) + 1)) / len(top)
 
 
 def ifa(ranked, flaws):
-    n = 0
-    for r in ranked:
-        if r not in flaws:
-            n += 1
-        else:
-            break
-    return n
+    hits = _hit_ranks(ranked, flaws)
+    return hits[0] - 1 if hits else len(ranked)
 
 
 def effort_lines_order(hits_in_order, total_flaws, total_loc, x=20):
     """hits_in_order: 0/1 per inspected line in the global order."""
     if total_flaws == 0:
         return 1.0
-    bp = max(1, (x / 100) * total_flaws)
-    inspected = found = 0
-    for h in hits_in_order:
-        inspected += 1
-        found += h
-        if found >= bp:
-            break
-    return inspected / total_loc
+    need = max(1, (x / 100) * total_flaws)
+    running = list(itertools.accumulate(hits_in_order))
+    reached = [p for p, c in enumerate(running, start=1) if c >= need]
+    return (reached[0] if reached else len(hits_in_order)) / total_loc
 
 
 def recall_lines_order(hits_in_order, total_flaws, total_loc, x=1):
-    bp = max(1, (x / 100) * total_loc)
-    inspected = found = 0
-    for h in hits_in_order:
-        inspected += 1
-        found += h
-        if inspected >= bp:
-            break
-    return found / total_flaws
+    budget = math.ceil(max(1, (x / 100) * total_loc))
+    return sum(hits_in_order[:budget]) / total_flaws
 
 
 def wilcoxon_exact_greater(d):

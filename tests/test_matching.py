@@ -1,7 +1,5 @@
-"""Ground-truth matching tie-breaks against a direct re-statement of the
-matching rules (dict indexes, first candidate wins)."""
-
-from collections import defaultdict
+"""Ground-truth matching tie-breaks against a brute-force specification
+(every row compared with every ground-truth row, lowest index wins)."""
 
 from linesight.operators import matching as M
 
@@ -10,32 +8,30 @@ def _norm(s):
     return "".join((s or "").split())
 
 
-def _reference_match(rows, gt, n=150):
-    full, pref = defaultdict(list), defaultdict(list)
-    for idx, func, target in gt:
-        full[_norm(func)].append((idx, 1 if target in (True, 1) else 0))
-        pref[_norm(func)[:n]].append((idx, 1 if target in (True, 1) else 0, _norm(func)))
-    out = {}
+def _pick(cands, target):
+    """First candidate (lowest index) of the row's class, else the first."""
+    same = [c for c in cands if c[1] == target]
+    return min(same or cands)[0]
+
+
+def _brute_force_match(rows, gt, n=150):
+    """Specification by brute force over all ground-truth rows: exact
+    normalized equality first; otherwise the 150-character block, where a lone
+    candidate is taken as is and starts-with candidates (either way) win."""
+    truth = sorted((i, t, _norm(f)) for i, f, t in gt)
+    result = {}
     for rid, func, target in rows:
-        nf = _norm(func)
-        m = None
-        if nf in full:
-            c = full[nf]
-            m = next((i for i, t in c if t == target), c[0][0]) if len(c) > 1 else c[0][0]
-        elif nf[:n] in pref:
-            c = pref[nf[:n]]
-            if len(c) == 1:
-                m = c[0][0]
-            else:
-                poss = [(i, t) for i, t, g in c if g.startswith(nf) or nf.startswith(g)]
-                if len(poss) == 1:
-                    m = poss[0][0]
-                elif poss:
-                    m = next((i for i, t in poss if t == target), poss[0][0])
-                else:
-                    m = c[0][0]
-        out[rid] = m
-    return out
+        r = _norm(func)
+        exact = [c for c in truth if c[2] == r]
+        block = [c for c in truth if c[2][:n] == r[:n]]
+        if exact:
+            result[rid] = _pick(exact, target)
+        elif len(block) == 1:
+            result[rid] = block[0][0]
+        elif block:
+            nested = [c for c in block if c[2].startswith(r) or r.startswith(c[2])]
+            result[rid] = _pick(nested, target) if nested else block[0][0]
+    return result
 
 
 def test_match_tie_breaks(spark):
@@ -55,7 +51,7 @@ def test_match_tie_breaks(spark):
     px = M.match_prefix(rest, g, block_limit=0)
     got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
     gt_py = [(i, f, {"0": 0, "1": 1, "True": 1}.get(str(t), 0)) for i, f, t in gt]
-    exp = {k: v for k, v in _reference_match(rows, gt_py).items() if v is not None}
+    exp = {k: v for k, v in _brute_force_match(rows, gt_py).items() if v is not None}
     assert got == exp
 
 
@@ -82,7 +78,7 @@ def test_prefix_match_random_nested_texts(spark):
     left = spark.createDataFrame(rows, "row_id long, func string, target int")
     ex = M.match_exact(left, g)
     rest = left.join(ex.select("row_id"), "row_id", "left_anti")
-    exp = {k: v for k, v in _reference_match(rows, gt).items() if v is not None}
+    exp = {k: v for k, v in _brute_force_match(rows, gt).items() if v is not None}
     for limit in (0, 1000):   # dyadic path for every block / direct tests for every block
         px = M.match_prefix(rest, g, block_limit=limit)
         got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
