@@ -36,3 +36,15 @@ def test_no_cartesian_products_in_registered_plans(spark):
                  "effort_at_recall", "length_group_metrics", "text_localization_metrics"]:
         plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
+def test_filters_reach_the_scan(spark):
+    q = E.queries()
+    df = q["category_filter"](spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in text
+    assert "ReadSchema: struct<doc_id:bigint,source:string>" in text
+    part = q["sink_by_category"](spark, "/root/testdata/sf0.001")
+    ptxt = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in ptxt and "(source" in ptxt
