@@ -123,3 +123,82 @@ def line_count_stats(df: DataFrame, pred: str = "pred_text", label: str = "label
     d = df.select(pn.alias("p"), an.alias("a"))
     return d.agg(F.avg("p").alias("mean_pred_lines"), F.percentile("p", 0.5).alias("median_pred_lines"),
                  F.avg("a").alias("mean_actual_lines"), F.percentile("a", 0.5).alias("median_actual_lines"))
+
+
+_TAGGED = "struct<t:string,s:int>"
+
+
+def _sorted_tokens(line) -> "F.Column":
+    return F.array_sort(line_tokens(line))
+
+
+def _sum_sq_runs(sorted_toks) -> "F.Column":
+    """Σ over distinct tokens of count² (the squared norm of the term-count
+    vector) from sorted tokens, in one fold."""
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"),
+                    F.lit(0).alias("tot"))
+
+    def step(acc, t):
+        same = acc["prev"].isNotNull() & (acc["prev"] == t)
+        return F.struct(t.alias("prev"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"),
+                        F.when(same, acc["tot"]).otherwise(acc["tot"] + acc["run"] * acc["run"]).alias("tot"))
+    return F.aggregate(sorted_toks, init, step, lambda a: a["tot"] + a["run"] * a["run"])
+
+
+def _dot_sorted(a, b) -> "F.Column":
+    """Σ_t count_a(t) * count_b(t) of two token arrays: tag, sort, fold runs."""
+    merged = F.array_sort(F.concat(
+        F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(0).alias("s"))).cast(f"array<{_TAGGED}>"),
+        F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(1).alias("s"))).cast(f"array<{_TAGGED}>")))
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("ca"), F.lit(0).alias("cb"),
+                    F.lit(0).alias("tot"))
+
+    def step(acc, e):
+        same = acc["prev"].isNotNull() & (acc["prev"] == e["t"])
+        tot = F.when(same, acc["tot"]).otherwise(acc["tot"] + acc["ca"] * acc["cb"])
+        ca = F.when(same, acc["ca"]).otherwise(F.lit(0)) + (e["s"] == 0).cast("int")
+        cb = F.when(same, acc["cb"]).otherwise(F.lit(0)) + (e["s"] == 1).cast("int")
+        return F.struct(e["t"].alias("prev"), ca.alias("ca"), cb.alias("cb"), tot.alias("tot"))
+    return F.aggregate(merged, init, step, lambda x: x["tot"] + x["ca"] * x["cb"])
+
+
+def similar_line_replace_rows(docs: DataFrame, preds: DataFrame, text: str = "text",
+                              skip_last: bool = True, drop_blank: bool = False,
+                              id_col: str = "doc_id") -> DataFrame:
+    """Row-local form of ``similar_line_replace`` after one join: the
+    predictions of a document (one ordered array, bounded by the generator's
+    output) meet the document row, and the cosine of every unseen prediction
+    with every line is computed from sorted term lists (norms by a fold over
+    runs, dot products by a sort-merge fold), so no token is shuffled.
+    Output: (doc_id, pred_pos, line, replaced)."""
+    p = preds
+    if drop_blank:
+        p = p.where(F.regexp_replace("line", r"(?U)\s+", "") != "")
+    arr = p.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("pred_pos").alias("pos"), F.col("line").alias("line")))).alias("_p"))
+    d = arr.join(docs.select(id_col, F.col(text).alias("_text")), id_col)
+    lines = T.split_lines("_text")
+    linfo = F.transform(lines, lambda l, i: F.struct(
+        i.alias("idx"), l.alias("line"), _sorted_tokens(l).alias("toks")))
+    linfo = F.transform(linfo, lambda e: F.struct(
+        e["idx"].alias("idx"), e["line"].alias("line"), e["toks"].alias("toks"),
+        F.sqrt(_sum_sq_runs(e["toks"]).cast("double")).alias("nrm")))
+    staged = d.select(id_col, "_p", linfo.alias("_l"), lines.alias("_lines"),
+                      F.element_at("_p", -1)["pos"].alias("_last"))
+
+    def choose(pr):
+        utoks = _sorted_tokens(pr["line"])
+        unrm = F.sqrt(_sum_sq_runs(utoks).cast("double"))
+        sims = F.transform(F.col("_l"), lambda e: F.struct(
+            F.when((unrm * e["nrm"]) == 0, F.lit(0.0))
+             .otherwise(_dot_sorted(utoks, e["toks"]).cast("double") / (unrm * e["nrm"])).alias("sim"),
+            (-e["idx"]).alias("neg"), e["line"].alias("line")))
+        need = ~F.array_contains(F.col("_lines"), pr["line"])
+        if skip_last:
+            need = need & (pr["pos"] != F.col("_last"))
+        best = F.array_max(sims)["line"]
+        return F.struct(pr["pos"].alias("pred_pos"),
+                        F.when(need, best).otherwise(pr["line"]).alias("line"),
+                        need.cast("int").alias("replaced"))
+    out = staged.select(id_col, F.explode(F.transform("_p", choose)).alias("r"))
+    return out.select(id_col, "r.pred_pos", "r.line", "r.replaced")

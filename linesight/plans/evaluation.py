@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from linesight.functions import text as T
 from linesight.operators import budget as Bu
 from linesight.operators import generated as Gn
-from linesight.operators import lines as L
 from linesight.operators import overlap as O
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
@@ -34,10 +33,10 @@ def records(spark, sf_dir):
     predictions are gathered into one ordered array per document (bounded by
     the generator's output) and joined to the document row once; metadata
     parsing, stripping and the counted overlap are then row-local."""
-    lines = L.split_lines(B.eval_records_base(spark, sf_dir).select("doc_id", "text"))
     base = B.eval_records_base(spark, sf_dir)
     preds = B.predicted_lines(spark, sf_dir).join(base.select("doc_id"), "doc_id", "left_semi")
-    repl = Gn.similar_line_replace(preds, lines, skip_last=False, drop_blank=True)
+    repl = Gn.similar_line_replace_rows(base.select("doc_id", "text"), preds, skip_last=False,
+                                        drop_blank=True)
     arr = Gn.pred_text(repl.select("doc_id", "pred_pos", "line"), out="_pt")
     meta = Bu.parse_budget_metadata(metadata_text(spark, sf_dir), "metadata_text")
     rows = meta.select("doc_id", "actual_text", F.col("pred").alias("pred_g1"), "is_within_128") \

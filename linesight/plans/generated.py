@@ -19,8 +19,10 @@ from linesight.plans.registry import register
 
 
 def replaced_preds(spark, sf_dir):
-    return Gn.similar_line_replace(B.positive_preds(spark, sf_dir), B.positive_lines(spark, sf_dir),
-                                   skip_last=True)
+    """Predictions with unseen lines replaced (variant a), computed inside each
+    document row after one join (no token shuffle)."""
+    docs = B.generated_positives(spark, sf_dir).select("doc_id", "text")
+    return Gn.similar_line_replace_rows(docs, B.positive_preds(spark, sf_dir), skip_last=True)
 
 
 def generated_ranking(spark, sf_dir):

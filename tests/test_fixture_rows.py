@@ -57,3 +57,26 @@ def test_budget_index_and_flags(spark):
     assert f[3] is None
     assert not f[1]["bert"]["under_128_tokens"]
 
+
+
+def test_row_local_similarity_replacement_equals_relational(spark):
+    import random
+    rng = random.Random(12)
+    vocab = ["int", "a", "b", "=", "0;", "return", "x", "A", "if", "(x)"]
+    docs, lines, preds = [], [], []
+    for d in range(40):
+        ls = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 8))]
+        docs.append((d, "\n".join(ls)))
+        lines += [(d, i, x) for i, x in enumerate(ls)]
+        for j in range(rng.randint(1, 4)):
+            cand = rng.choice(ls) if rng.random() < 0.4 else " ".join(rng.choice(vocab) for _ in range(3))
+            preds.append((d, j, rng.choice([cand, "   ", cand])))
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    ldf = spark.createDataFrame(lines, "doc_id long, line_idx int, line string")
+    pdf = spark.createDataFrame(preds, "doc_id long, pred_pos int, line string")
+    for skip, blank in ((True, False), (False, True)):
+        a = {(r["doc_id"], r["pred_pos"]): (r["line"], r["replaced"])
+             for r in Gn.similar_line_replace(pdf, ldf, skip_last=skip, drop_blank=blank).collect()}
+        b = {(r["doc_id"], r["pred_pos"]): (r["line"], r["replaced"])
+             for r in Gn.similar_line_replace_rows(ddf, pdf, skip_last=skip, drop_blank=blank).collect()}
+        assert a == b
