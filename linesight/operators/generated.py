@@ -200,5 +200,7 @@ def similar_line_replace_rows(docs: DataFrame, preds: DataFrame, text: str = "te
         return F.struct(pr["pos"].alias("pred_pos"),
                         F.when(need, best).otherwise(pr["line"]).alias("line"),
                         need.cast("int").alias("replaced"))
+    # the explode (a Generate) keeps ``_l`` a computed column of the row below
+    # it, so the per-prediction lambda reads it instead of recomputing it
     out = staged.select(id_col, F.explode(F.transform("_p", choose)).alias("r"))
     return out.select(id_col, "r.pred_pos", "r.line", "r.replaced")
