@@ -190,7 +190,7 @@ def similar_line_replace_rows(docs: DataFrame, preds: DataFrame, text: str = "te
         utoks = _sorted_tokens(pr["line"])
         unrm = F.sqrt(_sum_sq_runs(utoks).cast("double"))
         sims = F.transform(F.col("_l"), lambda e: F.struct(
-            F.when((unrm * e["nrm"]) == 0, F.lit(0.0))
+            F.when(((unrm * e["nrm"]) == 0) | ~F.arrays_overlap(utoks, e["toks"]), F.lit(0.0))
              .otherwise(_dot_sorted(utoks, e["toks"]).cast("double") / (unrm * e["nrm"])).alias("sim"),
             (-e["idx"]).alias("neg"), e["line"].alias("line")))
         need = ~F.array_contains(F.col("_lines"), pr["line"])
