@@ -14,9 +14,9 @@ stored on an exponentially spaced, truncated integer scale.
    paired with the bucket's most connected member, the pairs are filtered by
    the likelihood estimate, checked on the full sets, and joined into
    components.
-4. Buckets whose members still lie in several components are finished exactly:
-   members outside the bucket's largest component are compared with all its
-   members, in blocks, estimate first, then on the full sets.
+4. Buckets whose members still lie in several components are finished: those
+   that share members form families, and members outside a family's largest
+   component are compared with all its members, in blocks.
 5. Components by alternating large-star and small-star joins.
 
 Registers: 63 in 21 bands of 3, so a pair at similarity 0.75 shares a band
@@ -44,7 +44,7 @@ RATE = 20.0             # rate of the exponential distribution
 TOP = 2**16 - 1         # registers are truncated to 0 .. TOP
 SHIFT = 8000            # keeps the registers of one-element sets above 0
 SLACK = 0.28
-BLOCK = 256             # members compared at a time in an unfinished bucket
+BLOCK = 128             # members compared with as many at a time
 
 SKETCH = "doc_id long, key long, n_shingles long, d1 long, d2 long, registers binary"
 
@@ -115,6 +115,12 @@ def likely(a, b, na, nb, percent: int) -> np.ndarray:
     return out
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Exact test of two sorted sets."""
+    common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, digest and registers of every row."""
     def run(it):
@@ -163,11 +169,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for x in it:
             keep = []
             for p, q in zip(x.column("sa"), x.column("sb"), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+                keep.append(similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent))
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")), c)
@@ -198,32 +200,52 @@ def components(edges: DataFrame) -> DataFrame:
         now = staged(star(star(now, False), True), "edges")
 
 
-def _unfinished(members: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs left in buckets with several components."""
-    m = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    per = m.where("size > 2").groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    bucket = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("parts > 1").select("key", "largest")
-    rows = m.join(bucket, "key").join(reps.select("rep", "n", "registers"), "rep")
-    entry = F.struct("rep", "component", "n", "registers")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).alias("block")
-    everyone = rows.groupBy("key", block).agg(F.collect_list(entry).alias("all"))
-    others = rows.where("component <> largest").groupBy("key", block.alias("part")).agg(F.collect_list(entry).alias("others"))
+def _unfinished(members: DataFrame, reps: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) that are left in buckets with several components; None if
+    there is no such bucket.
+
+    Unfinished buckets that share members form a family.  Each member outside
+    its family's largest component is compared with all members: a block of the
+    ones with a block of the others in a task, registers first (a shared band
+    and the estimate), then the full sets.  Only links leave the task."""
+    m = members.where("size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    unfinished = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("low")).where("lo <> hi")
+    edges = staged(m.join(unfinished, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "unfinished")
+    if edges.isEmpty():
+        return None
+    family = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    rows = family.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = staged(rows, "family")
+    part = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks"), F.max_by("component", F.struct("c", "component")).alias("largest"))
+    full = rows.join(part, "family").join(reps, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    entry = F.struct("rep", "component", "n", "registers", "shingles")
+    everyone = full.groupBy("family", "block").agg(F.collect_list(entry).alias("all"))     # about BLOCK members
+    others = full.where("component <> largest").groupBy("family", "blocks", F.col("block").alias("part")).agg(F.collect_list(entry).alias("others"))
+    sent = others.select("family", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def unpack(column):
-        x = column.flatten() if hasattr(column, "flatten") else column
-        return [x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)] + [_matrix(x.field(3), np.uint16, M)]
+        x = column.flatten()
+        return [x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)] + [_matrix(x.field(3), np.uint16, M), [np.frombuffer(v.as_buffer(), np.uint64) for v in x.field(4)]]
 
     def run(it):
         for batch in it:
             for i in range(batch.num_rows):
-                ids, part, n, reg = unpack(batch.column("others").slice(i, 1))
-                to_ids, to_part, to_n, to_reg = unpack(batch.column("all").slice(i, 1))
+                ids, own, n, reg, sets = unpack(batch.column("others").slice(i, 1))
+                to_ids, to_own, to_n, to_reg, to_sets = unpack(batch.column("all").slice(i, 1))
+                links, joined = [], set()
+                bands = to_reg[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
                 for r in range(len(ids)):
-                    c = np.flatnonzero((to_part != part[r]) & ((reg[r] == to_reg).sum(axis=1) >= ROWS))
+                    c = np.flatnonzero((to_own != own[r]) & (100 * np.minimum(n[r], to_n) >= percent * np.maximum(n[r], to_n)))
+                    c = c[(bands[c] == reg[r, :BANDS * ROWS].reshape(BANDS, ROWS)).all(axis=2).any(axis=1)]
                     if len(c):
                         c = c[likely(np.repeat(reg[r][None], len(c), 0), to_reg[c], np.repeat(n[r], len(c)), to_n[c], percent)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[r], to_ids[c])), pa.array(np.maximum(ids[r], to_ids[c]))], names=["a", "b"])
-    return others.join(everyone, "key").select("others", "all").mapInArrow(run, "a long, b long").distinct()
+                    for q in c:
+                        pair = (min(own[r], to_own[q]), max(own[r], to_own[q]))
+                        if pair not in joined and similar(sets[r], to_sets[q], percent):   # one link joins two components
+                            joined.add(pair)
+                            links.append((min(ids[r], to_ids[q]), max(ids[r], to_ids[q])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
+    return sent.join(everyone, ["family", "block"]).select("others", "all").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -252,8 +274,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sets = staged(_one_set_each(sets, reps), "sets")
     found = staged(_links(_likely_pairs(pairs, reps, percent), sets, percent), "links")
     comp = staged(components(found), "components")
-    late = staged(_links(_unfinished(members, reps, comp, percent), sets, percent), "links")
-    if not late.isEmpty():
+    late = _unfinished(members, reps, comp, sets, percent)
+    if late is not None:
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = base.drop("registers").join(named, ["d1", "d2", "n_shingles"], "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
