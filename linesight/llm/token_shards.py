@@ -112,7 +112,8 @@ def training_order(docs: DataFrame, path: str, pattern: str | None = None, key:
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), n, key))
 
-    out = stored.join(before, "split").withColumn("slot", slot(F.col("before") + F.col("place"))).withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
+    # one row of two numbers for each task that wrote: broadcast, so that ids move once
+    out = stored.join(F.broadcast(before), "split").withColumn("slot", slot(F.col("before") + F.col("place"))).withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
     dealt = out.select("slot", "shard", "doc_id", "start", "n_tokens", "ids_crc32", "ids").repartitionById(shards, "shard").sortWithinPartitions("slot")
     full = F.rpad("ids", stride * width, F.lit(bytes(1)))
     return dealt.select("slot", "shard", (F.col("slot") % rows_per_shard * stride * width).alias("byte_offset"), "doc_id", "start", "n_tokens", "ids_crc32", full.alias("ids"))
