@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT_BYTES = 1 << 20   # bytes hashed at a time; bounds the working memory
-BATCH_BYTES = 2 << 20     # bytes of text taken at a time (one row at least)
+SEGMENT_BYTES = 1 << 19   # bytes hashed at a time; bounds the working memory
+BATCH_BYTES = 1 << 20     # bytes of text taken at a time (one row at least)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
