@@ -30,7 +30,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     from linesight.plans import load_all
     from linesight.session import build_session
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus),
+                          driver_memory=os.environ.get("LINESIGHT_DRIVER_MEMORY", "16g"))
     queries, _ = load_all()
     times = {}
     for name in names:

@@ -18,6 +18,7 @@ INT_SEP = ","              # encoded list of flawed line indices
 PREFIX_LEN = 150           # ground-truth prefix blocking length
 PREVIEW_WIDTH = 200        # preview cut
 PREVIEW_MARK = "... [truncated]"
+BLANK = r"[\s\x1c-\x1f]"     # with (?U): what Python's str.split() and strip() take as white space
 
 
 def _c(col) -> Column:
@@ -56,7 +57,7 @@ def encode_ints(arr) -> Column:
 
 def normalize_whitespace(col) -> Column:
     """Delete all (Unicode) whitespace; null -> ``""``."""
-    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?U)\s+", "")
+    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), rf"(?U){BLANK}+", "")
 
 
 def text_prefix(col, n: int = PREFIX_LEN) -> Column:
@@ -70,11 +71,11 @@ def starts_with_either(a, b) -> Column:
 
 def word_tokens(col) -> Column:
     """Whitespace tokens without empty strings (``str.split()``)."""
-    return F.filter(F.split(_c(col), r"(?U)\s+", -1), lambda t: t != "")
+    return F.filter(F.split(_c(col), rf"(?U){BLANK}+", -1), lambda t: t != "")
 
 
 def mask_literals(col, strings: bool = True, numericals: bool = True) -> Column:
-    """Replace string literals by ``"STR$ID"`` and integers by ``NUM%ID``."""
+    """(Fixed patterns and replacements.)  Replace string literals by ``"STR$ID"`` and integers by ``NUM%ID``."""
     c = _c(col)
     if strings:
         c = F.regexp_replace(c, r"(?d)(\"[^\"]*\"|'.*?')", '"STR\\$ID"')
@@ -84,10 +85,12 @@ def mask_literals(col, strings: bool = True, numericals: bool = True) -> Column:
 
 
 def strip_includes(col) -> Column:
+    """Without #include lines (fixed pattern)."""
     return F.regexp_replace(_c(col), r"(?md)^\s*#include\s+.+?(\n|$)", "")
 
 
 def strip_comments(col) -> Column:
+    """Without line and block comments (fixed patterns)."""
     c = F.regexp_replace(_c(col), r"(?d)//.*", "")
     return F.regexp_replace(c, r"/\*[\s\S]*?\*/", "")
 
@@ -97,19 +100,20 @@ def lower_text(col) -> Column:
 
 
 def strip_blank_lines(col) -> Column:
+    """Without blank lines (fixed pattern)."""
     return F.regexp_replace(_c(col), r"(?md)^\s*\n", "")
 
 
 def strip_lines(arr) -> Column:
     """Trim every line (Unicode whitespace) and drop blanks."""
-    trimmed = F.transform(_c(arr), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(_c(arr), lambda x: F.regexp_replace(x, rf"(?U)^{BLANK}+|{BLANK}+$", ""))
     return F.filter(trimmed, lambda x: x != "")
 
 
 def same_prefix(a, b) -> Column:
     """Equality up to the shorter length after removing ``\\r`` and stripping."""
     def norm(c):
-        return F.regexp_replace(F.replace(_c(c), F.lit("\r"), F.lit("")), r"(?U)^\s+|\s+$", "")
+        return F.regexp_replace(F.replace(_c(c), F.lit("\r"), F.lit("")), rf"(?U)^{BLANK}+|{BLANK}+$", "")
     na, nb = norm(a), norm(b)
     n = F.least(F.length(na), F.length(nb))
     return F.left(na, n) == F.left(nb, n)

@@ -8,6 +8,9 @@ line -> token count; the two bound families are whitespace words and
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +98,23 @@ def parse_budget_metadata(df: DataFrame, col: str = "metadata", out: str = "is_w
     if col not in df.columns:
         return df.withColumn(out, F.lit(False))
     raw = F.col(col).cast("string")
-    path = f"$.{family}.vul_line_within_128"
-    as_json = F.get_json_object(raw, path)
-    pyish = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        raw, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
-    v = F.coalesce(as_json, F.get_json_object(pyish, path))
-    return df.withColumn(out, F.coalesce(F.lower(v) == "true", F.lit(False)))
+    as_json = F.get_json_object(raw, f"$.{family}.vul_line_within_128")
+
+    @F.pandas_udf("boolean")
+    def literal_flag(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _literal_flag(t, family))
+
+    # only what the JSON path does not answer goes through the literal parser
+    literal = literal_flag(F.when(as_json.isNull(), raw))
+    return df.withColumn(out, F.coalesce(F.lower(as_json) == "true", literal, F.lit(False)))
+
+
+def _literal_flag(text: str | None, family: str) -> bool:
+    """The family's flag in a Python-literal dict; False for anything else."""
+    try:
+        value = ast.literal_eval(text) if text is not None else None
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return False
+    entry = value.get(family) if isinstance(value, dict) else None
+    flag = entry.get("vul_line_within_128") if isinstance(entry, dict) else None
+    return flag is True or (isinstance(flag, str) and flag.lower() == "true")

@@ -34,23 +34,16 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_RANGE_PARTITIONS = 100_000
+ROWS_PER_PARTITION = 1_000_000
 
 
 def range_partitions(df: DataFrame) -> int:
     """Range partitions for a global order: the session's shuffle partitions,
-    raised so that a partition holds about 128 MB by the optimizer's size
-    estimate (an explicit partition count is not resized by AQE, and every
-    range partition is one sequential task of the offset pass)."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        n = max(n, -(-size // TARGET_PARTITION_BYTES))
-    except Exception:  # noqa: BLE001 - estimates are optional
-        pass
-    return int(min(n, MAX_RANGE_PARTITIONS))
+    or more where a partition would hold over ``ROWS_PER_PARTITION`` counted
+    rows (an explicit partition count is not resized by AQE, and every range
+    partition is one sequential task of the offset pass)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, -(-df.count() // ROWS_PER_PARTITION))
 
 
 def with_global_position(df: DataFrame, order: list, hit: str = "hit",

@@ -37,7 +37,7 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 def class_rank(df: DataFrame, label: str, id_col: str, seed: int,
                counts: dict | None = None) -> tuple[DataFrame, dict]:
-    """Adds ``crank`` (1-based rank inside the class in seeded order)."""
+    """Adds ``crank`` (1-based rank inside the class in seeded order); ids are unique."""
     counts = counts if counts is not None else class_counts(df, label)
     starts, acc = {}, 0
     for c in sorted(counts, key=lambda v: (v is None, v)):
@@ -46,10 +46,12 @@ def class_rank(df: DataFrame, label: str, id_col: str, seed: int,
     start_col = F.lit(0)
     for c, s in starts.items():
         start_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(s)).otherwise(start_col)
-    zero = df.withColumn("_z", F.lit(0))
+    # only keys go through the global sort; the rows meet their rank by id
+    zero = df.select(label, id_col).withColumn("_z", F.lit(0))
     pos = with_global_position(zero, [F.col(label).asc_nulls_last(), seeded_key(id_col, seed),
                                       F.col(id_col)], hit="_z")
-    ranked = pos.withColumn("crank", F.col("pos") - start_col).drop("pos", "cum_hits", "_z")
+    ranks = pos.select(F.col(id_col).alias("_rank_id"), (F.col("pos") - start_col).alias("crank"))
+    ranked = df.join(ranks, F.col(id_col).eqNullSafe(F.col("_rank_id"))).drop("_rank_id")
     return ranked, counts
 
 
@@ -104,7 +106,7 @@ def undersample(df: DataFrame, label: str, id_col: str, seed: int, ratio: float
     else:
         quota = min(counts[maj], int(ratio * counts[mino]))
     ranked, _ = class_rank(df, label, id_col, seed, counts)
-    keep = (F.col(label) != F.lit(maj)) | (F.col("crank") <= quota)
+    keep = ~F.col(label).eqNullSafe(F.lit(maj)) | (F.col("crank") <= quota)
     return ranked.where(keep).drop("crank")
 
 
@@ -122,13 +124,14 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
         if need <= 0 or n == 0:
             continue
         draws = spark.range(need).select(
-            F.lit(c).alias(label),
+            F.lit(c).cast(df.schema[label].dataType).alias(label),
             (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)) + 1).alias("crank"))
         extra = draws if extra is None else extra.unionByName(draws)
     base = ranked.drop("crank")
     if extra is None:
         return base
-    picked = extra.join(ranked, [label, "crank"]).drop("crank")
+    drawn = extra.select(F.col(label).alias("_drawn_label"), F.col("crank").alias("_drawn"))
+    picked = drawn.join(ranked, F.col("_drawn_label").eqNullSafe(F.col(label)) & (F.col("_drawn") == F.col("crank")))
     return base.unionByName(picked.select(*base.columns))
 
 

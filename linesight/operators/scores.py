@@ -27,7 +27,8 @@ def segment_sum(token_scores: DataFrame, ranges: DataFrame, offset: int = 0,
     """Line score = sum of the token scores of its consecutive slice
     [start + offset, start + offset + n_tok); positions past the scored tokens
     contribute 0.  ``token_scores(doc_id, tok_pos, score)``."""
-    slots = ranges.select(id_col, "line_idx", F.explode(F.sequence(
+    # a line without tokens has no slots (a sequence would count down from its start)
+    slots = ranges.where("n_tok > 0").select(id_col, "line_idx", F.explode(F.sequence(
         F.col("start") + offset, F.col("start") + offset + F.col("n_tok") - 1)).alias("tok_pos"))
     slots = slots.unionByName(  # lines without tokens still get a row
         ranges.where(F.col("n_tok") == 0).select(id_col, "line_idx", F.lit(None).cast("int").alias("tok_pos")))

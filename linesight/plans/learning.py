@@ -124,7 +124,7 @@ def q_train_classifier(spark, sf_dir):
     lab = _labelled(spark, sf_dir)
     sp = Sm.stratified_split(lab, "label", "doc_id", SEED)
     train = sp.where(F.col("split") == "train")
-    bow = Fe.bag_of_words(train, min_df=2)
+    bow = Fe.bag_of_words(train, min_df=Fe.MIN_DF)
     tr = Fe.with_class_weights(Fe.featurize(bow, train), "label")
     model = Fe.classifier("rf", weight="weight", seed=SEED).fit(tr)
     test = Fe.featurize(bow, sp.where(F.col("split") != "train"))
@@ -146,7 +146,7 @@ def q_cross_validate(spark, sf_dir):
     for k in range(10):
         train = folds.where(F.col("fold") != k)
         test = folds.where(F.col("fold") == k)
-        bow = Fe.bag_of_words(train, min_df=2)
+        bow = Fe.bag_of_words(train, min_df=Fe.MIN_DF)
         model = Fe.classifier("nb").fit(Fe.featurize(bow, train))
         pred = model.transform(Fe.featurize(bow, test)).select(
             F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))

@@ -15,11 +15,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "linesight") -> SparkSession:
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app_name: str = "linesight", driver_memory: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,11 +27,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         # drop checkpoint files once their relation is no longer referenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        # local mode runs every task in the driver JVM: give it the memory
-        .config("spark.driver.memory", os.environ.get("LINESIGHT_DRIVER_MEMORY", "16g"))
     )
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:   # local mode runs every task in the driver JVM
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -43,8 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    it is used as is.  Only a session without it (local tests) gets a fresh
-    ``mktemp``-style directory.
+    it is used as is.  Only a local session without it (tests) gets a fresh
+    ``mktemp``-style directory; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="linesight-ckpt-",
                                     dir=os.environ.get("TMPDIR", "/tmp"))

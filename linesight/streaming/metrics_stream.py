@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def run_document_stream(spark: SparkSession, source_glob: str, schema: str, sink_dir: str,
                         checkpoint_dir: str, plan: Callable[[DataFrame], DataFrame],
-                        max_files_per_trigger: int = 1) -> None:
+                        max_files_per_trigger: int | None = None) -> None:
     """Process every available file of ``source_glob`` (availableNow) with a
     stateless ``plan`` into a Parquet file sink (exactly-once through the
     sink's log and the checkpoint)."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_glob))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source_glob)
     q = (plan(src).writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
