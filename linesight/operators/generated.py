@@ -116,6 +116,12 @@ def exact_match(df: DataFrame, pred: str, label: str) -> "F.Column":
     return F.avg((F.col(pred) == F.col(label)).cast("double"))
 
 
+def exact_match_truncated(df: DataFrame, pred: str, label: str, max_chars: int) -> "F.Column":
+    """Share of rows whose prediction equals the label cut to the generator's
+    output length."""
+    return F.avg((F.col(pred) == F.substring(F.col(label), 1, max_chars)).cast("double"))
+
+
 def line_count_stats(df: DataFrame, pred: str = "pred_text", label: str = "label_text") -> DataFrame:
     """Mean / median number of predicted and actual lines (``""`` counts one)."""
     pn = F.size(T.split_lines(F.coalesce(F.col(pred), F.lit(""))))

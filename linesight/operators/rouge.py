@@ -1,10 +1,9 @@
 """ROUGE between predicted and reference texts.
 
-ROUGE-1/2 are counted n-gram overlaps per row: n-grams are exploded and
-counted per (row, n-gram) on each side, met in a full outer join and
-summed as Σ min (the multiset intersection).  ROUGE-L / Lsum need a longest
-common subsequence, a per-row dynamic programme: an Arrow-batched pandas
-UDF over the two token arrays of one row (no stemming).
+ROUGE-1/2 are counted n-gram overlaps within the row: both n-gram arrays are
+sorted together and folded once (the multiset intersection), without an
+exchange.  ROUGE-L / Lsum need a longest common subsequence: an Arrow-batched
+pandas UDF over the token arrays of one row, bit-parallel (no stemming).
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from linesight.operators.overlap import multiset_overlap_arrays
+
 TOKEN_PATTERN = "[a-z0-9]+"  # fixed: lower-cased ASCII alphanumeric runs
 
 
@@ -23,58 +24,65 @@ def rouge_tokens(col) -> "F.Column":
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
-def _ngrams(df: DataFrame, id_col: str, toks: str, n: int) -> DataFrame:
-    grams = F.transform(F.sequence(F.lit(0), F.size(toks) - n),
-                        lambda i: F.array_join(F.slice(F.col(toks), i + 1, n), " "))
-    g = F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
-    return df.select(id_col, F.explode(g).alias("gram")).groupBy(id_col, "gram").agg(
-        F.count(F.lit(1)).alias("c"))
-
+def _ngrams(toks, n: int) -> "F.Column":
+    """Array of the n-grams of a token array (empty for fewer tokens)."""
+    if n == 1:
+        return toks
+    length = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(toks, 1 + i, length).alias(f"g{i}") for i in range(n)])
+    return F.transform(shifted, lambda g: F.concat_ws(" ", *[g[f"g{i}"] for i in range(n)]))
 
-def _f(overlap, pn, rn):
-    p = F.when(pn > 0, overlap / pn).otherwise(0.0)
-    r = F.when(rn > 0, overlap / rn).otherwise(0.0)
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
-
-def rouge_n(df: DataFrame, pred: str, ref: str, id_col: str = "doc_id", n: int = 1) -> DataFrame:
-    """(doc_id, rouge<n>_f) per row."""
+def rouge_n(df: DataFrame, pred: str, ref: str, id_col: str = "doc_id", n: int | tuple = 1) -> DataFrame:
+    """(doc_id, rouge<n>_f) per row, for one n or several: a row-local counted
+    overlap of n-grams, no exchange."""
+    ns = (n,) if isinstance(n, int) else n
     t = df.select(id_col, rouge_tokens(pred).alias("pt"), rouge_tokens(ref).alias("rt"))
-    pg = _ngrams(t, id_col, "pt", n).withColumnRenamed("c", "cp")
-    rg = _ngrams(t, id_col, "rt", n).withColumnRenamed("c", "cr")
-    both = pg.join(rg, [id_col, "gram"], "full").na.fill(0, ["cp", "cr"])
-    agg = both.groupBy(id_col).agg(F.sum(F.least("cp", "cr")).alias("o"), F.sum("cp").alias("pn"),
-                                   F.sum("cr").alias("rn"))
-    out = t.select(id_col).join(agg, id_col, "left").na.fill(0, ["o", "pn", "rn"])
-    return out.select(id_col, _f(F.col("o").cast("double"), F.col("pn"), F.col("rn"))
-                      .alias(f"rouge{n}_f"))
+    t = t.select(id_col, *[_ngrams(F.col(c), k).alias(f"{c}{k}") for k in ns for c in ("pt", "rt")])
+    scored = t
+    for k in ns:
+        _, _, p, r, _ = multiset_overlap_arrays(F.col(f"rt{k}"), F.col(f"pt{k}"))
+        scored = scored.withColumn(f"_p{k}", p).withColumn(f"_r{k}", r)
+    both = [(f"_p{k}", f"_r{k}", f"rouge{k}_f") for k in ns]
+    return scored.select(id_col, *[F.when(F.col(p) + F.col(r) > 0, 2 * F.col(p) * F.col(r) / (F.col(p) + F.col(r))).otherwise(F.lit(0.0)).alias(o) for p, r, o in both])
+
+
+def rouge_means(scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row: the mean of every score column over all rows."""
+    return scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c != id_col])
+
+
+def _lcs_rows(ref, cand) -> list[int]:
+    """One integer for each prefix of ref: bit j is 0 where the longest common
+    subsequence with cand grows at cand[j] (bit-parallel, one word a row)."""
+    places: dict = {}
+    for j, y in enumerate(cand):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(cand)) - 1
+    rows = [full]
+    for x in ref:
+        v = rows[-1]
+        u = v & places.get(x, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
 
 
 def _lcs(a, b) -> int:
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0]
-        for j, y in enumerate(b):
-            cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
+    return len(b) - _lcs_rows(a, b)[-1].bit_count()
 
 
 def _lcs_table_hits(ref, cand):
     """Indices of ref tokens on one LCS of (ref, cand)."""
-    m, n = len(ref), len(cand)
-    t = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            t[i + 1][j + 1] = t[i][j] + 1 if ref[i] == cand[j] else max(t[i][j + 1], t[i + 1][j])
-    hits, i, j = set(), m, n
+    rows = _lcs_rows(ref, cand)
+
+    def length(i, j):
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+    hits, i, j = set(), len(ref), len(cand)
     while i > 0 and j > 0:
         if ref[i - 1] == cand[j - 1]:
             hits.add(i - 1)
             i, j = i - 1, j - 1
-        elif t[i - 1][j] >= t[i][j - 1]:
+        elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
         else:
             j -= 1

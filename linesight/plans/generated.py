@@ -140,6 +140,25 @@ def q_exact_match(spark, sf_dir):
                  Gn.exact_match(t, "sim_text", "label").alias("exact_match_after"))
 
 
+LABEL_CHARS = 80   # the binding's output length, also in the SQL
+
+
+@register("exact_match_truncated", sql=S.GEN + """,
+pt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pred_pos) AS t FROM preds GROUP BY doc_id),
+st AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pred_pos) AS t FROM repl GROUP BY doc_id),
+lt AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_idx)
+                               FILTER (WHERE hit = 1 AND target = 1), '') AS t
+       FROM plines GROUP BY doc_id)
+SELECT round(avg(CAST(pt.t = substr(lt.t, 1, 80) AS DOUBLE)), 6) AS exact_match_before,
+       round(avg(CAST(st.t = substr(lt.t, 1, 80) AS DOUBLE)), 6) AS exact_match_after
+FROM lt LEFT JOIN pt USING (doc_id) LEFT JOIN st USING (doc_id)""")
+def q_exact_match_truncated(spark, sf_dir):
+    """Against labels cut to the output length."""
+    t = _texts(spark, sf_dir).withColumn("label", F.coalesce("label_text", F.lit("")))
+    return t.agg(Gn.exact_match_truncated(t, "pred_text", "label", LABEL_CHARS).alias("exact_match_before"),
+                 Gn.exact_match_truncated(t, "sim_text", "label", LABEL_CHARS).alias("exact_match_after"))
+
+
 @register("line_count_stats", sql=S.GEN + """,
 pt AS (SELECT doc_id, count(*) AS n FROM preds GROUP BY doc_id),
 lt AS (SELECT doc_id, greatest(count_if(hit = 1 AND target = 1), 1) AS n FROM plines GROUP BY doc_id)

@@ -217,13 +217,22 @@ SELECT rr.doc_id, round(coalesce(a.fm, 0.0), 6) AS rouge1_f, round(coalesce(b.fm
 FROM rr LEFT JOIN ff a ON a.doc_id = rr.doc_id AND a.n = 1 LEFT JOIN ff b ON b.doc_id = rr.doc_id AND b.n = 2""")
 def q_rouge_n(spark, sf_dir):
     """ROUGE-1 / ROUGE-2 F between predicted lines and the labelled lines."""
+    return _rouge_scores(spark, sf_dir)
+
+
+def _rouge_scores(spark, sf_dir):
     from linesight.operators import generated as Gn
     pos = B.generated_positives(spark, sf_dir).select("doc_id", "label_text")
     pt = Gn.pred_text(B.positive_preds(spark, sf_dir), out="pred_text")
-    t = pos.join(pt, "doc_id", "left")
-    r1 = Rg.rouge_n(t, "pred_text", "label_text", n=1)
-    r2 = Rg.rouge_n(t, "pred_text", "label_text", n=2)
-    return r1.join(r2, "doc_id")
+    return Rg.rouge_n(pos.join(pt, "doc_id", "left"), "pred_text", "label_text", n=(1, 2))
+
+
+@register("rouge_mean", sql=_ROUGE + """
+SELECT round(avg(coalesce(a.fm, 0.0)), 6) AS rouge1_f, round(avg(coalesce(b.fm, 0.0)), 6) AS rouge2_f
+FROM rr LEFT JOIN ff a ON a.doc_id = rr.doc_id AND a.n = 1 LEFT JOIN ff b ON b.doc_id = rr.doc_id AND b.n = 2""")
+def q_rouge_mean(spark, sf_dir):
+    """Mean ROUGE-1 / ROUGE-2 F over all rows."""
+    return Rg.rouge_means(_rouge_scores(spark, sf_dir))
 
 
 @register("rouge_l")

@@ -39,3 +39,31 @@ def test_null_class_is_a_class_of_its_own(spark):
     assert {r.label: r["count"] for r in half.groupBy("label").count().collect()} == {None: 10, "a": 4}
     split = Sa.stratified_split(df, "label", "id", 1).collect()
     assert sorted(r.id for r in split) == list(range(50))
+
+
+def test_longest_common_subsequence():
+    import random
+
+    from linesight.operators import rouge as Rg
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        hits = sorted(Rg._lcs_table_hits(a, b))
+        assert Rg._lcs(a, b) == table[-1][-1] == len(hits)
+        it = iter(b)
+        assert all(any(y == a[i] for y in it) for i in hits)
+
+
+def test_rouge_by_hand(spark):
+    from linesight.operators import rouge as Rg
+    df = spark.createDataFrame([(1, "a b c", "a b d e"), (2, "", "x"), (3, None, None), (4, "x x y", "x y y")], "doc_id long, p string, r string")
+    got = {r.doc_id: (round(r.rouge1_f, 6), round(r.rouge2_f, 6)) for r in Rg.rouge_n(df, "p", "r", n=(1, 2)).collect()}
+    assert got == {1: (round(4 / 7, 6), 0.4), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (round(4 / 6, 6), 0.5)}
+    lcs = {r.doc_id: round(r.rougeL_f, 6) for r in Rg.rouge_l(df, "p", "r").collect()}
+    assert lcs == {1: round(4 / 7, 6), 2: 0.0, 3: 0.0, 4: round(4 / 6, 6)}
+    mean = Rg.rouge_means(Rg.rouge_n(df, "p", "r", n=(1, 2))).first()
+    assert round(mean.rouge2_f, 6) == 0.225
