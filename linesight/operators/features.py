@@ -3,7 +3,7 @@
 Vocabularies are built relationally (distinct (document, term) pairs
 counted per term, map-side pre-aggregated), so there is no vocabulary-size
 cap; CountVectorizer is then created from that vocabulary.  Token -> vector
-lookups use the salted join (frequent tokens are hot keys).  Model fitting
+lookups use the token join (frequent tokens are hot keys).  Model fitting
 is MLlib (distributed); the only Python in tasks is Arrow-batched scoring.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from linesight.functions import text as T
-from linesight.operators.cleaning import DEFAULT_SALTS, _salted_join
+from linesight.operators.cleaning import _token_join
 
 MIN_DF = 20                 # fixed: minimum document frequency of a bag-of-words term
 TERM_PATTERN = r"(?U)\w+"   # runs of word characters; terms need >= 2 of them
@@ -65,11 +65,10 @@ def token_index(df: DataFrame, text: str = "text") -> DataFrame:
     return idx.select("tok", (F.col("_i") + 1).alias("idx"), "count")
 
 
-def index_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "doc_id",
-                    salts: int = DEFAULT_SALTS) -> DataFrame:
+def index_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, seq array<int>): token ids in text order (unknown tokens dropped)."""
     occ = df.select(id_col, F.posexplode(T.word_tokens(F.lower(F.col(text)))).alias("pos", "tok"))
-    j = _salted_join(occ, vocab.select("tok", "idx"), salts, id_col)
+    j = _token_join(occ, vocab.select("tok", "idx"), id_col)
     seqs = j.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))),
                                              lambda s: s["idx"]).alias("seq"))
     return df.select(id_col).join(seqs, id_col, "left").withColumn(
@@ -92,10 +91,10 @@ def train_word2vec(train: DataFrame, text: str = "text", dim: int = 100, window:
 
 
 def token_vector_join(df: DataFrame, vectors: DataFrame, text: str = "text",
-                      id_col: str = "doc_id", salts: int = DEFAULT_SALTS) -> DataFrame:
+                      id_col: str = "doc_id") -> DataFrame:
     """(doc_id, pos, tok, vector) for in-vocabulary tokens (OOV dropped)."""
     occ = df.select(id_col, F.posexplode(T.word_tokens(text)).alias("pos", "tok"))
-    return _salted_join(occ, vectors.select(F.col("word").alias("tok"), "vector"), salts, id_col)
+    return _token_join(occ, vectors.select(F.col("word").alias("tok"), "vector"), id_col)
 
 
 def document_vectors(df: DataFrame, vectors: DataFrame, text: str = "text",

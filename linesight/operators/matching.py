@@ -4,6 +4,8 @@ Exact match: the ground truth is first reduced to one row per normalized
 text carrying the first index overall and the first index per class, so a
 text duplicated across a third of the table still meets every left row in
 a single one-row-per-key equi join (AQE splits a hot left key; no pairs).
+Texts are joined by the 128-bit digest of their normalized form, so exact
+matching shuffles no text.
 
 Prefix fallback (rows without an exact match): candidates share the first
 150 normalized characters, and those where one text starts with the other
@@ -35,6 +37,11 @@ def prepare_ground_truth(gt: DataFrame, func: str = "func", idx: str = "gt_idx",
                      _coerce_target(target).alias("gt_target"))
 
 
+def digest(col) -> "F.Column":
+    """Join key of a text: 128 bits instead of the text itself."""
+    return F.unhex(F.md5(F.encode(col, "UTF-8")))
+
+
 def _first_by_class(g: DataFrame, key: str) -> DataFrame:
     return g.groupBy(key).agg(
         F.min("gt_idx").alias("first_any"),
@@ -46,16 +53,16 @@ def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: st
                 target: str = "target") -> DataFrame:
     """(row_id, gt_idx) for rows whose normalized text equals a ground-truth
     text: the first candidate with the same class, else the first."""
-    g = _first_by_class(prepare_ground_truth(gt), "norm")
-    rows = left.select(id_col, T.normalize_whitespace(func).alias("norm"), F.col(target).alias("_t"))
-    m = rows.join(g, "norm")
+    g = prepare_ground_truth(gt).select("gt_idx", "gt_target", digest(F.col("norm")).alias("dig"))
+    rows = left.select(id_col, digest(T.normalize_whitespace(func)).alias("dig"), F.col(target).alias("_t"))
+    m = rows.join(_first_by_class(g, "dig"), "dig")
     pick = F.coalesce(F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0")),
                       F.col("first_any"))
     return m.select(id_col, pick.alias("gt_idx"))
 
 
 _MAX_LEVELS = 62  # dyadic levels: positions are longs
-PAIRWISE_BLOCK_LIMIT = 64  # blocks up to this many candidates are tested pair by pair
+_TOP_LEVELS = 13  # the levels of few blocks: fewer than 2 ** (_TOP_LEVELS + 1) rows, broadcast
 
 
 def _dyadic_blocks(lo, hi, levels: int = _MAX_LEVELS) -> "F.Column":
@@ -80,100 +87,97 @@ def _dyadic_blocks(lo, hi, levels: int = _MAX_LEVELS) -> "F.Column":
 
 
 def _dyadic_min_tables(base: DataFrame, pos: str, vals: list[str], levels: int) -> DataFrame:
-    """(lvl, j, mins...) for every aligned block of 0-based positions; level
-    l+1 is built from level l, so all levels together hold < 2x the rows."""
-    level = base.select(F.lit(0).alias("lvl"), F.col(pos).cast("long").alias("j"), *vals)
-    out = level
-    for lvl in range(1, levels + 1):
-        level = (level.groupBy(F.shiftright("j", 1).alias("j"))
-                 .agg(*[F.min(v).alias(v) for v in vals]).withColumn("lvl", F.lit(lvl)))
-        out = out.unionByName(level.select("lvl", "j", *vals))
-    return out
+    """(lvl, j, mins...) for every aligned block of 0-based positions: one
+    aggregate over (level, position >> level) with map-side minima."""
+    each = base.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"),
+                       F.col(pos).cast("long").alias("_p"), *vals)
+    return (each.select("lvl", F.expr("shiftright(_p, lvl)").alias("j"), *vals)
+            .groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
+
 
+def _probe(probes: DataFrame, table: DataFrame, levels: int) -> DataFrame:
+    """Join (lvl, j) probes to block minima.  A level l holds at most
+    2 ** (levels - l) blocks, so the highest levels are hot keys but few rows:
+    they are broadcast.  On the levels below, one block covers at most a
+    2 ** -_TOP_LEVELS share of the positions, and the join is shuffled."""
+    high = F.col("lvl") > levels - _TOP_LEVELS
+    return (probes.where(~high).join(table.where(~high), ["lvl", "j"])
+            .unionByName(probes.where(high).join(F.broadcast(table.where(high)), ["lvl", "j"])))
 
-def _possible_mins(keys_r: DataFrame, g: DataFrame, n: int) -> DataFrame:
-    """For every distinct unmatched text R: min first-index (any, class 1,
-    class 0) over ground-truth texts G where one starts with the other.
+
+def _possible_mins(r: DataFrame, g: DataFrame, n: int) -> DataFrame:
+    """(rdig, mins): for every distinct unmatched text R (``r``: dig, norm) the
+    first index (any, class 1, class 0) over ground-truth texts G (``g``: dig,
+    norm, first indexes) where one starts with the other.
 
     One global byte order of all R, G and their upper probes (key || 0xFF)
     gives, for each R, the range of G positions that extend R (descendants:
     a contiguous run), and for each G, the range of R positions that extend
     G (its ancestors' stabbing ranges).  Range minima come from aligned
     dyadic tables (descendants) and dyadic stabbing records (ancestors):
-    O(log N) equi-join probes per text, never a pair of texts."""
+    O(log N) equi-join probes per text, never a pair of texts.  A text moves
+    as two sort keys (key, key || 0xFF) only; from there on digests stand for it."""
     from linesight.operators.global_order import with_global_position
-    hi_byte = F.unhex(F.lit("FF"))
+    from linesight.session import materialize
     vals = ["first_any", "first_1", "first_0"]
-    rk = keys_r.select(F.col("rnorm").alias("norm"), F.encode("rnorm", "UTF-8").alias("key"))
-    gk = g.select("norm", F.encode("norm", "UTF-8").alias("key"), *vals)
-    recs = (rk.select("key", F.lit(1).alias("kind"), F.lit(1).alias("is_r"), F.lit(0).alias("is_g"),
-                      "norm")
-            .unionByName(rk.select(F.concat("key", hi_byte).alias("key"), F.lit(2).alias("kind"),
-                                   F.lit(0).alias("is_r"), F.lit(0).alias("is_g"), "norm"))
-            .unionByName(gk.select("key", F.lit(3).alias("kind"), F.lit(0).alias("is_r"),
-                                   F.lit(1).alias("is_g"), "norm"))
-            .unionByName(gk.select(F.concat("key", hi_byte).alias("key"), F.lit(4).alias("kind"),
-                                   F.lit(0).alias("is_r"), F.lit(0).alias("is_g"), "norm")))
-    pos = with_global_position(recs, ["key", "kind", "norm"], hit="is_g", sums=["is_r"])
-    totals = pos.agg(F.max("cum_hits").alias("g"), F.max("cum_is_r").alias("r")).first()
+    key = F.encode("norm", "UTF-8")
+
+    def records(df, kind):
+        tagged = df.select("dig", F.length("norm").alias("len"), F.inline(F.array(
+            F.struct(key.alias("key"), F.lit(kind).alias("kind")),
+            F.struct(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(kind + 1).alias("kind")))))
+        return tagged.select("*", (F.col("kind") == 1).cast("int").alias("is_r"),
+                             (F.col("kind") == 3).cast("int").alias("is_g"))
+    recs = records(r, 1).unionByName(records(g, 3))
+    pos = with_global_position(recs, ["key", "kind", "dig"], hit="is_g", sums=["is_r"])
+    # positions by digest, without the texts: one row per R and per G
+    edges = materialize(pos.groupBy("dig", F.col("kind") >= 3).agg(
+        F.max("len").alias("len"),
+        F.min("cum_hits").alias("g_lo"), F.max("cum_hits").alias("g_hi"),
+        F.min("cum_is_r").alias("r_lo"), F.max("cum_is_r").alias("r_hi")).toDF(
+        "dig", "of_g", "len", "g_lo", "g_hi", "r_lo", "r_hi"))
+    totals = edges.agg(F.max("g_hi").alias("g"), F.max("r_hi").alias("r")).first()
     levels = max(1, int(max(totals["g"] or 0, totals["r"] or 0)).bit_length())
-    pos = pos.select("norm", "kind", F.col("cum_hits").alias("g_le"), F.col("cum_is_r").alias("r_le"))
-    # descendants of R: G positions (#G <= R, #G < R||FF]  (0-based [g_lo, g_hi))
-    r_lo = pos.where("kind = 1").select("norm", F.col("g_le").alias("g_lo"), F.col("r_le").alias("r_pos"))
-    r_hi = pos.where("kind = 2").select("norm", F.col("g_le").alias("g_hi"))
-    rr = r_lo.join(r_hi, "norm")
-    g_pos = pos.where("kind = 3").select("norm", (F.col("g_le") - 1).alias("g_pos"),
-                                         F.col("r_le").alias("r_lo"))
-    g_hi = pos.where("kind = 4").select("norm", F.col("r_le").alias("r_hi"))
-    gp = g_pos.join(g_hi, "norm").join(g.select("norm", *vals, F.length("norm").alias("glen")), "norm")
-    gp = gp.checkpoint(eager=True)      # used by both directions; cut its lineage once
-    tables = _dyadic_min_tables(gp, "g_pos", vals, levels)
-    probes = rr.select("norm", F.explode(_dyadic_blocks(F.col("g_lo"), F.col("g_hi"), levels))
-                       .alias("b"))
-    desc = (probes.select("norm", F.col("b.lvl").alias("lvl"), F.col("b.j").alias("j"))
-            .join(tables, ["lvl", "j"]).groupBy("norm").agg(*[F.min(v).alias(v) for v in vals]))
+    rr = edges.where("not of_g").withColumnRenamed("dig", "rdig")
+    gp = materialize(edges.where("of_g").join(g.select("dig", *vals), "dig"))   # read in both directions
+    block = lambda lo, hi: F.explode(_dyadic_blocks(F.col(lo), F.col(hi), levels)).alias("b")
+    # descendants of R: G positions (#G <= R, #G < R||FF], 0-based [g_lo, g_hi)
+    tables = _dyadic_min_tables(gp.withColumn("_at", F.col("g_lo") - 1), "_at", vals, levels)
+    probes = rr.select("rdig", block("g_lo", "g_hi")).select("rdig", "b.lvl", "b.j")
+    desc = _probe(probes, tables, levels)
     # ancestors of R: G (at least n long, so in R's block) whose R-range covers R
-    stab = (gp.where(F.col("glen") >= n)
-            .select(F.explode(_dyadic_blocks(F.col("r_lo"), F.col("r_hi"), levels)).alias("b"), *vals)
-            .select(F.col("b.lvl").alias("lvl"), F.col("b.j").alias("j"), *vals)
-            .groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
-    r_levels = rr.select("norm", (F.col("r_pos") - 1).alias("q")).select(
-        "norm", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"), "q")
-    r_levels = r_levels.select("norm", "lvl", F.expr("shiftright(q, lvl)").alias("j"))
-    anc = r_levels.join(stab, ["lvl", "j"]).groupBy("norm").agg(*[F.min(v).alias(v) for v in vals])
-    both = desc.unionByName(anc)
-    return both.groupBy(F.col("norm").alias("rnorm")).agg(*[F.min(v).alias(v) for v in vals])
+    stab = (gp.where(F.col("len") >= n).select(block("r_lo", "r_hi"), *vals)
+            .select("b.lvl", "b.j", *vals).groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
+    places = rr.select("rdig", (F.col("r_lo") - 1).alias("_q"),
+                       F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"))
+    anc = _probe(places.select("rdig", "lvl", F.expr("shiftright(_q, lvl)").alias("j")), stab, levels)
+    both = desc.select("rdig", *vals).unionByName(anc.select("rdig", *vals))
+    return both.groupBy("rdig").agg(*[F.min(v).alias(v) for v in vals])
 
 
 def match_prefix(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
-                 target: str = "target", n: int = T.PREFIX_LEN,
-                 block_limit: int = PAIRWISE_BLOCK_LIMIT) -> DataFrame:
+                 target: str = "target", n: int = T.PREFIX_LEN) -> DataFrame:
     """(row_id, gt_idx) for rows (already without an exact match) whose first
     n normalized characters equal a ground-truth prefix.  One candidate is
     taken as is; otherwise candidates where either text starts with the other
     win, among them the same class first, each time the first index; with no
-    such candidate, the block's first.  Blocks of at most ``block_limit``
-    candidates test their (bounded) pairs directly; larger blocks take the
-    pair-free ``_possible_mins``.  Both paths are exact."""
-    g = prepare_ground_truth(gt)
-    gd = _first_by_class(g, "norm").withColumn("prefix", F.substring("norm", 1, n))
-    blocks = g.groupBy(F.substring("norm", 1, n).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n_cand"), F.min("gt_idx").alias("block_first"))
-    rows = left.select(id_col, T.normalize_whitespace(func).alias("rnorm"), F.col(target).alias("_t"))
-    rows = rows.withColumn("prefix", F.substring("rnorm", 1, n))
-    in_block = rows.join(blocks, "prefix")
-    vals = ["first_any", "first_1", "first_0"]
-    # small blocks: at most ``block_limit`` candidates per text, tested directly
-    small = in_block.where((F.col("n_cand") > 1) & (F.col("n_cand") <= block_limit)) \
-        .select("rnorm", "prefix").distinct()
-    mins = (small.join(gd, "prefix").where(T.starts_with_either("norm", "rnorm"))
-            .groupBy("rnorm").agg(*[F.min(v).alias(v) for v in vals]))
-    # large blocks: the pair-free order / dyadic method
-    big = in_block.where(F.col("n_cand") > block_limit).select("rnorm", "prefix").distinct()
-    if big.limit(1).count() > 0:
-        big_gd = gd.join(big.select("prefix").distinct(), "prefix", "left_semi")
-        mins = mins.unionByName(_possible_mins(big.select("rnorm"), big_gd.drop("prefix"), n))
-    res = in_block.join(mins, "rnorm", "left")
+    such candidate, the block's first.  Blocks are keyed by the digest of the
+    prefix, and no two texts of a block are compared as a pair."""
+    from linesight.session import materialize
+    block = digest(F.substring("norm", 1, n)).alias("block")
+    g = prepare_ground_truth(gt).select("*", digest(F.col("norm")).alias("dig"), block)
+    blocks = g.groupBy("block").agg(F.count(F.lit(1)).alias("n_cand"), F.min("gt_idx").alias("block_first"))
+    rows = left.select(id_col, T.normalize_whitespace(func).alias("norm"), F.col(target).alias("_t"))
+    rows = rows.select(id_col, "_t", "norm", digest(F.col("norm")).alias("rdig"), block)
+    in_block = materialize(rows.drop("norm").join(blocks, "block"))
+    several = in_block.where(F.col("n_cand") > 1)
+    wanted, hot = several.select("rdig").distinct(), several.select("block").distinct()
+    # texts of these blocks alone, once each
+    r = rows.join(wanted, "rdig", "left_semi").groupBy(F.col("rdig").alias("dig")).agg(F.first("norm").alias("norm"))
+    gd = g.join(hot, "block", "left_semi")
+    texts = gd.groupBy("dig").agg(F.first("norm").alias("norm"))
+    gd = texts.join(_first_by_class(gd.drop("norm"), "dig"), "dig")
+    res = in_block.join(_possible_mins(r, gd, n), "rdig", "left")
     same = F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))
     pick = F.when(F.col("n_cand") == 1, F.col("block_first")).otherwise(
         F.coalesce(same, F.col("first_any"), F.col("block_first")))

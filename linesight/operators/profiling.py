@@ -103,22 +103,25 @@ def length_reduce(df: DataFrame, text: str = "text") -> DataFrame:
     m = n - #{len <= lower or len >= upper}; max_len = m-th smallest length
     (the largest when m = 0); keep rows with len < max_len (strict).
 
-    The m-th smallest length comes from the histogram of distinct lengths
-    (cumulative counts over at most max-length rows)."""
+    Two passes over the texts: one builds the histogram of lengths (one row per
+    distinct length), which gives the quartiles and the m-th smallest length;
+    the other filters."""
+    from linesight.operators.global_order import with_global_position
+    from linesight.session import materialize
     withlen = df.withColumn("length", F.size(T.word_tokens(text)))
-    st = length_stats(df, text).select("lower", "upper")
-    hist = withlen.groupBy("length").count()
-    bounds = st.first()
-    lower, upper = float(bounds["lower"]), float(bounds["upper"])
+    hist = materialize(withlen.groupBy("length").agg(F.count(F.lit(1)).alias("count")))
+    q = hist.agg(F.percentile("length", 0.25, F.col("count")).alias("q1"),
+                 F.percentile("length", 0.75, F.col("count")).alias("q3")).first()
+    if q["q1"] is None:
+        return withlen
+    iqr = q["q3"] - q["q1"]
+    lower, upper = q["q1"] - 1.5 * iqr, q["q3"] + 1.5 * iqr
     tot = hist.agg(F.sum("count").alias("n"),
                    F.sum(F.when((F.col("length") <= lower) | (F.col("length") >= upper),
                                 F.col("count")).otherwise(0)).alias("out")).first()
-    n, m = int(tot["n"] or 0), int(tot["n"] or 0) - int(tot["out"] or 0)
-    if n == 0:
-        return withlen
-    k = m if m > 0 else n
-    from linesight.operators.global_order import with_global_position
-    cum = with_global_position(hist, [F.col("length").asc()], hit="count")  # over distinct lengths
+    m = tot["n"] - tot["out"]
+    k = m if m > 0 else tot["n"]
+    cum = with_global_position(hist, [F.col("length").asc()], hit="count", partitions=1)
     max_len = cum.where(F.col("cum_hits") >= k).agg(F.min("length")).first()[0]
     return withlen.where(F.col("length") < F.lit(int(max_len)))
 

@@ -182,7 +182,7 @@ def augment_minority(df: DataFrame, text: str, label: str, id_col: str, seed: in
 
 
 def perturb_synonym(docs: DataFrame, synonyms: DataFrame, text: str, id_col: str, seed: int,
-                    p: float = 0.3, max_n: int = 10, salts: int = 8) -> DataFrame:
+                    p: float = 0.3, max_n: int = 10) -> DataFrame:
     """Replace words that have a synonym (``synonyms(tok, syn)``, one row per
     word): each candidate occurrence draws u = hash(doc, pos, seed); the k
     candidates with the smallest draws are replaced, k = clamp(#(u < p), 1,
@@ -191,9 +191,9 @@ def perturb_synonym(docs: DataFrame, synonyms: DataFrame, text: str, id_col: str
     from pyspark.sql import Window
 
     from linesight.functions import text as T
-    from linesight.operators.cleaning import _salted_join
+    from linesight.operators.cleaning import _token_join
     occ = docs.select(id_col, F.posexplode(T.word_tokens(text)).alias("pos", "tok"))
-    cand = _salted_join(occ, synonyms.select("tok", "syn"), salts, id_col)
+    cand = _token_join(occ, synonyms.select("tok", "syn"), id_col)
     cand = cand.withColumn("u", F.pmod(F.xxhash64(id_col, "pos", F.lit(seed)), F.lit(1000000))
                            / 1000000.0)
     w_all = Window.partitionBy(id_col)

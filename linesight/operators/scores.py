@@ -3,7 +3,7 @@
 All of these are relational: tokens are exploded with their position, line
 token ranges are running offsets within a document, and a token meets its
 line through an equi join on (document, position) - never a per-row Python
-loop.  Weight lookups by token use the salted join of the cleaning module,
+loop.  Weight lookups by token use the token join of the cleaning module,
 since frequent tokens are hot keys.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesight.functions import text as T
-from linesight.operators.cleaning import DEFAULT_SALTS, _salted_join
+from linesight.operators.cleaning import _token_join
 
 
 def line_token_ranges(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -36,12 +36,11 @@ def segment_sum(token_scores: DataFrame, ranges: DataFrame, offset: int = 0,
     return j.groupBy(id_col, "line_idx").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
 
 
-def lookup_sum(lines: DataFrame, weights: DataFrame, id_col: str = "doc_id",
-               salts: int = DEFAULT_SALTS) -> DataFrame:
+def lookup_sum(lines: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Line score = Σ weight(token) over the line's whitespace tokens, missing
     weights 0.  ``weights(tok, weight)`` has one row per token."""
     occ = lines.select(id_col, "line_idx", F.posexplode(T.word_tokens("line")).alias("pos", "tok"))
-    joined = _salted_join(occ, weights, salts, id_col)
+    joined = _token_join(occ, weights, id_col)
     scores = joined.groupBy(id_col, "line_idx").agg(F.sum("weight").alias("score"))
     return (lines.select(id_col, "line_idx").join(scores, [id_col, "line_idx"], "left")
             .withColumn("score", F.coalesce("score", F.lit(0.0))))

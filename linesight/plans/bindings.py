@@ -29,16 +29,20 @@ N_PREDICTED = 3
 
 
 def shared(fn):
-    """Base relation read several times by one query: inside a registered
-    query call it is computed once and checkpointed (lineage cut), and every
-    later use in the same call reads that copy instead of re-scanning and
-    re-splitting the source.  Outside a query call it is returned as is."""
+    """Base relation of a query.  Its first use in a registered query call is
+    the plain plan, so a query that reads it once keeps column pruning and
+    pushed filters down to the scan.  From the second use on it is computed
+    once and checkpointed (lineage cut), and later uses read that copy.
+    Outside a query call it is returned as is."""
     def wrapper(spark, sf_dir, *args):
         cache = scope_cache()
         if cache is None:
             return fn(spark, sf_dir, *args)
         key = (fn.__name__, sf_dir, args)
         if key not in cache:
+            cache[key] = None
+            return fn(spark, sf_dir, *args)
+        if cache[key] is None:
             cache[key] = materialize(fn(spark, sf_dir, *args))
         return cache[key]
     wrapper.__name__ = fn.__name__
@@ -67,14 +71,13 @@ def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exploded, labelled, scored lines of every document."""
+    """Exploded, labelled, scored lines of every document (without their text)."""
     from linesight.operators import lines as L
     f = function_table(spark, sf_dir)
-    ln = L.split_lines(f, keep=["flaw_idx", "proba"])
-    ln = L.label_lines_by_index(ln, "flaw_idx")
-    return ln.select("doc_id", "line_idx", "line",
-                     F.length("line").cast("double").alias("score"), "hit",
-                     F.size("flaw_idx").alias("n_labels"), "proba")
+    f = f.withColumn("n_labels", F.size("flaw_idx"))
+    ln = L.split_labelled_lines(f, keep=["n_labels", "proba"])
+    return ln.select("doc_id", "line_idx", F.length("line").cast("double").alias("score"),
+                     "hit", "n_labels", "proba")
 
 
 @shared
@@ -116,15 +119,17 @@ def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def ranked_test_lines(spark: SparkSession, sf_dir: str, pred: int | None = 1) -> DataFrame:
-    """Scored, labelled, ranked lines of the predicted-positive test documents."""
+    """Scored, labelled, ranked lines of the predicted-positive test documents
+    (keys, scores and flags; the line's text ends where its score is known)."""
     from linesight.operators import lines as L
     from linesight.operators import ranking as R
     t = test_set(spark, sf_dir)
     if pred is not None:
         t = t.where(F.col("pred") == pred)
-    ln = L.label_lines_by_index(L.split_lines(t, keep=["flaw_idx", "proba"]), "flaw_idx")
-    ln = ln.select("doc_id", "line_idx", "line", F.length("line").cast("double").alias("score"),
-                   "hit", F.size("flaw_idx").alias("n_labels"), "proba")
+    t = t.withColumn("n_labels", F.size("flaw_idx"))
+    ln = L.split_labelled_lines(t, keep=["n_labels", "proba"])
+    ln = ln.select("doc_id", "line_idx", F.length("line").cast("double").alias("score"),
+                   "hit", "n_labels", "proba")
     return R.rank_lines_by_score(ln)
 
 

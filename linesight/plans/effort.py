@@ -9,6 +9,7 @@ from linesight.operators import lines as L
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
 from linesight.plans.registry import register
+from linesight.session import materialize
 
 
 def _totals(spark, sf_dir):
@@ -67,7 +68,7 @@ FROM stacked, totals t GROUP BY ordering"""
 
 
 def _stacked(spark, sf_dir):
-    ranked = B.ranked_test_lines(spark, sf_dir)
+    ranked = materialize(B.ranked_test_lines(spark, sf_dir))   # read by both orders
     cols = ["pos", "cum_hits", "hit"]
     lo = G.line_order_positions(ranked).select(F.lit("lines").alias("ordering"), *cols)
     fo = G.function_order_positions(ranked).select(F.lit("functions").alias("ordering"), *cols)

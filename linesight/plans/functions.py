@@ -144,8 +144,8 @@ GROUP BY l.doc_id, l.line_idx""")
 def q_lookup_sum(spark, sf_dir):
     """Line score = Σ corpus frequency of its tokens (a per-token weight table)."""
     d = B.table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
-    weights = P.word_frequency(d).select(F.col("word").alias("tok"), F.col("count").cast("double")
-                                         .alias("weight"))
+    weights = d.select(F.explode(T.word_tokens("text")).alias("tok")).groupBy("tok").agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
     return Sc.lookup_sum(L.split_lines(d), weights)
 
 

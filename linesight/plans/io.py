@@ -13,7 +13,8 @@ from linesight.operators import overlap as O
 from linesight.operators.sampling import positional_split
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
-from linesight.plans.registry import register
+from linesight.plans.evaluation import records
+from linesight.plans.registry import ORACLES, register
 from linesight.session import ensure_checkpoint_dir
 from linesight.sources import readers as Rd
 from linesight.sources import sinks as Sk
@@ -110,13 +111,14 @@ def q_scan_runs(spark, sf_dir):
     return back.select("method", "seed", F.col("accuracy").cast("double"), F.col("mrr").cast("double"))
 
 
-@register("sink_by_category", sql="SELECT doc_id, source FROM documents WHERE source = 'src3'")
+@register("sink_by_category", sql="SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
 def q_sink_by_category(spark, sf_dir):
-    """One directory per project; reading one project prunes the others."""
+    """One directory per project, every one read back (a filter on the project
+    prunes the others, see the plan test)."""
     path = scratch(spark, "by-project")
     Sk.write_partitioned(B.table(spark, sf_dir, "documents").select("doc_id", "source", "text"),
                          path, ["source"])
-    return spark.read.parquet(path).where(F.col("source") == "src3").select("doc_id", "source")
+    return spark.read.parquet(path).select("doc_id", "source", F.length("text").alias("n_chars"))
 
 
 @register("sink_table", sql=S.METRICS + """
@@ -132,26 +134,40 @@ def q_sink_table(spark, sf_dir):
     return back.select("index", "IFA")
 
 
-@register("sink_json_summary")
+@register("sink_json_summary", sql=ORACLES["length_group_metrics"])
 def q_sink_json_summary(spark, sf_dir):
     """Grouped length metrics as one nested JSON document (slice -> group ->
-    metrics), written and read back (rows check)."""
-    from linesight.plans.evaluation import records
+    metrics), written, read back and taken apart again."""
     lm = O.length_group_metrics(records(spark, sf_dir))
+    names = [c for c in lm.columns if c not in ("slice", "group")]
     path = scratch(spark, "summary")
-    Sk.write_summary_json(lm, path, "slice", "group", ["count", "accuracy_vlc", "mae", "rmse"])
-    return spark.read.text(path)
-
-
-@register("sink_report")
+    Sk.write_summary_json(lm, path, "slice", "group", names)
+    record = Ty.StructType([lm.schema[c] for c in names])
+    nested = Ty.MapType(Ty.StringType(), Ty.MapType(Ty.StringType(), record))
+    outer = spark.read.text(path).select(F.explode(F.from_json("value", nested)).alias("slice", "m"))
+    inner = outer.select("slice", F.explode("m").alias("group", "r"))
+    return inner.select("slice", "group", "r.*")
+
+
+@register("sink_report", sql=S.GEN + """,
+pt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pred_pos) AS t FROM preds GROUP BY doc_id),
+lt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_idx) FILTER (WHERE hit = 1 AND target = 1) AS t
+       FROM plines GROUP BY doc_id),
+block AS (
+  SELECT 'Source Code:' || chr(10) || d.text || chr(10) || repeat('-', 50) || chr(10) || 'Actual Vulnerable Lines:'
+         || chr(10) || coalesce(lt.t, '') || chr(10) || repeat('=', 50) || chr(10) || chr(10)
+         || 'Predicted Vulnerable Lines:' || chr(10) || coalesce(pt.t, '') || chr(10) || repeat('-', 50) AS b
+  FROM lt JOIN documents d USING (doc_id) LEFT JOIN pt USING (doc_id))
+SELECT value, CAST(count(*) AS BIGINT) AS lines FROM (SELECT unnest(string_split(b, chr(10))) AS value FROM block)
+GROUP BY value""")
 def q_sink_report(spark, sf_dir):
     """One text block per predicted-positive document (source, actual,
-    predicted lines), written and read back as text lines (rows check)."""
+    predicted lines), written and read back as text lines: every distinct line
+    with its number."""
     from linesight.operators import generated as Gn
     pos = B.generated_positives(spark, sf_dir).select("doc_id", "text", "label_text")
     pt = Gn.pred_text(B.positive_preds(spark, sf_dir), out="pred_text")
     df = pos.join(pt, "doc_id", "left")
     path = scratch(spark, "report")
     Sk.write_report(df, path, "text", "label_text", "pred_text")
-    return spark.read.text(path).select(F.length("value").alias("chars"))
-
+    return spark.read.option("lineSep", "\n").text(path).groupBy("value").agg(F.count(F.lit(1)).alias("lines"))

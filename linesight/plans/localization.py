@@ -25,7 +25,7 @@ def q_split_lines(spark, sf_dir):
 SELECT doc_id, line_idx, CAST(regexp_matches(line, '[0-9@]') AS BIGINT) AS hit FROM lines""")
 def q_label_by_index(spark, sf_dir):
     f = B.function_table(spark, sf_dir)
-    ln = L.label_lines_by_index(L.split_lines(f, keep=["flaw_idx"]), "flaw_idx")
+    ln = L.split_labelled_lines(f)
     return ln.select("doc_id", "line_idx", "hit")
 
 

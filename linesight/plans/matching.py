@@ -3,6 +3,8 @@ the row filters of the function table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from linesight.operators import filters as Fl
@@ -10,6 +12,7 @@ from linesight.operators import matching as M
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
 from linesight.plans.registry import register
+from linesight.session import materialize
 
 
 @register("match_exact", sql=S.MATCH + """
@@ -18,11 +21,15 @@ def q_match_exact(spark, sf_dir):
     return M.match_exact(B.split_records(spark, sf_dir), B.ground_truth(spark, sf_dir))
 
 
+def _match_inputs(spark, sf_dir):
+    """Both sides are read several times by the matching: computed once."""
+    return materialize(B.split_records(spark, sf_dir)), materialize(B.ground_truth(spark, sf_dir))
+
+
 @register("match_prefix", sql=S.MATCH + """
 SELECT row_id, gt_idx FROM px""")
 def q_match_prefix(spark, sf_dir):
-    left = B.split_records(spark, sf_dir)
-    gt = B.ground_truth(spark, sf_dir)
+    left, gt = _match_inputs(spark, sf_dir)
     rest = left.join(M.match_exact(left, gt).select("row_id"), "row_id", "left_anti")
     return M.match_prefix(rest, gt)
 
@@ -33,7 +40,7 @@ SELECT l.row_id, CAST(l.t AS BIGINT) AS target, coalesce(g.project, 'unknown') A
 FROM lft l LEFT JOIN resolved r USING (row_id) LEFT JOIN gt g ON g.gt_idx = r.gt_idx
 LEFT JOIN gtlines gl ON gl.doc_id = r.gt_idx""")
 def q_match_gt(spark, sf_dir):
-    out = M.match_ground_truth(B.split_records(spark, sf_dir), B.ground_truth(spark, sf_dir))
+    out = M.match_ground_truth(*_match_inputs(spark, sf_dir))
     return out.select("row_id", "target", "project", "flaw_line", "flaw_line_index", "metadata")
 
 
@@ -128,9 +135,16 @@ def q_holdout(spark, sf_dir):
 
 
 @register("select_cells", sql=_FN + """
-SELECT doc_id AS "index" FROM fl WHERE pred = 1 AND target = 1""")
+SELECT 'positives' AS mode, doc_id AS "index" FROM fl WHERE pred = 1
+UNION ALL SELECT 'tp_only', doc_id FROM fl WHERE pred = 1 AND target = 1
+UNION ALL SELECT 'negatives', doc_id FROM fl WHERE pred = 0
+UNION ALL SELECT 'actual_positives', doc_id FROM fl WHERE target = 1""")
 def q_select_cells(spark, sf_dir):
-    return Fl.select_cells(_fn_table(spark, sf_dir), "tp_only").select("index")
+    """All four modes, stacked."""
+    t = _fn_table(spark, sf_dir).select("index", "pred", "target")
+    parts = [Fl.select_cells(t, mode).select(F.lit(mode).alias("mode"), "index")
+             for mode in ("positives", "tp_only", "negatives", "actual_positives")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("smoke_head", sql="""

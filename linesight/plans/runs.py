@@ -35,9 +35,9 @@ PUBLISHED = [
 def method_doc_metrics(spark, sf_dir):
     """Per-document metrics of both rankings (method, project, doc_id, ...)."""
     f = B.function_table(spark, sf_dir)
-    ln = L.label_lines_by_index(L.split_lines(f, keep=["flaw_idx", "project"]), "flaw_idx")
+    ln = L.split_labelled_lines(f.withColumn("n_labels", F.size("flaw_idx")), keep=["n_labels", "project"])
     ln = ln.select("doc_id", "project", "line_idx", F.length("line").cast("double").alias("score"),
-                   "hit", F.size("flaw_idx").alias("n_labels"))
+                   "hit", "n_labels")
     by_score = R.rank_lines_by_score(ln).withColumn("method", F.lit("score"))
     by_pos = ln.withColumn("rank", F.col("line_idx") + 1).withColumn("method", F.lit("position"))
     return R.localization_metrics(by_score.unionByName(by_pos), carry=["method", "project"])

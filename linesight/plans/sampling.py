@@ -25,7 +25,18 @@ def labelled(spark, sf_dir):
 
 
 def _counts(df, *keys):
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    """Rows and different documents of each cell: the quotas, and that no
+    document is in a cell twice."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("doc_id").alias("ids"))
+
+
+def _split_check(df, cell):
+    """Cells of one split or fold, with the documents that lie in this cell and
+    no other (all of them, if the cells are disjoint)."""
+    per_doc = df.groupBy("doc_id").agg(F.min(cell).alias(cell), F.max(cell).alias("_other"),
+                                       F.min("label").alias("label"), F.count(F.lit(1)).alias("_rows"))
+    alone = F.count_if((F.col(cell) == F.col("_other")) & (F.col("_rows") == 1))
+    return per_doc.groupBy(cell, "label").agg(F.sum("_rows").alias("count"), alone.alias("ids"))
 
 
 @register("positional_split", sql=_LAB + """,
@@ -40,23 +51,22 @@ def q_positional(spark, sf_dir):
 @register("stratified_split", sql=_LAB + """,
 q AS (SELECT label, n, CAST(ceil(0.1 * n) AS BIGINT) AS t FROM c),
 q2 AS (SELECT label, n, t, CAST(ceil(0.1 * (n - t)) AS BIGINT) AS v FROM q)
-SELECT * FROM (
+SELECT *, count AS ids FROM (
   SELECT 'test' AS split, CAST(label AS BIGINT) AS label, t AS count FROM q2
   UNION ALL SELECT 'val', CAST(label AS BIGINT), v FROM q2
   UNION ALL SELECT 'train', CAST(label AS BIGINT), n - t - v FROM q2) WHERE count > 0""")
 def q_stratified(spark, sf_dir):
     s = Sm.stratified_split(labelled(spark, sf_dir), "label", "doc_id", SEED)
-    return _counts(s, "split", "label")
+    return _split_check(s, "split")
 
 
 @register("stratified_kfold", sql=_LAB + """
-SELECT * FROM (
+SELECT *, count AS ids FROM (
   SELECT CAST(f.range AS BIGINT) AS fold, CAST(label AS BIGINT) AS label,
          CAST(n // 10 + CASE WHEN f.range < n % 10 THEN 1 ELSE 0 END AS BIGINT) AS count
   FROM c, range(10) f) WHERE count > 0""")
 def q_kfold(spark, sf_dir):
-    return _counts(Sm.stratified_kfold(labelled(spark, sf_dir), "label", "doc_id", SEED, 10),
-                   "fold", "label")
+    return _split_check(Sm.stratified_kfold(labelled(spark, sf_dir), "label", "doc_id", SEED, 10), "fold")
 
 
 _BAL = _LAB + """,
@@ -65,33 +75,34 @@ majc AS (SELECT label FROM c, mm WHERE n = maj ORDER BY label DESC LIMIT 1)"""
 
 
 @register("undersample_ratio", sql=_BAL + """
-SELECT CAST(c.label AS BIGINT) AS label,
+SELECT *, count AS ids FROM (SELECT CAST(c.label AS BIGINT) AS label,
        CAST(CASE WHEN mm.k = 2 AND c.label = (SELECT label FROM majc) THEN least(c.n, 4 * mm.mino)
                  ELSE c.n END AS BIGINT) AS count
-FROM c, mm""")
+FROM c, mm)""")
 def q_under_ratio(spark, sf_dir):
     return _counts(Sm.undersample(labelled(spark, sf_dir), "label", "doc_id", SEED, ratio=4.0), "label")
 
 
 @register("undersample_half", sql=_BAL + """
-SELECT CAST(c.label AS BIGINT) AS label,
+SELECT *, count AS ids FROM (SELECT CAST(c.label AS BIGINT) AS label,
        CAST(CASE WHEN mm.k = 2 AND c.label = (SELECT label FROM majc) THEN c.n // 2
                  ELSE c.n END AS BIGINT) AS count
-FROM c, mm""")
+FROM c, mm)""")
 def q_under_half(spark, sf_dir):
     return _counts(Sm.undersample(labelled(spark, sf_dir), "label", "doc_id", SEED, ratio=None,
                                   fraction=0.5), "label")
 
 
 @register("oversample_random", sql=_BAL + """
-SELECT CAST(label AS BIGINT) AS label, CAST(maj AS BIGINT) AS count FROM c, mm""")
+SELECT CAST(label AS BIGINT) AS label, CAST(maj AS BIGINT) AS count, CAST(n AS BIGINT) AS ids FROM c, mm""")
 def q_over(spark, sf_dir):
     return _counts(Sm.oversample(labelled(spark, sf_dir), "label", "doc_id", SEED), "label")
 
 
 @register("stratified_exact_sample", sql=_LAB + """
 SELECT CAST(label AS BIGINT) AS label,
-       CAST(least(n, CASE WHEN label = 0 THEN 100 ELSE 50 END) AS BIGINT) AS count FROM c""")
+       CAST(least(n, CASE WHEN label = 0 THEN 100 ELSE 50 END) AS BIGINT) AS count,
+       CAST(least(n, CASE WHEN label = 0 THEN 100 ELSE 50 END) AS BIGINT) AS ids FROM c""")
 def q_exact_sample(spark, sf_dir):
     s = Sm.exact_sample(labelled(spark, sf_dir), "label", "doc_id", SEED, {0: 100, 1: 50})
     return _counts(s, "label")
@@ -100,33 +111,48 @@ def q_exact_sample(spark, sf_dir):
 @register("augment_minority", sql=_BAL + """
 SELECT CAST(label AS BIGINT) AS label,
        CAST(CASE WHEN label = 1 THEN n * (1 + ((SELECT max(n) FROM c WHERE label <> 1) - n) // n)
-                 ELSE n END AS BIGINT) AS count
+                 ELSE n END AS BIGINT) AS count, CAST(n AS BIGINT) AS ids
 FROM c""")
 def q_augment(spark, sf_dir):
     return _counts(Sm.augment_minority(labelled(spark, sf_dir), "text", "label", "doc_id", SEED), "label")
 
 
-@register("seeded_shuffle")
+@register("seeded_shuffle", sql=_LAB + """
+SELECT doc_id, CAST(label AS BIGINT) AS label FROM ds""")
 def q_shuffle(spark, sf_dir):
-    """Reproducible shuffle of the labelled documents (rows-only check)."""
+    """Reproducible shuffle of the labelled documents: a permutation of them."""
     s = Sm.seeded_shuffle(labelled(spark, sf_dir).select("doc_id", "label"), "doc_id", SEED)
     return s
 
 
-@register("perturb_delete")
+_WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> ''))"
+
+
+@register("perturb_delete", sql=_LAB + f"""
+SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_before, 1 AS bounded, 1 AS only_own FROM ds""")
 def q_perturb_delete(spark, sf_dir):
-    """Word deletion (p = 0.3, 1..10 words) on every labelled document."""
+    """Word deletion (p = 0.3, 1..10 words) on every labelled document: words
+    before, whether 1 to 10 (or all) went, and whether only own words are left."""
     d = labelled(spark, sf_dir)
-    toks = T.word_tokens("text")
-    out = Sm.perturb_delete(toks, SEED, F.xxhash64("doc_id"))
-    return d.select("doc_id", F.size(toks).alias("n_before"), F.size(out).alias("n_after"))
+    d = d.select("doc_id", T.word_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    d = d.select("doc_id", "toks", Sm.perturb_delete(F.col("toks"), SEED, F.xxhash64("doc_id")).alias("out"))
+    gone = F.size("toks") - F.size("out")
+    return d.select("doc_id", F.size("toks").alias("n_before"),
+                    ((gone >= F.least(F.lit(1), F.size("toks"))) & (gone <= 10)).cast("int").alias("bounded"),
+                    (F.size(F.array_except("out", "toks")) == 0).cast("int").alias("only_own"))
 
 
-@register("perturb_synonym", sql=None)
+@register("perturb_synonym", sql=_LAB + f"""
+SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_tokens, 1 AS bounded, 1 AS same_but_case FROM ds""")
 def q_perturb_synonym(spark, sf_dir):
     """Synonym substitution (p = 0.3, 1..10 words) on every labelled document;
-    synonyms = other-case spellings of a word in the corpus (rows check)."""
+    synonyms = other-case spellings of a word in the corpus, so the words are
+    the same but for their case, and at most 10 differ."""
     d = labelled(spark, sf_dir)
     syn = Sm.case_variant_synonyms(B.table(spark, sf_dir, "documents"), "text")
-    out = Sm.perturb_synonym(d, syn, "text", "doc_id", SEED)
-    return out.select("doc_id", "replaced", F.size(T.word_tokens("text")).alias("n_tokens"))
+    out = Sm.perturb_synonym(d.withColumn("before", F.col("text")), syn, "text", "doc_id", SEED)
+    before, after = T.word_tokens(F.coalesce("before", F.lit(""))), T.word_tokens("text")
+    return out.select("doc_id", F.size(after).alias("n_tokens"),
+                      F.col("replaced").between(0, 10).cast("int").alias("bounded"),
+                      (F.lower(F.array_join(before, " ")) == F.lower(F.array_join(after, " "))).cast("int")
+                      .alias("same_but_case"))

@@ -8,6 +8,7 @@ by the summary's shape (slices x groups), not by the data.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +35,41 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", index: str | None =
     w.save(path)
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """One JSON array of records per input partition, each in its own file
-    (the array layout the study's JSON files use; a multi-line JSON reader
-    reads one value per file)."""
-    grouped = df.groupBy(F.spark_partition_id().alias("part")).agg(
-        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    grouped.write.mode("overwrite").partitionBy("part").text(path)
+JSON_CHUNK_BYTES = 32 * 1024 * 1024   # records of about so many bytes make one JSON value
 
 
-def write_json_keyed(df: DataFrame, path: str, key: str) -> None:
-    """One JSON object {key: record} per input partition, each in its own file."""
+def _json_chunks(records: DataFrame, path: str, opening: str, closing: str, chunk_bytes: int) -> None:
+    """One JSON value per file: the ``value`` strings of a task, joined while
+    they come in, so no partition is gathered and nothing is shuffled."""
+    def joined(batches):
+        held, size = [], 0
+        for pdf in batches:
+            for v in pdf["value"]:
+                held.append(v)
+                size += len(v)
+                if size >= chunk_bytes:
+                    yield pd.DataFrame({"value": [opening + ",".join(held) + closing]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"value": [opening + ",".join(held) + closing]})
+    (records.mapInPandas(joined, "value string").write.mode("overwrite")
+     .option("maxRecordsPerFile", 1).text(path))
+
+
+def write_json_arrays(df: DataFrame, path: str, chunk_bytes: int = JSON_CHUNK_BYTES) -> None:
+    """JSON arrays of records, each in its own file of bounded size (the array
+    layout the study's JSON files use; a multi-line JSON reader reads one
+    value per file)."""
+    _json_chunks(df.select(F.to_json(F.struct(*df.columns)).alias("value")), path, "[", "]", chunk_bytes)
+
+
+def write_json_keyed(df: DataFrame, path: str, key: str, chunk_bytes: int = JSON_CHUNK_BYTES) -> None:
+    """JSON objects {key: record}, each in its own file of bounded size."""
     vals = [c for c in df.columns if c != key]
-    grouped = df.groupBy(F.spark_partition_id().alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"),
-                                                             F.struct(*vals))))).alias("value"))
-    grouped.write.mode("overwrite").partitionBy("part").text(path)
+    name = F.to_json(F.struct(F.col(key).cast("string").alias("k")))      # {"k":"..."}: the quoted key
+    entry = F.concat(F.expr("substring({0}, 6, length({0}) - 6)".format("_name")), F.lit(":"), F.col("_record"))
+    keyed = df.select(name.alias("_name"), F.to_json(F.struct(*vals)).alias("_record"))
+    _json_chunks(keyed.select(entry.alias("value")), path, "{", "}", chunk_bytes)
 
 
 def summary_json(df: DataFrame, outer: str, inner: str, metrics: list[str]) -> DataFrame:
@@ -66,10 +86,12 @@ def write_summary_json(df: DataFrame, path: str, outer: str, inner: str, metrics
 
 def report_blocks(df: DataFrame, source: str, actual: str, predicted: str) -> DataFrame:
     """One formatted text block per row: source, actual and predicted lines."""
+    # fixed layout: headings and rules of the published result files
     return df.select(F.format_string(
-        "Source Code:\n%s\n\nActual Vulnerable Lines:\n%s\n\nPredicted Vulnerable Lines:\n%s\n%s",
-        F.col(source), F.coalesce(F.col(actual), F.lit("")), F.coalesce(F.col(predicted), F.lit("")),
-        F.lit("-" * 50)).alias("value"))
+        "Source Code:\n%s\n" + "-" * 50 + "\nActual Vulnerable Lines:\n%s\n" + "=" * 50
+        + "\n\nPredicted Vulnerable Lines:\n%s\n" + "-" * 50,
+        F.col(source), F.coalesce(F.col(actual), F.lit("")),
+        F.coalesce(F.col(predicted), F.lit(""))).alias("value"))
 
 
 def write_report(df: DataFrame, path: str, source: str, actual: str, predicted: str) -> None:

@@ -48,7 +48,7 @@ def test_match_tie_breaks(spark):
     left = spark.createDataFrame(rows, "row_id long, func string, target int")
     ex = M.match_exact(left, g)
     rest = left.join(ex.select("row_id"), "row_id", "left_anti")
-    px = M.match_prefix(rest, g, block_limit=0)
+    px = M.match_prefix(rest, g)
     got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
     gt_py = [(i, f, {"0": 0, "1": 1, "True": 1}.get(str(t), 0)) for i, f, t in gt]
     exp = {k: v for k, v in _brute_force_match(rows, gt_py).items() if v is not None}
@@ -79,7 +79,18 @@ def test_prefix_match_random_nested_texts(spark):
     ex = M.match_exact(left, g)
     rest = left.join(ex.select("row_id"), "row_id", "left_anti")
     exp = {k: v for k, v in _brute_force_match(rows, gt).items() if v is not None}
-    for limit in (0, 1000):   # dyadic path for every block / direct tests for every block
-        px = M.match_prefix(rest, g, block_limit=limit)
-        got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
-        assert got == exp
+    px = M.match_prefix(rest, g)
+    got = {r["row_id"]: r["gt_idx"] for r in ex.unionByName(px).collect()}
+    assert got == exp
+
+
+def test_prefix_match_below_the_broadcast_levels(spark, monkeypatch):
+    """All levels through the shuffled probes, and none of them: same matches."""
+    rows = [(i, "h" * 150 + "ab" * (i % 7) + "c" * (i % 3), i % 2) for i in range(40)]
+    g = spark.createDataFrame([(i, f + "b" * (i % 2), str(t)) for i, f, t in rows], "gt_idx long, func string, target string")
+    left = spark.createDataFrame(rows, "row_id long, func string, target int")
+    found = []
+    for top in (0, 13):
+        monkeypatch.setattr(M, "_TOP_LEVELS", top)
+        found.append({r["row_id"]: r["gt_idx"] for r in M.match_prefix(left, g).collect()})
+    assert found[0] == found[1] and len(found[0]) == 40
