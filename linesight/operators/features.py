@@ -97,6 +97,18 @@ def token_vector_join(df: DataFrame, vectors: DataFrame, text: str = "text",
     return _token_join(occ, vectors.select(F.col("word").alias("tok"), "vector"), id_col)
 
 
+def vocabulary_vectors(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(idx, tok, vector) for every indexed token of ``vocab(tok, idx)``: its
+    word vector, or zeros of the same width where it has none.  Row 0 is the
+    padding id (null token, zeros)."""
+    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    zeros = F.array_repeat(F.lit(0.0), width)
+    rows = vocab.join(vectors.withColumnRenamed("word", "tok"), "tok", "left").select(
+        F.col("idx").cast("long").alias("idx"), "tok", F.coalesce("vector", zeros).alias("vector"))
+    pad = vocab.sparkSession.range(1).select(F.col("id").alias("idx"), F.lit(None).cast("string").alias("tok"), zeros.alias("vector"))
+    return pad.unionByName(rows)
+
+
 def document_vectors(df: DataFrame, vectors: DataFrame, text: str = "text",
                      id_col: str = "doc_id") -> DataFrame:
     """(doc_id, dim, value): mean of in-vocabulary token vectors (documents

@@ -189,12 +189,17 @@ def similar_line_replace_rows(docs: DataFrame, preds: DataFrame, text: str = "te
     linfo = F.transform(linfo, lambda e: F.struct(
         e["idx"].alias("idx"), e["line"].alias("line"), e["toks"].alias("toks"),
         F.sqrt(_sum_sq_runs(e["toks"]).cast("double")).alias("nrm")))
-    staged = d.select(id_col, "_p", linfo.alias("_l"), lines.alias("_lines"),
+    # terms and norm of a prediction once, not once per document line
+    pinfo = F.transform("_p", lambda e: F.struct(
+        e["pos"].alias("pos"), e["line"].alias("line"), _sorted_tokens(e["line"]).alias("toks")))
+    pinfo = F.transform(pinfo, lambda e: F.struct(
+        e["pos"].alias("pos"), e["line"].alias("line"), e["toks"].alias("toks"),
+        F.sqrt(_sum_sq_runs(e["toks"]).cast("double")).alias("nrm")))
+    staged = d.select(id_col, pinfo.alias("_p"), linfo.alias("_l"), lines.alias("_lines"),
                       F.element_at("_p", -1)["pos"].alias("_last"))
 
     def choose(pr):
-        utoks = _sorted_tokens(pr["line"])
-        unrm = F.sqrt(_sum_sq_runs(utoks).cast("double"))
+        utoks, unrm = pr["toks"], pr["nrm"]
         sims = F.transform(F.col("_l"), lambda e: F.struct(
             F.when(((unrm * e["nrm"]) == 0) | ~F.arrays_overlap(utoks, e["toks"]), F.lit(0.0))
              .otherwise(_dot_sorted(utoks, e["toks"]).cast("double") / (unrm * e["nrm"])).alias("sim"),

@@ -223,11 +223,15 @@ def zip_verified(a: DataFrame, b: DataFrame, pos: str = "pos", text_a: str = "te
     return j.drop("_tb", "_ok").withColumnRenamed("_lb", label_b)
 
 
-def with_row_index(df: DataFrame, order: list, out: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, order: list, out: str = "row_index", key: str | None = None) -> DataFrame:
     """Dense 0-based position in ``order`` from range-partitioned offsets (no
-    single-partition window)."""
+    single-partition window).  With ``key``, a unique column that the order
+    can be told from, only that column is sorted and the rows meet their
+    position by it."""
     from linesight.operators.global_order import with_global_position
+    if key is not None:
+        ranks = with_row_index(df.select(key), order, out).withColumnRenamed(key, "_key")
+        return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     pos = with_global_position(df.withColumn("_one", F.lit(0)), order, hit="_one")
     return (pos.withColumn("_ri", F.col("pos") - 1).drop("pos", "cum_hits", "_one")
             .withColumnRenamed("_ri", out))
-

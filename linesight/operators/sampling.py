@@ -57,14 +57,23 @@ def class_rank(df: DataFrame, label: str, id_col: str, seed: int,
 
 def positional_split(df: DataFrame, order: str, frac: float = 0.1) -> DataFrame:
     """k = int(frac * n): test = last k rows, val = the k before, train = rest
-    (k = 0 gives empty val and test)."""
-    from linesight.operators.matching import with_row_index
+    (k = 0 gives empty val and test).  ``order`` is unique.
+
+    Only the order column is sorted, to find the first key of val and of test;
+    the rows themselves are split by a narrow comparison (a null key sorts
+    first)."""
+    keys = df.select(order).withColumn("_z", F.lit(0))
     n = df.count()
     k = int(frac * n)
-    idx = with_row_index(df, [order], "_ri")
-    split = (F.when(F.col("_ri") >= n - k, F.lit("test"))
-             .when(F.col("_ri") >= n - 2 * k, F.lit("val")).otherwise(F.lit("train")))
-    return idx.withColumn("split", split).drop("_ri")
+    if k == 0:
+        return df.withColumn("split", F.lit("train"))
+    pos = with_global_position(keys, [F.col(order).asc()], hit="_z")
+    first = {r["pos"]: r[order] for r in pos.where(F.col("pos").isin(n - 2 * k + 1, n - k + 1)).collect()}   # two rows
+
+    def from_(key):   # rows at or after the boundary key; a null boundary is before all others
+        return F.lit(True) if key is None else F.coalesce(F.col(order) >= F.lit(key), F.lit(False))
+    return df.withColumn("split", F.when(from_(first[n - k + 1]), F.lit("test"))
+                         .when(from_(first[n - 2 * k + 1]), F.lit("val")).otherwise(F.lit("train")))
 
 
 def split_quotas(n: int, test: float, val: float) -> tuple[int, int]:
@@ -135,8 +144,13 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     return base.unionByName(picked.select(*base.columns))
 
 
-def exact_sample(df: DataFrame, label: str, id_col: str, seed: int, quotas: dict) -> DataFrame:
-    """Exactly quotas[c] rows (or all) of each class, in seeded order."""
+def exact_sample(df: DataFrame, label: str, id_col: str, seed: int, quotas: dict,
+                 lines: str | None = None, positive=1) -> DataFrame:
+    """Exactly quotas[c] rows (or all) of each class, in seeded order.  With
+    ``lines`` (a column of line labels), only positives that have any are drawn."""
+    if lines is not None:
+        has = F.col(lines).isNotNull() & (F.col(lines).cast("string") != "")
+        df = df.where(~F.col(label).eqNullSafe(F.lit(positive)) | has)
     ranked, counts = class_rank(df, label, id_col, seed)
     q = F.lit(0)
     for c, n in quotas.items():

@@ -58,12 +58,20 @@ lz AS (SELECT vec_id, v,
               coalesce(list_max(list_filter(generate_series(0, len(v) - 1), lambda i: v[i + 1] <> 0)), -1) AS last_nz
        FROM e)
 SELECT vec_id, round(list_sum(list_transform(generate_series(0, len(v) - 1),
-                     lambda i: CASE WHEN i = 0 OR i = last_nz THEN 0.0 ELSE v[i + 1] END)), 6) AS total
+                     lambda i: CASE WHEN i = 0 OR i = last_nz THEN 0.0 ELSE v[i + 1] END)), 6) AS total,
+       CAST(last_nz AS BIGINT) AS zeroed,
+       round(list_sum(list_transform(generate_series(0, len(v) - 1),
+                     lambda i: CASE WHEN i = 0 OR i = len(v) - 1 THEN 0.0 ELSE v[i + 1] END)), 6) AS total_unpadded
 FROM lz""")
 def q_zero_special(spark, sf_dir):
     z = A.zero_special_tokens("embedding", padding=True)
-    return _emb(spark, sf_dir).select("vec_id", F.aggregate(z, F.lit(0.0), lambda a, v: a + v)
-                                      .alias("total"))
+    plain = A.zero_special_tokens("embedding", padding=False)
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
+    # place of the last value that the padded form set to 0
+    changed = F.transform(F.arrays_zip(z.alias("z"), F.col("embedding").alias("e")),
+                          lambda x, i: F.when((x["z"] == 0) & (x["e"] != 0), i).otherwise(-1))
+    return _emb(spark, sf_dir).select("vec_id", total(z).alias("total"), F.array_max(changed).alias("zeroed"),
+                                      total(plain).alias("total_unpadded"))
 
 
 @register("pad_sequence", sql=f"""

@@ -108,6 +108,31 @@ def q_effort_generated(spark, sf_dir):
     return _one_row(e, r)
 
 
+@register("effort_recall_generated_functions", sql=S.GEN + """,
+fo AS (
+  SELECT hit, row_number() OVER (ORDER BY proba DESC, doc_id, rnk) AS pos,
+         sum(hit) OVER (ORDER BY proba DESC, doc_id, rnk ROWS UNBOUNDED PRECEDING) AS cum_hits
+  FROM gr
+)
+SELECT
+  round(CASE WHEN t.total_flaws = 0 THEN 1.0 ELSE
+    coalesce((SELECT min(pos) FROM fo
+              WHERE cum_hits >= greatest(1.0, CAST(0.2 AS DOUBLE) * CAST(t.total_flaws AS DOUBLE))),
+             (SELECT count(*) FROM fo)) / CAST(t.total_loc AS DOUBLE) END, 6) AS effort,
+  round((SELECT coalesce(sum(hit), 0) FROM fo
+         WHERE pos <= ceil(greatest(1.0, CAST(0.01 AS DOUBLE) * CAST(t.total_loc AS DOUBLE))))
+        / CAST(nullif(t.total_flaws, 0) AS DOUBLE), 6) AS recall
+FROM totals t""")
+def q_effort_generated_functions(spark, sf_dir):
+    """Effort@20%Recall and Recall@1%LOC of the text variant in functions order:
+    documents by probability, their generated ranking inside."""
+    from linesight.session import materialize
+    flaws, loc = _gen_totals(spark, sf_dir)
+    ranked = generated_ranking(spark, sf_dir).select("doc_id", "rank", "hit", "proba")
+    o = G.function_order_positions(materialize(ranked))   # read for the offsets and for the lines
+    return _one_row(G.effort_at_recall(o, flaws, loc, 20.0), G.recall_at_loc(o, flaws, loc, 1.0))
+
+
 def _one_row(e, r):
     # both inputs are single-row aggregates; stack them into one row through
     # a tagged union and a conditional aggregate (no join)

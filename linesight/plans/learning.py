@@ -82,10 +82,32 @@ o AS (SELECT doc_id, unnest({TOKS.format(x='text')}) AS tok,
 
 
 @register("token_vector_join", sql=_VEC + """
-SELECT o.doc_id, CAST(o.pos AS BIGINT) AS pos, o.tok FROM o JOIN c ON c.word = o.tok""")
+SELECT o.doc_id, CAST(o.pos AS BIGINT) AS pos, o.tok, CAST(length(c.word) AS DOUBLE) AS v0,
+       CAST(c.count AS DOUBLE) AS v1
+FROM o JOIN c ON c.word = o.tok""")
 def q_token_vectors(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Fe.token_vector_join(d, _det_vectors(spark, sf_dir)).select("doc_id", "pos", "tok")
+    return Fe.token_vector_join(d, _det_vectors(spark, sf_dir)).select(
+        "doc_id", "pos", "tok", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"))
+
+
+@register("vocabulary_vectors", sql=f"""
+WITH c AS (SELECT tok, count(*) AS count FROM (
+             SELECT unnest({TOKS.format(x='lower(text)')}) AS tok FROM documents) GROUP BY tok),
+v AS (SELECT tok, row_number() OVER (ORDER BY count DESC, tok) AS idx FROM c),
+w AS (SELECT tok, count(*) AS count FROM (
+        SELECT unnest({TOKS.format(x='text')}) AS tok FROM documents) GROUP BY tok HAVING count(*) >= 2)
+SELECT CAST(0 AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS tok, 0.0 AS v0, 0.0 AS v1
+UNION ALL
+SELECT CAST(idx AS BIGINT), v.tok, CASE WHEN w.tok IS NULL THEN 0.0 ELSE CAST(length(v.tok) AS DOUBLE) END,
+       CAST(coalesce(w.count, 0) AS DOUBLE)
+FROM v LEFT JOIN w USING (tok)""")
+def q_vocabulary_vectors(spark, sf_dir):
+    """Vector of every indexed (lower-cased) token; zeros for tokens without one
+    and for the padding id."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = Fe.vocabulary_vectors(Fe.token_index(d), _det_vectors(spark, sf_dir))
+    return m.select("idx", "tok", F.col("vector")[0].alias("v0"), F.col("vector")[1].alias("v1"))
 
 
 @register("document_vectors", sql=_VEC + """,
@@ -135,9 +157,28 @@ def q_train_classifier(spark, sf_dir):
                        F.element_at(vector_to_array("probability"), 2).alias("proba"))
 
 
+@register("classifier_kinds")
+def q_classifier_kinds(spark, sf_dir):
+    """Decision tree, Gaussian naive Bayes and linear SVM on the same features
+    and split as the forest: metrics on the held-out rows, one row per kind."""
+    from linesight.session import materialize
+    sp = Sm.stratified_split(_labelled(spark, sf_dir), "label", "doc_id", SEED)
+    train = sp.where(F.col("split") == "train")
+    bow = Fe.bag_of_words(train, min_df=Fe.MIN_DF)
+    tr = materialize(Fe.featurize(bow, train).select("label", "features"))
+    test = materialize(Fe.featurize(bow, sp.where(F.col("split") != "train")).select("label", "features"))
+    rows = None
+    for kind in ("dt", "gnb", "svm"):
+        pred = Fe.classifier(kind, seed=SEED).fit(tr).transform(test).select(
+            F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
+        m = classification_metrics(pred).withColumn("kind", F.lit(kind))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    """10-fold stratified cross-validation of multinomial naive Bayes on
+    """10-fold stratified cross-validation of Gaussian naive Bayes on
     bag-of-words features (vocabulary fitted per training fold); mean and
     population std of the fold metrics (rows check: seeded folds)."""
     lab = _labelled(spark, sf_dir)
@@ -147,13 +188,13 @@ def q_cross_validate(spark, sf_dir):
         train = folds.where(F.col("fold") != k)
         test = folds.where(F.col("fold") == k)
         bow = Fe.bag_of_words(train, min_df=Fe.MIN_DF)
-        model = Fe.classifier("nb").fit(Fe.featurize(bow, train))
+        model = Fe.classifier("gnb").fit(Fe.featurize(bow, train))
         pred = model.transform(Fe.featurize(bow, test)).select(
             F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
         m = classification_metrics(pred).withColumn("fold", F.lit(k))
         rows = m if rows is None else rows.unionByName(m)
     metrics = ["accuracy", "precision", "recall", "f1", "f2", "roc_auc"]
-    return U.fold_summary(rows.withColumn("method", F.lit("nb")), metrics, ["method"])
+    return U.fold_summary(rows.withColumn("method", F.lit("gnb")), metrics, ["method"])
 
 
 @register("score_batches", sql=S.PREDS + """

@@ -54,8 +54,8 @@ FROM a JOIN b USING (pos)""")
 def q_zip(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    a = M.with_row_index(docs.join(lab.select("doc_id"), "doc_id", "left_semi"), ["doc_id"], "pos")
-    b = M.with_row_index(lab.join(docs, "doc_id"), ["doc_id"], "pos") \
+    a = M.with_row_index(docs.join(lab.select("doc_id"), "doc_id", "left_semi"), ["doc_id"], "pos", key="doc_id")
+    b = M.with_row_index(lab.join(docs, "doc_id"), ["doc_id"], "pos", key="doc_id") \
         .select("pos", "text", F.col("quality").alias("label"))
     return M.zip_verified(a, b).select("pos", "doc_id", "label")
 

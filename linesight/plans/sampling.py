@@ -129,7 +129,7 @@ _WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lam
 
 
 @register("perturb_delete", sql=_LAB + f"""
-SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_before, 1 AS bounded, 1 AS only_own FROM ds""")
+SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_before, CAST(1 AS BIGINT) AS bounded, CAST(1 AS BIGINT) AS only_own FROM ds""")
 def q_perturb_delete(spark, sf_dir):
     """Word deletion (p = 0.3, 1..10 words) on every labelled document: words
     before, whether 1 to 10 (or all) went, and whether only own words are left."""
@@ -143,7 +143,7 @@ def q_perturb_delete(spark, sf_dir):
 
 
 @register("perturb_synonym", sql=_LAB + f"""
-SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_tokens, 1 AS bounded, 1 AS same_but_case FROM ds""")
+SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_tokens, CAST(1 AS BIGINT) AS bounded, CAST(1 AS BIGINT) AS same_but_case FROM ds""")
 def q_perturb_synonym(spark, sf_dir):
     """Synonym substitution (p = 0.3, 1..10 words) on every labelled document;
     synonyms = other-case spellings of a word in the corpus, so the words are
