@@ -47,18 +47,20 @@ def range_partitions(df: DataFrame) -> int:
 
 
 def with_global_position(df: DataFrame, order: list, hit: str = "hit",
-                         partitions: int | None = None, sums: list[str] | None = None) -> DataFrame:
+                         partitions: int | None = None, sums: list[str] | None = None,
+                         drop: list[str] | None = None) -> DataFrame:
     """Add ``pos`` (1-based position in the total order) and ``cum_hits``
     (running sum of ``hit`` including the row); every column in ``sums`` gets a
     running sum ``cum_<name>`` too.  ``order`` must end in a unique key so the
-    order is total."""
+    order is total.  Columns in ``drop`` (long sort keys) end at the sort: they
+    are neither checkpointed nor sent through the counting pass."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or range_partitions(df)
     keys = _cols(order)
     acc_cols = [hit] + [c for c in (sums or []) if c != hit]
     outs = ["cum_hits"] + [f"cum_{c}" for c in acc_cols[1:]]
-    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ordered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*(drop or []))
                .withColumn("_pid", F.spark_partition_id())
                .checkpoint(eager=True))
     stats = (ordered.groupBy("_pid")

@@ -31,12 +31,6 @@ def _coerce_target(col) -> "F.Column":
     return F.when(c.cast("string").isin("true", "1"), 1).otherwise(0)
 
 
-def prepare_ground_truth(gt: DataFrame, func: str = "func", idx: str = "gt_idx",
-                         target: str = "target") -> DataFrame:
-    return gt.select(F.col(idx).alias("gt_idx"), T.normalize_whitespace(func).alias("norm"),
-                     _coerce_target(target).alias("gt_target"))
-
-
 def digest(col) -> "F.Column":
     """Join key of a text: 128 bits instead of the text itself."""
     return F.unhex(F.md5(F.encode(col, "UTF-8")))
@@ -49,18 +43,37 @@ def _first_by_class(g: DataFrame, key: str) -> DataFrame:
         F.min(F.when(F.col("gt_target") == 0, F.col("gt_idx"))).alias("first_0"))
 
 
-def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
-                target: str = "target") -> DataFrame:
-    """(row_id, gt_idx) for rows whose normalized text equals a ground-truth
-    text: the first candidate with the same class, else the first."""
-    g = prepare_ground_truth(gt).select("gt_idx", "gt_target", digest(F.col("norm")).alias("dig"))
-    rows = left.select(id_col, digest(T.normalize_whitespace(func)).alias("dig"), F.col(target).alias("_t"))
+def _digests(df: DataFrame, func: str, n: int, *cols) -> DataFrame:
+    """``cols`` with the digest of the normalized text and that of its first n
+    characters (the block): all that matching needs of most texts."""
+    norm = df.select(*cols, T.normalize_whitespace(func).alias("_norm"))
+    return norm.select(*norm.columns[:-1], digest(F.col("_norm")).alias("dig"),
+                       digest(F.substring("_norm", 1, n)).alias("block"))
+
+
+def _left_digests(left: DataFrame, id_col: str, func: str, target: str, n: int) -> DataFrame:
+    return _digests(left, func, n, F.col(id_col), F.col(target).alias("_t"))
+
+
+def _gt_digests(gt: DataFrame, n: int) -> DataFrame:
+    return _digests(gt, "func", n, F.col("gt_idx"), _coerce_target("target").alias("gt_target"))
+
+
+def _exact(rows: DataFrame, g: DataFrame, id_col: str) -> DataFrame:
     m = rows.join(_first_by_class(g, "dig"), "dig")
     pick = F.coalesce(F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0")),
                       F.col("first_any"))
     return m.select(id_col, pick.alias("gt_idx"))
 
 
+def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
+                target: str = "target") -> DataFrame:
+    """(row_id, gt_idx) for rows whose normalized text equals a ground-truth
+    text: the first candidate with the same class, else the first."""
+    n = T.PREFIX_LEN
+    return _exact(_left_digests(left, id_col, func, target, n), _gt_digests(gt, n), id_col)
+
+
 _MAX_LEVELS = 62  # dyadic levels: positions are longs
 _TOP_LEVELS = 13  # the levels of few blocks: fewer than 2 ** (_TOP_LEVELS + 1) rows, broadcast
 
@@ -129,7 +142,7 @@ def _possible_mins(r: DataFrame, g: DataFrame, n: int) -> DataFrame:
         return tagged.select("*", (F.col("kind") == 1).cast("int").alias("is_r"),
                              (F.col("kind") == 3).cast("int").alias("is_g"))
     recs = records(r, 1).unionByName(records(g, 3))
-    pos = with_global_position(recs, ["key", "kind", "dig"], hit="is_g", sums=["is_r"])
+    pos = with_global_position(recs, ["key", "kind", "dig"], hit="is_g", sums=["is_r"], drop=["key"])
     # positions by digest, without the texts: one row per R and per G
     edges = materialize(pos.groupBy("dig", F.col("kind") >= 3).agg(
         F.max("len").alias("len"),
@@ -164,19 +177,24 @@ def match_prefix(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: s
     such candidate, the block's first.  Blocks are keyed by the digest of the
     prefix, and no two texts of a block are compared as a pair."""
     from linesight.session import materialize
-    block = digest(F.substring("norm", 1, n)).alias("block")
-    g = prepare_ground_truth(gt).select("*", digest(F.col("norm")).alias("dig"), block)
+    rows, g = materialize(_left_digests(left, id_col, func, target, n)), materialize(_gt_digests(gt, n))
+    return _prefix(left, gt, rows, g, id_col, func, n)
+
+
+def _prefix(left: DataFrame, gt: DataFrame, rows: DataFrame, g: DataFrame, id_col: str, func: str,
+            n: int) -> DataFrame:
+    """``match_prefix`` on the digests ``rows`` and ``g``; ids are unique.  Texts
+    are read again for blocks of several candidates only, once per different text."""
+    from linesight.session import materialize
     blocks = g.groupBy("block").agg(F.count(F.lit(1)).alias("n_cand"), F.min("gt_idx").alias("block_first"))
-    rows = left.select(id_col, T.normalize_whitespace(func).alias("norm"), F.col(target).alias("_t"))
-    rows = rows.select(id_col, "_t", "norm", digest(F.col("norm")).alias("rdig"), block)
-    in_block = materialize(rows.drop("norm").join(blocks, "block"))
+    in_block = materialize(rows.withColumnRenamed("dig", "rdig").join(blocks, "block"))
     several = in_block.where(F.col("n_cand") > 1)
-    wanted, hot = several.select("rdig").distinct(), several.select("block").distinct()
-    # texts of these blocks alone, once each
-    r = rows.join(wanted, "rdig", "left_semi").groupBy(F.col("rdig").alias("dig")).agg(F.first("norm").alias("norm"))
-    gd = g.join(hot, "block", "left_semi")
-    texts = gd.groupBy("dig").agg(F.first("norm").alias("norm"))
-    gd = texts.join(_first_by_class(gd.drop("norm"), "dig"), "dig")
+    one = several.groupBy(F.col("rdig").alias("dig")).agg(F.min(id_col).alias(id_col))
+    r = left.select(id_col, func).join(one, id_col).select("dig", T.normalize_whitespace(func).alias("norm"))
+    firsts = _first_by_class(g.join(several.select("block").distinct(), "block", "left_semi"), "dig")
+    gd = (gt.select(F.col("gt_idx").alias("first_any"), "func").join(firsts, "first_any")
+          .select("dig", T.normalize_whitespace("func").alias("norm"), "first_any", "first_1", "first_0"))
+    r, gd = materialize(r), materialize(gd)   # counted, sampled and sorted
     res = in_block.join(_possible_mins(r, gd, n), "rdig", "left")
     same = F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))
     pick = F.when(F.col("n_cand") == 1, F.col("block_first")).otherwise(
@@ -189,9 +207,11 @@ def match_ground_truth(left: DataFrame, gt: DataFrame, id_col: str = "row_id", f
     """Exact, then prefix, then defaults.  ``gt`` carries gt_idx, func, target,
     project, code (array<string>), line_no (array<int>), metadata (struct).
     Output: left columns + project, flaw_line, flaw_line_index, metadata."""
-    exact = match_exact(left, gt, id_col, func, target)
-    rest = left.join(exact.select(id_col), id_col, "left_anti")
-    prefix = match_prefix(rest, gt, id_col, func, target, n)
+    from linesight.session import materialize
+    rows, g = materialize(_left_digests(left, id_col, func, target, n)), materialize(_gt_digests(gt, n))
+    exact = materialize(_exact(rows, g, id_col))
+    rest = rows.join(exact.select(id_col), id_col, "left_anti")
+    prefix = _prefix(left, gt, rest, g, id_col, func, n)
     resolved = exact.unionByName(prefix)
     props = gt.select(
         "gt_idx", F.col("project").alias("_project"),

@@ -45,6 +45,7 @@ def shared(fn):
         if cache[key] is None:
             cache[key] = materialize(fn(spark, sf_dir, *args))
         return cache[key]
+    wrapper.plain = fn   # for scalars read from a few columns: not counted as a use
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
     return wrapper

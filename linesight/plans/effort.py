@@ -13,7 +13,7 @@ from linesight.session import materialize
 
 
 def _totals(spark, sf_dir):
-    t = B.test_set(spark, sf_dir)
+    t = B.test_set.plain(spark, sf_dir)
     row = t.agg(F.coalesce(F.sum("n_loc"), F.lit(0)).alias("loc"),
                 F.coalesce(F.sum(F.when(F.col("target") == 1, F.size("flaw_idx"))), F.lit(0))
                 .alias("flaws")).first()
