@@ -49,6 +49,38 @@ def test_leaks_awkward_rows(spark):
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.leaks(documents(spark, []), own).count() == 0
 
 
+def test_no_hit_of_the_word_check_is_lost(spark):
+    """Of a large benchmark of short items, all that a check of every window
+    against every item finds is found."""
+    rng = random.Random(8)
+    common = ["the", "of", "and", "to", "in", "a", "is", "that"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.6)) % 6000}"
+    items = [[word() for _ in range(rng.choice((6, 8, 12, 16, 24, 40)))] for _ in range(3000)]
+    texts = []
+    for i in range(48):
+        words, part = [word() for _ in range(rng.randrange(5, 60))], list(rng.choice(items))
+        for _ in range(len(part) // 5 if i % 2 else 0):
+            p = rng.randrange(len(part))
+            part[p:p + 1] = rng.choice([[], ["other"], ["more", part[p]]])
+        at = rng.randrange(len(words))
+        words[at:at] = part
+        texts.append(" ".join(words))
+    passages = [p for i, w in enumerate(items) for p in D.passages(i, " ".join(w))]
+    masks = [(i, len(h), D._masks(h), len(a), D._masks(a)) for i, h, a in passages]
+    want = set()
+    for d, text in enumerate(texts):
+        h = D._hashed(text).tolist()
+        for i, n, m, k, answer in masks:
+            for begin in range(0, len(h), D.HOP):
+                part = h[max(0, begin - n):begin + 2 * D.HOP + n]
+                share = D.common_length(m, n, part) / n
+                if share >= D.COPY or (share >= D.PARAPHRASE and D.common_length(answer, k, part) >= D.ANSWER * k):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.leaks(documents(spark, texts), bench).collect()}
+    assert len(want) >= 40 and got == want
+
+
 @needs_data
 def test_every_verbatim_passage_is_found(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
