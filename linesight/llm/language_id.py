@@ -12,13 +12,18 @@ Four kinds of evidence on a row's language are multiplied:
 
 Everything but the trigram model is a grouped aggregate over all rows.  The
 trigram model is fitted on a bounded sample of rows with a declared language:
-about ``SAMPLE_ROWS`` rows a language, chosen by a hash.
+about ``SAMPLE_ROWS`` rows a language, chosen by a hash.  The number of languages
+is not bounded: their models are one table of the buckets seen, compared with
+the texts in slices of ``SLICE`` languages.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,8 @@ from linesight.llm import words as W
 from linesight.llm.common import row_key, staged
 
 SAMPLE_ROWS = 1500     # rows of each language that the trigram model is fitted on
-MIN_ROWS = 3           # a declared language with fewer rows gets no model
-MAX_LANGUAGES = 64     # the most frequent declared languages that get a model
+SLICE = 64             # languages compared with a text at a time
+CELLS = 2**21          # rows times languages held at a time
 BUCKETS = 2**14        # hashed trigrams
 EFFECTIVE = 40.0       # trigrams that count as independent evidence
 SMOOTH = 0.5           # added to trigram counts
@@ -57,72 +62,157 @@ def _rows(texts, most: int = W.BATCH_BYTES):
         at = to
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each bucket, from rows (text, declared)."""
-    counts = rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_ROWS).orderBy(F.desc("c"), "declared").limit(MAX_LANGUAGES).collect()
+@dataclass
+class Model:
+    """Log probabilities of the languages' buckets, as a table sorted by
+    language: those of the buckets seen, and ``unseen`` for a language's others."""
+    unseen: np.ndarray
+    start: np.ndarray
+    bucket: np.ndarray
+    log: np.ndarray
+
+    def slices(self):
+        """(first language, log probabilities by bucket and language) of at most
+        ``SLICE`` languages at a time; the last column of all is the uniform model."""
+        n = len(self.unseen)
+        for lo in range(0, n + 1, SLICE):
+            hi = min(n, lo + SLICE)
+            out = np.empty((BUCKETS, min(n + 1, lo + SLICE) - lo), np.float32)
+            out[:] = np.concatenate([self.unseen[lo:hi], np.full(out.shape[1] - (hi - lo), -np.log(BUCKETS) - UNFIT)])
+            at = slice(self.start[lo], self.start[hi])
+            out[self.bucket[at], np.repeat(np.arange(hi - lo), np.diff(self.start[lo:hi + 1]))] = self.log[at]
+            yield lo, out
+
+
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Model]:
+    """All declared languages and their log probabilities of each bucket, from
+    rows (text, declared)."""
+    declared = rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("c"))
+    counts = declared.orderBy("declared").collect()   # a row a language
     languages = sorted(r.declared for r in counts)
+    place = {name: i for i, name in enumerate(languages)}
+    empty = np.zeros(0, np.int64)
     if not languages:
-        return [], np.zeros((0, BUCKETS))
-    share = {r.declared: min(1.0, sample_rows / r.c) for r in counts}
+        return [], Model(np.zeros(0), np.zeros(1, np.int64), empty, empty)
+    spark = rows.sparkSession
+    share = spark.createDataFrame([(r.declared, place[r.declared], min(1.0, sample_rows / r.c)) for r in counts], "declared string, lang int, share double")
     level = F.pmod(F.xxhash64("text", "declared"), F.lit(1_000_000)) / 1_000_000
-    chosen = F.lit(False)
-    for name in languages:
-        chosen = chosen | ((F.col("declared") == name) & (level < share[name]))
+    chosen = rows.select("text", "declared").withColumn("level", level).join(F.broadcast(share), "declared").where("level < share")
 
     def run(it):
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in it:
-            kind = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, data, offsets in _rows(batch.column(0)):
+                parts = [np.zeros(0, np.int64)]
                 for r in range(lo, hi):
                     text = data[offsets[r - lo]:offsets[r - lo + 1]]
                     if len(text) > 2:
-                        total[kind[r]] += np.bincount(_trigrams(text), minlength=BUCKETS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "c"])
-    seen = rows.where(chosen).select("text", "declared").mapInArrow(run, "lang long, bucket long, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c"))
-    found = seen.toArrow()   # MAX_LANGUAGES * BUCKETS rows at most
-    table = np.full((len(languages), BUCKETS), SMOOTH)
-    table[found.column("lang").to_numpy(), found.column("bucket").to_numpy()] += found.column("c").to_numpy()
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
-
-
-def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+                        parts.append(_trigrams(text) + kind[r] * BUCKETS)
+                cell, c = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((cell // BUCKETS).astype(np.int32)), pa.array((cell % BUCKETS).astype(np.int32)), pa.array(c)], names=["lang", "bucket", "c"])
+    found = chosen.select("text", "lang").mapInArrow(run, "lang int, bucket int, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()   # the seen cells: BUCKETS rows a language at most
+    lang, bucket, c = (found.column(x).to_numpy() for x in ("lang", "bucket", "c"))
+    order = np.argsort(lang.astype(np.int64) * BUCKETS + bucket)
+    lang, bucket, c = lang[order], bucket[order], c[order]
+    total = np.bincount(lang, weights=c, minlength=len(languages))
+    # few trigrams are smoothed less, so that a language of few rows fits foreign texts worse than the uniform model
+    smooth = SMOOTH * np.clip(total / BUCKETS, 1e-6, 1.0)
+    whole = total + smooth * BUCKETS
+    return languages, Model(np.log(smooth / whole), np.searchsorted(lang, np.arange(len(languages) + 1)), bucket, np.log((c + smooth[lang]) / whole[lang]))
+
+
+def _passed_on(rows: DataFrame, without: tuple[str, ...]) -> tuple[list[str], str]:
+    fields = [f for f in rows.schema.fields if f.name not in without]
+    return [f.name for f in fields], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+
+
+def text_evidence(rows: DataFrame, languages: list[str], model: Model) -> DataFrame:
     """``rows`` without text but with ``text_log`` (languages, then unknown)
     and ``text_best``, the place of the largest."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.vstack([model, np.full((1, BUCKETS), -np.log(BUCKETS) - UNFIT)]).T.astype(np.float32).copy())   # at most 4 MB
-    fields = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text_log array<double>, text_best int"
-    names = [f.name for f in fields]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    width = len(languages) + 1
+    names, schema = _passed_on(rows, ("text",))
+    schema += "text_log array<double>, text_best int"
 
     def run(it):
-        logs = shared.value
-        for batch in it:
-            out = np.zeros((batch.num_rows, logs.shape[1]))
-            for lo, hi, data, offsets in _rows(batch.column(batch.schema.get_field_index("text"))):
-                if len(data) < 3:
-                    continue
-                total = logs[_trigrams(data)]
-                # trigrams that begin in a row's last two bytes are not its own
-                begin, end = np.minimum(offsets[:-1], len(total)), np.clip(offsets[1:] - 2, 0, len(total))
-                n = np.maximum(end - begin, 0)
-                has = np.flatnonzero(n)
-                if len(has):
-                    marks = np.stack([begin[has], end[has]], axis=1).ravel()
-                    cut = marks[:-1] if marks[-1] == len(total) else marks
-                    out[lo + has] = np.add.reduceat(total, cut, axis=0)[::2] * np.minimum(1.0, EFFECTIVE / n[has])[:, None]
-            best = out.argmax(axis=1)
-            best[~out.any(axis=1)] = logs.shape[1] - 1
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [flat, pa.array(best.astype(np.int32))], names=[*names, "text_log", "text_best"])
+        model, kept = shared.value, None
+        for whole in it:
+            step = max(1, CELLS // width)
+            for batch in (whole.slice(s, step) for s in range(0, whole.num_rows, step)):
+                out = np.zeros((batch.num_rows, width))
+                if kept is None and width <= SLICE:
+                    kept = list(model.slices())
+                parts = list(_rows(batch.column(batch.schema.get_field_index("text"))))
+                for first, logs in kept or model.slices():
+                    for lo, hi, data, offsets in parts:
+                        if len(data) < 3:
+                            continue
+                        total = logs[_trigrams(data)]
+                        # trigrams that begin in a row's last two bytes are not its own
+                        begin, end = np.minimum(offsets[:-1], len(total)), np.clip(offsets[1:] - 2, 0, len(total))
+                        n = np.maximum(end - begin, 0)
+                        has = np.flatnonzero(n)
+                        if len(has):
+                            marks = np.stack([begin[has], end[has]], axis=1).ravel()
+                            cut = marks[:-1] if marks[-1] == len(total) else marks
+                            out[lo + has, first:first + logs.shape[1]] = np.add.reduceat(total, cut, axis=0)[::2] * np.minimum(1.0, EFFECTIVE / n[has])[:, None]
+                best = out.argmax(axis=1)
+                best[~out.any(axis=1)] = width - 1
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [flat, pa.array(best.astype(np.int32))], names=[*names, "text_log", "text_best"])
     return rows.select(*names, F.col("text")).mapInArrow(run, schema)
 
 
+def _fused(rows: DataFrame, own: list[str], names: list[str], all_rows: np.ndarray, share: np.ndarray, least: float) -> DataFrame:
+    """``own`` columns of ``rows`` with the results, from text_log and the counts
+    (place, c) of the row's declared language, suffix, domain and host."""
+    shared = rows.sparkSession.sparkContext.broadcast((names, all_rows, share))
+    kept, schema = _passed_on(rows.select(*[F.col(f"`{c}`") for c in own]), ())
+    schema += "language string, posterior double, text_language string, accepted boolean"
+
+    def run(it):
+        names, all_rows, share = shared.value
+        width = len(names)
+        unseen = np.log(share / (all_rows + 1.0))
+
+        def counts(column, n: int) -> tuple[np.ndarray, np.ndarray]:
+            """Counts by row and language, and which rows have any."""
+            out, lists = np.zeros((n, width)), column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            flat = lists.flatten()
+            many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            out[np.repeat(np.arange(n), many), flat.field("place").to_numpy(zero_copy_only=False)] = flat.field("c").to_numpy(zero_copy_only=False)
+            return out, many > 0
+
+        for whole in it:
+            step = max(1, CELLS // width)
+            for batch in (whole.slice(s, step) for s in range(0, whole.num_rows, step)):
+                n = batch.num_rows
+                get = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+                logs = get("text_log_").flatten().to_numpy(zero_copy_only=False).reshape(n, width).copy()
+                for c in ("declared_", "suffix_"):
+                    seen, some = counts(get(c), n)
+                    logs += np.where(some[:, None], np.where(seen > 0, np.log((seen + share) / (all_rows + 1.0)), unseen), 0.0)
+                domain, host = counts(get("domain_counts_"), n)[0], counts(get("host_counts_"), n)[0]
+                parent = (domain + HOST_WEIGHT * share) / (domain.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+                logs += np.log((host + HOST_WEIGHT * parent) / (host.sum(axis=1, keepdims=True) + HOST_WEIGHT))
+                best = logs.argmax(axis=1)
+                posterior = 1 / np.exp(logs - logs[np.arange(n), best][:, None]).sum(axis=1)
+                blank = get("blank_").to_numpy(zero_copy_only=False).astype(bool)
+                best[blank] = width - 1
+                label = pa.array(names)
+                accepted = (best != width - 1) & (posterior >= least)
+                yield pa.RecordBatch.from_arrays([get(f"own{i}_") for i in range(len(kept))] + [label.take(pa.array(best)), pa.array(posterior), label.take(get("text_best_")), pa.array(accepted)], names=[*kept, "language", "posterior", "text_language", "accepted"])
+    given = [F.col(f"`{c}`").alias(f"own{i}_") for i, c in enumerate(own)]
+    return rows.select(*given, F.col("blank_"), F.col("text_log").alias("text_log_"), F.col("text_best").alias("text_best_"), F.col("declared_log").alias("declared_"), F.col("suffix_log").alias("suffix_"), F.col("domain_counts").alias("domain_counts_"), F.col("host_counts").alias("host_counts_")).mapInArrow(run, schema)
+
+
 def identify(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LEAST) -> DataFrame:
     """``rows`` (text, declared, host, suffix and any others) without text, with
     language, posterior, text_language and accepted.
 
-    A text that is null or blank, or that no language fits, is "und"; one of
+    Every declared language has a place in the posterior, however many there are
+    and however few rows declare it.  A text that is null or blank, or that no
+    language fits, is "und"; one of
     fewer than three bytes goes by its other evidence.  Nulls among declared, host and suffix are no evidence.  accepted:
     the language is known and its posterior at least ``least``.  Repeated rows
     get equal results; with no language to learn, every row is "und"."""
@@ -132,41 +222,20 @@ def identify(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LEA
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1)
     blank = F.coalesce(F.trim("text") == "", F.lit(True))
     seen = staged(text_evidence(rows.withColumn("domain_", domain).withColumn("blank_", blank), languages, model), "evidence")
-    counts = [F.sum((F.col("text_best") == i).cast("double")).alias(f"c{i}") for i in range(len(names))]
-    array = lambda given: F.array(*given)
-    overall = seen.agg(*counts).first()
-    all_rows = [overall[f"c{i}"] or 0.0 for i in range(len(names))]
-    total = sum(all_rows) + len(names)
-    share = [(c + 1) / total for c in all_rows]
-
-    def by(column: str, name: str, within: bool) -> DataFrame:
-        """Log probability of the group given each language, or of each
-        language given the group (within=False gives the raw counts)."""
-        g = seen.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{name}_key")).agg(*counts)
-        if within:
-            value = array([F.log((F.col(f"c{i}") + share[i]) / (all_rows[i] + 1.0)) for i in range(len(names))])
-        else:
-            value = array([F.col(f"c{i}") for i in range(len(names))])
-        return staged(g.select(f"{name}_key", value.alias(name)), name)
+    all_rows = np.zeros(len(names))
+    for r in seen.groupBy("text_best").agg(F.count(F.lit(1)).alias("c")).collect():   # a row a language
+        all_rows[r.text_best] = r.c
+    share = (all_rows + 1) / (all_rows.sum() + len(names))
+
+    def by(column: str, name: str) -> DataFrame:
+        """Rows of the group by the language of their text, as (place, c)."""
+        g = seen.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{name}_key"), F.col("text_best").alias("place")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        return staged(g.groupBy(f"{name}_key").agg(F.collect_list(F.struct("place", "c")).alias(name)), name)   # a list of the languages at most
 
     out = seen
-    for column, name, within in (("declared", "declared_log", True), ("suffix", "suffix_log", True), ("domain_", "domain_counts", False), ("host", "host_counts", False)):
-        out = out.join(by(column, name, within), F.col(column) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
-    parts = []
-    for i in range(len(names)):
-        zero = F.lit(0.0)
-        at = lambda c, i=i: F.coalesce(F.col(c)[i], zero)
-        size = lambda c: F.coalesce(F.aggregate(c, zero, lambda a, x: a + x), zero)
-        parent = (at("domain_counts") + HOST_WEIGHT * share[i]) / (size("domain_counts") + HOST_WEIGHT)
-        prior = (at("host_counts") + HOST_WEIGHT * parent) / (size("host_counts") + HOST_WEIGHT)
-        parts.append(at("text_log") + at("declared_log") + at("suffix_log") + F.log(prior))
-    out = out.withColumn("logs_", array(parts))
-    top = F.array_max("logs_")
-    place = F.array_position("logs_", top) - 1
-    posterior = 1 / F.aggregate(F.transform("logs_", lambda x: F.exp(x - F.array_max("logs_"))), F.lit(0.0), lambda a, x: a + x)
-    label = array([F.lit(n) for n in names])
-    out = out.withColumn("language", F.when(F.col("blank_"), UNKNOWN).otherwise(F.get(label, place.cast("int")))).withColumn("posterior", posterior)
-    return out.select(*own, "language", "posterior", F.get(label, F.col("text_best")).alias("text_language"), ((F.col("language") != UNKNOWN) & (F.col("posterior") >= least)).alias("accepted"))
+    for column, name in (("declared", "declared_log"), ("suffix", "suffix_log"), ("domain_", "domain_counts"), ("host", "host_counts")):
+        out = out.join(by(column, name), F.col(column) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+    return _fused(out, own, names, all_rows, share, least)
 
 
 def documents_evidence(docs: DataFrame) -> DataFrame:

@@ -123,6 +123,19 @@ def test_evidence_decides_where_the_text_does_not(spark):
     assert all(out[i].language == "und" and not out[i].accepted for i in (1002, 1003, 1004))
 
 
+def test_every_declared_language_has_a_place(spark):
+    """90 declared languages, one of them with two rows: none is left out."""
+    rng = random.Random(4)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for i in range(90)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(lang, text(lang), lang) for lang in words for _ in range(2 if lang == "l89" else 4)]
+    rows += [(lang, text(lang), None) for lang in words if lang != "l89"] + [("und", "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200)), None)]
+    df = spark.createDataFrame(rows, "want string, text string, declared string").withColumn("host", F.lit(None).cast("string")).withColumn("suffix", F.lit(None).cast("string"))
+    out = G.identify(df).collect()
+    assert len(out) == len(rows)
+    assert [r for r in out if r.language != r.want or r.accepted != (r.want != "und")] == []
+
+
 def test_language_awkward_rows(spark):
     ids, texts = awkward()
     docs = documents(spark, texts, ids)
