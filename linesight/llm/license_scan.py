@@ -5,11 +5,14 @@ same k-gram in the license templates.  A match votes for the diagonal (place
 in the text minus place in the template).  Votes are counted by diagonal,
 neighbouring diagonals (words put in or left out) are merged into one span, and
 a span is verified by the share of the template's words that its matches cover
-within a span not much longer than the template.
+within a span not much longer than the template.  Where neighbours make a longer
+chain, every window of that length in it is verified.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -118,13 +121,48 @@ def template_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int = K
     # a repeated row votes once
     votes = staged(hits.groupBy("key", "template", "diagonal").agg(F.sort_array(F.collect_set(F.struct("place", "at"))).alias("votes")), "votes")
     order = Window.partitionBy("key", "template").orderBy("diagonal")
-    # a new span where the diagonal or the place leaps
+    # a new span where the diagonal leaps
     leap = (F.col("diagonal") - F.lag("diagonal").over(order) > MERGE).cast("int")
     spans = votes.withColumn("span", F.sum(F.coalesce(leap, F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("key", "template", "span").agg(F.min(F.element_at("votes.place", 1)).alias("first"), F.max(F.element_at("votes.place", -1)).alias("last"), F.flatten(F.collect_list(F.transform("votes", lambda v: v["at"]))).alias("at"))
+    merged = spans.groupBy("key", "template", "span").agg(F.min(F.element_at("votes.place", 1)).alias("first"), F.max(F.element_at("votes.place", -1)).alias("last"), F.flatten(F.collect_list(F.transform("votes", lambda v: v["at"]))).alias("at"), F.flatten(F.collect_list("votes")).alias("votes"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (k - 1))))))
     checked = merged.join(F.broadcast(names), "template").withColumn("covered", covered / F.col("length"))
-    return checked.where((F.col("covered") >= COVERED) & (F.col("last") + k - F.col("first") <= STRETCH * F.col("length") + MERGE)).select("key", "template", "label", F.col("first").cast("long"), (F.col("last") + (k - 1)).cast("long").alias("last"), "covered")
+    fits = F.col("last") + k - F.col("first") <= STRETCH * F.col("length") + MERGE
+    enough = checked.where(F.col("covered") >= COVERED)
+    found = enough.where(fits).select("key", "template", "label", F.col("first").cast("long"), (F.col("last") + (k - 1)).cast("long").alias("last"), "covered")
+    # a chain of neighbours may be longer than any notice in it
+    return found.union(split_chains(enough.where(~fits), k))
+
+
+def split_chains(chains: DataFrame, k: int) -> DataFrame:
+    """(key, template, label, first, last, covered): verified spans in chains that
+    are too long, apart from each other, those that cover the most first."""
+    def run(it):
+        for batch in it:
+            out: list[tuple] = []
+            for key, template, label, length, votes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hits = sorted((v["place"], v["at"]) for v in votes)
+                seen, covered, to, spans = [0] * length, 0, 0, []
+                for i, (place, at) in enumerate(hits):
+                    while to < len(hits) and hits[to][0] + k - place <= STRETCH * length + MERGE:
+                        for x in range(hits[to][1], hits[to][1] + k):
+                            covered += seen[x] == 0
+                            seen[x] += 1
+                        to += 1
+                    if covered / length >= COVERED:
+                        spans.append((-covered, place, hits[to - 1][0] + k - 1))
+                    for x in range(at, at + k):
+                        seen[x] -= 1
+                        covered -= seen[x] == 0
+                taken: list[tuple] = []   # sorted, apart from each other
+                for c, first, last in sorted(spans):
+                    at = bisect.bisect(taken, (first,))
+                    if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                        taken.insert(at, (first, last))
+                        out.append((key, template, label, first, last, -c / length))
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["key", "template", "label", "first", "last", "covered"])
+    return chains.select("key", "template", "label", "length", "votes").mapInArrow(run, "key long, template int, label string, first long, last long, covered double")
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:

@@ -146,3 +146,13 @@ def test_license_scan_equals_brute_force(spark):
     want = sorted(((i, *(round(x, 9) if isinstance(x, float) else x for x in brute_scan(t))) for i, t in zip(all_ids, all_texts, strict=True)), key=str)
     assert got == want
     assert L.scan(documents(spark, [])).count() == 0
+
+
+def test_notice_in_a_long_chain_is_found(spark):
+    """Repeats that lie on neighbouring diagonals do not hide a notice."""
+    notice = "All rights reserved. No part of this publication may be reproduced"
+    texts = ["All rights reserved. " * 4 + notice, "All rights reserved. " * 400 + notice.replace("part of", "part at all of") + " All rights reserved." * 9, "All rights reserved. " * 50]
+    out = {r.doc_id: r for r in L.scan(documents(spark, texts)).collect()}
+    assert [out[i].labels for i in range(3)] == ["all-rights-reserved", "all-rights-reserved", ""]
+    assert out[0].score == 1.0 and out[1].score >= L.COVERED and out[2].score == 0.0
+    assert len(out[0].spans) == 1
