@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linesight.llm import decontaminate, exact_topk, language_id, license_scan, line_dedup, near_dedup, packing, sharding, sql, token_shards, url_filter
+from linesight.llm import collocations, conversation_repair, decontaminate, exact_topk, language_id, lattice_dedup, license_scan, line_dedup, near_dedup, packing, sharding, sql, token_shards, url_filter
 from linesight.llm.common import table
 from linesight.llm.tokens import byte_bpe_50k
 
@@ -69,5 +69,20 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.training_order(table(spark, sf_dir, "documents"), *byte_bpe_50k(), key=TRAINING_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language_id, op4_line_dedup, op5_license_scan, op6_packing, op7_exact_topk, op8_near_dedup, op9_sharding, op10_training_order)}
-ORACLES = {"op1_url_filter": sql.url_filter(URL_RULES, LISTED_WORDS), "op4_line_dedup": sql.LINE_DEDUP, "op5_license_scan": sql.license_scan(), "op7_exact_topk": sql.TOP_K, "op8_near_dedup": sql.NEAR_DEDUP}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component and number of links of every vector."""
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_language_id, op4_line_dedup, op5_license_scan, op6_packing, op7_exact_topk, op8_near_dedup, op9_sharding, op10_training_order, op11_conversation_repair, op12_collocations, op13_embedding_dedup)}
+ORACLES = {"op1_url_filter": sql.url_filter(URL_RULES, LISTED_WORDS), "op4_line_dedup": sql.LINE_DEDUP, "op5_license_scan": sql.license_scan(), "op7_exact_topk": sql.TOP_K, "op8_near_dedup": sql.NEAR_DEDUP, "op12_collocations": sql.collocations(), "op13_embedding_dedup": sql.EMBEDDING_DEDUP}

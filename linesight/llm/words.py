@@ -137,3 +137,12 @@ def hash_words(words: list[str]) -> np.ndarray:
     """Hashes of given words, as find_words gives them in a text."""
     data, offsets = text_buffer(pa.array([" ".join(words)]))
     return find_words(data, offsets, NON_SPACE).hashes
+
+
+def hash_name(name: str) -> int:
+    """64-bit hash of a short string, whatever its characters."""
+    raw = name.encode()
+    h = np.uint64(len(raw))
+    for b in raw:
+        h = mix(np.array([h ^ _BYTE[b]]))[0]
+    return int(h)
