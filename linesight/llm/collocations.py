@@ -10,7 +10,7 @@ at least, so:
    run of k words can only be frequent where both its runs of k - 1 words are.
 2. The union of the locally frequent phrases are the candidates.
 3. One more pass over the texts counts all candidates globally, by their words
-   and not by hashes.
+   (only within a megabyte of text are they told apart by 128 bits of hashes).
 
 What a pass has to know of the level before is a bitmap of fixed size
 (``BITMAP_BITS``), built by an aggregate.  It lets every locally frequent
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linesight.llm import bitmap
 from linesight.llm import words as W
 from linesight.llm.common import staged
 
@@ -40,8 +41,9 @@ LONGEST = 4
 TOP = 2000
 COVERED = 80            # a phrase goes when a longer one holds so many per cent of its places
 SCALE = 2_000_000
-BITMAP_BITS = 27
+BITMAP_BITS = bitmap.BITS
 HELD = 1 << 21          # keys or phrases a task holds before it passes their counts on
+PARTS = 64              # parts of a language ranked by themselves first
 CHUNK_WORDS = 1 << 17   # words of a text whose phrases are written out at a time
 
 #: characters that end a piece: . , ; : ! ? and the line ends 0A to 0D
@@ -74,17 +76,6 @@ def _keys(words: W.Words, row_lang: np.ndarray, k: int) -> np.ndarray:
     return key & ~np.uint64(255)
 
 
-def _place(key: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of each key in a bitmap of so many words (a power of two)."""
-    at = W.mix(key) & np.uint64(64 * words - 1)
-    return at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
-
-
-def _known(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    word, bit = _place(key, len(bitmap))
-    return (bitmap[word] & bit) != 0
-
-
 def _lang_hash(langs: pa.Array) -> np.ndarray:
     """Hash of each row's language."""
     names = langs.dictionary_encode()
@@ -109,7 +100,7 @@ def local_phrases(texts: DataFrame, k: int, least: int, known=None) -> DataFrame
                 of_lang, of_shard, piece = lang[rows][row], shard[rows][row], _pieces(words)
                 ok = _runs(piece, k)
                 if known is not None:
-                    part = np.append(_known(known.value, _keys(words, of_lang, k - 1) | of_shard) & _runs(piece, k - 1), False)
+                    part = np.append(bitmap.known(known.value, _keys(words, of_lang, k - 1) | of_shard) & _runs(piece, k - 1), False)
                     ok &= part[:-1] & part[1:]
                 key = (_keys(words, of_lang, k) | of_shard)[ok]
                 held.append(key)
@@ -123,27 +114,9 @@ def local_phrases(texts: DataFrame, k: int, least: int, known=None) -> DataFrame
 
 
 def _bitmaps(keys: DataFrame) -> list[np.ndarray]:
-    """Two bitmaps of the keys: by shard, and whatever the shard.  Both have a
-    fixed size; their words are put together by an aggregate."""
-    size = 1 << (BITMAP_BITS - 6)
-
-    def run(it):
-        for batch in it:
-            key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for kind, k in ((0, key), (1, key & ~np.uint64(255))):
-                word, bit = _place(k, size)
-                order = np.argsort(word, kind="stable")
-                word, bit = word[order], bit[order]
-                first = np.flatnonzero(np.diff(word, prepend=word[:1] ^ np.uint64(1)))
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(word[first].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit, first).view(np.int64))], names=["kind", "word", "bits"])
-    words = keys.mapInArrow(run, "kind int, word int, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits"))
-    found = words.toArrow()                              # at most two bitmaps of words
-    kind, word, bits = (found.column(i).to_numpy() for i in range(3))
-    out = [np.zeros(size, np.uint64) for _ in range(2)]
-    for i, bitmap in enumerate(out):
-        bitmap[word[kind == i]] = bits[kind == i].view(np.uint64)
-    return out
+    """Two bitmaps of the keys: by shard, and whatever the shard."""
+    whole = keys.select(F.col("key").bitwiseAND(F.lit(-256)))
+    return [bitmap.build(k, BITMAP_BITS) for k in (keys, whole)]
 
 
 def _written(words: W.Words, starts: np.ndarray, k: int) -> pa.Array:
@@ -162,39 +135,58 @@ def _written(words: W.Words, starts: np.ndarray, k: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~last])))
 
 
+def _told_apart(here: np.ndarray, key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each phrase and how many places it has here.  Phrases are
+    told apart by two hashes; one told apart from itself is merged later."""
+    order = np.argsort(key)
+    key, other = key[order], other[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (other[1:] != other[:-1]))[:len(key)])
+    return here[order[first]], np.diff(np.append(first, len(key)))
+
+
 def _merged(held: list[pa.Table]) -> pa.Table:
-    whole = pa.concat_tables(held)
-    return whole.group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["lang", "k", "phrase", "c"])
+    return pa.concat_tables(held).group_by(["code", "phrase"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["code", "phrase", "c"])
 
 
 def global_counts(texts: DataFrame, known: list) -> DataFrame:
     """(lang, k, phrase, c): exact numbers of occurrences of all phrases whose
     bits are in ``known`` (a broadcast bitmap a level); k = 0: all words."""
+    levels = len(known) + 1
+
     def run(it):
-        held, size = [], 0
+        held, size, langs = [], 0, {}                        # code: place in langs * levels + k
+
+        def told(table):
+            code = table.column("code").to_numpy()
+            names = pa.array(list(langs), pa.string())
+            for batch in pa.table({"lang": names.take(pa.array(code // levels)), "k": pa.array((code % levels).astype(np.int32)), "phrase": table.column("phrase").cast(pa.string()), "c": table.column("c")}).to_batches(max_chunksize=65536):
+                yield batch
         for batch in it:
-            names = batch.column(0).cast(pa.large_string())
-            lang = _lang_hash(names)
+            lang = _lang_hash(batch.column(0))
+            own = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], np.int32) * levels
             for rows, words in W.batches(batch.column(1), WORD):
                 row, piece = words.row_of_word(), _pieces(words)
-                of_lang = lang[rows][row]
+                of_lang, code = lang[rows][row], own[rows][row]
                 total = np.bincount(row, minlength=rows.stop - rows.start)
-                held.append(pa.table({"lang": names[rows.start:rows.stop], "k": pa.array(np.zeros(len(total), np.int32)), "phrase": pa.array([""] * len(total), pa.large_string()), "c": pa.array(total)}))
+                held.append(pa.table({"code": pa.array(own[rows]), "phrase": pa.array([""] * len(total), pa.large_string()), "c": pa.array(total)}))
                 size += len(total)
-                for k, bitmap in enumerate(known, 1):
-                    here = np.flatnonzero(_runs(piece, k) & _known(bitmap.value, _keys(words, of_lang, k)))
-                    for s in range(0, len(here), CHUNK_WORDS):
-                        at = here[s:s + CHUNK_WORDS]
-                        held.append(_merged([pa.table({"lang": names.take(pa.array(rows.start + row[at])), "k": pa.array(np.full(len(at), k, np.int32)), "phrase": _written(words, at, k), "c": pa.array(np.ones(len(at), np.int64))})]))
-                        size += held[-1].num_rows
+                shape = W.mix(words.hashes ^ ((words.ends - words.starts).astype(np.uint64) << np.uint64(8)))
+                for k, level in enumerate(known, 1):
+                    key = _keys(words, of_lang, k)
+                    here = np.flatnonzero(_runs(piece, k) & bitmap.known(level.value, key))
+                    at, count = _told_apart(here, key[here], W.grams(shape, k)[here])
+                    for s in range(0, len(at), CHUNK_WORDS):
+                        part = at[s:s + CHUNK_WORDS]
+                        held.append(pa.table({"code": pa.array(code[part] + k), "phrase": _written(words, part, k), "c": pa.array(count[s:s + CHUNK_WORDS])}))
+                    size += len(at)
                 if size >= HELD // 4:
                     held = [_merged(held)]
                     size = held[0].num_rows
-                    if size >= HELD // 8:
-                        yield from held[0].to_batches(max_chunksize=65536)
+                    if size >= HELD // 6:
+                        yield from told(held[0])
                         held, size = [], 0
         if held:
-            yield from _merged(held).to_batches(max_chunksize=65536)
+            yield from told(_merged(held))
     return texts.mapInArrow(run, "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
 
 
@@ -211,9 +203,14 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     before, anywhere = None, []
     for k in range(1, longest + 1):
         by_shard, whole = _bitmaps(staged(local_phrases(dealt, k, least, before), "local"))
+        if before is not None:
+            before.destroy()
         before = spark.sparkContext.broadcast(by_shard)
         anywhere.append(spark.sparkContext.broadcast(whole))
-    return staged(global_counts(texts, anywhere).where((F.col("c") >= support) | (F.col("k") == 0)), "phrases")
+    found = staged(global_counts(texts, anywhere).where((F.col("c") >= support) | (F.col("k") == 0)), "phrases")
+    for held in (before, *anywhere):
+        held.destroy()
+    return found
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, longest: int = LONGEST, top: int = TOP) -> DataFrame:
@@ -244,7 +241,10 @@ def collocations(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS,
     longer = cand.where("k > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "c").groupBy("lang", "phrase").agg(F.max("c").alias("longer"))
     held = F.expr(f"100 * cast(longer as decimal(20,0)) >= {COVERED} * cast(a as decimal(20,0))")
     left = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~held)
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each part of a language first: a language's task then ranks PARTS * top rows at most
+    order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    in_part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    left = left.withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= top)
+    best = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     total = freq.where("k = 0").select("lang", F.col("c").alias("n"))
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))

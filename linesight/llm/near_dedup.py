@@ -8,16 +8,21 @@ slices need not be drawn once all registers lie below them.  The minima are
 stored on an exponentially spaced, truncated integer scale.
 
 1. One pass over the texts: set size, a 128-bit digest of the set, registers.
-2. Equal sets (copies) become one class, its representative the smallest id.
+2. Equal sets (copies) become one class, named by its first row.
 3. Bands of ``ROWS`` registers are hashed; classes that share a band are
    candidates.  A bucket is never expanded into all its pairs: each member is
-   paired with the bucket's most connected member, the pairs are filtered by
-   the likelihood estimate, checked on the full sets, and joined into
-   components.
-4. Buckets whose members still lie in several components are finished: those
-   that share members form families, and members outside a family's largest
-   component are compared with all its members, in blocks.
-5. Components by alternating large-star and small-star joins.
+   paired with the bucket's most connected member, its centre, and the pairs are
+   filtered by the likelihood estimate.
+4. The classes of the remaining pairs are checked on their full sets: one text
+   for each is read again (found by a bitmap of fixed size) and goes to the
+   centres it is paired with, where all sets are built and compared.  Links are
+   joined into components.
+5. Buckets whose members still lie in several components are finished: those
+   that share members form families.  Members outside a family's largest
+   component are compared with all its members by their registers, in blocks;
+   the members that have a likely partner in another component, and only they,
+   are compared on their full sets, in parts of bounded size.
+6. Components by alternating large-star and small-star joins.
 
 Registers: 63 in 21 bands of 3, so a pair at similarity 0.75 shares a band
 with probability 1 - 1e-5.  The estimate drops a pair only below ``similarity``
@@ -28,11 +33,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linesight.llm import bitmap
 from linesight.llm import words as W
-from linesight.llm.common import row_key, staged
+from linesight.llm.common import discard, row_key, staged
 
 WORDS = 5
 PERCENT = 75
@@ -44,9 +51,13 @@ RATE = 20.0             # rate of the exponential distribution
 TOP = 2**16 - 1         # registers are truncated to 0 .. TOP
 SHIFT = 8000            # keeps the registers of one-element sets above 0
 SLACK = 0.28
-BLOCK = 128             # members compared with as many at a time
+BLOCK = 1024            # members of a family that are compared with as many others at a time
+PART = 1 << 18          # shingles of the sets that a task builds at a time, about
+TOGETHER = 64           # partners tried at a time until one is likely
+COLUMNS = 2048          # shingles counted at a time
 
 SKETCH = "doc_id long, key long, n_shingles long, d1 long, d2 long, registers binary"
+NODE = "a long, b long"
 
 
 def shingle_sets(words: W.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -136,44 +147,84 @@ def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), row_key("text").alias("key"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
-def full_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as bytes."""
-    def run(it):
-        for batch in it:
-            for rows, words in W.batches(batch.column(1), W.NON_SPACE):
-                sets, n = shingle_sets(words, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array([s.tobytes() for s in np.split(sets, np.cumsum(n)[:-1])], pa.binary())], names=["id", "shingles"])
-    return docs.mapInArrow(run, "id long, shingles binary")
-
-
 def _matrix(column, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def _likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    out = []
+    for _, words in W.batches(texts, W.NON_SPACE):
+        sets, n = shingle_sets(words, k)
+        out += np.split(sets, np.cumsum(n)[:-1])
+    return out
+
+
+def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the joint estimate leaves possible."""
     for c in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}")), c)
+        pairs = pairs.join(classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}")), c)
 
     def run(it):
         for x in it:
             if x.num_rows:
                 keep = likely(_matrix(x.column("ra"), np.uint16, M), _matrix(x.column("rb"), np.uint16, M), x.column("na").to_numpy(zero_copy_only=False), x.column("nb").to_numpy(zero_copy_only=False), percent)
                 yield x.select(["a", "b"]).filter(pa.array(keep))
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    def run(it):
-        for x in it:
-            keep = []
-            for p, q in zip(x.column("sa"), x.column("sb"), strict=True):
-                keep.append(similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")), c)
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, NODE)
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``wanted`` (at_id, at_key and more) with the text of a row of that doc_id
+    and key, and the bitmap to destroy afterwards.  Texts that are not wanted are
+    dropped where they are read, but for the few that share a bit of the bitmap."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(bitmap.build(wanted.select(F.xxhash64("at_id", "at_key"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(bitmap.may_hold(held, F.xxhash64("doc_id", "key")))
+    return wanted.join(rows, F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_key") == F.col("key"))).drop("at_id", "at_key", "doc_id", "key"), held
+
+
+def _runs(table: pa.Table, by: str):
+    """Rows of a group that share ``by``, run by run."""
+    table = table.sort_by(by).combine_chunks()
+    value = table.column(by).to_numpy()
+    cuts = np.flatnonzero(np.diff(value)) + 1
+    for s, e in zip(np.append(0, cuts), np.append(cuts, len(value)), strict=True):
+        yield table.slice(s, e - s)
+
+
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough.  Sets meet at b, their
+    centre: small centres are packed by a hash, the members of a large one are
+    dealt into parts, each with the centre's own text."""
+    roles = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), "b").distinct())
+    where = classes.select(F.col("cid").alias("a"), "n_shingles", "at_id", "at_key")
+    roles = staged(roles.join(where, "a"), "roles")
+    weights = staged(roles.groupBy("b").agg(F.ceil(F.sum("n_shingles") / PART).cast("long").alias("parts"), F.sum("n_shingles").alias("weight")), "weights")
+    bins = max(1, -(-(weights.where("parts = 1").agg(F.sum("weight")).first()[0] or 0) // PART))
+    own, none = F.col("a") == F.col("b"), F.lit(-1).cast("long")
+    part = F.when(F.col("parts") == 1, F.array(none)).when(own, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), F.col("parts"))))
+    bin_ = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("b"), F.lit(bins))).otherwise(F.xxhash64("b"))
+    goes = F.explode(F.transform(part, lambda p: F.struct(F.col("b").alias("b"), bin_.alias("bin"), p.alias("part")))).alias("to")
+    # one row for a class: the groups it goes to, at most one a band, and one a part of its own
+    wanted = roles.join(weights, "b").select("a", "at_id", "at_key", goes).groupBy("a", "at_id", "at_key").agg(F.collect_list("to").alias("to"))
+    wanted = staged(wanted, "wanted")
+    texts, held = _with_texts(docs, wanted)
+    sent = texts.select("a", "text", F.explode("to").alias("to")).select("a", "to.*", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        for rows in _runs(table, "b"):
+            ids, centre, sets = rows.column("a").to_numpy(), rows.column("b")[0].as_py(), _sets(rows.column("text"), k)
+            middle = sets[int(np.flatnonzero(ids == centre)[0])]
+            linked = [i for i, s in zip(ids, sets, strict=True) if i != centre and similar(middle, s, percent)]
+            a += linked
+            b += [centre] * len(linked)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    found = staged(sent.groupBy("bin", "part").applyInArrow(run, NODE).distinct(), "links")
+    held.destroy()
+    discard(roles, weights, wanted)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,56 +247,134 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = mark
+        seen, before = mark, now
         now = staged(star(star(now, False), True), "edges")
-
-
-def _unfinished(members: DataFrame, reps: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) that are left in buckets with several components; None if
-    there is no such bucket.
-
-    Unfinished buckets that share members form a family.  Each member outside
-    its family's largest component is compared with all members: a block of the
-    ones with a block of the others in a task, registers first (a shared band
-    and the estimate), then the full sets.  Only links leave the task."""
-    m = members.where("size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    unfinished = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("low")).where("lo <> hi")
-    edges = staged(m.join(unfinished, "key").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "unfinished")
-    if edges.isEmpty():
-        return None
-    family = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    rows = family.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = staged(rows, "family")
-    part = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks"), F.max_by("component", F.struct("c", "component")).alias("largest"))
-    full = rows.join(part, "family").join(reps, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    entry = F.struct("rep", "component", "n", "registers", "shingles")
-    everyone = full.groupBy("family", "block").agg(F.collect_list(entry).alias("all"))     # about BLOCK members
-    others = full.where("component <> largest").groupBy("family", "blocks", F.col("block").alias("part")).agg(F.collect_list(entry).alias("others"))
+        discard(before)
+
+
+def _shared(reg: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the other registers have a band in common with ``reg``."""
+    same = others[:, :BANDS * ROWS] == reg[:BANDS * ROWS]
+    return same.reshape(len(others), BANDS, ROWS).all(axis=2).any(axis=1)
+
+
+def _mark(n, reg, own, to_n, to_reg, to_own, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members (of one side, of the other) with a likely partner in another
+    component on the other side."""
+    left, right = np.zeros(len(n), bool), np.zeros(len(to_n), bool)
+
+    def hits(r: int, c: np.ndarray) -> np.ndarray:
+        return c[likely(np.repeat(reg[r][None], len(c), 0), to_reg[c], np.repeat(n[r], len(c)), to_n[c], percent)] if len(c) else c
+    for r in range(len(n)):
+        c = np.flatnonzero((to_own != own[r]) & (100 * np.minimum(n[r], to_n) >= percent * np.maximum(n[r], to_n)))
+        c = c[_shared(reg[r], to_reg[c])]
+        new = hits(r, c[~right[c]])
+        left[r] = len(new) > 0
+        c = c[right[c]]
+        right[new] = True
+        for s in range(0, len(c), TOGETHER):          # marked already: one hit is enough
+            if left[r]:
+                break
+            left[r] = len(hits(r, c[s:s + TOGETHER])) > 0
+    return left, right
+
+
+def _linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a are similar enough to which of b, by exact counts of
+    common shingles: a product of membership matrices, some shingles at a time."""
+    n, m = (np.array([len(x) for x in side]) for side in (a, b))
+    (u, row), (v, col) = ((np.concatenate(side), np.repeat(np.arange(len(side)), size)) for side, size in ((a, n), (b, m)))
+    both = np.intersect1d(u, v)
+    places = [np.minimum(np.searchsorted(both, x), max(len(both) - 1, 0)) for x in (u, v)]
+    known = [both[p] == x if len(both) else np.zeros(len(x), bool) for p, x in zip(places, (u, v), strict=True)]
+    (u, row), (v, col) = ((p[k], r[k]) for p, k, r in zip(places, known, (row, col), strict=True))
+    common = np.zeros((len(a), len(b)), np.float32)             # exact below 2**24 shingles
+    by_u, by_v = np.argsort(u, kind="stable"), np.argsort(v, kind="stable")
+    u, row, v, col = u[by_u], row[by_u], v[by_v], col[by_v]
+    for s in range(0, len(both), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        i, j = (slice(*np.searchsorted(w, [s, s + COLUMNS])) for w in (u, v))
+        x[row[i], u[i] - s], y[col[j], v[j] - s] = 1, 1
+        common += x @ y.T
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (n[:, None] + m[None, :] - common)
+
+
+def _open_members(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cid of the members of ``rows`` (cid, family, component, largest, size)
+    with a likely partner in another component of their family."""
+    full = rows.join(classes.select("cid", "n_shingles", "registers"), "cid")
+    full = full.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    entry = F.collect_list(F.struct("cid", "component", "n_shingles", "registers"))
+    everyone = full.groupBy("family", "block").agg(entry.alias("all"))                 # about BLOCK members
+    others = full.where("component <> largest").groupBy("family", "blocks", F.col("block").alias("part")).agg(entry.alias("others"))
     sent = others.select("family", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def unpack(column):
         x = column.flatten()
-        return [x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)] + [_matrix(x.field(3), np.uint16, M), [np.frombuffer(v.as_buffer(), np.uint64) for v in x.field(4)]]
+        return [x.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)] + [_matrix(x.field(3), np.uint16, M)]
 
     def run(it):
         for batch in it:
             for i in range(batch.num_rows):
-                ids, own, n, reg, sets = unpack(batch.column("others").slice(i, 1))
-                to_ids, to_own, to_n, to_reg, to_sets = unpack(batch.column("all").slice(i, 1))
-                links, joined = [], set()
-                bands = to_reg[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
-                for r in range(len(ids)):
-                    c = np.flatnonzero((to_own != own[r]) & (100 * np.minimum(n[r], to_n) >= percent * np.maximum(n[r], to_n)))
-                    c = c[(bands[c] == reg[r, :BANDS * ROWS].reshape(BANDS, ROWS)).all(axis=2).any(axis=1)]
-                    if len(c):
-                        c = c[likely(np.repeat(reg[r][None], len(c), 0), to_reg[c], np.repeat(n[r], len(c)), to_n[c], percent)]
-                    for q in c:
-                        pair = (min(own[r], to_own[q]), max(own[r], to_own[q]))
-                        if pair not in joined and similar(sets[r], to_sets[q], percent):   # one link joins two components
-                            joined.add(pair)
-                            links.append((min(ids[r], to_ids[q]), max(ids[r], to_ids[q])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
-    return sent.join(everyone, ["family", "block"]).select("others", "all").mapInArrow(run, "a long, b long")
+                ids, own, n, reg = unpack(batch.column("others").slice(i, 1))
+                to_ids, to_own, to_n, to_reg = unpack(batch.column("all").slice(i, 1))
+                left, right = _mark(n, reg, own, to_n, to_reg, to_own, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[left], to_ids[right]]))], names=["cid"])
+    return sent.join(everyone, ["family", "block"]).select("others", "all").mapInArrow(run, "cid long").distinct()
+
+
+def _unfinished(docs: DataFrame, members: DataFrame, classes: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that are left in buckets with several components; None if
+    there is no such bucket.  Unfinished buckets that share members form a
+    family; one link for each two components is enough."""
+    named = comp.select(F.col("node").alias("cid"), "component")
+    m = members.where("size > 2").join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
+    unfinished = staged(m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("cid").alias("low")).where("lo <> hi").select("key", "low"), "unfinished")
+    edges = staged(m.join(unfinished, "key").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct(), "unfinished")
+    if edges.isEmpty():
+        return None
+    family = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    rows = staged(family.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "family")
+    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.sum("c").alias("size"), F.max_by("component", F.struct("c", "component")).alias("largest"))
+    rows = rows.join(staged(sizes, "families"), "family")
+    still = staged(_open_members(rows, classes, percent), "open")
+    if still.isEmpty():
+        return None
+    left = staged(rows.join(still, "cid").join(classes.select("cid", "n_shingles", "at_id", "at_key"), "cid"), "left")
+    parts = F.greatest(F.ceil(F.sum("n_shingles") / PART), F.ceil(F.count(F.lit(1)) / BLOCK))
+    weights = staged(left.groupBy("family").agg(parts.cast("long").alias("parts"), F.sum("n_shingles").alias("weight")), "weights")
+    bins = max(1, -(-(weights.where("parts = 1").agg(F.sum("weight")).first()[0] or 0) // PART))
+    # a member of part x meets, as one of all, the others of every part o in (o, x), and as one of the others every part in (x, o)
+    x, every = F.pmod(F.xxhash64("cid"), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    meets = F.transform(every, lambda o: F.struct(o.alias("o"), x.alias("x")))
+    meets = F.when(F.col("component") == F.col("largest"), meets).otherwise(F.array_distinct(F.concat(meets, F.transform(every, lambda o: F.struct(x.alias("o"), o.alias("x"))))))
+    bin_ = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family"))
+    placed = left.join(weights, "family").select("cid", "family", "component", "at_id", "at_key", (F.col("component") != F.col("largest")).alias("other"), x.alias("own"), bin_.alias("bin"), meets.alias("meets"))
+    placed = staged(placed, "placed")
+    texts, held = _with_texts(docs, placed)
+    sent = texts.withColumn("meet", F.explode("meets")).drop("meets")
+
+    def run(table: pa.Table) -> pa.Table:
+        links = []
+        for rows in _runs(table, "family"):
+            ids, own, part = (rows.column(c).to_numpy() for c in ("cid", "component", "own"))
+            sets = _sets(rows.column("text"), k)
+            others = np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False) & (part == rows.column("o")[0].as_py()))
+            everyone = np.flatnonzero(part == rows.column("q")[0].as_py())
+            if not len(others) or not len(everyone):
+                continue
+            found = _linked([sets[i] for i in others], [sets[i] for i in everyone], percent) & (own[others][:, None] != own[everyone][None, :])
+            r, c = np.nonzero(found)
+            r, c = others[r], everyone[c]
+            _, one = np.unique(np.stack([np.minimum(own[r], own[c]), np.maximum(own[r], own[c])]), axis=1, return_index=True)
+            links += zip(ids[r[one]].tolist(), ids[c[one]].tolist(), strict=True)     # one link joins two components
+        return pa.table({"a": pa.array([v[0] for v in links], pa.int64()), "b": pa.array([v[1] for v in links], pa.int64())})
+    sent = sent.select("cid", "family", "component", "other", "own", "bin", F.col("meet.o").alias("o"), F.col("meet.x").alias("q"), "text")
+    found = staged(sent.groupBy("bin", "o", "q").applyInArrow(run, NODE), "links")
+    held.destroy()
+    discard(edges, unfinished, still, left, weights, placed)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -254,35 +383,32 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     Words are runs of anything but ASCII white space, A-Z in lower case.  Texts
     that are null, empty or without words have size 0 and are linked with
-    nothing.  Rows without doc_id follow the group of an equal set that has
-    one and are kept only if there is none.  Repeated rows give repeated result
-    rows; an empty table gives an empty result."""
-    base = staged(sketch(docs, k), "sketch")
-    classes = base.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
-    classes = staged(classes, "classes")
-    reps = classes.where("rep is not null").select("rep", F.col("n_shingles").alias("n"), "registers")
+    nothing.  Rows without doc_id follow their component and are kept only if
+    none of it has one.  Rows that share a doc_id but not the text are documents
+    of their own; repeated rows give repeated result rows; an empty table gives
+    an empty result."""
+    base = staged(sketch(docs, k).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    place = F.min(F.struct("row", "doc_id", "key"))
+    classes = base.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(place.alias("at"), F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    classes = staged(classes.select("d1", "d2", "n_shingles", "least", "registers", F.col("at.row").alias("cid"), F.col("at.doc_id").alias("at_id"), F.col("at.key").alias("at_key")), "classes")
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)]))
-    bands = reps.select("rep", band.alias("key"))
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    bands = classes.select("cid", band.alias("key"))
+    # tables of keys are written before they are joined, so that a join on a hot key can be split
+    sizes = staged(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     members = staged(bands.join(sizes, "key"), "members")
-    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    centre = members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("centre"))
-    pairs = members.join(centre, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # a doc_id may repeat with another text: its class decides which text stands for it
-    sets = full_sets(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi"), k)
-    sets = staged(_one_set_each(sets, reps), "sets")
-    found = staged(_links(_likely_pairs(pairs, reps, percent), sets, percent), "links")
+    degree = members.groupBy("cid").agg(F.sum("size").alias("degree"))
+    centre = staged(members.join(degree, "cid").groupBy("key").agg(F.max(F.struct("degree", -F.col("cid"))).alias("best")).select("key", (-F.col("best.col2")).alias("b")), "centres")
+    pairs = members.select(F.col("cid").alias("a"), "key").join(centre, "key").where("a <> b").select("a", "b").distinct()
+    pairs = staged(_likely_pairs(pairs, classes, percent), "pairs")
+    found = _links(docs, pairs, classes, k, percent)
     comp = staged(components(found), "components")
-    late = _unfinished(members, reps, comp, sets, percent)
+    late = _unfinished(docs, members, classes, comp, k, percent)
     if late is not None:
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = base.drop("registers").join(named, ["d1", "d2", "n_shingles"], "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _one_set_each(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of an id that carry the representative's own set, once."""
-    sized = sets.withColumn("n", (F.length("shingles") / 8).cast("long"))
-    return sized.join(reps.select(F.col("rep").alias("id"), F.col("n")).distinct(), ["id", "n"], "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles"))
+        comp = staged(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)), "components")
+    discard(sizes, members, centre, pairs, found)
+    placed = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("d1", "d2", "n_shingles", "least", F.coalesce("component", "cid").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.join(least, "component").select("d1", "d2", "n_shingles", "component_id")
+    some = base.where("n_shingles > 0").select("doc_id", "key", "d1", "d2", "n_shingles").join(named, ["d1", "d2", "n_shingles"]).select("doc_id", "key", "n_shingles", "component_id")
+    none = base.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

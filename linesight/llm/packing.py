@@ -93,14 +93,15 @@ def pack(docs: DataFrame, path: str, pattern: str | None = None, capacity: int =
 
     A null or empty text is the separator alone.  Rows without doc_id are packed
     like others; repeated rows are packed each; an empty table gives no rows.
-    Windows of one document never share tokens; equal pieces are ordered by
-    their columns, so the result depends on the rows alone."""
-    parts = staged(pieces(docs, path, pattern, capacity, separator), "pieces")
+    Windows of one document never share tokens.  Pieces are dealt by their
+    columns and their place, so that equal ones do not meet in one group."""
+    numbered = pieces(docs, path, pattern, capacity, separator).withColumn("at", F.monotonically_increasing_id())
+    parts = staged(numbered, "pieces")
     groups = max(1, -(-parts.count() // group_pieces))
 
     def run(key, rows):
-        rows = rows.sort_by([("length", "descending")] + [(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])
+        rows = rows.sort_by([("length", "descending")] + [(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens", "at")])
         window, offset = best_fit_decreasing(rows.column("length").to_pylist(), capacity)
-        return rows.drop_columns(["part"]).append_column("sequence_id", pa.array(np.array(window, np.int64) + (key[0].as_py() << 32))).append_column("offset", pa.array(offset, pa.int64()))
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+        return rows.drop_columns(["part", "at"]).append_column("sequence_id", pa.array(np.array(window, np.int64) + (key[0].as_py() << 32))).append_column("offset", pa.array(offset, pa.int64()))
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "at"), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(run, PIECE + ", sequence_id long, offset long")

@@ -38,13 +38,13 @@ FROM k LEFT JOIN best ON best.page_id = k.page_id LEFT JOIN listed ON listed.can
 
 LINE_DEDUP = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-n AS (SELECT doc_id, list_transform(l, lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END) AS l FROM l WHERE len(l) >= 3),
-p AS (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS place FROM n),
-w AS (SELECT doc_id, place, l[place + 1] AS a, l[place + 2] AS b, l[place + 3] AS c FROM p),
-v AS (SELECT * FROM w WHERE a <> '' OR b <> '' OR c <> ''),
-r AS (SELECT a, b, c, min({'d': doc_id, 'p': place}) AS f FROM v GROUP BY a, b, c HAVING count(*) > 1),
-s AS (SELECT v.doc_id, unnest([place, place + 1, place + 2]) AS line, v.doc_id = r.f.d AND v.place = r.f.p AS own
-      FROM v JOIN r ON v.a = r.a AND v.b = r.b AND v.c = r.c),
+n AS (SELECT doc_id, list_transform(l, lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END) AS l FROM l WHERE text IS NOT NULL),
+p AS (SELECT doc_id, l, unnest(range(0, greatest(len(l) - 2, 1))) AS place FROM n),
+w AS (SELECT doc_id, place, l[place + 1:place + 3] AS w FROM p),
+v AS (SELECT * FROM w WHERE len(list_filter(w, lambda x: x <> '')) > 0),
+r AS (SELECT w, min({'d': doc_id, 'p': place}) AS f FROM v GROUP BY w HAVING count(*) > 1),
+s AS (SELECT v.doc_id, unnest(range(place, place + len(v.w))) AS line, v.doc_id = r.f.d AND v.place = r.f.p AS own
+      FROM v JOIN r ON v.w = r.w),
 g AS (SELECT doc_id, line FROM s GROUP BY doc_id, line HAVING NOT bool_or(own)),
 gone AS (SELECT doc_id, list(line) AS gone FROM g GROUP BY doc_id)
 SELECT l.doc_id,
@@ -74,7 +74,13 @@ diagonals AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
 leaps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {L.MERGE} THEN 0 ELSE 1 END AS leap FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 spans AS (SELECT *, sum(leap) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM leaps),
 merged AS (SELECT doc_id, template, span, min(place) AS first, max(place) AS last, len(list_distinct(flatten(list(range(t, t + {k}))))) AS words FROM hits JOIN spans USING (doc_id, template, diagonal) GROUP BY doc_id, template, span),
-checked AS (SELECT doc_id, label, words / length AS covered FROM merged JOIN names USING (template) WHERE words / length >= {L.COVERED} AND last + {k} - first <= {L.STRETCH} * length + {L.MERGE}),
+enough AS (SELECT doc_id, template, span, label, length, words / length AS covered, last + {k} - first <= {L.STRETCH} * length + {L.MERGE} AS fits FROM merged JOIN names USING (template) WHERE words / length >= {L.COVERED}),
+placed AS (SELECT doc_id, template, span, label, length, place, t FROM hits JOIN spans USING (doc_id, template, diagonal) JOIN enough USING (doc_id, template, span) WHERE NOT fits),
+windows AS (SELECT h.doc_id, h.label, len(list_distinct(flatten(list(range(h.t, h.t + {k}))))) / any_value(h.length) AS covered
+            FROM (SELECT DISTINCT doc_id, template, span, place FROM placed) AS s JOIN placed AS h ON h.doc_id = s.doc_id AND h.template = s.template AND h.span = s.span
+             AND h.place >= s.place AND h.place + {k} - s.place <= {L.STRETCH} * h.length + {L.MERGE}
+            GROUP BY h.doc_id, h.label, h.template, h.span, s.place),
+checked AS (SELECT doc_id, label, covered FROM enough WHERE fits UNION ALL SELECT doc_id, label, covered FROM windows WHERE covered >= {L.COVERED}),
 found AS (SELECT doc_id, list(label) AS labels, max(covered) AS score FROM checked GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(base.labels, ','), '') AS base_labels,

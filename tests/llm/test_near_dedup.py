@@ -60,6 +60,7 @@ def test_components_equal_brute_force(spark):
 def test_unfinished_buckets_are_finished(spark, monkeypatch):
     """Two tight groups that meet in the same buckets, in blocks of three."""
     monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "PART", 900)     # a few sets: centres and families are cut into parts
     rng = random.Random(9)
     base = sentence(rng, 200).split()
     far = base[:165] + sentence(rng, 35).split()
@@ -67,6 +68,22 @@ def test_unfinished_buckets_are_finished(spark, monkeypatch):
     assert result(N.near_duplicates(documents(spark, texts))) == brute_force(enumerate(texts))
 
 
+def test_one_doc_id_with_different_texts(spark):
+    """Rows (5, A), (5, B), (1, near A), (2, near B): each text keeps its links."""
+    rng = random.Random(4)
+    a, b = (sentence(rng, 100).split() for _ in range(2))
+    rows = [(5, a), (5, b), (1, edited(rng, a, 1)), (2, edited(rng, b, 1)), (3, sentence(rng, 100).split()), (None, edited(rng, b, 1)), (7, a)]
+    got = N.near_duplicates(documents(spark, [" ".join(t) for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in got) == [("1", 1, True), ("2", 2, True), ("3", 3, True), ("5", 1, False), ("5", 2, False), ("7", 1, False), ("None", 2, False)]
+
+
+def test_groups_without_any_doc_id(spark):
+    rng = random.Random(8)
+    a = sentence(rng, 80).split()
+    got = N.near_duplicates(documents(spark, [" ".join(a), " ".join(edited(rng, a, 1)), ""], [None] * 3)).collect()
+    assert all(r.component_id is None and r.kept for r in got) and len(got) == 3
+
+
 def test_awkward_rows(spark):
     ids, texts = awkward()
     got = N.near_duplicates(documents(spark, texts, ids)).collect()

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -94,6 +94,14 @@ def test_pack(spark):
     check(few, list(range(len(texts))), texts)
 
 
+def test_repeated_rows_are_dealt_to_all_groups(spark):
+    """3000 rows without id and text among 6000: no group holds them together."""
+    docs = documents(spark, [None] * 3000 + [f"w{i}" for i in range(3000)], [None] * 3000 + list(range(3000))).repartition(6)
+    rows = P.pack(docs, PATH, PATTERN, group_pieces=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 6000 and len(sizes) == 60 and max(sizes.values()) < 160
+
+
 def test_pack_awkward_rows(spark):
     ids, texts = awkward()
     check(P.pack(documents(spark, texts, ids), PATH, PATTERN).collect(), ids, texts)

@@ -18,7 +18,7 @@ needs_data = pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @needs_data
@@ -26,7 +26,7 @@ def test_registered():
 def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, DATA)
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     rel = con.sql(ORACLES[name])
     order = sorted(df.columns)

@@ -3,11 +3,13 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from linesight.llm import exact_topk as K
 from linesight.llm import license_scan as L
+from linesight.llm import sql
 from linesight.llm import url_filter as U
 from linesight.llm.queries import URL_RULES
 from tests.llm.data import awkward, documents, sentence
@@ -117,9 +119,16 @@ def brute_scan(text, k=L.K):
         for d in [*sorted(votes), None]:
             if group and (d is None or d - last > L.MERGE):
                 cover = len({x for _, j in group for x in range(j, j + k)}) / len(t)
-                if cover >= L.COVERED and max(i for i, _ in group) + k - min(i for i, _ in group) <= L.STRETCH * len(t) + L.MERGE:
+                most = L.STRETCH * len(t) + L.MERGE
+                if cover >= L.COVERED and max(i for i, _ in group) + k - min(i for i, _ in group) <= most:
                     more.add(label)
                     score = max(score, cover)
+                elif cover >= L.COVERED:      # a long chain: the windows that begin at its hits
+                    for begin in {i for i, _ in group}:
+                        cover = len({x for i, j in group if i >= begin and i + k - begin <= most for x in range(j, j + k)}) / len(t)
+                        if cover >= L.COVERED:
+                            more.add(label)
+                            score = max(score, cover)
                 group = []
             if d is not None:
                 group += votes[d]
@@ -153,6 +162,13 @@ def test_notice_in_a_long_chain_is_found(spark):
     notice = "All rights reserved. No part of this publication may be reproduced"
     texts = ["All rights reserved. " * 4 + notice, "All rights reserved. " * 400 + notice.replace("part of", "part at all of") + " All rights reserved." * 9, "All rights reserved. " * 50]
     out = {r.doc_id: r for r in L.scan(documents(spark, texts)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    for r in con.sql(sql.license_scan()).fetchall():         # SQL and brute force state the same rule
+        own = out[r[0]]
+        assert r == (own.doc_id, own.n_words, own.n_base, own.first_word, own.last_word, own.base_labels, own.labels, own.score)
+        assert (own.labels, own.score) == brute_scan(texts[r[0]])[5:]
     assert [out[i].labels for i in range(3)] == ["all-rights-reserved", "all-rights-reserved", ""]
     assert out[0].score == 1.0 and out[1].score >= L.COVERED and out[2].score == 0.0
     assert len(out[0].spans) == 1

@@ -51,15 +51,15 @@ def brute_force(rows, k=3):
     windows = defaultdict(list)
     for i, t in rows:
         x = [s if s.strip(" ") else "" for s in (t or "").split("\n")] if t is not None else []
-        for p in range(len(x) - k + 1):
+        for p in range(max(1, len(x) - k + 1)):      # a short text is one window
             if any(x[p:p + k]):
                 windows[tuple(x[p:p + k])].append((i, p))
     cover, keep = defaultdict(set), defaultdict(set)
-    for spots in windows.values():
+    for window, spots in windows.items():
         if len(spots) > 1:
             first = min(spots)
             for i, p in spots:
-                (keep if (i, p) == first else cover)[i] |= set(range(p, p + k))
+                (keep if (i, p) == first else cover)[i] |= set(range(p, p + len(window)))
     out = {}
     for i, t in rows:
         gone = cover[i] - keep[i]
@@ -74,6 +74,7 @@ def test_repeated_windows(spark):
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 30))) for _ in range(120)]
     texts += ["\n".join([sentence(rng, 4), *passage, sentence(rng, 4)]) for _ in range(30)]
     texts += ["same\n" * 9, "a\nb\na\nb\na\nb\na\nb"]
+    texts += ["one line", "two\nlines", "one line", " \n ", "two\nlines", "one line\n", "two\nlines\n", "", "one line", "two\nlines\nmore"]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in L.drop_repeated_windows(documents(spark, texts)).collect()}
     assert got == brute_force(list(enumerate(texts)))
     assert sum(passage[2] in t for t, _, _ in got.values()) == 1
