@@ -10,9 +10,8 @@ matching shuffles no text.
 Prefix fallback (rows without an exact match): candidates share the first
 150 normalized characters, and those where one text starts with the other
 win.  A block can hold a third of all texts (a shared licence header), so
-the starts-with candidates are found without comparing pairs: one global
-byte order of all texts turns "extends R" into a contiguous position range
-and range minima are read from dyadic tables (O(log N) probes per text).
+the starts-with candidates are found without comparing pairs, by one sorted
+scan of all texts (``prefix_scan``).
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesight.functions import text as T
+from linesight.operators.prefix_scan import prefix_minima
 
 UNKNOWN_PROJECT = "unknown"  # fixed default of unmatched rows
 
@@ -74,100 +74,6 @@ def match_exact(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: st
     return _exact(_left_digests(left, id_col, func, target, n), _gt_digests(gt, n), id_col)
 
 
-_MAX_LEVELS = 62  # dyadic levels: positions are longs
-_TOP_LEVELS = 13  # the levels of few blocks: fewer than 2 ** (_TOP_LEVELS + 1) rows, broadcast
-
-
-def _dyadic_blocks(lo, hi, levels: int = _MAX_LEVELS) -> "F.Column":
-    """Aligned dyadic blocks (level, index) exactly covering the 0-based
-    position range [lo, hi): at most two per level (segment-tree walk)."""
-    init = F.struct(lo.cast("long").alias("l"), hi.cast("long").alias("r"),
-                    F.array().cast("array<struct<lvl:int,j:long>>").alias("out"))
-
-    def step(acc, lvl):
-        l, r, out = acc["l"], acc["r"], acc["out"]
-        take_l = (l < r) & (F.pmod(l, F.lit(2)) == 1)
-        l1 = F.when(take_l, l + 1).otherwise(l)
-        out1 = F.when(take_l, F.concat(out, F.array(F.struct(lvl.alias("lvl"), l.alias("j")))))\
-            .otherwise(out)
-        take_r = (l1 < r) & (F.pmod(r, F.lit(2)) == 1)
-        r1 = F.when(take_r, r - 1).otherwise(r)
-        out2 = F.when(take_r, F.concat(out1, F.array(F.struct(lvl.alias("lvl"), r1.alias("j")))))\
-            .otherwise(out1)
-        return F.struct(F.shiftright(l1, 1).alias("l"), F.shiftright(r1, 1).alias("r"),
-                        out2.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), init, step)["out"]
-
-
-def _dyadic_min_tables(base: DataFrame, pos: str, vals: list[str], levels: int) -> DataFrame:
-    """(lvl, j, mins...) for every aligned block of 0-based positions: one
-    aggregate over (level, position >> level) with map-side minima."""
-    each = base.select(F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"),
-                       F.col(pos).cast("long").alias("_p"), *vals)
-    return (each.select("lvl", F.expr("shiftright(_p, lvl)").alias("j"), *vals)
-            .groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
-
-
-def _probe(probes: DataFrame, table: DataFrame, levels: int) -> DataFrame:
-    """Join (lvl, j) probes to block minima.  A level l holds at most
-    2 ** (levels - l) blocks, so the highest levels are hot keys but few rows:
-    they are broadcast.  On the levels below, one block covers at most a
-    2 ** -_TOP_LEVELS share of the positions, and the join is shuffled."""
-    high = F.col("lvl") > levels - _TOP_LEVELS
-    return (probes.where(~high).join(table.where(~high), ["lvl", "j"])
-            .unionByName(probes.where(high).join(F.broadcast(table.where(high)), ["lvl", "j"])))
-
-
-def _possible_mins(r: DataFrame, g: DataFrame, n: int) -> DataFrame:
-    """(rdig, mins): for every distinct unmatched text R (``r``: dig, norm) the
-    first index (any, class 1, class 0) over ground-truth texts G (``g``: dig,
-    norm, first indexes) where one starts with the other.
-
-    One global byte order of all R, G and their upper probes (key || 0xFF)
-    gives, for each R, the range of G positions that extend R (descendants:
-    a contiguous run), and for each G, the range of R positions that extend
-    G (its ancestors' stabbing ranges).  Range minima come from aligned
-    dyadic tables (descendants) and dyadic stabbing records (ancestors):
-    O(log N) equi-join probes per text, never a pair of texts.  A text moves
-    as two sort keys (key, key || 0xFF) only; from there on digests stand for it."""
-    from linesight.operators.global_order import with_global_position
-    from linesight.session import materialize
-    vals = ["first_any", "first_1", "first_0"]
-    key = F.encode("norm", "UTF-8")
-
-    def records(df, kind):
-        tagged = df.select("dig", F.length("norm").alias("len"), F.inline(F.array(
-            F.struct(key.alias("key"), F.lit(kind).alias("kind")),
-            F.struct(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(kind + 1).alias("kind")))))
-        return tagged.select("*", (F.col("kind") == 1).cast("int").alias("is_r"),
-                             (F.col("kind") == 3).cast("int").alias("is_g"))
-    recs = records(r, 1).unionByName(records(g, 3))
-    pos = with_global_position(recs, ["key", "kind", "dig"], hit="is_g", sums=["is_r"], drop=["key"])
-    # positions by digest, without the texts: one row per R and per G
-    edges = materialize(pos.groupBy("dig", F.col("kind") >= 3).agg(
-        F.max("len").alias("len"),
-        F.min("cum_hits").alias("g_lo"), F.max("cum_hits").alias("g_hi"),
-        F.min("cum_is_r").alias("r_lo"), F.max("cum_is_r").alias("r_hi")).toDF(
-        "dig", "of_g", "len", "g_lo", "g_hi", "r_lo", "r_hi"))
-    totals = edges.agg(F.max("g_hi").alias("g"), F.max("r_hi").alias("r")).first()
-    levels = max(1, int(max(totals["g"] or 0, totals["r"] or 0)).bit_length())
-    rr = edges.where("not of_g").withColumnRenamed("dig", "rdig")
-    gp = materialize(edges.where("of_g").join(g.select("dig", *vals), "dig"))   # read in both directions
-    block = lambda lo, hi: F.explode(_dyadic_blocks(F.col(lo), F.col(hi), levels)).alias("b")
-    # descendants of R: G positions (#G <= R, #G < R||FF], 0-based [g_lo, g_hi)
-    tables = _dyadic_min_tables(gp.withColumn("_at", F.col("g_lo") - 1), "_at", vals, levels)
-    probes = rr.select("rdig", block("g_lo", "g_hi")).select("rdig", "b.lvl", "b.j")
-    desc = _probe(probes, tables, levels)
-    # ancestors of R: G (at least n long, so in R's block) whose R-range covers R
-    stab = (gp.where(F.col("len") >= n).select(block("r_lo", "r_hi"), *vals)
-            .select("b.lvl", "b.j", *vals).groupBy("lvl", "j").agg(*[F.min(v).alias(v) for v in vals]))
-    places = rr.select("rdig", (F.col("r_lo") - 1).alias("_q"),
-                       F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("lvl"))
-    anc = _probe(places.select("rdig", "lvl", F.expr("shiftright(_q, lvl)").alias("j")), stab, levels)
-    both = desc.select("rdig", *vals).unionByName(anc.select("rdig", *vals))
-    return both.groupBy("rdig").agg(*[F.min(v).alias(v) for v in vals])
-
-
 def match_prefix(left: DataFrame, gt: DataFrame, id_col: str = "row_id", func: str = "func",
                  target: str = "target", n: int = T.PREFIX_LEN) -> DataFrame:
     """(row_id, gt_idx) for rows (already without an exact match) whose first
@@ -195,7 +101,7 @@ def _prefix(left: DataFrame, gt: DataFrame, rows: DataFrame, g: DataFrame, id_co
     gd = (gt.select(F.col("gt_idx").alias("first_any"), "func").join(firsts, "first_any")
           .select("dig", T.normalize_whitespace("func").alias("norm"), "first_any", "first_1", "first_0"))
     r, gd = materialize(r), materialize(gd)   # counted, sampled and sorted
-    res = in_block.join(_possible_mins(r, gd, n), "rdig", "left")
+    res = in_block.join(prefix_minima(r, gd.where(F.length("norm") >= n)), "rdig", "left")
     same = F.when(F.col("_t") == 1, F.col("first_1")).otherwise(F.col("first_0"))
     pick = F.when(F.col("n_cand") == 1, F.col("block_first")).otherwise(
         F.coalesce(same, F.col("first_any"), F.col("block_first")))

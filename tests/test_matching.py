@@ -84,13 +84,38 @@ def test_prefix_match_random_nested_texts(spark):
     assert got == exp
 
 
-def test_prefix_match_below_the_broadcast_levels(spark, monkeypatch):
-    """All levels through the shuffled probes, and none of them: same matches."""
-    rows = [(i, "h" * 150 + "ab" * (i % 7) + "c" * (i % 3), i % 2) for i in range(40)]
-    g = spark.createDataFrame([(i, f + "b" * (i % 2), str(t)) for i, f, t in rows], "gt_idx long, func string, target string")
-    left = spark.createDataFrame(rows, "row_id long, func string, target int")
-    found = []
-    for top in (0, 13):
-        monkeypatch.setattr(M, "_TOP_LEVELS", top)
-        found.append({r["row_id"]: r["gt_idx"] for r in M.match_prefix(left, g).collect()})
-    assert found[0] == found[1] and len(found[0]) == 40
+def test_scan_over_many_ranges(spark):
+    """Nested texts cut into many ranges, so that open texts pass through them."""
+    import random
+
+    from linesight.operators.prefix_scan import prefix_minima
+    rng = random.Random(7)
+    texts = {"", "a"} | {"".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(250)}
+    texts |= {"b" * i for i in range(40)} | {"é" + "b" * i for i in range(5)}
+    r = [t for t in sorted(texts) if rng.random() < 0.6]
+    g = [(t, i, i if i % 2 else None, None if i % 2 else i) for i, t in enumerate(rng.sample(sorted(texts), len(texts))) if rng.random() < 0.4]
+    asked = spark.createDataFrame([(t.encode(), t) for t in r], "dig binary, norm string").repartition(3)
+    given = spark.createDataFrame([(t.encode(), t, *v) for t, *v in g], "dig binary, norm string, first_any long, first_1 long, first_0 long").repartition(3)
+
+    def least(values):
+        return min((v for v in values if v is not None), default=None)
+    want = {}
+    for t in r:
+        near = [v for u, *v in g if u.startswith(t) or t.startswith(u)]
+        if near:
+            want[t.encode()] = tuple(least(c) for c in zip(*near))
+    for parts in (1, 4, 60):
+        got = {bytes(x["rdig"]): (x["first_any"], x["first_1"], x["first_0"]) for x in prefix_minima(asked, given, parts).collect()}
+        assert got == want
+    assert prefix_minima(asked.limit(0), given).count() == 0 and prefix_minima(asked, given.limit(0)).count() == 0
+
+
+def test_common_prefix():
+    import os
+    import random
+
+    from linesight.operators.prefix_scan import common_prefix
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = (bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert common_prefix(a, b) == len(os.path.commonprefix([a, b]))
