@@ -1,19 +1,22 @@
 """Splits, folds and class rebalancing without per-class windows.
 
 Classes are heavily skewed (the majority class can be almost all rows), so a
-``Window.partitionBy(label)`` would put a whole class in one task.  Instead a
-row's rank inside its class comes from one global range-partitioned order on
-(label, xxhash64(id, seed), id) and the tiny class-count table: rank =
-global position - rows of the earlier classes.  The order is reproducible
-under any partitioning (unlike ``rand``), and every quota is exact.
+``Window.partitionBy(label)`` would put a whole class in one task.  A class is
+ordered by a seeded 60-bit key of the id (md5, so any engine can repeat it) and
+the id.  Splits, folds and samples only need the rows at some ranks of that
+order: a histogram of the keys finds the bucket of each, one bucket is sorted,
+and the rows themselves are told apart by a narrow comparison with the keys
+found.  No row is shuffled, whatever its width.  The order is reproducible under
+any partitioning (unlike ``rand``), and every quota is exact.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from linesight.operators.global_order import with_global_position
 
@@ -21,8 +24,64 @@ from linesight.operators.global_order import with_global_position
 SEEDS = [123456, 789012, 345678, 901234, 567890, 123, 456, 789, 135, 680]
 
 
+def draw(*parts):
+    """Seeded 60-bit number of some values: the first 15 hex digits of the md5 of
+    the values joined by colons."""
+    text = F.concat_ws(":", *[(p if hasattr(p, "cast") else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def seeded_key(id_col: str, seed: int):
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    return draw(F.col(id_col), seed)
+
+
+KEY_BITS, BUCKET_BITS = 60, 12
+
+
+def class_cuts(df: DataFrame, label: str, id_col: str, seed: int, ranks: dict) -> dict:
+    """{class: [(key, id), ...]}: the rows at the wanted ranks (1-based) of the
+    seeded order of each class (``ranks``: {class: [rank, ...]}, each at most the
+    class's size).  One pass counts keys by bucket, another sorts the buckets
+    that hold a wanted rank; ids are unique."""
+    spark, wanted = df.sparkSession, [(c, r) for c, rs in ranks.items() for r in rs if r > 0]
+    if not wanted:
+        return {c: [] for c in ranks}
+    bucket = F.shiftright("_k", KEY_BITS - BUCKET_BITS)
+    keyed = df.select(F.col(label).alias("_label"), F.col(id_col).alias("_id"), seeded_key(id_col, seed).alias("_k")).withColumn("_b", bucket)
+    counts = keyed.groupBy("_label", "_b").count()
+    before = F.sum("count").over(Window.partitionBy("_label").orderBy("_b")) - F.col("count")      # at most 2 ** BUCKET_BITS rows a class
+    schema = Ty.StructType([Ty.StructField("_c", df.schema[label].dataType), Ty.StructField("_rank", Ty.LongType())])
+    asked = spark.createDataFrame(wanted, schema)
+    hit = F.col("_label").eqNullSafe(F.col("_c")) & (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("count"))
+    at = counts.withColumn("_before", before).join(F.broadcast(asked), hit).select("_label", "_b", "_rank", (F.col("_rank") - F.col("_before")).alias("_place"))
+    at = [tuple(r) for r in at.collect()]                                                          # one row a wanted rank
+    buckets = F.lit(False)
+    for c, b in {(c, b) for c, b, _, _ in at}:
+        buckets = buckets | (F.col("_label").eqNullSafe(F.lit(c)) & (F.col("_b") == b))
+    place = F.row_number().over(Window.partitionBy("_label", "_b").orderBy("_k", "_id"))
+    rows = keyed.where(buckets).withColumn("_place", place)
+    exact = F.lit(False)
+    for c, b, _, p in at:
+        exact = exact | (F.col("_label").eqNullSafe(F.lit(c)) & (F.col("_b") == b) & (F.col("_place") == p))
+    found = {(r["_label"], r["_b"], r["_place"]): (r["_k"], r["_id"]) for r in rows.where(exact).collect()}
+    by_rank = {(c, r): found[c, b, p] for c, b, r, p in at}
+    return {c: [by_rank[c, r] for r in rs if r > 0] for c, rs in ranks.items()}
+
+
+def _within(cut: tuple, label: str, cls, id_col: str, seed: int):
+    """Rows of a class up to a row of ``class_cuts``."""
+    key = seeded_key(id_col, seed)
+    return F.col(label).eqNullSafe(F.lit(cls)) & ((key < cut[0]) | ((key == cut[0]) & (F.col(id_col) <= F.lit(cut[1]))))
+
+
+def _first_rows(df: DataFrame, label: str, id_col: str, seed: int, quotas: dict, counts: dict):
+    """Whether a row is among the first quotas[c] of its class (all, if there are fewer)."""
+    cuts = class_cuts(df, label, id_col, seed, {c: [min(q, counts[c])] for c, q in quotas.items() if c in counts})
+    kept = F.lit(False)
+    for c, cut in cuts.items():
+        for one in cut:
+            kept = kept | _within(one, label, c, id_col, seed)
+    return kept
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -84,21 +143,29 @@ def split_quotas(n: int, test: float, val: float) -> tuple[int, int]:
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int, test: float = 0.1,
                      val: float = 0.1) -> DataFrame:
-    ranked, counts = class_rank(df, label, id_col, seed)
-    t_col, v_col = F.lit(0), F.lit(0)
-    for c, n in counts.items():
-        t, v = split_quotas(n, test, val)
-        t_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(t)).otherwise(t_col)
-        v_col = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(v)).otherwise(v_col)
-    split = (F.when(F.col("crank") <= t_col, F.lit("test"))
-             .when(F.col("crank") <= t_col + v_col, F.lit("val")).otherwise(F.lit("train")))
-    return ranked.withColumn("split", split).drop("crank")
+    """test = the first ceil(test * n) rows of each class, val = the next
+    ceil(val * rest), train = the others."""
+    counts = class_counts(df, label)
+    quotas = {c: split_quotas(n, test, val) for c, n in counts.items()}
+    is_test = _first_rows(df, label, id_col, seed, {c: t for c, (t, _) in quotas.items()}, counts)
+    is_either = _first_rows(df, label, id_col, seed, {c: t + v for c, (t, v) in quotas.items()}, counts)
+    return df.withColumn("split", F.when(is_test, "test").when(is_either, "val").otherwise("train"))
 
 
 def stratified_kfold(df: DataFrame, label: str, id_col: str, seed: int, k: int = 10) -> DataFrame:
-    """fold = (rank in class - 1) mod k: every fold gets each class evenly."""
-    ranked, _ = class_rank(df, label, id_col, seed)
-    return ranked.withColumn("fold", F.pmod(F.col("crank") - 1, F.lit(k))).drop("crank")
+    """k runs of each class's seeded order, the first n mod k of them one longer:
+    every fold gets each class evenly."""
+    counts = class_counts(df, label)
+    ends = {c: [sum(n // k + (f < n % k) for f in range(to + 1)) for to in range(k - 1)] for c, n in counts.items()}
+    cuts = class_cuts(df, label, id_col, seed, ends)
+    fold = F.lit(0)
+    for c, own in cuts.items():
+        empty = sum(1 for e in ends[c] if e == 0)
+        beyond = F.lit(empty)
+        for cut in own:
+            beyond = beyond + (~_within(cut, label, c, id_col, seed)).cast("int")
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), beyond).otherwise(fold)
+    return df.withColumn("fold", fold)
 
 
 def undersample(df: DataFrame, label: str, id_col: str, seed: int, ratio: float | None = 4.0,
@@ -114,9 +181,7 @@ def undersample(df: DataFrame, label: str, id_col: str, seed: int, ratio: float
         quota = int(counts[maj] * fraction)
     else:
         quota = min(counts[maj], int(ratio * counts[mino]))
-    ranked, _ = class_rank(df, label, id_col, seed, counts)
-    keep = ~F.col(label).eqNullSafe(F.lit(maj)) | (F.col("crank") <= quota)
-    return ranked.where(keep).drop("crank")
+    return df.where(~F.col(label).eqNullSafe(F.lit(maj)) | _first_rows(df, label, id_col, seed, {maj: quota}, counts))
 
 
 def oversample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
@@ -124,9 +189,13 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     (majority - n_c) extra draws; draw j picks the row of class rank
     1 + hash(j, seed) mod n_c.  Draw ids come from ``spark.range`` sized by the
     class counts, so the work is distributed and the size exact."""
-    ranked, counts = class_rank(df, label, id_col, seed)
-    maj_n = max(counts.values())
+    counts = class_counts(df, label)
+    maj_n = max(counts.values(), default=0)
     spark = df.sparkSession
+    smaller = F.lit(False)          # only they are ranked and moved
+    for c, n in counts.items():
+        smaller = smaller | (F.col(label).eqNullSafe(F.lit(c)) if n < maj_n else F.lit(False))
+    ranked, _ = class_rank(df.where(smaller), label, id_col, seed, {c: n for c, n in counts.items() if n < maj_n})
     extra = None
     for c, n in counts.items():
         need = maj_n - n
@@ -136,7 +205,7 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
             F.lit(c).cast(df.schema[label].dataType).alias(label),
             (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)) + 1).alias("crank"))
         extra = draws if extra is None else extra.unionByName(draws)
-    base = ranked.drop("crank")
+    base = df
     if extra is None:
         return base
     drawn = extra.select(F.col(label).alias("_drawn_label"), F.col("crank").alias("_drawn"))
@@ -151,11 +220,7 @@ def exact_sample(df: DataFrame, label: str, id_col: str, seed: int, quotas: dict
     if lines is not None:
         has = F.col(lines).isNotNull() & (F.col(lines).cast("string") != "")
         df = df.where(~F.col(label).eqNullSafe(F.lit(positive)) | has)
-    ranked, counts = class_rank(df, label, id_col, seed)
-    q = F.lit(0)
-    for c, n in quotas.items():
-        q = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(n)).otherwise(q)
-    return ranked.where(F.col("crank") <= q).drop("crank")
+    return df.where(_first_rows(df, label, id_col, seed, quotas, class_counts(df, label)))
 
 
 def perturb_delete(tokens, seed: int, key, p: float = 0.3, max_n: int = 10):
@@ -202,8 +267,6 @@ def perturb_synonym(docs: DataFrame, synonyms: DataFrame, text: str, id_col: str
     candidates with the smallest draws are replaced, k = clamp(#(u < p), 1,
     max_n).  The per-document choice is a window over that document's
     candidates only; the text is rebuilt from its own tokens."""
-    from pyspark.sql import Window
-
     from linesight.functions import text as T
     from linesight.operators.cleaning import _token_join
     occ = docs.select(id_col, F.posexplode(T.word_tokens(text)).alias("pos", "tok"))
@@ -231,8 +294,6 @@ def case_variant_synonyms(docs: DataFrame, text: str) -> DataFrame:
     """A synonym table from the corpus: a word's synonym is the most frequent
     other spelling of it that differs only by letter case (one row per word
     that has one).  The window runs over the spellings of one word."""
-    from pyspark.sql import Window
-
     from linesight.functions import text as T
     c = (docs.select(F.explode(T.word_tokens(text)).alias("tok")).groupBy("tok").count()
          .withColumn("low", F.lower("tok")))
@@ -244,3 +305,60 @@ def case_variant_synonyms(docs: DataFrame, text: str) -> DataFrame:
     j = r.join(top.where(F.col("_n") == 2), "low")
     return j.select("tok", F.when(F.col("tok") == F.col("first"), F.col("second"))
                     .otherwise(F.col("first")).alias("syn"))
+
+
+NEIGHBOURS = 10         # nearest words that may stand for a word
+
+
+def word_neighbours(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(tok, neighbours): the k words with the largest cosine to each word of
+    ``vectors`` (word, vector), nearest first, ties by word order.  Exact: unit
+    vectors are the nearer the larger their cosine.  Zero vectors take no part."""
+    from linesight.operators.matching import with_row_index
+    from linesight.operators.nearest import nearest
+    from linesight.session import materialize
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    unit = vectors.select("word", "vector", norm.alias("_n")).where(F.col("_n") > 0)
+    unit = unit.select("word", F.zip_with("vector", F.array_repeat("_n", F.size("vector")), lambda x, n: x / n).alias("x"))
+    ids = materialize(with_row_index(unit.select("word"), ["word"], "id"))
+    points = materialize(unit.join(ids, "word").select("id", "x"))
+    found = nearest(points, points, k)
+    names = ids.select(F.col("id"), F.col("word").alias("to"))
+    lists = found.join(names, "id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "to"))), lambda s: s["to"]).alias("neighbours"))
+    return lists.join(ids, F.col("query_id") == F.col("id")).select(F.col("word").alias("tok"), "neighbours")
+
+
+def neighbour_replacements(docs: DataFrame, vectors: DataFrame, text: str, id_col: str, seed: int,
+                           p: float = 0.3, max_n: int = 10, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, pos, tok, new): the words that ``perturb_neighbour`` replaces.  Each
+    word with neighbours draws u by document and place; the m with the smallest
+    draws go, m = clamp(#(u < p), 1, max_n), and one of the word's neighbours,
+    drawn too, takes the place."""
+    from linesight.functions import text as T
+    from linesight.operators.cleaning import _token_join
+    occ = docs.select(id_col, F.posexplode(T.word_tokens(text)).alias("pos", "tok"))
+    cand = _token_join(occ, word_neighbours(vectors, k), id_col)
+    u = F.pmod(draw("word", F.col(id_col), F.col("pos"), seed), F.lit(1000000)) / 1000000.0
+    which = (F.pmod(draw("neighbour", F.col(id_col), F.col("pos"), seed), F.size("neighbours")) + 1).cast("int")
+    cand = cand.select(id_col, "pos", "tok", F.element_at("neighbours", which).alias("new"), u.alias("u"))
+    # how many go is counted ahead; ranks beyond max_n are cut in each task before the window's shuffle
+    many = cand.groupBy(id_col).agg(F.least(F.greatest(F.count_if(F.col("u") < p), F.lit(1)), F.lit(max_n)).alias("_m"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("u", "pos"))
+    first = cand.withColumn("_r", rank).where(F.col("_r") <= max_n)
+    return first.join(many, id_col).where(F.col("_r") <= F.col("_m")).select(id_col, "pos", "tok", "new")
+
+
+def perturb_neighbour(docs: DataFrame, vectors: DataFrame, text: str, id_col: str, seed: int,
+                      p: float = 0.3, max_n: int = 10, k: int = NEIGHBOURS) -> DataFrame:
+    """``docs`` with 1 to ``max_n`` words of each text replaced by near words in
+    the vector table (``neighbour_replacements``), and ``replaced``, how many.
+    Texts without a word that has neighbours only lose their spacing.  At most
+    ``max_n`` replacements travel to a document; its words stay in the row."""
+    from linesight.functions import text as T
+    chosen = neighbour_replacements(docs, vectors, text, id_col, seed, p, max_n, k)
+    lists = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("_new"))
+    joined = docs.join(lists, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    toks = T.word_tokens(F.coalesce(F.col(text), F.lit("")))
+    out = F.transform(toks, lambda t, i: F.coalesce(F.try_element_at(F.col("_new"), i), t))
+    return (joined.withColumn(text, F.array_join(out, " "))
+            .withColumn("replaced", F.coalesce(F.size(F.map_keys("_new")), F.lit(0))).drop("_new"))

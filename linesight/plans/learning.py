@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linesight.functions import text as T
 from linesight.operators import attribution as At
 from linesight.operators import features as Fe
+from linesight.operators import fold_stats as Fs
 from linesight.operators import rouge as Rg
 from linesight.operators import runs as U
 from linesight.operators import sampling as Sm
@@ -176,22 +177,74 @@ def q_classifier_kinds(spark, sf_dir):
     return rows
 
 
-@register("cross_validate")
+def _folded(spark, sf_dir):
+    return Sm.stratified_kfold(_labelled(spark, sf_dir), "label", "doc_id", SEED, 10)
+
+
+_FOLDS = f"""
+WITH ds AS (SELECT d.doc_id, coalesce(d.text, '') AS text, CAST(l.toxic AS DOUBLE) AS label FROM documents d JOIN labels l USING (doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(doc_id || ':{SEED}'), 1, 15) AS BIGINT), doc_id) - 1 AS r,
+              count(*) OVER (PARTITION BY label) // 10 AS s, count(*) OVER (PARTITION BY label) % 10 AS m FROM ds),
+f AS (SELECT doc_id, text, label, CASE WHEN r < m * (s + 1) THEN r // (s + 1) ELSE m + (r - m * (s + 1)) // s END AS fold FROM rk),
+occ AS (SELECT doc_id, label, fold, term, count(*) AS x FROM (SELECT doc_id, label, fold, unnest({TERMS}) AS term FROM f) GROUP BY ALL),
+st AS (SELECT term, fold, label, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM occ GROUP BY ALL),
+h AS (SELECT CAST(range AS BIGINT) AS held FROM range(10)),
+size AS (SELECT held, label, count(*) AS n FROM f JOIN h ON fold <> held GROUP BY ALL),
+rows_ AS (SELECT held, sum(n) AS n FROM size GROUP BY held),
+voc AS (SELECT held, term FROM st JOIN h ON fold <> held GROUP BY ALL HAVING sum(n) >= 20),
+tr AS (SELECT voc.held, voc.term, size.label, size.n, coalesce(t.s, 0) AS s, coalesce(t.q, 0) AS q
+       FROM voc JOIN size ON size.held = voc.held
+       LEFT JOIN (SELECT held, term, label, sum(s) AS s, sum(q) AS q FROM st JOIN h ON fold <> held GROUP BY ALL) AS t
+         ON t.held = voc.held AND t.term = voc.term AND t.label = size.label),
+extra AS (SELECT held, 1e-9 * max(greatest((CAST(q AS DOUBLE) * n - CAST(s AS DOUBLE) * CAST(s AS DOUBLE)) / (CAST(n AS DOUBLE) * n), 0)) AS e
+          FROM (SELECT tr.held, term, sum(s) AS s, sum(q) AS q, max(rows_.n) AS n FROM tr JOIN rows_ ON rows_.held = tr.held GROUP BY ALL) GROUP BY held),
+model AS (SELECT tr.held, term, label, CAST(s AS DOUBLE) / n AS mean,
+                 greatest((CAST(q AS DOUBLE) * n - CAST(s AS DOUBLE) * CAST(s AS DOUBLE)) / (CAST(n AS DOUBLE) * n), 0) + e AS var
+          FROM tr JOIN extra ON extra.held = tr.held),
+base AS (SELECT size.held, size.label, ln(size.n / rows_.n) + coalesce(a.absent, 0) AS base
+         FROM size JOIN rows_ ON rows_.held = size.held
+         LEFT JOIN (SELECT held, label, sum(-0.5 * ln(2 * pi() * var) - mean * mean / (2 * var)) AS absent FROM model GROUP BY ALL) AS a ON a.held = size.held AND a.label = size.label),
+score AS (SELECT occ.doc_id, model.label, sum((2 * x * mean - x * x) / (2 * var)) AS score
+          FROM occ JOIN model ON model.held = occ.fold AND model.term = occ.term GROUP BY ALL),
+pred AS (SELECT f.doc_id, f.fold, CAST(f.label AS BIGINT) AS target, CAST(base.label AS BIGINT) AS pred
+         FROM f JOIN base ON base.held = f.fold LEFT JOIN score ON score.doc_id = f.doc_id AND score.label = base.label
+         QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY base + coalesce(score, 0) DESC, base.label) = 1)"""
+
+
+@register("cross_predictions", sql=_FOLDS + """
+SELECT doc_id, fold, target, pred FROM pred""")
+def q_cross_predictions(spark, sf_dir):
+    """Each labelled document's class by the model trained without its fold."""
+    pred = Fs.cross_predict(_folded(spark, sf_dir), "label", "fold", 10)
+    return pred.select("doc_id", "fold", F.col("target").cast("int").alias("target"), F.col("pred").cast("int").alias("pred"))
+
+
+@register("fold_statistics", sql=_FOLDS + """
+SELECT term, fold, CAST(label AS BIGINT) AS label, n, CAST(s AS BIGINT) AS s, CAST(q AS BIGINT) AS q FROM st""")
+def q_fold_statistics(spark, sf_dir):
+    """Documents, sum and sum of squares of each term's counts by fold and class."""
+    return Fs.fold_statistics(_folded(spark, sf_dir), "label", "fold").withColumn("label", F.col("label").cast("int"))
+
+
+@register("cross_validate", sql=_FOLDS + """,
+c AS (SELECT fold, count_if(target = 0 AND pred = 0) AS tn, count_if(target = 0 AND pred = 1) AS fp,
+             count_if(target = 1 AND pred = 0) AS fn, count_if(target = 1 AND pred = 1) AS tp FROM pred GROUP BY fold),
+p AS (SELECT fold, (tp + tn) / (tn + fp + fn + tp) AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+             CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS tnr FROM c),
+m AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1,
+             CASE WHEN 4 * precision + recall = 0 THEN 0.0 ELSE 5 * precision * recall / (4 * precision + recall) END AS f2,
+             (recall + tnr) / 2 AS roc_auc FROM p),
+long AS (SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'f2', 'roc_auc']) AS metric, unnest([accuracy, precision, recall, f1, f2, roc_auc]) AS value FROM m)
+SELECT 'gnb' AS method, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM long GROUP BY metric""")
 def q_cross_validate(spark, sf_dir):
-    """10-fold stratified cross-validation of Gaussian naive Bayes on
-    bag-of-words features (vocabulary fitted per training fold); mean and
-    population std of the fold metrics (rows check: seeded folds)."""
-    lab = _labelled(spark, sf_dir)
-    folds = Sm.stratified_kfold(lab, "label", "doc_id", SEED, 10).checkpoint(eager=True)
+    """10-fold stratified cross-validation of Gaussian naive Bayes on bag-of-words
+    features (vocabulary of the training folds); mean and population std of the
+    fold metrics.  All ten models come from one count by fold."""
+    from linesight.session import materialize
+    pred = materialize(Fs.cross_predict(_folded(spark, sf_dir), "label", "fold", 10))
     rows = None
     for k in range(10):
-        train = folds.where(F.col("fold") != k)
-        test = folds.where(F.col("fold") == k)
-        bow = Fe.bag_of_words(train, min_df=Fe.MIN_DF)
-        model = Fe.classifier("gnb").fit(Fe.featurize(bow, train))
-        pred = model.transform(Fe.featurize(bow, test)).select(
-            F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
-        m = classification_metrics(pred).withColumn("fold", F.lit(k))
+        m = classification_metrics(pred.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
         rows = m if rows is None else rows.unionByName(m)
     metrics = ["accuracy", "precision", "recall", "f1", "f2", "roc_auc"]
     return U.fold_summary(rows.withColumn("method", F.lit("gnb")), metrics, ["method"])
