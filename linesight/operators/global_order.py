@@ -21,6 +21,8 @@ Breakpoints are evaluated as the double ``(x / 100) * n``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,6 +195,31 @@ def recall_at_loc(ordered: DataFrame, total_flaws: float, total_loc: float,
                       F.try_divide(F.col("_f").cast("double"), flaws).alias("recall"))
 
 
+LINES_ORDER = [("score", True), ("doc_id", False), ("rank", False)]       # of ``line_order_positions``
+FUNCTIONS_ORDER = [("proba", True), ("doc_id", False), ("rank", False)]   # of ``function_order_positions``
+
+
+def effort_of_order(lines: DataFrame, order: list[tuple[str, bool]], total_flaws: float, total_loc: float,
+                    x: float = 20.0, hit: str = "hit", **selection) -> float:
+    """``effort_at_recall`` of an order given by its keys, by weighted selection:
+    no positions are made."""
+    from linesight.operators.selection import find
+    if total_flaws == 0:
+        return 1.0
+    target = math.ceil(max(1.0, x / 100.0 * total_flaws))
+    return find(lines, order, hit, target, True, **selection).rows / total_loc
+
+
+def recall_of_order(lines: DataFrame, order: list[tuple[str, bool]], total_flaws: float, total_loc: float,
+                    x: float = 1.0, hit: str = "hit", **selection) -> float | None:
+    """``recall_at_loc`` of an order given by its keys, by weighted selection."""
+    from linesight.operators.selection import find
+    if total_flaws == 0:
+        return None
+    target = math.ceil(max(1.0, x / 100.0 * total_loc))
+    return find(lines, order, hit, target, False, **selection).hits / total_flaws
+
+
 def total_loc(docs: DataFrame, n_loc: str = "n_loc") -> DataFrame:
     return docs.agg(F.coalesce(F.sum(n_loc), F.lit(0)).cast("long").alias("total_loc"))
 

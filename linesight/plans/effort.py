@@ -67,19 +67,24 @@ SELECT ordering,
 FROM stacked, totals t GROUP BY ordering"""
 
 
-def _stacked(spark, sf_dir):
-    ranked = materialize(B.ranked_test_lines(spark, sf_dir))   # read by both orders
-    cols = ["pos", "cum_hits", "hit"]
-    lo = G.line_order_positions(ranked).select(F.lit("lines").alias("ordering"), *cols)
-    fo = G.function_order_positions(ranked).select(F.lit("functions").alias("ordering"), *cols)
-    return lo.unionByName(fo)
+ORDERS = {"lines": G.LINES_ORDER, "functions": G.FUNCTIONS_ORDER}
+
+
+def _keyed_lines(spark, sf_dir):
+    """Sort keys and hits of the test lines, computed once, and their totals."""
+    score, proba = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("score", "proba"))
+    lines = materialize(B.ranked_test_lines(spark, sf_dir).select("doc_id", "rank", score, proba, "hit"))
+    r = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("h")).first()
+    return lines, (r["n"], r["h"])
 
 
 @register("effort_at_recall", sql=_EFFORT_SQL)
 def q_effort(spark, sf_dir):
     """Effort@20%Recall in lines order and functions order (index variant)."""
     flaws, loc = _totals(spark, sf_dir)
-    return G.effort_at_recall(_stacked(spark, sf_dir), flaws, loc, 20.0, by=["ordering"])
+    lines, totals = _keyed_lines(spark, sf_dir)
+    rows = [(name, G.effort_of_order(lines, order, flaws, loc, 20.0, totals=totals)) for name, order in ORDERS.items()]
+    return spark.createDataFrame(rows, "ordering string, effort double")
 
 
 _RECALL_SQL = S.TEST + """,
@@ -97,7 +102,9 @@ FROM stacked, totals t GROUP BY ordering"""
 def q_recall(spark, sf_dir):
     """Recall@1%LOC in lines order and functions order (index variant)."""
     flaws, loc = _totals(spark, sf_dir)
-    return G.recall_at_loc(_stacked(spark, sf_dir), flaws, loc, 1.0, by=["ordering"])
+    lines, totals = _keyed_lines(spark, sf_dir)
+    rows = [(name, G.recall_of_order(lines, order, flaws, loc, 1.0, totals=totals)) for name, order in ORDERS.items()]
+    return spark.createDataFrame(rows, "ordering string, recall double")
 
 
 @register("append_negatives", sql=S.TEST + """,

@@ -54,6 +54,27 @@ def test_effort_and_recall_match_loops(spark, seed):
         assert r == pytest.approx(O.recall_lines_order(funcs_h, flaws, loc, x))
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_selection_equals_loops(spark, seed, monkeypatch):
+    """Weighted selection down to a few rows: the same effort and recall, ties
+    of every key included."""
+    from linesight.operators import selection
+    rng = random.Random(seed)
+    rows = _case(rng, 40)
+    df = _df(spark, rows).repartition(3)
+    flaws, loc = sum(r[4] for r in rows) + rng.randint(0, 3), len(rows) + rng.randint(0, 50)
+    monkeypatch.setattr(selection, "QUANTILES", 4)
+    for order, hits in zip((G.LINES_ORDER, G.FUNCTIONS_ORDER), _loop_orders(rows), strict=True):
+        for x, few in ((1, 1), (20, 5), (50, 1), (100, 30), (50, 10**6)):
+            assert G.effort_of_order(df, order, flaws, loc, x, few=few) == pytest.approx(O.effort_lines_order(hits, flaws, loc, x))
+            assert G.recall_of_order(df, order, flaws, loc, x, few=few) == pytest.approx(O.recall_lines_order(hits, flaws, loc, x))
+    place = selection.find(df, G.LINES_ORDER, "hit", 10**9, False)
+    assert (place.rows, place.found) == (len(rows), False)
+    empty = df.limit(0)
+    assert G.effort_of_order(empty, G.LINES_ORDER, 3, 10) == 0.0 and G.recall_of_order(empty, G.LINES_ORDER, 3, 10) == 0.0
+    assert G.effort_of_order(df, G.LINES_ORDER, 0, 10) == 1.0 and G.recall_of_order(df, G.LINES_ORDER, 0, 10) is None
+
+
 def test_no_flaws_effort_is_one_and_recall_is_null(spark):
     df = _df(spark, [(0, 0, 1, 1.0, 0, 0.5)])
     lo = G.line_order_positions(df)
