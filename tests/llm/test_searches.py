@@ -16,16 +16,14 @@ from tests.llm.data import awkward, documents, sentence
 
 
 def brute_top_k(rows, k=5):
-    clean = {}
-    for i, x, *_ in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            v = [math.floor(256 * c) for c in x]
-            clean[i] = min(clean.get(i, v), v)
-    out = set()
-    for q in (i for i in clean if i % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(clean[q], v, strict=False)), i) for i, v in clean.items() if i != q)
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
-    return out
+    """Rows found, each as often as it is found; rows that share an id are rows of their own."""
+    clean = [(i, [math.floor(256 * c) for c in x]) for i, x, *_ in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for at, (q, x) in enumerate(clean):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for to, (i, v) in enumerate(clean) if to != at)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def test_top_k_equals_brute_force(spark):
@@ -36,24 +34,44 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
     rows += [(1000, None, 0), (1050, [1.0, None], 0), (1100, [float("nan")] * 16, 0), (1150, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (1200, [], 0), (1250, [0.5, -0.5], 0), (50, [9.0] * 16, 0), (100, list(map(float, x[100])), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
-    for block, queries in ((8192, 1024), (90, 5)):
-        got = {tuple(r) for r in K.top_k(df, F.col("vec_id") % 50 == 0, block_rows=block, query_rows=queries).collect()}
+    for entries, queries in ((1 << 19, 1024), (90 * 16, 5)):
+        got = sorted(tuple(r) for r in K.top_k(df, F.col("vec_id") % 50 == 0, block_entries=entries, query_rows=queries).collect())
         assert got == brute_top_k(rows)
     few = spark.createDataFrame(rows[:1] + rows[50:53], "vec_id long, embedding array<double>, score int")
-    assert {tuple(r) for r in K.top_k(few, F.col("vec_id") % 50 == 0).collect()} == brute_top_k(rows[:1] + rows[50:53])
+    assert sorted(tuple(r) for r in K.top_k(few, F.col("vec_id") % 50 == 0).collect()) == brute_top_k(rows[:1] + rows[50:53])
     assert K.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_reading_stops_early():
-    """Clear winners are found from a part of the lists."""
+def test_reading_stops_early(spark):
+    """No query reads all lists, on vectors spread evenly in 64 dimensions (as in
+    the test table) and on some with a few wide axes, which end far sooner."""
     rng = np.random.default_rng(3)
-    v = np.floor(256 * rng.normal(size=(2000, 8)))
-    v[:6] *= 6
-    found = K.best_in_block(v, np.arange(2000), v[:6], np.arange(6), 2)
-    full = v[:6] @ v.T
-    full[np.arange(6), np.arange(6)] = -np.inf
-    for q, i, s in zip(*found, strict=True):
-        assert s == full[q, i] and (full[q] > s).sum() < 2
+    even = rng.normal(size=(2000, 64))
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    wide = (rng.normal(size=(2000, 64)) * 0.8 ** np.arange(64)) @ axes
+    shares = []
+    for x in (even, wide):
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        rows = K.searched(df, F.col("vec_id") % 50 == 0).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows) == brute_top_k([(i, v) for i, v in enumerate(x)])
+        shares.append(np.array([r["read"] for r in rows]))
+    assert shares[0].max() < 0.9 and shares[0].mean() < 0.8, shares[0].mean()
+    assert shares[1].max() < 0.3 and shares[1].mean() < 0.2, shares[1].mean()
+
+
+def test_bounds_hold_only_vectors_that_can_qualify():
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(500, 12)))
+    v[7] = v[3]
+    lists = K.Lists(v)
+    for j in range(40):
+        own = np.array([j])
+        c, share = K.candidates(lists, v[j], own, 4)
+        full = v @ v[j]
+        full[j] = -np.inf
+        assert set(np.flatnonzero(full >= np.sort(full)[-4])) <= set(c) and j not in c and 0 < share <= 1
+    assert len(K.candidates(K.Lists(np.zeros((6, 3))), np.zeros(3), np.array([0]), 2)[0]) == 5
 
 
 def url_parts(url):
