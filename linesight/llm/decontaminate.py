@@ -1,20 +1,26 @@
-"""Benchmark decontamination by rare-word signatures and latent semantics.
+"""Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are hashed words of the benchmark's passages; their inverse passage
    frequency is counted over all passages of all documents.
 2. A randomised SVD of the benchmark's TF-IDF passages (range finder with
    power steps; every product with the matrix is a Spark job over its rows)
    gives the latent space.
-3. Every document is read in overlapping windows.  A window (with a passage's
-   length on either side) is a candidate if it holds so many of the passage's
-   rarest words that the check below could still succeed; no window that would
-   pass the check is left out, whatever the passage's length or the number of
-   passages.
-4. Candidates are checked on their words: the longest common subsequence with
+3. Cosine search: passages are told apart by length; every document is read in
+   overlapping windows of the same length, and a window is a candidate for each
+   passage of at least the cosine ``COSINE`` in the latent space of which it
+   holds at least ``HELD`` (the window's projection on the passage, as a share of
+   the passage's length).
+4. Latent vectors of few dimensions can miss a hit, so a second, exact source is
+   united with them: places that hold so many of a passage's rarest words that
+   the check below could still succeed.  No place that would pass the check is
+   left out, whatever the passage's length or the number of passages.
+5. Candidates are checked on their words: the longest common subsequence with
    the passage must cover ``COPY`` of it, or ``PARAPHRASE`` of it while the
    answer (the passage's last sentence) is there as well.  Of the windows that
    pass, the one with the largest cover counts, then that with the largest
    cosine in the latent space.
+6. Items of fewer than ``SHORTEST`` words are leaked by documents that have just
+   the same words (a join); inside a longer text so few words say nothing.
 
 The benchmark is searched for in slices of at most ``SLICE`` passages, so what
 a task holds is bounded; documents are read whole, and only hits leave a task.
@@ -44,7 +50,12 @@ PARAPHRASE = 0.6
 ANSWER = 0.8
 ANSWER_WORDS = 5       # the answer has at least so many words
 SLICE = 20_000
-SHORTEST = 5           # passages of fewer words are not searched for
+SHORTEST = 5           # items of fewer words are compared with whole documents only
+SCALES = (8, 12, 16, 24, 32, 48)   # words of the windows of the cosine search; a passage meets the next ones up
+COSINE = 0.55
+HELD = 0.4
+PRODUCTS_AT_ONCE = 4_000_000
+SOURCES = ("cosine", "signature")
 LOOKED_UP = 0.06       # microseconds to look up a word in a passage's signature
 CHECKED = 15.0         # and to check a candidate on its words
 LOOKED_UP_AT_ONCE = 2_000_000
@@ -199,10 +210,40 @@ def signatures(items: list[tuple], df: np.ndarray, n: int) -> tuple[list[np.ndar
     return chosen, need
 
 
-def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np.ndarray, vector: np.ndarray) -> DataFrame:
+def passages_by_scale(items: list[tuple], place: np.ndarray, vector: np.ndarray) -> list[tuple]:
+    """(words of a window, passages, their unit latent vectors and lengths) of
+    every scale that has passages."""
+    length = np.array([len(h) for _, h, _ in items])
+    scale_of = np.searchsorted(SCALES, length)
+    out = []
+    for k, scale in enumerate(SCALES):
+        own = np.flatnonzero(scale_of == k)
+        if len(own):
+            latent = np.stack([vector[f[f >= 0]].sum(axis=0) for f in (place[_features(items[i][1])] for i in own)])
+            norm = np.sqrt(np.einsum("ij,ij->i", latent, latent))
+            ok = norm > 0
+            if ok.any():
+                out.append((scale, own[ok], np.ascontiguousarray(latent[ok] / norm[ok, None]), norm[ok]))
+    return out
+
+
+def same_words(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits of items of fewer than ``SHORTEST`` words: documents that have the
+    same words and no others."""
+    apart, word = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+    few = f"^{apart}*+(?:{word}++{apart}*+){{1,{SHORTEST - 1}}}$"
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    brief = lambda df: df.where(F.col("text").rlike(few)).withColumn("words", F.split(F.btrim(F.regexp_replace(lower, f"{apart}+", " ")), " "))
+    pairs = brief(docs).join(brief(items).select("item_id", "words").distinct(), "words")
+    last = (F.size("words") - 1).cast("long")
+    return pairs.select("doc_id", "key", "item_id", F.lit(0).cast("long").alias("first_word"), last.alias("last_word"), F.lit(1.0).alias("cosine"), F.lit(1.0).alias("covered"), F.lit(True).alias("answer"))
+
+
+def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np.ndarray, vector: np.ndarray, sources: tuple[str, ...] = SOURCES) -> DataFrame:
     """(doc_id, key, item_id, first_word, last_word, cosine, covered, answer) of
     the verified hits; ``docs`` has doc_id, key and text, ``vector`` the weighted
-    latent vectors of the features ``used``."""
+    latent vectors of the features ``used``, ``sources`` where candidates come
+    from (one alone: to measure it)."""
     place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     chosen, need = signatures(items, df, n)
@@ -211,10 +252,12 @@ def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np
     starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary)))])
     known = np.zeros(FEATURES, bool)
     known[_features(vocabulary)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((place, vector.astype(np.float32), items, need, vocabulary, owner, starts, known))   # SLICE passages and FEATURES vectors at most
+    vector = vector.astype(np.float32)
+    scales = passages_by_scale(items, place, vector)
+    shared = docs.sparkSession.sparkContext.broadcast((place, vector, items, need, vocabulary, owner, starts, known, scales))   # SLICE passages and FEATURES vectors at most
 
     def run(it):
-        place, vector, items, need, vocabulary, owner, starts, known = shared.value
+        place, vector, items, need, vocabulary, owner, starts, known, scales = shared.value
         length = np.array([len(h) for _, h, _ in items])
         span = 2 * HOP + 2 * length
         widest = int(span.max())
@@ -233,8 +276,40 @@ def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np
             answered = common_length(masks[i][1], len(items[i][2]), part) >= ANSWER * len(items[i][2])
             return (share, answered) if share >= COPY or answered else None
 
-        def places(words: W.Words):
-            """(passage, row, first and last window) where a passage's hits may lie."""
+        def alike(words: W.Words):
+            """Passages, rows, first and last windows by cosine in the latent space."""
+            f = place[_features(words.hashes)]
+            at = np.flatnonzero(f >= 0)
+            f, row = f[at], np.searchsorted(words.first, at, side="right") - 1
+            for scale, own, unit, norm in scales:
+                hop = scale // 4
+                begin = np.concatenate([[0], np.cumsum(-(-words.counts // hop) + 3)])   # three empty hops end a row
+                group = begin[row] + (at - words.first[row]) // hop
+                step = max(64, PRODUCTS_AT_ONCE // max(len(own), vector.shape[1]))
+                for lo in range(0, int(begin[-1]), step):
+                    a, b = np.searchsorted(group, [lo, lo + step + 3])
+                    if a == b:
+                        continue
+                    edge = np.flatnonzero(np.diff(group[a:b], prepend=-1))
+                    hops = np.zeros((step + 3, vector.shape[1]), np.float32)
+                    hops[group[a:b][edge] - lo] = np.add.reduceat(vector[f[a:b]], edge, axis=0)
+                    window = hops[:-3] + hops[1:-2] + hops[2:-1] + hops[3:]
+                    size = np.sqrt(np.einsum("ij,ij->i", window, window))
+                    some = np.flatnonzero(size >= HELD * norm.min())   # no other one holds enough of any passage
+                    if not len(some):
+                        continue
+                    dot = window[some] @ unit.T
+                    w, p = np.nonzero(dot >= HELD * norm)
+                    ok = dot[w, p] >= COSINE * size[some[w]]
+                    w, p = lo + some[w[ok]], p[ok]
+                    r = np.searchsorted(begin, w, side="right") - 1
+                    start = (w - begin[r]) * hop
+                    ok = start < words.counts[r]
+                    yield own[p[ok]], r[ok], start[ok] // HOP, start[ok] // HOP
+
+        def rare(words: W.Words):
+            """Passages, rows, first and last windows where a passage's hits may lie,
+            by its signature."""
             at = np.flatnonzero(known[_features(words.hashes)])
             v = np.minimum(np.searchsorted(vocabulary, words.hashes[at]), len(vocabulary) - 1)
             ok = vocabulary[v] == words.hashes[at]
@@ -261,17 +336,25 @@ def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np
                 low = np.maximum(0, -((2 * HOP + length[item] - 1 - end) // HOP))
                 high = np.minimum(begin + length[item], words.counts[row] - 1) // HOP
                 ok = low <= high
-                open_ = None
-                for i, r, a, b in zip(item[ok].tolist(), row[ok].tolist(), low[ok].tolist(), high[ok].tolist(), strict=True):
-                    if open_ and open_[:2] == (i, r) and a <= open_[3] + 1 and b - open_[2] < TOGETHER:
-                        open_ = (i, r, open_[2], max(b, open_[3]))
-                        continue
-                    if open_:
-                        yield open_
-                    open_ = (i, r, a, b)
+                yield item[ok], row[ok], low[ok], high[ok]
+                lo = hi
+
+        def places(words: W.Words):
+            """(passage, row, first and last window) of all candidates, neighbours together."""
+            parts = [p for name, source in (("cosine", alike), ("signature", rare)) if name in sources for p in source(words)]
+            if not parts:
+                return
+            every = np.unique(np.stack([np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)], axis=1), axis=0)
+            open_ = None
+            for i, r, a, b in every.tolist():
+                if open_ and open_[:2] == (i, r) and a <= open_[3] + 1 and b - open_[2] < TOGETHER:
+                    open_ = (i, r, open_[2], max(b, open_[3]))
+                    continue
                 if open_:
                     yield open_
-                lo = hi
+                open_ = (i, r, a, b)
+            if open_:
+                yield open_
 
         for batch in it:
             hits: list[tuple] = []
@@ -306,14 +389,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE) -> Da
     covered (share of the passage), answer.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; further columns
-    are ignored.  Null and empty texts leak nothing; items without id, and
-    passages of fewer than ``SHORTEST`` words, are not searched for.  Repeated
-    documents and repeated items give one row; empty tables give none."""
+    are ignored.  Null and empty texts leak nothing; items without id or word are
+    not searched for.  Repeated documents and repeated items give one row; empty
+    tables give none."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), row_key("text").alias("key"), F.col("text").cast("string"))
     wanted_items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
     slices = max(1, -(-wanted_items.count() // slice_items))
-    found = spark.createDataFrame([], "doc_id long, key long, item_id long, first_word long, last_word long, cosine double, covered double, answer boolean")
+    found = same_words(rows, wanted_items)
     for part in range(slices):
         chosen = wanted_items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).orderBy("item_id", "text").collect()   # about slice_items rows
         items = [p for r in chosen for p in passages(r.item_id, r.text)]

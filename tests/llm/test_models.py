@@ -1,6 +1,9 @@
+import bisect
+import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,44 @@ def test_no_hit_of_the_word_check_is_lost(spark):
     assert len(want) >= 40 and got == want
 
 
+def test_the_cosine_search_finds_most_by_itself(spark):
+    """Candidates by cosine alone hold nine in ten of the planted items that the word
+    check finds, verbatim or edited; and hits of either source are hits of both."""
+    rng = random.Random(5)
+    common = ["the", "of", "and", "to", "in", "a", "is", "that"]
+    zipf = list(itertools.accumulate(1 / (k + 10) for k in range(6000)))
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{bisect.bisect(zipf, rng.random() * zipf[-1])}"
+    items = [[word() for _ in range(rng.choice((6, 8, 12, 16, 24, 40)))] for _ in range(1000)]
+    texts, planted = [], set()
+    for i in range(200):
+        item = rng.randrange(1000)
+        planted.add((i, item))
+        words, part = [word() for _ in range(rng.randrange(5, 60))], list(items[item])
+        for _ in range(len(part) // 5 if i % 2 else 0):
+            part[rng.randrange(len(part))] = "other"
+        at = rng.randrange(len(words))
+        words[at:at] = part
+        texts.append(" ".join(words))
+    passages = [p for i, w in enumerate(items) for p in D.passages(i, " ".join(w))]
+    docs = documents(spark, texts).select("doc_id", F.lit(0).cast("long").alias("key"), "text")
+    df, n = D.passage_frequency(docs, np.ones(D.FEATURES, bool))
+    weight = D._weights(passages, df, n)
+    used, space = D.latent_space(spark.createDataFrame([(h.view(np.int64).tolist(),) for _, h, _ in passages], "words array<long>"), weight)
+    found = lambda *sources: {(r.doc_id, r.item_id) for r in D.search(docs, passages, df, n, used, space * weight[used, None], sources).collect()}
+    every, latent = found("signature"), found("cosine")
+    assert latent <= every and len(planted & every) >= 180
+    assert len(planted & latent) >= 0.9 * len(planted & every)
+    assert found(*D.SOURCES) == every
+
+
+def test_items_of_few_words(spark):
+    """They are leaked by documents of just the same words."""
+    bench = spark.createDataFrame([(1, "Forty-two."), (2, "forty two"), (3, "yes"), (4, "..."), (5, "a b c d"), (5, "a b c d")], "item_id long, text string")
+    texts = ["forty TWO", " forty, two!\n", "forty two three", "yes", "yes and no", "", "...", None, "A b.C d", "a b c d e", "yes " * 50_000]
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.last_word) for r in D.leaks(documents(spark, texts), bench).collect())
+    assert got == [(0, 1, 0, 1), (0, 2, 0, 1), (1, 1, 0, 1), (1, 2, 0, 1), (3, 3, 0, 0), (8, 5, 0, 3)]
+
+
 @needs_data
 def test_every_verbatim_passage_is_found(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
