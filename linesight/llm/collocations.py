@@ -8,7 +8,10 @@ at least, so:
 
 1. Each shard is mined completely at that lowered support, level by level: a
    run of k words can only be frequent where both its runs of k - 1 words are.
-2. The union of the locally frequent phrases are the candidates.
+2. The candidates are the union of the locally frequent phrases, but for those
+   that cannot reach the support: where a phrase is not locally frequent it
+   stands less often than the lowered support, so what it has at most in all is
+   known.  No phrase with the support is lost.
 3. One more pass over the texts counts all candidates globally, by their words
    (only within a megabyte of text are they told apart by 128 bits of hashes).
 
@@ -89,8 +92,8 @@ def _summed(keys: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def local_phrases(texts: DataFrame, k: int, least: int, known=None) -> DataFrame:
-    """Keys (phrase, language and shard) of the runs of k words with ``least``
-    occurrences in their shard.  ``known``: broadcast bitmap of the level before."""
+    """Keys (phrase, language and shard) and counts c of the runs of k words with
+    ``least`` occurrences in their shard.  ``known``: broadcast bitmap of the level before."""
     def run(it):
         held, size = [], 0
         for batch in it:
@@ -110,13 +113,19 @@ def local_phrases(texts: DataFrame, k: int, least: int, known=None) -> DataFrame
                     held, size = [], 0
         if held:
             yield _summed(held)
-    return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key")
+    return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
-def _bitmaps(keys: DataFrame) -> list[np.ndarray]:
-    """Two bitmaps of the keys: by shard, and whatever the shard."""
-    whole = keys.select(F.col("key").bitwiseAND(F.lit(-256)))
-    return [bitmap.build(k, BITMAP_BITS) for k in (keys, whole)]
+def may_reach(local: DataFrame, support: int, shards: int, least: int) -> DataFrame:
+    """Keys, whatever the shard, of the phrases that may have ``support``
+    occurrences: their local counts, and ``least - 1`` for each other shard."""
+    more = F.sum(F.col("c") - (least - 1))
+    return local.groupBy(F.col("key").bitwiseAND(F.lit(-256)).alias("key")).agg(more.alias("more")).where(F.col("more") >= support - shards * (least - 1)).select("key")
+
+
+def _bitmaps(local: DataFrame, support: int, shards: int, least: int) -> list[np.ndarray]:
+    """Two bitmaps: of the local keys by shard, and of the candidates."""
+    return [bitmap.build(k, BITMAP_BITS) for k in (local.select("key"), may_reach(local, support, shards, least))]
 
 
 def _written(words: W.Words, starts: np.ndarray, k: int) -> pa.Array:
@@ -202,7 +211,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     least = (support - 1) // shards + 1
     before, anywhere = None, []
     for k in range(1, longest + 1):
-        by_shard, whole = _bitmaps(staged(local_phrases(dealt, k, least, before), "local"))
+        by_shard, whole = _bitmaps(staged(local_phrases(dealt, k, least, before), "local"), support, shards, least)
         if before is not None:
             before.destroy()
         before = spark.sparkContext.broadcast(by_shard)

@@ -93,6 +93,28 @@ def test_shards_are_mined_at_the_lowered_support(spark):
     assert all(max(by_shard[s, *p] for s in range(3)) >= (16 - 1) // 3 + 1 for p, c in total.items() if c >= 16)
 
 
+def test_candidates_are_those_that_may_reach_the_support(spark):
+    """All phrases with the support are candidates, and no locally frequent one
+    whose counts rule the support out."""
+    from pyspark.sql import functions as F
+    rng = random.Random(10)
+    texts = [" ".join(f"w{min(rng.randrange(15), rng.randrange(15))}" for _ in range(12)) for _ in range(200)]
+    dealt = documents(spark, texts).select(F.lit("en").alias("lang"), F.pmod(F.xxhash64("text"), F.lit(3)).cast("int").alias("shard"), "text")
+    local = C.local_phrases(dealt, 2, 6).cache()
+    counts = Counter()
+    for r in local.collect():
+        counts[r["key"] & -256] += r["c"]
+    shards = Counter(r["key"] & -256 for r in local.collect())
+    want = {k for k, c in counts.items() if c + (3 - shards[k]) * 5 >= 18}
+    got = [r["key"] for r in C.may_reach(local, 18, 3, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(counts)
+    total = Counter()
+    for r in dealt.collect():
+        w = r["text"].split()
+        total.update(zip(w, w[1:], strict=False))
+    assert len(want) >= sum(c >= 18 for c in total.values()) > 0 < len(counts) - len(want)
+
+
 def test_exact_beyond_64_bits(spark):
     """The score of huge counts is a whole division without overflow or rounding."""
     e = "(cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
