@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, NaiveBayes,
                                        RandomForestClassifier)
-from pyspark.ml.feature import CountVectorizerModel, Word2Vec
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -75,21 +75,6 @@ def index_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", id_col:
         "seq", F.coalesce("seq", F.array().cast("array<long>")))
 
 
-def train_word2vec(train: DataFrame, text: str = "text", dim: int = 100, window: int = 20,
-                   epochs: int = 2, min_count: int = 1, seed: int = 42,
-                   partitions: int | None = None) -> DataFrame:
-    """(word, vector array<double>) from MLlib Word2Vec on whitespace tokens.
-    Training runs on ``partitions`` tasks (default: the cluster's default
-    parallelism) instead of MLlib's single-task default; whole documents are
-    used (long ones are cut into consecutive sentences, none dropped)."""
-    toks = train.select(T.word_tokens(text).alias("tokens"))
-    n = partitions or max(1, train.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(vectorSize=dim, windowSize=window, maxIter=epochs, minCount=min_count,
-                     seed=seed, numPartitions=n, inputCol="tokens", outputCol="v").fit(toks)
-    from pyspark.ml.functions import vector_to_array
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
-
-
 def token_vector_join(df: DataFrame, vectors: DataFrame, text: str = "text",
                       id_col: str = "doc_id") -> DataFrame:
     """(doc_id, pos, tok, vector) for in-vocabulary tokens (OOV dropped)."""

@@ -13,10 +13,12 @@ from linesight.operators import fold_stats as Fs
 from linesight.operators import rouge as Rg
 from linesight.operators import runs as U
 from linesight.operators import sampling as Sm
+from linesight.operators import word_vectors as Wv
 from linesight.operators.classification import classification_metrics
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
 from linesight.plans.registry import register
+from linesight.session import materialize
 
 SEED = Sm.SEEDS[0]
 TOKS = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
@@ -124,11 +126,41 @@ def q_document_vectors(spark, sf_dir):
     return Fe.document_vectors(d, _det_vectors(spark, sf_dir))
 
 
+_PAIRS = _TRAIN + f""",
+o AS (SELECT doc_id, unnest({TOKS.format(x='text')}) AS tok,
+             unnest(generate_series(0, len({TOKS.format(x='text')}) - 1)) AS pos FROM train),
+pairs AS (SELECT a.tok AS word, b.tok AS context, CAST(count(*) AS BIGINT) AS n
+          FROM o a JOIN (SELECT o.*, unnest(generate_series(-20, 20)) AS gap FROM o) b
+            ON a.doc_id = b.doc_id AND a.pos = b.pos - b.gap
+          WHERE b.gap <> 0 GROUP BY a.tok, b.tok)"""
+
+
+@register("word_pair_weights", sql=_PAIRS + """,
+t AS (SELECT word, sum(n) AS total, count(*) AS contexts FROM pairs GROUP BY word),
+w AS (SELECT p.word, ln(CAST(p.n AS DOUBLE) * CAST((SELECT sum(total) FROM t) AS DOUBLE)
+               / (CAST(a.total AS DOUBLE) * CAST(b.total AS DOUBLE))) AS weight
+      FROM pairs p JOIN t a ON a.word = p.word JOIN t b ON b.word = p.context)
+SELECT t.word, CAST(any_value(t.contexts) AS BIGINT) AS contexts, CAST(any_value(t.total) AS BIGINT) AS total,
+       CAST(count(w.weight) AS BIGINT) AS weights, round(coalesce(sum(w.weight), 0.0), 6) AS weight
+FROM t LEFT JOIN (SELECT * FROM w WHERE weight > 0) w USING (word) GROUP BY t.word""")
+def q_word_pair_weights(spark, sf_dir):
+    """Co-occurrence counts within 20 tokens on the train split and their positive
+    pointwise mutual information, all pairs summed by word."""
+    pairs = materialize(Wv.context_pairs(train_docs(spark, sf_dir), window=20))
+    counts = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("total"))
+    weights = Wv.pair_weights(pairs).groupBy("word").agg(
+        F.count(F.lit(1)).alias("weights"), F.sum("weight").alias("weight"))
+    return counts.join(weights, "word", "left").select(
+        "word", "contexts", "total", F.coalesce("weights", F.lit(0)).alias("weights"),
+        F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 @register("train_word_vectors")
-def q_word2vec(spark, sf_dir):
-    """Word2Vec (dim 100, window 20, 2 epochs, min count 1) on the train split;
-    (word, norm) of every learned vector (rows check: training is stochastic)."""
-    v = Fe.train_word2vec(train_docs(spark, sf_dir))
+def q_word_vectors(spark, sf_dir):
+    """Word vectors (dim 100, window 20, min count 1) of the train split from the
+    randomised SVD of the weights above; (word, norm) of every vector.  No SQL:
+    tests compare with a dense SVD."""
+    v = Wv.word_vectors(train_docs(spark, sf_dir))
     return v.select("word", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
                     .alias("norm"))
 
