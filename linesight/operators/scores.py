@@ -1,14 +1,16 @@
 """Token scores -> line scores, vector pooling.
 
-All of these are relational: tokens are exploded with their position, line
-token ranges are running offsets within a document, and a token meets its
-line through an equi join on (document, position) - never a per-row Python
-loop.  Weight lookups by token use the token join of the cleaning module,
+Line scores of documents that carry their token scores in the row are sums of
+slices, taken in Arrow batches without a shuffle (``segment_sum_rows``).  Where
+token scores arrive as their own relation, a token meets its line through an
+equi join on (document, position).  Weight lookups by token use the token join of the cleaning module,
 since frequent tokens are hot keys.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,37 @@ def segment_sum(token_scores: DataFrame, ranges: DataFrame, offset: int = 0,
     return j.groupBy(id_col, "line_idx").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
 
 
+def segment_sum_rows(df: DataFrame, scores: str = "scores", n_tok: str = "n_tok", offset: int = 0,
+                     id_col: str = "doc_id") -> DataFrame:
+    """``segment_sum`` inside the row: ``scores`` array<double> holds the token scores of
+    the document, ``n_tok`` array<int> the tokens of each of its lines.  (id, line_idx,
+    score), one row a line, no shuffle.  Null scores, null counts and positions outside
+    the scored tokens contribute 0; null arrays count as empty."""
+    def run(batches):
+        for batch in batches:
+            values, counts = batch.column(1), batch.column(2)
+            sizes, lines = (c.value_lengths().fill_null(0).to_numpy().astype("int64") for c in (values, counts))
+            flat = np.append(values.flatten().fill_null(0.0).to_numpy(), 0.0)
+            n = counts.flatten().fill_null(0).to_numpy().astype("int64")
+            doc = np.repeat(np.arange(len(lines)), lines)
+            first_line = np.repeat(np.cumsum(lines) - lines, lines)
+            ends = np.cumsum(n)
+            starts = ends - n
+            in_doc = starts - starts[first_line] + offset   # place among the document's tokens
+            base = (np.cumsum(sizes) - sizes)[doc]
+            left = base + np.clip(in_doc, 0, sizes[doc])
+            right = base + np.clip(in_doc + n, 0, sizes[doc])
+            total = np.zeros(len(n))
+            some = right > left
+            if some.any():   # slices in turn with the gaps between them; each slice is summed by itself
+                total[some] = np.add.reduceat(flat, np.column_stack([left[some], right[some]]).ravel())[::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(np.arange(len(n)) - first_line),
+                                              pa.array(total)], names=[id_col, "line_idx", "score"])
+
+    rows = df.select(id_col, F.col(scores).cast("array<double>"), F.col(n_tok).cast("array<int>"))
+    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, line_idx long, score double")
+
+
 def lookup_sum(lines: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Line score = Σ weight(token) over the line's whitespace tokens, missing
     weights 0.  ``weights(tok, weight)`` has one row per token."""

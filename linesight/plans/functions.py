@@ -111,12 +111,6 @@ def q_fbeta(spark, sf_dir):
                     A.percent("precision").alias("precision_pct"))
 
 
-def _line_ranges(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
-    ln = L.split_lines(d).withColumn("n_tok", F.size(T.word_tokens("line")))
-    return d, Sc.line_token_ranges(ln)
-
-
 _SEG_SQL = S.LINES + f""",
 lt AS (SELECT doc_id, line_idx, {WC.format(x='line')} AS n_tok FROM lines),
 rng AS (SELECT *, coalesce(sum(n_tok) OVER (PARTITION BY doc_id ORDER BY line_idx
@@ -136,10 +130,10 @@ GROUP BY r.doc_id, r.line_idx""")
 def q_segment_sum(spark, sf_dir):
     """Token scores (token length as the stand-in attribution) summed per line
     through consecutive token slices (offset 0)."""
-    d, ranges = _line_ranges(spark, sf_dir)
-    ts = d.select("doc_id", F.posexplode(T.word_tokens("text")).alias("tok_pos", "tok")) \
-        .select("doc_id", "tok_pos", F.length("tok").cast("double").alias("score"))
-    return Sc.segment_sum(ts, ranges, offset=0)
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
+    return Sc.segment_sum_rows(d.select(
+        "doc_id", F.transform(T.word_tokens("text"), lambda t: F.length(t).cast("double")).alias("scores"),
+        F.transform(T.split_lines("text"), lambda line: F.size(T.word_tokens(line))).alias("n_tok")), offset=0)
 
 
 @register("lookup_sum", sql=_SEG_SQL + """,
