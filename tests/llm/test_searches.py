@@ -190,3 +190,21 @@ def test_notice_in_a_long_chain_is_found(spark):
     assert [out[i].labels for i in range(3)] == ["all-rights-reserved", "all-rights-reserved", ""]
     assert out[0].score == 1.0 and out[1].score >= L.COVERED and out[2].score == 0.0
     assert len(out[0].spans) == 1
+
+
+def test_top_k_sends_no_block_and_no_vector_through_the_driver(spark, monkeypatch):
+    plans, fetched, staged = [], [], K.staged
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))))
+        return staged(df, name)
+    monkeypatch.setattr(K, "staged", seen)
+    collect = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda df: fetched.append(collect(df)) or fetched[-1])
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = K.top_k(df, F.col("vec_id") % 50 == 0, block_entries=50 * 8, query_rows=2)
+    assert fetched and max(len(rows) for rows in fetched) <= K.GRAM_PARTS
+    monkeypatch.undo()
+    assert sorted(tuple(r) for r in found.collect()) == brute_top_k(list(enumerate(x)))
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
