@@ -3,8 +3,8 @@
 Line scores of documents that carry their token scores in the row are sums of
 slices, taken in Arrow batches without a shuffle (``segment_sum_rows``).  Where
 token scores arrive as their own relation, a token meets its line through an
-equi join on (document, position).  Weight lookups by token use the token join of the cleaning module,
-since frequent tokens are hot keys.
+equi join on (document, position).  Weight lookups by token meet the weights block by block
+(``token_blocks``), so frequent tokens are no hot keys.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from linesight.functions import text as T
-from linesight.operators.cleaning import _token_join
+from linesight.operators.token_blocks import Lookup, looked_up
 
 
 def line_token_ranges(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -71,12 +72,16 @@ def segment_sum_rows(df: DataFrame, scores: str = "scores", n_tok: str = "n_tok"
 
 def lookup_sum(lines: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Line score = Σ weight(token) over the line's whitespace tokens, missing
-    weights 0.  ``weights(tok, weight)`` has one row per token."""
-    occ = lines.select(id_col, "line_idx", F.posexplode(T.word_tokens("line")).alias("pos", "tok"))
-    joined = _token_join(occ, weights, id_col)
-    scores = joined.groupBy(id_col, "line_idx").agg(F.sum("weight").alias("score"))
-    return (lines.select(id_col, "line_idx").join(scores, [id_col, "line_idx"], "left")
-            .withColumn("score", F.coalesce("score", F.lit(0.0))))
+    weights 0.  ``weights(tok, weight)`` has one row per token.  A line's tokens
+    stay in its row."""
+    schema = Ty.StructType([lines.schema[id_col], lines.schema["line_idx"], Ty.StructField("score", Ty.DoubleType())])
+
+    def run(x: Lookup):
+        weight = np.append(x.values.column("weight").to_numpy(), 0.0)     # code -1: no weight
+        total = np.bincount(x.row, weight[x.code], minlength=x.rows.num_rows).astype("float64")
+        yield pa.RecordBatch.from_arrays([x.rows.column(0), x.rows.column(1), pa.array(total)], names=[id_col, "line_idx", "score"])
+    table = weights.select("tok", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    return looked_up(lines, F.col("line"), T.word_tokens("line"), table, [F.col(id_col), F.col("line_idx")], schema, run, [id_col, "line_idx"])
 
 
 def attention_token_scores(att: DataFrame, id_col: str = "doc_id", head: str = "head",
