@@ -317,6 +317,9 @@ def word_neighbours(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     from linesight.operators.matching import with_row_index
     from linesight.operators.nearest import nearest
     from linesight.session import materialize
+    # computed once: a filter on the norm of a computed vector would else sink below the
+    # count of the words and make a vector for every occurrence
+    vectors = materialize(vectors.select("word", "vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     unit = vectors.select("word", "vector", norm.alias("_n")).where(F.col("_n") > 0)
     unit = unit.select("word", F.zip_with("vector", F.array_repeat("_n", F.size("vector")), lambda x, n: x / n).alias("x"))

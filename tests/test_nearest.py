@@ -168,3 +168,34 @@ def test_cuts_are_the_rows_at_their_ranks(spark):
         assert sizes == [len(own) // 7 + (f < len(own) % 7) for f in range(7)]
     few = {r["id"]: r["fold"] for r in Sm.stratified_kfold(df.where("id < 3"), "label", "id", 9, 7).collect()}
     assert len(few) == 3 and set(few.values()) <= set(range(3))
+
+
+def test_k_nearest_equals_the_sorted_distances_and_sorts_only_the_near_ones(monkeypatch):
+    rng = np.random.default_rng(11)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e4), (1e18, 0.0), (1e-25, 0.0)):
+        x = rng.normal(size=(300, 5)) * scale + shift
+        x[50:60] = x[3]                                     # ties
+        y, own, ids = x[::7], np.arange(0, 300, 7), np.arange(300)
+        exact = N.distances(y, x)
+        exact[np.arange(len(y)), own] = np.inf
+        for k, bound in ((4, np.full(len(y), np.inf)), (4, np.sort(exact, axis=1)[:, 6]), (400, np.full(len(y), np.inf))):
+            at, to, far = N.k_nearest(y, own, bound, x, ids, k)
+            want = [(i, j) for i in range(len(y)) for j in np.argsort(exact[i], kind="stable")[:k] if exact[i, j] <= bound[i] and np.isfinite(exact[i, j])]
+            assert list(zip(at, to)) == want and np.array_equal(far, exact[at, to])
+    seen, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: seen.append(len(keys[0])) or lexsort(keys))
+    monkeypatch.setattr(np, "argsort", None)                # all distances of a block were sorted before
+    x = rng.normal(size=(2000, 5))
+    N.k_nearest(x[:100], np.arange(100), np.full(100, np.inf), x, np.arange(2000), 4)
+    assert sum(seen) < 100 * 50
+
+
+def test_vectors_are_computed_before_any_filter_on_them(spark, monkeypatch):
+    """The filter on the norm sank below the count of the words."""
+    from linesight import session
+    seen, plain = [], session.materialize
+    monkeypatch.setattr(session, "materialize", lambda df: seen.append(df.columns) or plain(df))
+    rows = [("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0])]
+    got = Sm.word_neighbours(spark.createDataFrame(rows, "word string, vector array<double>"), 2)
+    assert seen[0] == ["word", "vector"]
+    assert {r.tok: r.neighbours for r in got.collect()} == {"a": ["b", "c"], "b": ["a", "c"], "c": ["b", "a"]}
