@@ -8,18 +8,21 @@ crosses the network for each (term, fold, class), and neither a vocabulary nor a
 document reaches the driver.
 
 A document's score is a constant of its class (all terms absent) plus a term for
-each of its own words, so scoring is one join of word occurrences with the models.
+each of its own words, so scoring is one lookup of its words in its fold's model.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
-from linesight.operators.cleaning import _token_join
 from linesight.operators.features import MIN_DF, terms
+from linesight.operators.token_blocks import Lookup, looked_up
 from linesight.session import materialize
 
 SMOOTHING = 1e-9        # fixed: share of the largest variance that is added to all
@@ -103,12 +106,32 @@ def cross_predict(docs: DataFrame, label: str, fold: str, folds: int, text: str
     """(id, fold, target, pred): every document judged by the model that was
     trained without its fold; the smaller class wins a tie.  ids are unique."""
     model, base = gaussian_models(docs, label, fold, folds, text, id_col, min_df)
-    # one row a word, with its entries in all models (at most folds x classes): hot words are spread by the token join
-    entries = model.groupBy(F.col("term").alias("tok")).agg(F.collect_list(F.struct("held", "label", "mean", "var")).alias("m"))
-    occ = occurrences(docs, text, id_col, [fold]).select(id_col, F.col(fold).alias("held"), F.col("term").alias("tok"), "x", F.xxhash64("term").alias("pos"))
-    met = _token_join(occ, entries, id_col).select(id_col, "held", "x", F.explode("m").alias("m")).where(F.col("m.held") == F.col("held"))
-    part = (2 * F.col("x") * F.col("m.mean") - F.col("x") * F.col("x")) / (2 * F.col("m.var"))
-    score = met.groupBy(id_col, F.col("m.label").alias("label")).agg(F.sum(part).alias("score"))
+    # a document meets the entries (one a class) of its own fold's model only; its terms stay in its row
+    key = lambda held, term: F.concat(held.cast("string"), F.lit(":"), term)
+    entries = model.groupBy("held", "term").agg(F.array_sort(F.collect_list(F.struct("label", "mean", "var"))).alias("m"))
+    entries = entries.select(key(F.col("held"), F.col("term")).alias("tok"), "m")
+    own = F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda t: key(F.col(fold), t))
+    schema = Ty.StructType([docs.schema[id_col], model.schema["label"], Ty.StructField("score", Ty.DoubleType())])
+
+    def run(x: Lookup):
+        met = np.flatnonzero(x.code >= 0)
+        lists = x.values.column("m").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype("int64")
+        begin = np.cumsum(sizes) - sizes
+        entry = lists.flatten()
+        classes = entry.field("label").dictionary_encode()
+        mean, var = (entry.field(c).to_numpy() for c in ("mean", "var"))
+        many = max(1, len(lists))
+        found, times = np.unique(x.row[met] * many + x.code[met], return_counts=True)    # (row, term): its count
+        row, code = found // many, found % many
+        at = np.arange(int(sizes[code].sum())) + np.repeat(begin[code] - (np.cumsum(sizes[code]) - sizes[code]), sizes[code])
+        n, r = np.repeat(times, sizes[code]).astype("float64"), np.repeat(row, sizes[code])
+        part = (2 * n * mean[at] - n * n) / (2 * var[at])
+        kinds = max(1, len(classes.dictionary))
+        place, back = np.unique(r * kinds + classes.indices.to_numpy()[at].astype("int64"), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([x.rows.column(0).take(pa.array(place // kinds)), classes.dictionary.take(pa.array(place % kinds)),
+                                          pa.array(np.bincount(back, part, minlength=len(place)).astype("float64"))], names=[id_col, "label", "score"])
+    score = looked_up(docs, F.coalesce(F.col(text), F.lit("")), own, entries, [F.col(id_col)], schema, run, [id_col])
     rows = docs.select(id_col, F.col(fold).alias("held"), F.col(label).alias("target")).join(F.broadcast(base), "held")
     judged = rows.join(score, [id_col, "label"], "left").withColumn("score", F.col("base") + F.coalesce("score", F.lit(0.0)))
     best = F.max(F.struct(F.col("score"), (-F.col("label")).alias("less"), F.col("label").alias("pred")))
