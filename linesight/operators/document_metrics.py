@@ -104,12 +104,8 @@ def generated_metrics(docs: DataFrame, preds: DataFrame, text: str = "text",
     recall divides by the label count without a guard.  Same semantics as
     ``rank_lines_generated`` + ``label_lines_by_text`` +
     ``localization_metrics(recall_guard=False)``."""
-    arr = preds.groupBy(id_col).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pred_pos", "line"))), lambda s: s["line"]).alias("_p"))
-    d = docs.select(id_col, text, flaw_text).join(arr, id_col, "left").withColumn(
-        "_p", F.coalesce("_p", F.array().cast("array<string>")))
-    rest = F.filter(T.split_lines(text), lambda l: ~F.array_contains(F.col("_p"), l))
-    ranking = F.concat(F.col("_p"), rest)
+    d = _with_preds(docs.select(id_col, text, flaw_text), preds, id_col)
+    ranking = F.concat(F.col("_p"), _unpredicted(text))
     staged = d.select(id_col, ranking.alias("_r"), flaw_text)
     staged = staged.select(id_col, F.size("_r").alias("_n"), F.size(flaw_text).alias("_labels"),
                            F.filter(F.transform("_r", lambda l, i: F.when(
@@ -117,3 +113,26 @@ def generated_metrics(docs: DataFrame, preds: DataFrame, text: str = "text",
                                lambda r: r > 0).alias("_hr"))
     return staged.select(id_col, *metrics_from_hit_ranks(F.col("_hr"), F.col("_n"), F.col("_labels"),
                                                          x, recall_guard=False))
+
+
+def _with_preds(docs: DataFrame, preds: DataFrame, id_col: str) -> DataFrame:
+    """Documents with their predicted lines in order as ``_p``."""
+    arr = preds.groupBy(id_col).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pred_pos", "line"))), lambda s: s["line"]).alias("_p"))
+    return docs.join(arr, id_col, "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<string>")))
+
+
+def _unpredicted(text: str) -> "F.Column":
+    return F.filter(T.split_lines(text), lambda l: ~F.array_contains(F.col("_p"), l))
+
+
+def generated_flags(docs: DataFrame, preds: DataFrame, text: str = "text", flaw_text: str = "flaw_text",
+                    id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(id, kept columns, rank, is_predicted, hit): ``rank_lines_generated`` and
+    ``label_lines_by_text`` inside the document row, without the lines' text;
+    nothing is shuffled but the join with the predictions."""
+    keep = keep or []
+    d = _with_preds(docs.select(id_col, text, flaw_text, *keep), preds, id_col)
+    hits = F.transform(F.concat(F.col("_p"), _unpredicted(text)), lambda l: F.array_contains(F.col(flaw_text), l).cast("int"))
+    staged = d.select(id_col, *keep, F.size("_p").alias("_n"), F.posexplode(hits).alias("_i", "hit"))
+    return staged.select(id_col, *keep, (F.col("_i") + 1).alias("rank"), (F.col("_i") < F.col("_n")).cast("int").alias("is_predicted"), "hit")

@@ -197,6 +197,7 @@ def recall_at_loc(ordered: DataFrame, total_flaws: float, total_loc: float,
 
 LINES_ORDER = [("score", True), ("doc_id", False), ("rank", False)]       # of ``line_order_positions``
 FUNCTIONS_ORDER = [("proba", True), ("doc_id", False), ("rank", False)]   # of ``function_order_positions``
+GENERATED_ORDER = [("is_predicted", True), ("proba", True), ("doc_id", False), ("rank", False)]   # of ``generated_order_positions``
 
 
 def effort_of_order(lines: DataFrame, order: list[tuple[str, bool]], total_flaws: float, total_loc: float,

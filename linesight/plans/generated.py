@@ -13,9 +13,11 @@ from linesight.operators import generated as Gn
 from linesight.operators import global_order as G
 from linesight.operators import lines as L
 from linesight.operators import ranking as R
+from linesight.operators.document_metrics import generated_flags
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
 from linesight.plans.registry import register
+from linesight.session import materialize
 
 
 def replaced_preds(spark, sf_dir):
@@ -102,10 +104,14 @@ FROM totals t""")
 def q_effort_generated(spark, sf_dir):
     """Effort@20%Recall and Recall@1%LOC in the generated global order."""
     flaws, loc = _gen_totals(spark, sf_dir)
-    o = G.generated_order_positions(generated_ranking(spark, sf_dir))
-    e = G.effort_at_recall(o, flaws, loc, 20.0)
-    r = G.recall_at_loc(o, flaws, loc, 1.0)
-    return _one_row(e, r)
+    pos = B.generated_positives(spark, sf_dir).select("doc_id", "text", "flaw_text", "proba")
+    pos = pos.withColumn("proba", F.coalesce("proba", F.lit(-1.0)))     # documents without one come last
+    flags = materialize(generated_flags(pos, replaced_preds(spark, sf_dir).select("doc_id", "pred_pos", "line"), keep=["proba"]))
+    r = flags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("h")).first()
+    totals = r["n"], r["h"]
+    effort = G.effort_of_order(flags, G.GENERATED_ORDER, flaws, loc, 20.0, totals=totals)
+    recall = G.recall_of_order(flags, G.GENERATED_ORDER, flaws, loc, 1.0, totals=totals)
+    return spark.createDataFrame([(effort, recall)], "effort double, recall double")
 
 
 @register("effort_recall_generated_functions", sql=S.GEN + """,
