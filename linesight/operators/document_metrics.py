@@ -78,16 +78,17 @@ def metrics_from_hit_ranks(hr: Column, n: Column, n_labels: Column, x: int = 10,
 
 
 def document_metrics(docs: DataFrame, score: Callable[[Column], Column], text: str = "text",
-                     flaw_idx: str = "flaw_idx", id_col: str = "doc_id", x: int = 10) -> DataFrame:
+                     flaw_idx: str = "flaw_idx", id_col: str = "doc_id", x: int = 10,
+                     carry: list[str] | tuple = ()) -> DataFrame:
     """(doc_id, text, flaw_idx) -> the seven metrics per document, row-local.
     Same semantics as ``ranking.localization_metrics`` (index variant).  The
     ranked array is staged in its own projection and referenced several
-    times, so it is computed once per row."""
+    times, so it is computed once per row.  ``carry`` columns are kept."""
     ranked = ranked_lines_inrow(F.col(text), F.col(flaw_idx), score)
-    staged = docs.select(id_col, ranked.alias("_ranked"), F.size(flaw_idx).alias("_labels"))
-    staged = staged.select(id_col, hit_ranks(F.col("_ranked")).alias("_hr"),
+    staged = docs.select(id_col, *carry, ranked.alias("_ranked"), F.size(flaw_idx).alias("_labels"))
+    staged = staged.select(id_col, *carry, hit_ranks(F.col("_ranked")).alias("_hr"),
                            F.size("_ranked").alias("_n"), "_labels")
-    return staged.select(id_col, *metrics_from_hit_ranks(F.col("_hr"), F.col("_n"),
+    return staged.select(id_col, *carry, *metrics_from_hit_ranks(F.col("_hr"), F.col("_n"),
                                                          F.col("_labels"), x))
 
 

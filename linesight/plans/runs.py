@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linesight.operators import lines as L
-from linesight.operators import ranking as R
 from linesight.operators import runs as U
+from linesight.operators.document_metrics import document_metrics
 from linesight.plans import bindings as B
 from linesight.plans import sql_parts as S
 from linesight.plans.registry import register
@@ -33,14 +32,12 @@ PUBLISHED = [
 
 
 def method_doc_metrics(spark, sf_dir):
-    """Per-document metrics of both rankings (method, project, doc_id, ...)."""
+    """Per-document metrics of both rankings (method, project, doc_id, ...), made
+    inside the document row: no line is shuffled."""
     f = B.function_table(spark, sf_dir)
-    ln = L.split_labelled_lines(f.withColumn("n_labels", F.size("flaw_idx")), keep=["n_labels", "project"])
-    ln = ln.select("doc_id", "project", "line_idx", F.length("line").cast("double").alias("score"),
-                   "hit", "n_labels")
-    by_score = R.rank_lines_by_score(ln).withColumn("method", F.lit("score"))
-    by_pos = ln.withColumn("rank", F.col("line_idx") + 1).withColumn("method", F.lit("position"))
-    return R.localization_metrics(by_score.unionByName(by_pos), carry=["method", "project"])
+    scores = {"score": F.length, "position": lambda line: F.lit(0.0)}     # equal scores keep the line order
+    both = [document_metrics(f.withColumn("method", F.lit(m)), score, carry=["method", "project"]) for m, score in scores.items()]
+    return both[0].unionByName(both[1])
 
 
 def run_table(spark, sf_dir):
