@@ -157,6 +157,22 @@ def latent_space(rows: DataFrame, weight: np.ndarray, rank: int = RANK, steps: i
     return used, last @ turn[:, good]
 
 
+def _group_sums(vector: np.ndarray, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``vector[f]`` over the groups that begin at ``starts``: the first
+    members of all groups, then the second ones, and so on (a group has a few; many
+    times as fast as ``np.add.reduceat`` along the rows)."""
+    many = np.diff(np.append(starts, len(f)))
+    order = np.argsort(-many, kind="stable")
+    begin, many = starts[order], -many[order]
+    out = np.empty((len(starts), vector.shape[1]), vector.dtype)
+    total = vector[f[begin]]
+    for k in range(1, -int(many[0]) if len(many) else 0):
+        n = int(np.searchsorted(many, -k))
+        total[:n] += vector[f[begin[:n] + k]]
+    out[order] = total
+    return out
+
+
 def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence: bit-parallel, one bit a passage word."""
     full = (1 << n) - 1
@@ -292,7 +308,7 @@ def search(docs: DataFrame, items: list[tuple], df: np.ndarray, n: int, used: np
                         continue
                     edge = np.flatnonzero(np.diff(group[a:b], prepend=-1))
                     hops = np.zeros((step + 3, vector.shape[1]), np.float32)
-                    hops[group[a:b][edge] - lo] = np.add.reduceat(vector[f[a:b]], edge, axis=0)
+                    hops[group[a:b][edge] - lo] = _group_sums(vector, f[a:b], edge)
                     window = hops[:-3] + hops[1:-2] + hops[2:-1] + hops[3:]
                     size = np.sqrt(np.einsum("ij,ij->i", window, window))
                     some = np.flatnonzero(size >= HELD * norm.min())   # no other one holds enough of any passage
