@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from linesight.llm import collocations as C
@@ -115,6 +116,71 @@ def test_candidates_are_those_that_may_reach_the_support(spark):
     assert len(want) >= sum(c >= 18 for c in total.values()) > 0 < len(counts) - len(want)
 
 
+def test_a_held_phrase_is_one_row_a_shard():
+    """However its shards alternate; phrases with the same first hash stay apart."""
+    n = 1000
+    key = np.array([256 * 7, 256 * 9], np.uint64)[np.arange(n) // 4 % 2] | (np.arange(n) % 4).astype(np.uint64)
+    held = [(key, np.full(n, 5, np.uint64), np.arange(n, dtype=np.int32)), (key[:4], np.full(4, 6, np.uint64), np.zeros(4, np.int32))]
+    got = C._summed(held)
+    rows = list(zip(*(got[x].to_pylist() for x in ("phrase", "mark", "doc", "c")), strict=True))
+    total = Counter()
+    for phrase, mark, _, c in rows:
+        total[phrase, mark >> 8, mark & 255] += c
+    assert total == {(256 * p, 5, s): n // 8 for p in (7, 9) for s in range(4)} | {(256 * 7, 6, s): 1 for s in range(4)}
+    assert len(rows) <= 4 * (2 + 2) and min(r[2] for r in rows if r[:2] == (256 * 9, 5 << 8 | 3)) == 7
+
+
+@pytest.mark.parametrize("tasks", [1, 6])
+def test_passes_over_the_texts_make_rows_of_what_is_open_only(spark, tasks):
+    """After the shards are mined, the places of candidates that no shard
+    counted are counted, and each wanted phrase is written once, by however many tasks."""
+    from pyspark.sql import functions as F
+    rng = random.Random(12)
+    rows = [" ".join("a{0} b{0}".format(rng.randrange(60)) for _ in range(6)) for _ in range(150)]
+    texts = documents(spark, rows + rows[:30]).select(F.lit("en").alias("lang"), "text").repartition(tasks)
+    dealt = texts.select("lang", F.pmod(F.xxhash64("text"), F.lit(3)).cast("int").alias("shard"), "text")
+    support, shards, least = 12, 3, 4
+    words, pairs, total = Counter(), Counter(), Counter()
+    for r in dealt.collect():
+        w = r["text"].split()
+        words.update((r["shard"], x) for x in w)
+        pairs.update((r["shard"], p) for p in zip(w, w[1:], strict=False))
+        total.update(zip(w, w[1:], strict=False))
+
+    def candidates(counts):
+        more = Counter()
+        for (_, p), c in counts.items():
+            more[p] += max(0, c - (least - 1))
+        return {p for p, m in more.items() if m and m >= support - shards * (least - 1)}
+    known = {(s, x) for (s, x), c in words.items() if c >= least and x in candidates(words)}
+    counted = Counter({(s, p): c for (s, p), c in pairs.items() if (s, p[0]) in known and (s, p[1]) in known})
+    want = candidates(counted)
+    open_ = Counter({(s, p): c for (s, p), c in pairs.items() if p in want and (s, p) not in counted})
+    assert 0 < sum(open_.values()) < sum(counted.values()) and max(open_.values()) < least
+
+    share = spark.sparkContext.broadcast
+    one = C.may_reach(C.local_phrases(dealt, 1, 1), support, shards, least)
+    by_shard = share(C._bitmaps(one, shards)[0])
+    two = C.may_reach(C.local_phrases(dealt, 2, 1, by_shard), support, shards, least).cache()
+    rest = C.other_places(dealt, [by_shard], [share(C._bitmaps(two, shards)[1])]).collect()
+    assert sum(r["c"] for r in rest if r["k"] == 2) == sum(open_.values())
+    assert sum(r["c"] for r in rest if r["k"] == 0 and r["lang"] == "en") == sum(words.values())
+    written = C.written_phrases(texts, two.select("key", "doc"), 2).collect()
+    assert len(written) == len(want) and {(r["lang"], r["k"], tuple(r["phrase"].split())) for r in written} == {("en", 2, p) for p in want}
+    found = {r["key"]: r["c"] for r in two.collect()}
+    for r in rest:
+        if r["k"] == 2:
+            found[r["phrase"]] += r["c"]
+    assert {tuple(r["phrase"].split()): found[r["key"]] for r in written} == {p: total[p] for p in want}
+
+
+def test_more_than_64_shards(spark):
+    """The shards a candidate is frequent in go through several numbers."""
+    texts = corpus(random.Random(6), 150)
+    rows = documents(spark, texts).collect()
+    assert rows_of(C.collocations(documents(spark, texts), 150, 140)) == brute([(r["text"], r["lang"]) for r in rows], 150)
+
+
 def test_exact_beyond_64_bits(spark):
     """The score of huge counts is a whole division without overflow or rounding."""
     e = "(cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
