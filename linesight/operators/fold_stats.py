@@ -3,12 +3,14 @@
 Gaussian naive Bayes needs, for each term and class, the number of documents, the
 sum and the sum of squares of the term's counts.  They are counted once, by
 fold; what a model trained without fold k needs is the total less fold k.  All k
-models, vocabularies included, come from one scan of the texts, one row a term
-crosses the network for each (term, fold, class), and neither a vocabulary nor a
-document reaches the driver.
+models, vocabularies included, come from one scan of the texts, which leaves each
+document's different terms with their counts (``counted_terms``); a task adds up its
+documents before a row for each (term, fold, class) crosses the network, and neither
+a vocabulary nor a document reaches the driver.
 
 A document's score is a constant of its class (all terms absent) plus a term for
 each of its own words, so scoring is one lookup of its words in its fold's model.
+Documents are looked up in blocks of one fold, and judged in their row.
 """
 
 from __future__ import annotations
@@ -17,44 +19,92 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from linesight.operators.features import MIN_DF, terms
-from linesight.operators.token_blocks import Lookup, looked_up
-from linesight.session import materialize
+from linesight.operators.token_blocks import BLOCK_BYTES, Lookup, looked_up
+from linesight.session import materialize, shuffles_freed, stored
 
 SMOOTHING = 1e-9        # fixed: share of the largest variance that is added to all
-
-
-def term_counts(text: Column) -> Column:
-    """array<struct<term, x>>: each different term of a text and its count.  The
-    terms are sorted in the row; a term's count is the distance of its last place
-    from the last place of the one before."""
-    ordered = F.array_sort(terms(text))
-    after = F.concat(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
-    pairs = F.arrays_zip(ordered.alias("t"), after.alias("next"))
-    ends = F.filter(F.transform(pairs, lambda z, i: F.struct(z["t"].alias("t"), z["next"].alias("next"), i.alias("i"))),
-                    lambda z: z["t"].isNotNull() & (z["next"].isNull() | (z["t"] != z["next"])))
-    places = F.transform(ends, lambda z: z["i"])
-    before = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))))
-    counted = F.arrays_zip(F.transform(ends, lambda z: z["t"]).alias("t"), places.alias("i"), before.alias("b"))
-    return F.transform(F.filter(counted, lambda z: z["t"].isNotNull()), lambda z: F.struct(z["t"].alias("term"), (z["i"] - z["b"]).cast("long").alias("x")))
+HELD_TERMS = 1 << 21    # terms of documents that a task adds up at once
+STATISTICS_ROWS = 1 << 14   # rows of one Arrow batch
+
+
+def counted_terms(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(id, kept columns, term array, x array): each document's different terms and
+    their counts, in one row."""
+    carried = [id_col, *(keep or [])]
+    schema = Ty.StructType([docs.schema[c] for c in carried] + [Ty.StructField("term", Ty.ArrayType(Ty.StringType())), Ty.StructField("x", Ty.ArrayType(Ty.LongType()))])
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column(len(carried))
+            known = lists.flatten().dictionary_encode()
+            code = known.indices.to_numpy(zero_copy_only=False).astype("int64")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            many = max(1, len(known.dictionary))
+            key = np.repeat(np.arange(len(sizes)), sizes) * many + code
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, "int64")
+            x, key = np.diff(np.r_[first, len(key)]), key[first]
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(key // many, minlength=len(sizes)))].astype("int32"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, known.dictionary.take(pa.array(key % many))),
+                                              pa.ListArray.from_arrays(ends, pa.array(x))], names=[*carried, "term", "x"])
+    return docs.select(*carried, terms(F.coalesce(F.col(text), F.lit(""))).alias("_t")).mapInArrow(count, schema)
 
 
 def occurrences(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """(id, kept columns, term, x): the terms of each document with their counts."""
-    rows = docs.select(id_col, *(keep or []), F.explode(term_counts(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
+    rows = counted_terms(docs, text, id_col, keep).select(id_col, *(keep or []), F.explode(F.arrays_zip("term", "x")).alias("_t"))
     return rows.select(id_col, *(keep or []), F.col("_t.term").alias("term"), F.col("_t.x").alias("x"))
 
 
 def fold_statistics(docs: DataFrame, label: str, fold: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(term, fold, label, n, s, q): documents that hold the term, sum and sum of
     squares of its counts, by fold and class."""
-    occ = occurrences(docs, text, id_col, [label, fold])
-    return occ.groupBy("term", F.col(fold).alias("fold"), F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    return counted_statistics(counted_terms(docs, text, id_col, [label, fold]), label, fold)
+
+
+def counted_statistics(counted: DataFrame, label: str, fold: str) -> DataFrame:
+    """``fold_statistics`` of ``counted_terms``, added up in the task first."""
+    names = ["term", "fold", "label", "n", "s", "q"]
+    kinds = [("term", Ty.StringType()), ("fold", counted.schema[fold].dataType), ("label", counted.schema[label].dataType)] + [(c, Ty.LongType()) for c in "nsq"]
+
+    def add(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(2).flatten())
+            if n >= HELD_TERMS:
+                yield from sums(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from sums(pa.Table.from_batches(held))
+
+    def sums(table):
+        table = table.combine_chunks()
+        of, cls, lists, x = (c.combine_chunks() for c in table.columns)
+        term = lists.flatten().dictionary_encode()
+        x = x.flatten().to_numpy().astype("int64")
+        sizes = lists.value_lengths().to_numpy()
+        of, cls = (c.dictionary_encode(null_encoding="encode") for c in (of, cls))
+        cells = len(of.dictionary) * len(cls.dictionary)
+        cell = of.indices.to_numpy().astype("int64") * len(cls.dictionary) + cls.indices.to_numpy()
+        key = term.indices.to_numpy().astype("int64") * cells + np.repeat(cell, sizes)
+        order = np.argsort(key)
+        key, x = key[order], x[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, values = key[first], [np.diff(np.r_[first, len(x)]), np.add.reduceat(x, first), np.add.reduceat(x * x, first)]
+        for s in range(0, len(key), STATISTICS_ROWS):
+            part = key[s:s + STATISTICS_ROWS]
+            cell = part % cells
+            yield pa.RecordBatch.from_arrays([term.dictionary.take(pa.array(part // cells)), of.dictionary.take(pa.array(cell // len(cls.dictionary))),
+                                              cls.dictionary.take(pa.array(cell % len(cls.dictionary)))] + [pa.array(v[s:s + STATISTICS_ROWS]) for v in values], names=names)
+
+    parts = counted.select(fold, label, "term", "x").mapInArrow(add, Ty.StructType([Ty.StructField(c, k) for c, k in kinds]))
+    return parts.groupBy("term", "fold", "label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
 def held_out_statistics(stats: DataFrame, folds: int, classes: list, min_df: int = MIN_DF) -> DataFrame:
@@ -73,22 +123,21 @@ def held_out_statistics(stats: DataFrame, folds: int, classes: list, min_df: int
     return out.select("held", "term", F.inline(per_class))
 
 
-def gaussian_models(docs: DataFrame, label: str, fold: str, folds: int, text: str = "text", id_col: str = "doc_id",
-                    min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """(held, term, label, mean, var) of every held-out fold's model, and (held,
+def gaussian_models(counted: DataFrame, label: str, fold: str, folds: int, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
+    """Of ``counted_terms``: (held, term, label, mean, var) of every held-out fold's model, and (held,
     label, base): the log score of a document without any term.
 
     var is the class's own plus ``SMOOTHING`` times the largest variance of a term
     over all training rows.  Classes are numbers; one without training rows is not
     a class of that model."""
-    spark = docs.sparkSession
-    counts = docs.groupBy(F.col(fold).alias("fold"), F.col(label).alias("label")).count().collect()     # folds x classes
+    spark = counted.sparkSession
+    counts = counted.groupBy(F.col(fold).alias("fold"), F.col(label).alias("label")).count().collect()     # folds x classes
     classes = sorted({r["label"] for r in counts if r["label"] is not None})
     n = {(h, c): sum(r["count"] for r in counts if r["label"] == c and r["fold"] != h) for h in range(folds) for c in classes}
     sizes = [(h, c, n[h, c], sum(n[h, x] for x in classes)) for h in range(folds) for c in classes if n[h, c]]
-    kind = docs.schema[label].dataType.simpleString()
+    kind = counted.schema[label].dataType.simpleString()
     sizes = F.broadcast(spark.createDataFrame(sizes, f"held int, label {kind}, n long, rows long"))
-    stats = held_out_statistics(fold_statistics(docs.where(F.col(label).isNotNull()), label, fold, text, id_col), folds, classes, min_df)
+    stats = held_out_statistics(counted_statistics(counted.where(F.col(label).isNotNull()), label, fold), folds, classes, min_df)
     stats = materialize(stats.join(sizes, ["held", "label"]))
     square = lambda c: c.cast("double") * c.cast("double")
     spread = lambda s, q, m: F.greatest((q.cast("double") * m - square(s)) / square(m), F.lit(0.0))
@@ -104,35 +153,43 @@ def gaussian_models(docs: DataFrame, label: str, fold: str, folds: int, text: st
 def cross_predict(docs: DataFrame, label: str, fold: str, folds: int, text: str = "text", id_col: str = "doc_id",
                   min_df: int = MIN_DF) -> DataFrame:
     """(id, fold, target, pred): every document judged by the model that was
-    trained without its fold; the smaller class wins a tie.  ids are unique."""
-    model, base = gaussian_models(docs, label, fold, folds, text, id_col, min_df)
+    trained without its fold; the smaller class wins a tie.  ``fold`` is 0 to folds - 1."""
+    with shuffles_freed(docs.sparkSession):
+        counted = stored(counted_terms(docs, text, id_col, [label, fold]), "counted")
+        model, base = gaussian_models(counted, label, fold, folds, min_df)
+        base = {(r["held"], r["label"]): r["base"] for r in base.collect()}     # folds x classes
+    classes = sorted({c for _, c in base})
+    start = np.array([[base.get((h, c), -np.inf) for c in classes] for h in range(folds)]).reshape(folds, len(classes))
     # a document meets the entries (one a class) of its own fold's model only; its terms stay in its row
     key = lambda held, term: F.concat(held.cast("string"), F.lit(":"), term)
     entries = model.groupBy("held", "term").agg(F.array_sort(F.collect_list(F.struct("label", "mean", "var"))).alias("m"))
     entries = entries.select(key(F.col("held"), F.col("term")).alias("tok"), "m")
-    own = F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda t: key(F.col(fold), t))
-    schema = Ty.StructType([docs.schema[id_col], model.schema["label"], Ty.StructField("score", Ty.DoubleType())])
+    own = F.transform("term", lambda t: key(F.col(fold), t))
+    kind = docs.schema[label].dataType
+    schema = Ty.StructType([docs.schema[id_col], Ty.StructField("fold", docs.schema[fold].dataType), Ty.StructField("target", kind), Ty.StructField("pred", kind)])
 
     def run(x: Lookup):
+        held = x.rows.column(1).to_numpy(zero_copy_only=False).astype("int64")
+        score = start[held]
         met = np.flatnonzero(x.code >= 0)
-        lists = x.values.column("m").combine_chunks()
-        sizes = lists.value_lengths().to_numpy().astype("int64")
-        begin = np.cumsum(sizes) - sizes
-        entry = lists.flatten()
-        classes = entry.field("label").dictionary_encode()
-        mean, var = (entry.field(c).to_numpy() for c in ("mean", "var"))
-        many = max(1, len(lists))
-        found, times = np.unique(x.row[met] * many + x.code[met], return_counts=True)    # (row, term): its count
-        row, code = found // many, found % many
-        at = np.arange(int(sizes[code].sum())) + np.repeat(begin[code] - (np.cumsum(sizes[code]) - sizes[code]), sizes[code])
-        n, r = np.repeat(times, sizes[code]).astype("float64"), np.repeat(row, sizes[code])
-        part = (2 * n * mean[at] - n * n) / (2 * var[at])
-        kinds = max(1, len(classes.dictionary))
-        place, back = np.unique(r * kinds + classes.indices.to_numpy()[at].astype("int64"), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([x.rows.column(0).take(pa.array(place // kinds)), classes.dictionary.take(pa.array(place % kinds)),
-                                          pa.array(np.bincount(back, part, minlength=len(place)).astype("float64"))], names=[id_col, "label", "score"])
-    score = looked_up(docs, F.coalesce(F.col(text), F.lit("")), own, entries, [F.col(id_col)], schema, run, [id_col])
-    rows = docs.select(id_col, F.col(fold).alias("held"), F.col(label).alias("target")).join(F.broadcast(base), "held")
-    judged = rows.join(score, [id_col, "label"], "left").withColumn("score", F.col("base") + F.coalesce("score", F.lit(0.0)))
-    best = F.max(F.struct(F.col("score"), (-F.col("label")).alias("less"), F.col("label").alias("pred")))
-    return judged.groupBy(id_col, F.col("held").alias("fold"), "target").agg(best.alias("best")).select(id_col, "fold", "target", F.col("best.pred").alias("pred"))
+        if len(met):
+            lists = x.values.column("m").combine_chunks()
+            sizes = lists.value_lengths().to_numpy().astype("int64")
+            begin = np.cumsum(sizes) - sizes
+            entry = lists.flatten()
+            of = np.searchsorted(classes, entry.field("label").to_numpy())
+            mean, var = (entry.field(c).to_numpy() for c in ("mean", "var"))
+            code, row = x.code[met], x.row[met]
+            n = x.rows.column(3).flatten().to_numpy()[met].astype("float64")
+            for k in range(int(sizes.max())):    # one entry of each term after the other: as many as there are classes
+                has = np.flatnonzero(sizes[code] > k)
+                at, times = begin[code[has]] + k, n[has]
+                part = (2 * times * mean[at] - times * times) / (2 * var[at])
+                score += np.bincount(row[has] * len(classes) + of[at], part, minlength=score.size).reshape(score.shape)
+        judged = np.flatnonzero(np.isfinite(start[held]).any(axis=1)) if len(classes) else np.zeros(0, "int64")
+        best = score[judged].argmax(axis=1) if len(judged) else judged     # the first of the largest
+        pred = pa.array(np.array(classes)[best] if len(classes) else [], x.rows.column(2).type)
+        judged = pa.array(judged)
+        yield pa.RecordBatch.from_arrays([*(x.rows.column(c).take(judged) for c in range(3)), pred], names=[id_col, "fold", "target", "pred"])
+    carry = [F.col(id_col), F.col(fold), F.col(label), F.col("x")]
+    return looked_up(counted, F.array_join("term", " "), own, entries, carry, schema, run, [id_col], BLOCK_BYTES, (F.col(fold), folds))

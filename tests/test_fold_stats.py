@@ -86,3 +86,52 @@ def test_a_fold_without_words_and_a_class_in_one_fold(spark):
     got = {r["doc_id"]: r["pred"] for r in Fs.cross_predict(table(spark, rows), "label", "fold", 3, min_df=1).collect()}
     assert set(got) == set(range(5)) and got[1] == got[2] == got[4] == 0        # class 1 is unknown without fold 1
     assert Fs.cross_predict(table(spark, rows), "label", "fold", 3, min_df=99).count() == 5
+
+
+def test_terms_are_counted_once_in_their_rows(spark, monkeypatch):
+    """One scan of the texts serves the statistics and the scores; a task adds up its documents first."""
+    texts = []
+    whole = Fs.terms
+    monkeypatch.setattr(Fs, "terms", lambda c: texts.append(c) or whole(c))
+    rows = rows_of(120, 3)
+    Fs.cross_predict(table(spark, rows), "label", "fold", 4, min_df=2).collect()
+    assert len(texts) == 1
+    counted = Fs.counted_terms(table(spark, rows).coalesce(1), keep=["label", "fold"])
+    assert counted.count() == len(rows)
+    for held in (5, 1 << 20):      # in several parts, in one
+        monkeypatch.setattr(Fs, "HELD_TERMS", held)
+        got = {(r["term"], r["fold"], r["label"]): (r["n"], r["s"], r["q"]) for r in Fs.counted_statistics(counted, "label", "fold").collect()}
+        want = {}
+        for _, t, c, f in rows:
+            for w, x in Counter(w for w in re.findall(r"\w+", (t or "").lower()) if len(w) > 1).items():
+                n, s, q = want.get((w, f, c), (0, 0, 0))
+                want[w, f, c] = (n + 1, s + x, q + x * x)
+        assert got == want
+
+
+def test_a_block_holds_one_fold(spark, monkeypatch):
+    """Documents meet the words of their own fold's model only, however many blocks there are."""
+    from linesight.operators import token_blocks as Tb
+    rows = rows_of(160, 5)
+    df = table(spark, rows).selectExpr("doc_id", "fold", "coalesce(text, '') as text")
+    for size in (10, 1 << 20):
+        block, n = Tb._grouped(*Tb._blocks(Fs.F.col("text"), ["doc_id"], df, size), Fs.F.col("fold"), 4)
+        dealt = df.select("fold", block.alias("b")).distinct().collect()
+        assert n % 4 == 0 and all(0 <= r["b"] < n and r["b"] % 4 == r["fold"] for r in dealt)
+        assert size > 10 or len(dealt) > 4
+    monkeypatch.setattr(Fs, "BLOCK_BYTES", 64)
+    got = {r["doc_id"]: r["pred"] for r in Fs.cross_predict(table(spark, rows), "label", "fold", 4, min_df=6).collect()}
+    assert got == direct(rows, 4, 6)
+
+
+def test_the_block_of_a_document_is_told_once(spark, monkeypatch):
+    """Its hash reads the whole text; above the explode it was made for every token."""
+    from linesight.operators import token_blocks as Tb
+    df = spark.createDataFrame([(0, "a b a", 0)], "doc_id long, text string, fold int")
+    words = spark.createDataFrame([("a", 1)], "tok string, v int")
+    out = Tb.looked_up(df, Fs.F.col("text"), Fs.F.split("text", " "), words, [Fs.F.col("doc_id")], "doc_id long, n int",
+                       lambda x: iter([Fs.pa.RecordBatch.from_pydict({"doc_id": x.rows.column(0), "n": Fs.pa.array([int((x.code >= 0).sum())], Fs.pa.int32())})]), ["doc_id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert any("xxhash64" in line for line in plan[explode:]) and not any("xxhash64(doc_id" in line for line in plan[explode - 1:explode])
+    assert [tuple(r) for r in out.collect()] == [(0, 2)]
